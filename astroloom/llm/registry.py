@@ -1,7 +1,7 @@
 """The corpus operators' queries and their SQL, in one place for the driver's entry module."""
 
-from . import decontaminate, packing, secrets
+from . import decontaminate, packing, secrets, simhash
 
-_MODULES = (secrets, packing, decontaminate)
+_MODULES = (secrets, packing, decontaminate, simhash)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
