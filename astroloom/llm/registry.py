@@ -1,7 +1,7 @@
 """The corpus operators' queries and their SQL, in one place for the driver's entry module."""
 
-from . import decontaminate, licenses, packing, secrets, simhash, urls
+from . import decontaminate, langid, licenses, packing, secrets, simhash, urls
 
-_MODULES = (secrets, packing, decontaminate, simhash, urls, licenses)
+_MODULES = (secrets, packing, decontaminate, simhash, urls, licenses, langid)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
