@@ -101,9 +101,9 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
 
 def findings_by_path(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """Every row of ``versions`` without its text, with ``findings`` of its blob. The ledger has one row per blob and
-    rule version, so the join keeps the number of rows; the shared blobs' side may be split by Spark's skew join."""
+    rule version, so the join keeps the number of rows; columns named blob or findings are replaced. The shared blobs' side may be split by Spark's skew join."""
     known = ledger.filter((F.col("rule_version") == rule_version(rules)) & (F.size("findings") > 0)).select("blob", "findings")
-    paths = address(versions, text).drop(text)
+    paths = address(versions, text).drop(text, "findings")
     return paths.join(known, "blob", "left").withColumn("findings", F.coalesce("findings", F.array().cast(FINDING)))
 
 
@@ -127,16 +127,26 @@ def scan_corpus(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return findings_by_path(docs, scan_unseen(docs, None, rules), rules)
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[secret]") -> DataFrame:
-    """The rows with every found span replaced by ``mask``; columns and rows stay. Overlapping spans become one."""
+def redact(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, mask: str = "[secret]") -> DataFrame:
+    """The rows with every found span replaced by ``mask``; columns and rows stay, and overlapping spans become one.
+
+    Each distinct text that the ledger has not seen is scanned once; its findings meet all rows that hold it."""
+    known = scan_unseen(docs, ledger, rules)
+    if ledger is not None:
+        known = known.unionByName(ledger.filter(F.col("rule_version") == rule_version(rules)).select(*known.columns))
+    known = known.filter(F.size("findings") > 0).select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings"))
+    rows = docs.withColumn("_blob", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).join(known, "_blob", "left").drop("_blob")
+
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k = batch.schema.get_field_index("text")
-            out = [None if t is None else _masked(t, scan_text(t, rules), mask) for t in batch.column(k).to_pylist()]
-            yield batch.set_column(k, batch.schema.field(k), pa.array(out, type=batch.schema.field(k).type))
+            k, found = batch.schema.get_field_index("text"), batch.column("_findings").to_pylist()
+            out = [t if not f or t is None else _masked(t, [(x["kind"], x["start"], x["end"]) for x in f], mask) for t, f in zip(batch.column(k).to_pylist(), found, strict=True)]
+            batch = batch.set_column(k, batch.schema.field(k), pa.array(out, type=batch.schema.field(k).type))
+            yield batch.select(names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.select(*names, "_findings").mapInArrow(run, docs.schema)
 
 
 def _masked(text: str, spans: list[tuple[str, int, int]], mask: str) -> str:

@@ -164,6 +164,20 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2, segments
     return prints.join(named, "fingerprint").select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, width: int = 3, distance: int = 2, segments: int | None = None) -> DataFrame:
+    """The rows of one document of each component, the one with the smallest doc_id; one row of those that repeat its
+    id. Rows without an id belong to no group and stay. Columns stay as they are."""
+    found = durable(near_duplicates(docs, width, distance, segments).filter(F.col("doc_id").isNotNull()))
+    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti")
+    ids = found.filter("doc_id = component_id")
+    repeats = ids.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if repeats.isEmpty():
+        return kept
+    again = kept.join(repeats, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeats, "doc_id", "left_anti").unionByName(again)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 

@@ -64,9 +64,13 @@ def test_ledger_scans_only_unseen(spark):
 
 
 def test_redact(spark):
-    out = secrets.redact(rows(spark, CASES)).select("doc_id", "text").collect()
-    assert {r.text for r in out if r.doc_id == 4} == {"[secret]"} or all("abcdef0123" not in r.text for r in out if r.doc_id == 4)
-    assert next(r.text for r in out if r.doc_id == 3) == "plain words" and next(r for r in out if r.doc_id == 1).text is None
+    frame = rows(spark, CASES)
+    for ledger in (None, secrets.scan_unseen(frame.filter("doc_id = 4"))):
+        out = secrets.redact(frame, ledger)
+        assert out.columns == frame.columns and out.count() == len(CASES)
+        texts = {r.doc_id: r.text for r in out.collect()}
+        assert texts[4] == "[secret]\"" and texts[3] == "plain words" and texts[1] is None and texts[2] == ""
+        assert texts[9] == "x" * 200_000 + " [secret]"
 
 
 @pytest.mark.parametrize("n", [0])

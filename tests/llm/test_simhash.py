@@ -66,3 +66,9 @@ def test_links_lose_nothing(spark):
         found = s.components(s.links(spark.createDataFrame(signed, "node long, fingerprint long"), distance, segments, block))
         of = {r.node: r.component for r in found.collect()}
         assert [of.get(k, k) for k, _ in prints] == brute_components(prints, distance)
+
+
+def test_one_of_each(spark):
+    docs = spark.createDataFrame([(i, t, "x", 9) for i, t in [(5, None), (3, ""), (1, "A b"), (2, "a B"), (4, "c"), (4, "c"), (None, "a b"), (7, "solo text")]], SCHEMA)
+    assert sorted(map(str, (r.doc_id for r in s.one_of_each(docs).collect()))) == ["1", "3", "4", "7", "None"]
+    assert s.one_of_each(docs).columns == docs.columns and s.one_of_each(docs.limit(0)).count() == 0
