@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import light_curves, retrieval
+from . import corpus, light_curves, retrieval, sky
 
-_MODULES = (light_curves, retrieval)
+_MODULES = (light_curves, retrieval, corpus, sky)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
