@@ -37,8 +37,9 @@ def cross_match(targets: DataFrame, catalogue: DataFrame, radius: float) -> Data
     def cells(zone: Column) -> Column:
         top = F.least(F.greatest(F.abs(zone * height), F.abs((zone + 1) * height)) + height, F.lit(90.0))
         # The half width of a circle of this radius that is centred at the zone's edge or one zone beyond it.
-        half = F.degrees(F.asin(F.least(F.sin(F.radians(F.lit(radius))) / F.greatest(F.cos(F.radians(top)), F.lit(1e-12)), F.lit(1.0))))
-        return F.greatest(F.floor(360.0 / F.greatest(half, F.lit(1e-9))).cast("long"), F.lit(1)).cast("long")
+        ratio = F.sin(F.radians(F.lit(radius))) / F.greatest(F.cos(F.radians(top)), F.lit(1e-12))
+        n = F.floor(360.0 / F.degrees(F.asin(F.least(ratio, F.lit(1.0))))).cast("long")
+        return F.when(ratio >= 1.0, F.lit(1).cast("long")).otherwise(F.greatest(n, F.lit(1).cast("long")))  # a circle over the pole meets all
 
     def cell(ra: Column, n: Column) -> Column:
         return F.least(F.floor(F.pmod(ra, F.lit(360.0)) / 360.0 * n), n - 1).cast("long")

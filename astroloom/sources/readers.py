@@ -63,7 +63,7 @@ def directory_stats(spark: SparkSession, path: str) -> DataFrame:
 
 def knowledge(spark: SparkSession, path: str, least: int = 50) -> DataFrame:
     """(id, topic, content): paragraphs of text files, the topic being the file's name."""
-    rows = _file(spark.read.option("wholetext", True).text(path)).withColumnRenamed("source", "topic")
+    rows = _file(spark.read.text(path, wholetext=True)).withColumnRenamed("source", "topic")
     parts = rows.select("topic", F.posexplode(F.split("value", r"\n\s*\n")).alias("i", "content")).withColumn("content", F.trim("content"))
     return parts.filter(F.length("content") > least).select(F.concat_ws("_", "topic", F.col("i").cast("string")).alias("id"), "topic", "content")
 
