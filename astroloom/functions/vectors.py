@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
 
 
 def norm(a: Column) -> Column:
@@ -19,8 +19,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a)
+    """The vector over its length; a zero vector stays."""
+    a = F.transform(a, lambda x: x.cast("double"))
+    # The length is bound once by the outer lambda, not worked out again for every component.
+    return F.get(F.transform(F.array(F.nullif(norm(a), F.lit(0.0))), lambda n: F.when(n.isNull(), a).otherwise(F.transform(a, lambda x: x / n))), F.lit(0))
 
 
 def aligned(a: Column, b: Column) -> Column:

@@ -60,7 +60,9 @@ def vector_search(embedded: DataFrame, asked: DataFrame, k: int = 5, threshold:
     """Exact cosine top-k of (doc_id, embedding) for a stated set of queries (qid, q), every query against every row.
 
     The rows are scored where they lie; each task hands on its k best of each query before the shuffle."""
-    pairs = asked.join(embedded, F.lit(True)).select("qid", "doc_id", F.round(vx.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
+    asked = asked.select("qid", vx.unit(F.col("q")).alias("q"))
+    embedded = embedded.select("doc_id", vx.unit(F.col("embedding")).alias("embedding"))
+    pairs = asked.join(embedded, F.lit(True)).select("qid", "doc_id", F.round(vx.dot(F.col("q"), F.col("embedding")), 6).alias("score"))
     return top_k(pairs.filter(F.col("score") >= threshold), k)
 
 
