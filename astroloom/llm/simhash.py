@@ -10,16 +10,16 @@ pairs; a key of many fingerprints is dealt out as pairs of bounded blocks. Compo
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_list, durable, space_words, table
+from .common import byte_list, durable, i64, space_words, table
 
 BITS = 64
 #: Distinct fingerprints that are compared with each other in one block of a key.
@@ -61,21 +61,38 @@ def ring(segments: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def chained(a: np.ndarray, b: np.ndarray, start: int, segments: int, distance: int) -> np.ndarray:
-    """Pairs (a[i], b[j]) whose chain from ``start`` stays within its proportional budgets; the whole ring is the last
-    link, so what passes is within ``distance``."""
-    x = a[:, None] ^ b[None, :]
-    ok, total = np.ones(x.shape, dtype=bool), np.zeros(x.shape, dtype=np.int16)
-    parts = ring(segments)
+def chained(difference: np.ndarray, start: np.ndarray, segments: int, distance: int) -> np.ndarray:
+    """Differences (a ^ b) whose chain from segment ``start`` stays within its proportional budgets; the whole ring is the
+    last link, so what passes is within ``distance``."""
+    shift, bits = (np.array(x, dtype=np.uint64) for x in zip(*ring(segments)))
+    mask = np.where(bits == 64, ~np.uint64(0), (np.uint64(1) << (bits % np.uint64(64))) - np.uint64(1))
+    ok, total = np.ones(len(difference), dtype=bool), np.zeros(len(difference), dtype=np.int16)
     for step in range(segments):
-        shift, bits = parts[(start + step) % segments]
-        total += np.bitwise_count(x >> np.uint64(shift) & np.uint64((1 << bits) - 1))
+        at = (start + step) % segments
+        total += np.bitwise_count(difference >> shift[at] & mask[at])
         ok &= total * segments <= (step + 1) * distance
-        if not ok.any():
-            break
     return ok
 
 
+def linked_pairs(key: np.ndarray, prints: np.ndarray, own: np.ndarray, start: np.ndarray, segments: int, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs of one key that pass the chain. ``key`` numbers the groups, whose rows stand together; groups of two
+    blocks are met across the blocks only, by ``own``, those of one block (own 0) within. Pairs are taken lag by lag, for
+    all groups at once, and none is kept that fails."""
+    ends = np.searchsorted(key, key, side="right")
+    rows, lag, found = np.arange(len(key)), 1, []
+    rows = rows[rows + 1 < ends]
+    while len(rows):
+        other = rows + lag
+        meet = (own[rows] != own[other]) | (own[rows] == 0)
+        a, b = rows[meet], other[meet]
+        ok = chained(prints[a] ^ prints[b], start[a], segments, distance)
+        found.append(np.stack([a[ok], b[ok]]))
+        lag += 1
+        rows = rows[rows + lag < ends[rows]]
+    pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.int64)
+    return pairs[0], pairs[1]
+
+
 def forest(links: list[tuple[int, int]], parent: dict[int, int] | None = None) -> dict[int, int]:
     """node -> smallest reachable node."""
     parent = {} if parent is None else parent
@@ -111,21 +128,33 @@ def links(nodes: DataFrame, distance: int = 2, segments: int | None = None, bloc
     others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j")))
     dealt = keyed.join(sizes.select("segment", "value", "blocks"), ["segment", "value"]).withColumn("own", own).select("node", "fingerprint", "segment", "value", "own", F.explode(others).alias("pair"))
 
-    def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        start, _, i, j = key
-        of = lambda k: group[group["own"] == k]
-        left, right = of(i), of(j)
-        b, found = right["fingerprint"].to_numpy().view(np.uint64), []
-        names, others = left["node"].to_numpy(), right["node"].to_numpy()
-        for at in range(0, len(left), 256):
-            rows, columns = np.nonzero(chained(left["fingerprint"].to_numpy()[at : at + 256].view(np.uint64), b, start, segments, distance))
-            pairs = np.stack([names[at + rows], others[columns]], axis=1)
-            found.append(pairs[pairs[:, 0] != pairs[:, 1]])
-        stars = forest(np.concatenate(found).tolist() if found else [])
-        made = [(x, r) for x, r in stars.items() if x != r]
-        return pd.DataFrame({"a": [x for x, _ in made], "b": [r for _, r in made]}, dtype="int64")
-
-    return dealt.groupBy("segment", "value", "pair.i", "pair.j").applyInPandas(compare, "a long, b long").distinct()
+    # Equal keys stand together in a task; what a task holds is a batch and the group that it breaks off in.
+    dealt = dealt.select("node", "fingerprint", F.col("segment").cast("int"), "value", "pair.i", "pair.j", F.when(F.col("pair.i") == F.col("pair.j"), 0).otherwise(F.when(F.col("own") == F.col("pair.i"), 1).otherwise(2)).alias("side"))
+    dealt = dealt.repartition("segment", "value", "i", "j").sortWithinPartitions("segment", "value", "i", "j")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: pa.Table | None = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                part = pa.Table.from_batches([batch])
+                kept = part if kept is None else pa.concat_tables([kept, part])
+            if kept is None or not len(kept):
+                continue
+            columns = [kept.column(c).to_numpy() for c in ("segment", "value", "i", "j")]
+            new = np.zeros(len(kept), dtype=bool)
+            for c in columns:
+                new[1:] |= c[1:] != c[:-1]
+            key = np.cumsum(new)
+            whole = len(kept) if batch is None else int(np.searchsorted(key, key[-1]))
+            if whole:
+                prints, nodes, side = (kept.column(c).to_numpy()[:whole] for c in ("fingerprint", "node", "side"))
+                a, b = linked_pairs(key[:whole], prints.view(np.uint64), side, columns[0][:whole], segments, distance)
+                # One node's rows of several keys may meet here; a forest over all pairs keeps their components.
+                stars = [(x, r) for x, r in forest(np.stack([nodes[a], nodes[b]], axis=1).tolist()).items() if x != r]
+                yield pa.RecordBatch.from_arrays([i64([x for x, _ in stars]), i64([r for _, r in stars])], names=["a", "b"])
+                kept = kept.slice(whole)
+
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
