@@ -10,17 +10,17 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, alnum_words, byte_list, table
+from .common import WORD_BYTES, alnum_words, byte_list, table, written
 
 WINDOW = 10
 #: Bytes of item text that one pass holds in each task; a larger benchmark is matched block after block.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 1_000_000
 
 
 def windows_of(words: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ...]]:
@@ -33,13 +33,13 @@ def shingles_of(window: tuple[bytes, ...]) -> list[tuple[bytes, ...]]:
     return list(zip(window, window[1:], strict=False)) or [window]
 
 
-def _blocks(items: DataFrame) -> list[list[tuple]]:
-    """The item table in blocks of bounded size, block after block through the driver."""
+def _blocks(items: DataFrame) -> tuple[int, Callable[[int], list[tuple]]]:
+    """How many blocks of bounded size the item table makes, and a function that fetches one of them."""
     items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").filter(F.col("item_id").isNotNull() & F.col("text").isNotNull())
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = 1 + total // BLOCK_BYTES
     part = F.pmod(F.xxhash64("item_id"), F.lit(n))
-    return [[tuple(r) for r in (items if n == 1 else items.filter(part == k)).collect()] for k in range(n)]
+    return n, lambda k: [tuple(r) for r in (items if n == 1 else items.filter(part == k)).collect()]
 
 
 def document_frequencies(docs: DataFrame, words: set[bytes]) -> dict[bytes, int]:
@@ -103,14 +103,13 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     with equal texts are all reported. Rows with equal doc_id stay apart as long as the benchmark fits one block, and
     count as one document otherwise. Only doc_id and text are read."""
     docs = docs.select("doc_id", "text")
-    blocks = _blocks(items)
+    n, block = _blocks(items)
+    if n == 1:
+        return _match(docs, _index(docs, block(0), size))
     found = None
-    for block in blocks:
-        frequency = document_frequencies(docs, {w for _, text in block for w in alnum_words(text.encode())})
-        part = _match(docs, WindowIndex(block, frequency, size))
+    for k in range(n):  # each block's hits are written before the next block is fetched
+        part = written(_match(docs, _index(docs, block(k), size)))
         found = part if found is None else found.unionByName(part)
-    if len(blocks) == 1:
-        return found
     words = F.array_distinct(F.flatten(F.collect_list(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["end"] - 1))))))
     return found.groupBy("doc_id").agg(
         F.first("n_words").alias("n_words"),
@@ -119,6 +118,10 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     )
 
 
+def _index(docs: DataFrame, block: list[tuple], size: int) -> WindowIndex:
+    return WindowIndex(block, document_frequencies(docs, {w for _, text in block for w in alnum_words(text.encode())}), size)
+
+
 def _match(docs: DataFrame, index: WindowIndex) -> DataFrame:
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -138,13 +141,17 @@ def _match(docs: DataFrame, index: WindowIndex) -> DataFrame:
 
 def drop_hit_words(docs: DataFrame, items: DataFrame, share: float = 0.5, size: int = WINDOW) -> DataFrame:
     """Removes documents of whose words more than ``share`` are hit; cuts the hit words out of the others, along with
-    what stands between them. Columns and the other texts stay as they are."""
-    (block, *more) = _blocks(items)
-    for rest in more:
-        block = block + rest
-    frequency = document_frequencies(docs, {w for _, text in block for w in alnum_words(text.encode())})
-    index = WindowIndex(block, frequency, size)
+    what stands between them. Columns and the other texts stay as they are. A benchmark of several blocks is cut out
+    block after block."""
+    n, block = _blocks(items)
+    for k in range(n):
+        docs = _cut(docs, _index(docs, block(k), size), share)
+        if k + 1 < n:
+            docs = written(docs)
+    return docs
+
 
+def _cut(docs: DataFrame, index: WindowIndex, share: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = batch.schema.get_field_index("text")
