@@ -282,6 +282,8 @@ def fit_network(texts: list[str], labels: list[int], t: Training = Training()) -
             at = windows_at(len(words[i]))
             some = rng.choice(at, min(t.clean_windows, len(at)), replace=False)
             negative += [_window(words[i], s) for s in some]
+            # A part of a clean window is clean, too: short texts must not be judged by their length.
+            negative.append(negative[-1][: int(rng.integers(0, 1 + len(negative[-1])))])
         if turn:
             found = net.window_logits([words[i] for i in toxic])
             for i, x in zip(toxic, found, strict=True):
