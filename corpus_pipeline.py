@@ -19,7 +19,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of SimHash near-duplicates."""
+    """Keeps one document of each group of near copies, pairs of five-word Jaccard 0.8 or more."""
     return simhash.one_of_each(docs)
 
 
