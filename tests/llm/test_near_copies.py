@@ -91,3 +91,10 @@ def test_corpus(spark):
     bits = sorted((prints[a] ^ prints[b]).bit_count() for a, b in pairs if sets[a] != sets[b])
     print(f"\npairs {len(pairs)}, of unequal sets {near}, found {found}; five-word SimHash bits apart {bits}")
     assert found >= 0.98 * len(pairs) and len(pairs) > 100
+
+
+def test_repeated_ids_with_other_texts(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    docs = [(1, a), (2, a), (2, b), (3, b), (5, "five"), (5, "five"), (5, "other five"), (2, b)]
+    frame = spark.createDataFrame([(i, t, "x", 9) for i, t in docs], SCHEMA)
+    assert sorted((r.doc_id, r.text) for r in s.one_of_each(frame).collect()) == [(1, a), (2, b), (5, "five"), (5, "other five")]
