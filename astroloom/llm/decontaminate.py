@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD_BYTES, alnum_words, byte_list, table, written
@@ -55,6 +55,17 @@ def document_frequencies(docs: DataFrame, words: set[bytes]) -> dict[bytes, int]
     return {bytes(r[0]): r[1] for r in docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
 
 
+def merged(found: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans in order; those that overlap or touch are one."""
+    spans: list[list[int]] = []
+    for start, end in sorted(found):
+        if spans and start <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], end)
+        else:
+            spans.append([start, end])
+    return [(a, b) for a, b in spans]
+
+
 class WindowIndex:
     """Postings of each window's rarest shingle; what a task needs to find all windows of a block of items."""
 
@@ -87,33 +98,44 @@ class WindowIndex:
                     if start >= 0 and start + len(window) <= n and tuple(words[start : start + len(window)]) == window:
                         starts[start] = max(starts.get(start, 0), start + len(window))
                         items.update(of)
-        spans: list[list[int]] = []
-        for start, end in sorted(starts.items()):
-            if spans and start <= spans[-1][1]:
-                spans[-1][1] = max(spans[-1][1], end)
-            else:
-                spans.append([start, end])
-        return [(a, b) for a, b in spans], items
+        return merged(starts.items()), items
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """doc_id, n_words, spans (array of start and end in words) and items (sorted strings), one row per document.
 
     Null and empty texts have no words, so nothing hits them; null items and items without words occur nowhere; items
-    with equal texts are all reported. Rows with equal doc_id stay apart as long as the benchmark fits one block, and
-    count as one document otherwise. Only doc_id and text are read."""
+    with equal texts are all reported. Rows with equal or null doc_id stay apart. Only doc_id and text are read."""
     docs = docs.select("doc_id", "text")
     n, block = _blocks(items)
     if n == 1:
         return _match(docs, _index(docs, block(0), size))
+    return _all_blocks(_numbered(docs, "row"), "row", n, block, size).drop("row")
+
+
+def _numbered(docs: DataFrame, row: str) -> DataFrame:
+    """The rows, written once with a number that tells them apart in every pass."""
+    return written(docs.withColumn(row, F.monotonically_increasing_id()))
+
+
+def _all_blocks(docs: DataFrame, row: str, n: int, block: Callable[[int], list[tuple]], size: int) -> DataFrame:
+    """``row`` and what contamination() says of it, from the hits of all blocks on the texts as they are."""
     found = None
     for k in range(n):  # each block's hits are written before the next block is fetched
-        part = written(_match(docs, _index(docs, block(k), size)))
+        part = _match(docs, _index(docs, block(k), size), (row, "doc_id"))
+        part = written(part.filter(F.size("spans") > 0) if k else part)
         found = part if found is None else found.unionByName(part)
-    words = F.array_distinct(F.flatten(F.collect_list(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["end"] - 1))))))
-    return found.groupBy("doc_id").agg(
+
+    def add(spans: Column, s: Column) -> Column:
+        last = F.try_element_at(spans, F.lit(-1))
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        return F.when(s["start"] <= last["end"], F.concat(F.slice(spans, 1, F.size(spans) - 1), F.array(longer))).otherwise(F.concat(spans, F.array(s)))
+
+    spans = F.array_sort(F.flatten(F.collect_list("spans")))
+    return found.groupBy(row).agg(
+        F.first("doc_id").alias("doc_id"),
         F.first("n_words").alias("n_words"),
-        F.transform(words, lambda p: F.struct(p.alias("start"), (p + 1).alias("end"))).alias("spans"),
+        F.aggregate(spans, F.array().cast("array<struct<start:int,end:int>>"), add).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
 
@@ -122,7 +144,7 @@ def _index(docs: DataFrame, block: list[tuple], size: int) -> WindowIndex:
     return WindowIndex(block, document_frequencies(docs, {w for _, text in block for w in alnum_words(text.encode())}), size)
 
 
-def _match(docs: DataFrame, index: WindowIndex) -> DataFrame:
+def _match(docs: DataFrame, index: WindowIndex, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,39 +156,51 @@ def _match(docs: DataFrame, index: WindowIndex) -> DataFrame:
                 lengths.append(len(words))
                 spans.append([{"start": a, "end": b} for a, b in hit])
                 items.append(sorted(of))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lengths, type=pa.int64()), pa.array(spans, type=span), pa.array(items, type=pa.list_(pa.string()))], names=["doc_id", "n_words", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(lengths, type=pa.int64()), pa.array(spans, type=span), pa.array(items, type=pa.list_(pa.string()))], names=[*keep, "n_words", "spans", "items"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, spans array<struct<start:int,end:int>>, items array<string>")
+    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.mapInArrow(run, f"{kept}, n_words long, spans array<struct<start:int,end:int>>, items array<string>")
 
 
 def drop_hit_words(docs: DataFrame, items: DataFrame, share: float = 0.5, size: int = WINDOW) -> DataFrame:
     """Removes documents of whose words more than ``share`` are hit; cuts the hit words out of the others, along with
-    what stands between them. Columns and the other texts stay as they are. A benchmark of several blocks is cut out
-    block after block."""
+    what stands between them. Columns and the other texts stay as they are. The hits of all blocks of a benchmark are
+    found on the whole texts, judged together and cut out at once."""
     n, block = _blocks(items)
-    for k in range(n):
-        docs = _cut(docs, _index(docs, block(k), size), share)
-        if k + 1 < n:
-            docs = written(docs)
-    return docs
-
+    if n == 1:
+        return _cut(docs, _index(docs, block(0), size).find, share)
+    row, columns = "row", docs.columns
+    while row in columns:
+        row += "_"
+    docs = _numbered(docs, row)
+    ids = docs.select(row, F.lit(None).cast("long").alias("doc_id"), "text")
+    hits = _all_blocks(ids, row, n, block, size).filter(F.size("spans") > 0).select(F.col(row), "spans")
+    hits = written(hits)
+    whole = docs.join(hits, row, "left_anti").select(columns)
+    hit = docs.join(hits.withColumnRenamed("spans", row + "spans"), row).select(*columns, row + "spans")
+    return whole.unionByName(_cut(hit, None, share, row + "spans"))
+
+
+def _cut(docs: DataFrame, find: Callable | None, share: float, given: str | None = None) -> DataFrame:
+    """Rejects and cuts by the spans that ``find`` sees in a text's words, or that the column ``given`` holds, which goes."""
 
-def _cut(docs: DataFrame, index: WindowIndex, share: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = batch.schema.get_field_index("text")
             texts, keep = batch.column(k).to_pylist(), []
+            known = batch.column(given).to_pylist() if given else None
             for i, text in enumerate(texts):
                 words = alnum_words((text or "").encode())
-                spans, _ = index.find(words)
+                spans = [(s["start"], s["end"]) for s in known[i]] if given else find(words)[0]
                 hit = sum(b - a for a, b in spans)
                 keep.append(hit <= share * len(words))
                 if hit and keep[-1]:
                     texts[i] = _without(text, spans)
             batch = batch.set_column(k, batch.schema.field(k), pa.array(texts, type=batch.schema.field(k).type))
+            batch = batch.drop_columns([given]) if given else batch
             yield batch.filter(pa.array(keep, type=pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.drop(given).schema if given else docs.schema)
 
 
 def _without(text: str, spans: list[tuple[int, int]]) -> str:
