@@ -63,3 +63,16 @@ def test_drop_hit_words(spark):
     docs = spark.createDataFrame([(1, f"É kept; {passage}! end", 1, "a"), (2, passage, 1, "b"), (3, None, 1, "c"), (4, "clean.", 1, "d")], DOC)
     items = spark.createDataFrame([(1, passage, 1)], ITEM)
     assert {r.doc_id: r.text for r in d.drop_hit_words(docs, items, share=0.8).collect()} == {1: "É kept; ! end", 3: None, 4: "clean."}
+
+
+def test_cuts_do_not_depend_on_the_blocks(spark, monkeypatch):
+    w = [f"w{k}" for k in range(80)]
+    items = [(k, " ".join(w[k : k + 10])) for k in range(0, 30, 3)] + [(40, " ".join(w[60:70])), (41, " ".join(w[70:80]))]
+    # Overlapping windows; 12 of 20 words hit by two items; a window that only a cut makes.
+    docs = [(1, "a; " + ", ".join(w[:40]) + " z " * 60), (2, " ".join(w[60:80]) + " x" * 13), (3, " ".join(w[:3] + w[60:70] + w[3:10]) + " y" * 30), (None, " ".join(w[:10]) + " q" * 20), (None, "none"), (None, None), (2, "clean")]
+    frame, of = spark.createDataFrame([(i, t, 5, "z") for i, t in docs], DOC), spark.createDataFrame([(i, t, 7) for i, t in items], ITEM)
+    whole, found = d.drop_hit_words(frame, of).collect(), d.contamination(frame, of).collect()
+    monkeypatch.setattr(d, "BLOCK_BYTES", 60)
+    assert sorted(map(repr, d.drop_hit_words(frame, of).collect())) == sorted(map(repr, whole))
+    assert sorted(map(repr, d.contamination(frame, of).collect())) == sorted(map(repr, found))
+    assert len(found) == len(docs) and 1 < len(whole) < len(docs)
