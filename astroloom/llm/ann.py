@@ -12,34 +12,38 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import durable, table
+from .common import f64, i64, table, written
 
 
 @dataclass(frozen=True)
 class Lists:
     """``size``: vectors of a list aimed at. ``most``: lists at most, which with the dimension bounds what is broadcast.
-    ``sample``: sampled vectors for each list. ``copies``, ``edge``: lists of a vector, and how much farther than the
-    nearest centroid a further one may be. ``probes``, ``ratio``: the same of a query. ``beam``,
-    ``placing``: centroids that a query's and a vector's walk keeps in view. ``segment``: rows of a segment."""
+    ``sample``: sampled vectors for each list; ``sampled``: in all, at most. ``copies``, ``edge``: lists of a vector, and
+    how much farther than the nearest centroid a further one may be. ``placing``: centroids that a vector's walk keeps
+    in view. ``probes``, ``ratio``: the least that a query opens; ``aim``: the share of the sample's true neighbours
+    whose lists must be opened, ``trials``: sampled queries that measure it. ``segment``: vectors of a segment,
+    ``part``: queries that meet it at a time."""
 
     size: int = 256
-    most: int = 4096
+    most: int = 16_384
     sample: int = 16
+    sampled: int = 131_072
     copies: int = 4
     edge: float = 1.08
-    probes: int = 64
-    ratio: float = 1.6
-    degree: int = 24
-    beam: int = 72
     placing: int = 24
+    probes: int = 8
+    ratio: float = 1.1
+    aim: float = 0.985
+    trials: int = 256
+    degree: int = 24
     segment: int = 2048
-    rounds: int = 6
+    part: int = 4096
+    rounds: int = 2
     seed: int = 3
 
 
@@ -96,9 +100,12 @@ class CentroidGraph:
         self.entries = np.unique(np.linspace(0, n - 1, min(n, 16)).astype(int))
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(centroids, squared distances) of the ``beam`` best found for each query, nearest first; -1 and inf pad."""
+        """(centroids, squared distances) of the ``beam`` best found for each query, nearest first; -1 and inf pad.
+        Where the beam is a large part of all centroids, there is nothing to save by walking."""
         q, beam = q.astype(np.float32), min(beam, len(self.c))
         m, n, rows = len(q), len(self.c), np.arange(len(q))[:, None]
+        if 4 * beam >= n:
+            return self.every(q, beam)
         far = lambda ids: self.square[ids] - 2 * np.einsum("mkd,md->mk", self.c[ids], q)
         seen = np.zeros((m, n), dtype=bool)
         ids = np.full((m, beam), -1, dtype=np.int64)
@@ -131,89 +138,176 @@ class CentroidGraph:
                 new, fresh = new[:, :1], fresh[:, :1]
         return np.where(np.isfinite(dist), ids, -1), dist + (q * q).sum(axis=1)[:, None]
 
+    def every(self, q: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same from the distances to all centroids."""
+        q = q.astype(np.float32)
+        d = self.square[None, :] - 2 * q @ self.c.T
+        ids = np.argsort(d, axis=1, kind="stable")[:, :most]
+        return ids, np.take_along_axis(d, ids, axis=1) + (q * q).sum(axis=1)[:, None]
+
 
-def _within(ids: np.ndarray, squared: np.ndarray, most: int, ratio: float) -> list[list[int]]:
-    limit = np.maximum(squared[:, :1], 0) * ratio**2 + 1e-9
-    ok = (ids[:, :most] >= 0) & (squared[:, :most] <= limit)
-    return [row[keep].tolist() for row, keep in zip(ids[:, :most], ok, strict=True)]
+def _within(squared: np.ndarray, ratio: float) -> np.ndarray:
+    return squared <= np.maximum(squared[:, :1], 0) * ratio**2 + 1e-9
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(column), -1)
 
 
+def _column(table: pa.Table, name: str) -> pa.Array:
+    column = table.column(name)
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], type=column.type)
+
+
+class Opening:
+    """Which lists a vector goes to and which a query opens."""
+
+    def __init__(self, graph: CentroidGraph, top: float, p: Lists):
+        self.graph, self.top, self.p = graph, top, p
+        self.probes, self.ratio = p.probes, p.ratio
+
+    def lift(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate([x, np.sqrt(np.maximum(self.top**2 - (x * x).sum(axis=1), 0))[:, None]], axis=1)
+
+    def scale(self, x: np.ndarray) -> np.ndarray:
+        """A query's length does not change its order of nearness."""
+        x = x * (self.top / np.sqrt((x * x).sum(axis=1, keepdims=True)))
+        return np.concatenate([x, np.zeros((len(x), 1))], axis=1)
+
+    def places(self, x: np.ndarray) -> list[list[int]]:
+        """Lists of each vector, the nearest first."""
+        ids, squared = self.graph.search(self.lift(x), self.p.placing)
+        ids, squared = ids[:, : self.p.copies], squared[:, : self.p.copies]
+        return [row[keep].tolist() for row, keep in zip(ids, (ids >= 0) & _within(squared, self.p.edge), strict=True)]
+
+    def measure(self, sample: np.ndarray, k: int) -> None:
+        """Sets probes and ratio so that ``aim`` of the k true neighbours, within the sample, of sampled queries lie in
+        opened lists. Neighbours within a part of the vectors are farther than those in all of them, so this errs
+        towards opening more."""
+        n, p = len(sample), self.p
+        if n < 2:
+            return
+        asked = np.random.default_rng(p.seed + 1).choice(n, min(p.trials, n), replace=False)
+        score = sample[asked] @ sample.T
+        score[np.arange(len(asked)), asked] = -np.inf
+        near = np.argpartition(-score, min(k, n - 1) - 1, axis=1)[:, : min(k, n - 1)]
+        order, squared = self.graph.every(self.scale(sample[asked]), len(self.graph.c))
+        rank = np.empty_like(order)
+        np.put_along_axis(rank, order, np.arange(order.shape[1])[None, :].repeat(len(order), axis=0), axis=1)
+        held, at = dict.fromkeys(near.ravel().tolist()), list(dict.fromkeys(near.ravel().tolist()))
+        held.update(zip(at, self.places(sample[at]), strict=True))
+        needed = np.array([[min(rank[i, c] for c in held[j]) for j in row] for i, row in enumerate(near.tolist())])
+        away = np.sqrt(np.maximum(np.take_along_axis(squared, needed, axis=1), 0) / np.maximum(squared[:, :1], 1e-12))
+        aim = 1 - (1 - p.aim) / 2  # each of the two limits may miss half
+        self.probes = max(p.probes, 1 + int(np.quantile(needed, aim, method="higher")))
+        self.ratio = max(p.ratio, float(np.quantile(away, aim, method="higher")) * (1 + 1e-6))
+
+    def opens(self, x: np.ndarray, own: np.ndarray, floor: int) -> list[list[int]]:
+        """Lists of each query: those within the limits, and in any case the nearest ones whose own vectors (``own``:
+        how many have the list as their nearest) are ``floor``, or all lists."""
+        x = self.scale(x)
+        ids, squared = self.graph.search(x, self.probes)
+        size = np.where(ids >= 0, own[ids], 0)
+        before = np.cumsum(size, axis=1) - size
+        out = [row[keep].tolist() for row, keep in zip(ids, (ids >= 0) & (_within(squared, self.ratio) | (before < floor)), strict=True)]
+        short = np.flatnonzero(size.sum(axis=1) < floor)
+        for at in range(0, len(short), 64):
+            rows = short[at : at + 64]
+            ids, _ = self.graph.every(x[rows], len(own))
+            for i, row in zip(rows.tolist(), ids, strict=True):
+                enough = 1 + int(np.searchsorted(np.cumsum(own[row]), floor))
+                out[i] = row[:enough].tolist()
+        return out
+
+
+def best_of(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's k largest and of all that may tie with the last of them."""
+    k = min(k, score.shape[1])
+    least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+    return np.nonzero(score >= (least - 1e-9 * (1 + np.abs(least)))[:, None])
+
+
+def _nearest(k: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if len(left) and len(right):
+            x, nodes, queries = _matrix(_column(left, "v")), _column(left, "node").to_numpy(), _column(right, "query").to_numpy()
+            q = _matrix(_column(right, "v"))
+            for at in range(0, len(q), 256):
+                i, j = best_of(q[at : at + 256] @ x.T, k)
+                # The score of a pair is summed in one order wherever it is met; ties go to the smaller id.
+                score = np.concatenate([np.cumsum(q[at + i[n : n + 20_000]] * x[j[n : n + 20_000]], axis=1)[:, -1] for n in range(0, len(i), 20_000)])
+                order = np.lexsort((nodes[j], -score, i))
+                i, j, score = i[order], j[order], score[order]
+                keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+                out.append((queries[at + i[keep]], nodes[j[keep]], score[keep]))
+        made = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)]
+        return pa.table([i64(made[0]), i64(made[1]), f64(made[2])], names=["query", "found", "score"])
+
+    return run
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, p: Lists = Lists()) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products found for each query over all other rows.
 
     ``vectors`` and ``queries``: (vec_id, embedding); all usable vectors have one length. Null, zero and non-finite
     vectors take no part on either side. Equal vectors are indexed once; of each group, the k + 1 smallest ids can be
-    among a query's k nearest, since ties go to the smaller id, and all its queries share one search. An empty table
-    gives no rows. Rows that repeat an id count as one."""
+    among a query's k nearest, since ties go to the smaller id, and all its queries share one search. A query opens
+    lists that hold more than k vectors, however near its first list is. An empty table gives no rows. Rows that repeat
+    an id count as one, the smallest vector."""
     spark = vectors.sparkSession
-    rows = durable(usable(vectors).dropDuplicates(["vec_id"]))
-    asked = usable(queries).dropDuplicates(["vec_id"])
-    stats = rows.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m"), F.approx_count_distinct("v").alias("d")).first()
-    schema = "query_id long, rank int, vec_id long, score double"
+    one = lambda rows: usable(rows).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("h", F.xxhash64("v"))
+    # No more than k + 1 of equal vectors can be needed; the window limits before it shuffles.
+    first = one(vectors).withColumn("r", F.row_number().over(W.partitionBy("h", "v").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
+    groups = written(first.groupBy("h", "v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select("v", "ids", F.element_at("ids", 1).alias("node")))
+    stats = groups.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).first()
     if not stats.n:
-        return spark.createDataFrame([], schema)
-    # Ties go to smaller ids, so no more than k + 1 of equal vectors can be needed; the window limits before it shuffles.
-    first = rows.withColumn("r", F.row_number().over(W.partitionBy("v").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
-    groups = durable(first.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select("v", "ids", F.element_at("ids", 1).alias("node")))
-    lists = int(np.clip(stats.d // p.size, 1, p.most))
-    top = float(np.sqrt(stats.m))
-    want = min(1.0, 1.2 * p.sample * lists / max(stats.d, 1))
-    sampled = groups.filter(F.pmod(F.xxhash64("node", F.lit(p.seed)), F.lit(1 << 20)) <= want * (1 << 20)).select("v").limit(2 * p.sample * lists).toArrow()
-    lift = lambda x: np.concatenate([x, np.sqrt(np.maximum(top * top - (x * x).sum(axis=1), 0))[:, None]], axis=1)
-    sample = lift(_matrix(sampled.column("v").combine_chunks())) if len(sampled) else np.zeros((1, 1))
-    shared = spark.sparkContext.broadcast(CentroidGraph(balanced_centroids(sample, lists, p), p)) if len(sampled) else None
-    if shared is None:
-        raise ValueError("the sample is empty")
-
-    def place(ratio: float, most: int, lifted: bool):
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    lists = int(np.clip(stats.n // p.size, 1, p.most))
+    want = min(p.sample * lists, p.sampled)
+    share = min(1.0, 1.2 * want / stats.n + 16 / stats.n)
+    picked = groups if share == 1 else groups.filter(F.xxhash64("node", F.lit(p.seed)).cast("double") < F.lit((share - 0.5) * 2.0**64))
+    sample = _matrix(_column(picked.select("v").limit(2 * want + 64).toArrow(), "v")) if stats.n else np.zeros((0, 1))
+    opening = Opening(None, float(np.sqrt(stats.m)), p)
+    lifted = opening.lift(sample)
+    opening.graph = CentroidGraph(balanced_centroids(lifted, min(lists, len(lifted)), p), p)
+    opening.measure(sample, k)
+    shared = spark.sparkContext.broadcast(opening)
+
+    def listed(choose):
         def run(batches):
-            graph = shared.value
             for batch in batches:
                 for at in range(0, batch.num_rows, 512):
                     part = batch.slice(at, 512)
-                    x = _matrix(part.column("v"))
-                    if not lifted:  # a query's length does not change its order of nearness
-                        x = x * (top / np.sqrt((x * x).sum(axis=1, keepdims=True)))
-                    found = _within(*graph.search(lift(x) if lifted else np.concatenate([x, np.zeros((len(x), 1))], axis=1), p.placing if lifted else p.beam), most, ratio)
+                    found = choose(_matrix(part.column("v")))
                     yield pa.RecordBatch.from_arrays([part.column("node"), part.column("v"), pa.array(found, type=pa.list_(pa.int64()))], names=["node", "v", "lists"])
 
         return run
 
-    placed = groups.select("node", "v").mapInArrow(place(p.edge, p.copies, True), "node long, v array<double>, lists array<long>")
-    placed = durable(placed.select("node", "v", F.explode("lists").alias("list")))
-    # A segment of a list is a part of it by hash; a query goes to all segments of its lists.
-    sizes = placed.groupBy("list").agg(F.count("*").alias("n")).select("list", F.ceil(F.col("n") / p.segment).alias("segments"))
-    held = placed.join(F.broadcast(sizes), "list").select("list", F.pmod(F.xxhash64("node"), F.col("segments")).alias("segment"), "node", "v")
-    points = asked.groupBy("v").agg(F.min("vec_id").alias("node"))
-    opened = points.mapInArrow(place(p.ratio, p.probes, False), "node long, v array<double>, lists array<long>").select(F.col("node").alias("query"), "v", F.explode("lists").alias("list"))
-    opened = opened.join(F.broadcast(sizes), "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("segments") - 1)).alias("segment"), "query", "v")
-
-    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            x, nodes = np.stack(left["v"].to_numpy()), left["node"].to_numpy()
-            for at in range(0, len(right), 256):
-                part = right.iloc[at : at + 256]
-                score = np.stack(part["v"].to_numpy()) @ x.T
-                keep = min(k + 1, score.shape[1])
-                best = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
-                out.append(pd.DataFrame({"query": np.repeat(part["query"].to_numpy(), keep), "node": nodes[best].ravel()}))
-        return pd.concat(out) if out else pd.DataFrame({"query": np.zeros(0, dtype=np.int64), "node": np.zeros(0, dtype=np.int64)})
-
-    hits = held.groupBy("list", "segment").cogroup(opened.groupBy("list", "segment")).applyInPandas(nearest, "query long, node long").distinct()
-    # The score is computed once more from the original vectors, in one order for all, so equal vectors tie.
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    hits = hits.join(points.select(F.col("node").alias("query"), F.col("v").alias("q")), "query").join(groups, "node").select("query", dot.alias("score"), F.col("node").alias("found"), "ids")
-    order = W.partitionBy("query").orderBy(F.desc("score"), "found")
-    hits = hits.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1).select("query", "score", F.explode("ids").alias("vec_id"))
-    hits = hits.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).filter(F.col("r") <= k + 1)
-    # Back to every query of the point: its own row goes, the first k of the rest stay.
-    of = asked.select(F.col("vec_id").alias("query_id"), "v").join(points.withColumnRenamed("node", "query"), "v").select("query_id", "query")
+    placed = written(groups.select("node", "v").mapInArrow(listed(lambda x: shared.value.places(x)), "node long, v array<double>, lists array<long>"))
+    sizes = placed.select(F.posexplode("lists").alias("at", "list")).groupBy("list").agg(F.count("*").alias("n"), F.count_if(F.col("at") == 0).alias("own")).toPandas()
+    own = np.zeros(lists, dtype=np.int64)
+    own[sizes["list"]] = sizes["own"]
+    points = one(queries).groupBy("h", "v").agg(F.min("vec_id").alias("node"))
+    opened = written(points.select("node", "v").mapInArrow(listed(lambda x: shared.value.opens(x, own, k + 1)), "node long, v array<double>, lists array<long>"))
+    # A list is cut into segments and its queries into parts, both by hash; each pair is a group. Rows per list: bounded.
+    parts = opened.select(F.explode("lists").alias("list")).groupBy("list").agg(F.ceil(F.count("*") / p.part).alias("parts"))
+    segments = placed.select(F.explode("lists").alias("list")).groupBy("list").agg(F.ceil(F.count("*") / p.segment).alias("segments"))
+    both = F.broadcast(segments.join(parts, "list"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    held = placed.select("node", "v", F.explode("lists").alias("list")).join(both, "list")
+    held = held.select("list", F.pmod(F.xxhash64("node"), "segments").alias("segment"), each("parts").alias("part"), "node", "v")
+    asked = opened.select(F.col("node").alias("query"), "v", F.explode("lists").alias("list")).join(both, "list")
+    asked = asked.select("list", each("segments").alias("segment"), F.pmod(F.xxhash64("query"), "parts").alias("part"), "query", "v")
+    key = ("list", "segment", "part")
+    hits = held.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(_nearest(k + 1), "query long, found long, score double")
+    hits = hits.groupBy("query", "found").agg(F.max("score").alias("score"))
+    top = lambda rows, by: rows.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), by))).filter(F.col("r") <= k + 1).drop("r")
+    hits = top(hits, "found").join(groups.select(F.col("node").alias("found"), "ids"), "found")
+    hits = top(hits.select("query", "score", F.explode("ids").alias("vec_id")), "vec_id")
     ranked = hits.groupBy("query").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))).alias("hits"))
+    # Back to every query of the point: its own row goes, the first k of the rest stay.
+    of = one(queries).join(points.withColumnRenamed("node", "query"), ["h", "v"]).select(F.col("vec_id").alias("query_id"), "query")
     mine = F.slice(F.filter("hits", lambda h: h["vec_id"] != F.col("query_id")), 1, k)
     ranked = of.join(ranked, "query").select("query_id", F.posexplode(mine).alias("at", "hit"))
     return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "hit.vec_id", (-F.col("hit.minus")).alias("score"))

@@ -67,3 +67,34 @@ def test_recall(spark, sf):
         true = set(ids[[i for i in order if i != q][:20]].tolist())
         hit, total = hit + len(true & got[int(ids[q])]), total + len(true)
     assert len(got) == (ids % 20 == 0).sum() and hit / total >= 0.95
+
+
+def recall(spark, rows, **more):
+    got, want = found(spark, rows, **more), brute(rows, [i for i, _ in rows if i % 20 == 0])
+    return np.mean([len({i for i, _ in want[q]} & {i for i, _ in got[q]}) / len(want[q]) for q in want])
+
+
+@pytest.mark.parametrize("shape", ["normal", "clustered"])
+def test_recall_with_many_lists(spark, shape):
+    """Far more lists than a query opens at first."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 32))
+    if shape == "clustered":
+        x = rng.normal(size=(150, 32))[rng.integers(0, 150, 6000)] + 0.2 * x
+    assert recall(spark, [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)], p=ann.Lists(size=16)) >= 0.9
+
+
+def test_small_tight_groups_find_k(spark):
+    """Queries that sit on a centroid of few vectors still get k rows."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(400, 8)), 50 + 1e-4 * rng.normal(size=(3, 8))])
+    rows = [(i + 1, v.astype(np.float32).tolist()) for i, v in enumerate(x)] + [(1000, [50.0] * 8)]
+    got = found(spark, rows, p=ann.Lists(size=4, probes=1, ratio=1.0, aim=0.5))
+    assert {len(v) for v in got.values()} == {20}
+
+
+def test_ties_of_unequal_vectors(spark):
+    """399 candidates of one score: the smallest ids win."""
+    rows = [(i, [1.0, float(i), float(-i)]) for i in range(1, 400)] + [(400, [1.0, 0.0, 0.0])]
+    got = found(spark, [(i, [a, b / 400, c / 400]) for i, (a, b, c) in rows])
+    assert got[400] == [(i, 1.0) for i in range(1, 21)]
