@@ -226,14 +226,16 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2, segments
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable over links of at most
     ``distance`` differing bits; one row per row.
 
-    Texts without words have fingerprint zero and are linked like any other. A null doc_id has a fingerprint and the
-    component of its equals, but is nobody's smallest id (null if no id is reachable); repeated rows each get their
-    result. Only doc_id and text are read; an empty table gives no rows."""
+    Texts without words have fingerprint zero and are linked like any other. A null doc_id has a fingerprint and links
+    like any other, but is nobody's smallest id (null if no id is reachable); repeated rows, and unequal texts under one
+    id, each get their own result. Only doc_id and text are read; an empty table gives no rows."""
     prints = durable(fingerprints(docs, width))
-    # One node per fingerprint: its smallest id; a fingerprint of null ids only stays on its own.
-    distinct = durable(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("node")))
-    joined = components(links(distinct.filter(F.col("node").isNotNull()), distance, segments))
-    named = distinct.join(joined, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
+    # The nodes are the fingerprints themselves: one id may have several.
+    distinct = durable(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")))
+    joined = components(links(distinct.select(F.col("fingerprint").alias("node"), "fingerprint"), distance, segments))
+    named = distinct.join(joined.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("fingerprint", "doc_id", F.coalesce("component", "fingerprint").alias("component"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = named.join(least, "component").select("fingerprint", "component_id")
     return prints.join(named, "fingerprint").select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -72,3 +72,8 @@ def test_one_of_each(spark):
     docs = spark.createDataFrame([(i, t, "x", 9) for i, t in [(5, None), (3, ""), (1, "A b"), (2, "a B"), (4, "c"), (4, "c"), (None, "a b"), (7, "solo text")]], SCHEMA)
     assert sorted(map(str, (r.doc_id for r in s.one_of_each(docs).collect()))) == ["1", "3", "4", "7", "None"]
     assert s.one_of_each(docs).columns == docs.columns and s.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_one_id_with_unequal_texts(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(200)) for x in "ab")
+    same(spark, [(4, a), (2, a + " z"), (4, b), (9, b + " z"), (None, "c d e"), (7, "c d e f")])
