@@ -45,7 +45,8 @@ BASE_RULES = (
 #: Spans that the operator adds to the base ones.
 EXTRA_RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*(?:-----END [A-Z ]*PRIVATE KEY-----)?", (b"private key",)),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", (b"eyj",)),
+    # From the start of a run only, and runs are not given back: each character is read a fixed number of times.
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]+", (b"eyj",)),
     Rule("bearer", r"bearer\x20+[A-Za-z0-9._~+/-]{16,}=*", (b"bearer ",), any_case=True),
     Rule("hosted", r"(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})", (b"gh", b"xox", b"sk_live_")),
 )

@@ -76,3 +76,13 @@ def test_redact(spark):
 @pytest.mark.parametrize("n", [0])
 def test_empty_table(spark, n):
     assert secrets.digest(secrets.scan_corpus(rows(spark, CASES).filter(F.lit(False)))).count() == n
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    for text in ("eyJ" * 1_700_000, "eyJabcdefgh." * 400_000, "-----BEGIN " * 400_000, "bearer " * 700_000, "token" + " " * 5_000_000):
+        began = time.perf_counter()
+        secrets.scan_text(text)
+        assert time.perf_counter() - began < 20
+    assert [k for k, _, _ in secrets.scan_text("x eyJhbGciOiJI.eyJzdWIiOiIx.sig-_1 y")] == ["jwt"]
