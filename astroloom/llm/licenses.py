@@ -1,14 +1,14 @@
 """Licence detection with a positional rare-token index, in DataFrame functions only.
 
 Template texts are posted as (word, template, offset). The corpus's document frequencies of template words give their
-IDF. A file's rarest licence words are looked up in the postings; each (position in the file, offset in the template)
-votes for the template at the relative position that they fix, so words of one licence line up and strays do not. A
-template that enough of the looked-up words line up for is a label once its mandatory key phrases stand in the file.
+IDF. For each template, the rarest of its words that a file has are looked up; a place of one in the file and its offset
+in the template fix a relative position, at which the other postings are intersected with the file's words, so words of
+one notice line up and strays do not. A template that enough of the looked-up postings line up for is a label if its
+mandatory key phrases stand in the file.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,10 +52,12 @@ TEMPLATES = (
     Template("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy modify",)),
     Template("unlicense", "This is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
 )
-#: Distinct licence words that are looked up in each file, the rarest first, and the share of the looked-up words of a
-#: template that must line up.
+#: Words of a template that are looked up in a file, the rarest first of those that the file has, and the share of them
+#: that must line up. Each template has its own, so notices in one file do not crowd each other out.
 LOOKED_UP = 12
 LINED_UP = 0.7
+#: What stands between two words.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words_of(text: str | Column) -> Column:
@@ -94,16 +96,20 @@ def template_frequencies(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     )
 
 
-def _postings(templates: tuple[Template, ...]) -> list[tuple[str, str, int]]:
-    return [(w, t.label, k) for t in templates for k, w in enumerate(_tokens(t.text))]
+def _tuple(word: str, label: str, offset: int) -> Column:
+    return F.struct(F.lit(word).alias("word"), F.lit(label).alias("label"), F.lit(offset).alias("offset"))
 
 
-def _of(label: str) -> Callable[[Column], Column]:
-    return lambda vote: vote["label"] == label
+def best_share(words: Column, places: Column, mine: Column) -> Column:
+    """The largest share of the looked-up postings ``mine`` (rarest first) that stand at one relative position.
 
-
-def _lined_up(votes: Column) -> Callable[[Column], Column]:
-    return lambda rel: F.size(F.array_distinct(F.transform(F.filter(votes, lambda v: v["rel"] == rel), lambda v: v["word"])))
+    If a share of LINED_UP of n postings line up, one of the n - ceil(LINED_UP n) + 1 rarest does, so only the places of
+    these give relative positions to try; at each, the file's words are read where the postings put them."""
+    n = F.size(mine)
+    first = F.slice(mine, 1, F.greatest(n - F.ceil(n * LINED_UP).cast("int") + 1, F.lit(1)))
+    tried = F.flatten(F.transform(first, lambda p: F.transform(F.filter(places, lambda x: x["word"] == p["word"]), lambda x: x["at"] - p["offset"])))
+    stand = lambda rel: F.size(F.filter(mine, lambda p: F.get(words, rel + p["offset"]) == p["word"]))
+    return F.when(n > 0, F.array_max(F.transform(F.array_distinct(tried), stand)) / n)
 
 
 def licence_labels(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, phrases: tuple = PHRASES) -> DataFrame:
@@ -113,42 +119,37 @@ def licence_labels(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
     Nulls and empty texts have no words, no labels and score 0. Each row is judged on its own, so equal ids, copies and
     hot sources change nothing; only doc_id and text are read. No text is shuffled."""
     docs = docs.select("doc_id", "text")
-    vocabulary = sorted({w for w, _, _ in _postings(templates)})
-    spark = docs.sparkSession
+    tokens = {t.label: _tokens(t.text) for t in templates}
+    vocabulary = sorted({w for of in tokens.values() for w in of})
     # The template library's size bounds what is fetched here: a number for each of its words.
     idf = {r.word: float(r.idf) for r in template_frequencies(docs, vocabulary).collect()}
-    rank = {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (-idf[w], w)))}
-    by_rank = F.map_from_arrays(F.array(*[F.lit(w) for w in rank]), F.array(*[F.lit(k) for k in rank.values()]))
     known = F.array(*map(F.lit, vocabulary))
-    offsets = {w: [(t, k) for x, t, k in _postings(templates) if x == w] for w in vocabulary}
-    posted = F.map_from_arrays(
-        F.array(*map(F.lit, vocabulary)),
-        F.array(*[F.array(*[F.struct(F.lit(t).alias("label"), F.lit(k).alias("offset")) for t, k in offsets[w]]) for w in vocabulary]),
-    )
-    # A file without the two commonest openings of a notice's core has none of the templates' key phrases.
+    # No label stands in a file that holds none of the phrases, whatever is around their words.
+    phrase = "|".join(sorted({GAP.join(p.split()) for p in [*(p for p, _ in phrases), *(p for t in templates for p in t.mandatory[:1])]}))
     text = F.lower(F.coalesce("text", F.lit("")))
-    keys = sorted({max(p.split(), key=lambda w: (idf.get(w, 0.0), w)) for t in templates for p in t.mandatory} | {max(p.split(), key=len) for p, _ in phrases})
-    hint = text.rlike("|".join(keys))
+    hint = text.rlike(phrase) if all(t.mandatory for t in templates) else F.lit(True)
     rows = docs.select("doc_id", words_of("text").alias("words"), hint.alias("hint"))
 
     starts = [phrase_starts(F.col("words"), p, F.col("hint")).alias(f"at_{k}") for k, (p, _) in enumerate(phrases)]
-    rare = F.slice(F.array_sort(F.transform(F.array_intersect("words", known), lambda w: F.struct(F.element_at(by_rank, w).alias("rank"), w.alias("word")))), 1, LOOKED_UP)
-    rows = rows.select("doc_id", "words", "hint", *starts, F.when(F.col("hint"), F.transform(rare, lambda x: x["word"])).alias("rare"))
-    places = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: F.array_contains("rare", x["word"]))
-    votes = F.flatten(F.transform(places, lambda x: F.transform(F.element_at(posted, x["word"]), lambda p: F.struct(p["label"].alias("label"), (x["at"] - p["offset"]).alias("rel"), x["word"].alias("word")))))
-    rows = rows.withColumn("votes", F.when(F.col("hint"), votes))
-    joined = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
-    shares = []
+    rows = rows.select("doc_id", "words", "hint", *starts, F.when(F.col("hint"), F.array_intersect("words", known)).alias("has"))
+    # The postings of each template that are looked up: the rarest of the words that the file has.
+    looked = []
     for t in templates:
-        tokens = _tokens(t.text)
-        looked = F.size(F.array_intersect("rare", F.array(*map(F.lit, sorted(set(tokens))))))
-        mine = F.filter("votes", _of(t.label))
-        # Best of the relative positions: distinct looked-up words that stand where the template has them.
-        best = F.array_max(F.transform(F.array_distinct(F.transform(mine, lambda v: v["rel"])), _lined_up(mine)))
-        stand = F.lit(True)
+        posted = F.array(*[_tuple(w, t.label, k) for k, w in sorted(enumerate(tokens[t.label]), key=lambda x: (-idf[x[1]], x[1], x[0]))])
+        looked.append(F.slice(F.filter(posted, lambda p: F.array_contains("has", p["word"])), 1, LOOKED_UP))
+    rows = rows.withColumn("looked", F.when(F.col("hint"), F.array(*looked)))
+    wanted = F.array_distinct(F.transform(F.flatten("looked"), lambda p: p["word"]))
+    rows = rows.withColumn("wanted", F.when(F.col("hint"), wanted))
+    places = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: F.array_contains("wanted", x["word"]))
+    rows = rows.withColumn("places", F.when(F.col("hint"), places))
+    rows = rows.withColumn("joined", F.when(F.col("hint"), F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))))
+    shares = []
+    for i, t in enumerate(templates):
+        stand = F.col("hint")
         for p in t.mandatory:
-            stand = stand & F.contains(joined, F.lit(f" {p} "))
-        shares.append(F.when((F.size(mine) > 0) & stand, F.struct(F.lit(t.label).alias("label"), (best / looked).alias("share"))))
+            stand = stand & F.contains("joined", F.lit(f" {p} "))
+        share = best_share(F.col("words"), F.col("places"), F.get("looked", F.lit(i)))
+        shares.append(F.when(stand, F.struct(F.lit(t.label).alias("label"), share.alias("share"))))
     rows = rows.withColumn("found", F.when(F.col("hint"), F.filter(F.array_compact(F.array(*shares)), lambda x: x["share"] >= LINED_UP)))
     every = F.concat(*[f"at_{k}" for k in range(len(phrases))])
     base = F.array_compact(F.array(*[F.when(F.size(f"at_{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(phrases)]))

@@ -51,3 +51,35 @@ def test_empty(spark):
 def test_no_python_in_the_plan(spark, small):
     plan = licenses.op3_licenses(spark, small)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def plain_labels(text, templates, idf):
+    """Labels and score from their wording: every relative position is tried."""
+    w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    has, joined, found = set(w), f" {' '.join(w)} ", {}
+    for t in templates:
+        posted = sorted(enumerate(re.findall(r"[a-z0-9]+", t.text.lower())), key=lambda x: (-idf[x[1]], x[1], x[0]))
+        looked = [(k, x) for k, x in posted if x in has][: licenses.LOOKED_UP]
+        if looked and all(f" {p} " in joined for p in t.mandatory):
+            best = max(sum(0 <= rel + k < len(w) and w[rel + k] == x for k, x in looked) for rel in range(-60, len(w)))
+            if best / len(looked) >= licenses.LINED_UP:
+                found[t.label] = best / len(looked)
+    base = {label for phrase, label in licenses.PHRASES if f" {phrase} " in joined}
+    return sorted(base | set(found)), max([*found.values(), 1.0 if base else 0.0])
+
+
+def test_labels_against_plain_python(spark, small):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()] + CASES
+    every = "\n\nThird-party notices. ".join(t.text for t in licenses.TEMPLATES)
+    docs += [(1001, every), (1002, "the work is free software " * 3000 + every), (1003, every.replace(" and ", " or "))]
+    docs += [(1100 + k, f"See: {t.text}.") for k, t in enumerate(licenses.TEMPLATES)] + [(1200, "This work is licensed elsewhere. GNU General Public License version 3")]
+    frame = spark.createDataFrame([(i, t, "x", "y") for i, t in docs], SCHEMA)
+    vocabulary = sorted({w for t in licenses.TEMPLATES for w in licenses._tokens(t.text)})
+    idf = {r.word: r.idf for r in licenses.template_frequencies(frame, vocabulary).collect()}
+    out = licenses.licence_labels(frame).collect()
+    got = sorted((repr(r.doc_id), r.labels, round(r.score, 9)) for r in out)
+    assert got == sorted((repr(i), labels, round(score, 9)) for i, (labels, score) in ((i, plain_labels(t, licenses.TEMPLATES, idf)) for i, t in docs))
+    of = {r.doc_id: r.labels for r in out}
+    for k in (1001, 1002):
+        assert {t.label for t in licenses.TEMPLATES} <= set(of[k])
+    assert all(t.label in of[1100 + k] for k, t in enumerate(licenses.TEMPLATES))
