@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import f64, fold, letters, table
 
@@ -26,11 +27,13 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Training:
-    """Bounds of the labelled sample: rows of each language, languages (the most frequent), landmarks of each language."""
+    """Bounds of the labelled sample: rows of each language and in all, landmarks of each language and in all. Every
+    language is learned, however many there are; beyond the bounds in all each has fewer rows, one at least."""
 
     rows: int = 600
-    languages: int = 200
+    all_rows: int = 40_000
     landmarks: int = 24
+    all_landmarks: int = 4800
     ridge: float = 1e-2
 
 
@@ -65,7 +68,8 @@ class LanguageModel:
     def fit(cls, rows: np.ndarray, labels: list[str], training: Training = Training()) -> LanguageModel:
         languages = sorted(set(labels))
         y = np.array([languages.index(x) for x in labels])
-        marks = np.concatenate([np.flatnonzero(y == k)[: training.landmarks] for k in range(len(languages))])
+        each = max(1, min(training.landmarks, training.all_landmarks // len(languages)))
+        marks = np.concatenate([np.flatnonzero(y == k)[:each] for k in range(len(languages))])
         inner = kernel(rows[marks], rows[marks]).astype(float)
         values, vectors = np.linalg.eigh(inner)
         keep = values > 1e-6 * values[-1]
@@ -94,30 +98,36 @@ class LanguageModel:
         return np.concatenate(out)
 
 
-def training_sample(docs: DataFrame, training: Training) -> DataFrame:
-    """At most about ``rows`` labelled rows of each of the most frequent languages, chosen by the hash of their id."""
-    counts = {r.lang: r.n for r in docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(training.languages).collect()}
-    if not counts:
-        return docs.limit(0)
-    rate = F.element_at(F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, training.rows / n))]), F.col("lang"))
-    return docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < rate * (1 << 20))
+def training_sample(docs: DataFrame, rows: int) -> DataFrame:
+    """lang, text and order of twice ``rows`` labelled rows of each language on average, by the hash of id and text; all
+    rows of a language that has no more."""
+    counts = docs.groupBy("lang").agg(F.count("*").alias("of"))  # a row for each language
+    order = F.xxhash64("doc_id", "text", F.lit("sample"))
+    picked = docs.withColumn("order", order).join(F.broadcast(counts), "lang")
+    return picked.filter(F.col("order").cast("double") < (2.0 * rows / F.col("of") - 0.5) * 2.0**64).select("lang", "text", "order")
 
 
 def fit_languages(docs: DataFrame, training: Training = Training()) -> LanguageModel | None:
-    """Learns from the given rows' text and lang; only flags of n-grams come to the driver, a few KB for each sampled
-    row. None if there is nothing to learn from."""
+    """Learns from the given rows' text and lang, whatever the number of rows from at most ``rows`` of each language, the
+    first by hash; copies count once. Only flags of n-grams come to the driver, 4 KB for each of these rows. None if
+    there is nothing to learn from."""
     docs = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & letters("text")).select("doc_id", "text", "lang")
+    languages = docs.select("lang").distinct().count()
+    rows = max(1, min(training.rows, training.all_rows // max(languages, 1)))
 
     def flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             packed = [np.packbits(presence([t])[0]).tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(packed, type=pa.binary())], names=["lang", "flags"])
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("order"), pa.array(packed, type=pa.binary())], names=["lang", "order", "flags"])
 
-    sample = training_sample(docs, training).mapInArrow(flags, "lang string, flags binary").collect()
+    flagged = training_sample(docs, rows).mapInArrow(flags, "lang string, order long, flags binary")
+    flagged = flagged.groupBy("lang", "flags").agg(F.min("order").alias("order"))
+    first = flagged.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("order", "flags"))).filter(F.col("r") <= rows)
+    sample = first.select("lang", "order", "flags").collect()
     if not sample:
         return None
-    sample.sort(key=lambda r: (r.lang, bytes(r.flags)[::-1]))
+    sample.sort(key=lambda r: (r.lang, r.order, bytes(r.flags)))
     rows = np.unpackbits(np.array([np.frombuffer(r.flags, dtype=np.uint8) for r in sample]), axis=1).astype(bool)
     return LanguageModel.fit(rows, [r.lang for r in sample], training)
 

@@ -42,3 +42,37 @@ def test_odd_rows(spark):
     assert [said[k] for k in (0, 1, 3, 4, 5, 6, 7)] == ["en", "de", "und", "und", "und", "en", "und"]
     assert {r.lang_pred for r in langid.predict_languages(frame, langid.fit_languages(frame.filter("lang = 'xx'"))).collect()} == {"und"}
     assert langid.predict_languages(frame.limit(0), None).count() == 0
+
+
+def test_prediction_against_the_kernel_form():
+    """Scores equal kernel(text, landmarks) times ridge coefficients, written out."""
+    rng = np.random.default_rng(0)
+    words = {"en": "the and of to in is that".split(), "de": "der und die das ist nicht ein".split(), "es": "que de no la el en y".split()}
+    texts, labels = [], []
+    for lang, w in words.items():
+        for _ in range(20):
+            texts.append(" ".join(rng.choice(w, 12)))
+            labels.append(lang)
+    t = langid.Training(landmarks=8)
+    rows = langid.presence(texts)
+    model = langid.LanguageModel.fit(rows, labels, t)
+    langs = sorted(words)
+    y = np.array([langs.index(x) for x in labels])
+    marks = np.concatenate([np.flatnonzero(y == k)[:8] for k in range(3)])
+    inner = langid.kernel(rows[marks], rows[marks]).astype(float)
+    values, vectors = np.linalg.eigh(inner)
+    keep = values > 1e-6 * values[-1]
+    root = vectors[:, keep] / np.sqrt(values[keep])
+    x = langid.kernel(rows, rows[marks]).astype(float) @ root
+    centre, target = x.mean(axis=0), (y[:, None] == np.arange(3)).astype(float)
+    beta = np.linalg.solve((x - centre).T @ (x - centre) / 60 + t.ridge / 24 * np.eye(x.shape[1]), (x - centre).T @ (target - target.mean(axis=0)) / 60)
+    new = ["the und que", "der die das", "en la que no", "zzz"]
+    want = (langid.kernel(langid.presence(new), rows[marks]).astype(float) @ root - centre) @ beta + target.mean(axis=0)
+    assert np.allclose(model.score(new), want, atol=1e-3)
+
+
+def test_bounds_hold_and_no_language_is_left_out(spark):
+    rows = [(k, f"w{k % 7} word{k} l{k % 50}", f"l{k % 50}", "", 0.0) for k in range(2000)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    model = langid.fit_languages(frame, langid.Training(rows=10, all_rows=200, all_landmarks=100))
+    assert len(model.languages) == 50
