@@ -102,6 +102,7 @@ class BloomCascade:
     by name in ``clashes`` (none are expected below billions of keys)."""
 
     def __init__(self, keys: DataFrame):
+        keys = durable(keys.select("key", "listed"))
         n = keys.count()
         self.shards = 1 + n // SHARD_KEYS
         hashed = keys.select("key", "listed", F.xxhash64("key").alias("h"))
@@ -110,9 +111,7 @@ class BloomCascade:
         )
         clash = hashed.groupBy("h").agg(F.min("listed").alias("a"), F.max("listed").alias("b"), F.sum(F.when(F.col("listed"), F.length("key")).otherwise(0)).alias("size"))
         clash = hashed.join(clash.filter("a <> b").select("h"), "h", "left_semi").filter("listed").select("key")
-        self.clashes = [r[0] for r in clash.limit(10_001).collect()]
-        if len(self.clashes) > 10_000:
-            raise ValueError("too many keys share a hash")
+        self.clashes = durable(clash)
         self.bytes = self.table.agg(F.sum(F.length("bits"))).first()[0] or 0
 
     @staticmethod
@@ -123,7 +122,7 @@ class BloomCascade:
 
     def mark(self, rows: DataFrame, key: str, into: str) -> DataFrame:
         """Adds ``into``: whether the row's key is listed. Nulls are not; keys outside the universe get either answer."""
-        shards, known = self.shards, self.clashes
+        shards = self.shards
         rows = rows.withColumn("_h", F.xxhash64(key))
         if self.bytes <= BROADCAST_BYTES:
             levels: dict[int, list[bytes]] = {}
@@ -151,7 +150,9 @@ class BloomCascade:
                     yield pa.RecordBatch.from_arrays([batch.column(c) if c != into else pa.array(out) for c in schema.names], names=schema.names)
 
             rows = rows.withColumn("_shard", F.pmod("_h", F.lit(shards))).join(per_shard.withColumnRenamed("shard", "_shard"), "_shard", "left").drop("_shard").mapInArrow(met, schema)
-        return rows.withColumn(into, F.col(key).isNotNull() & (F.col(into) | F.col(key).isin(known))).drop("_h")
+        if not self.clashes.isEmpty():
+            rows = rows.join(self.clashes.select(F.col("key").alias(key), F.lit(True).alias("_clash")), key, "left").withColumn(into, F.col(into) | F.coalesce("_clash", F.lit(False))).drop("_clash")
+        return rows.withColumn(into, F.col(key).isNotNull() & F.col(into)).drop("_h")
 
 
 def insecure_hosts(pages: DataFrame) -> DataFrame:
