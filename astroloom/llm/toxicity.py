@@ -30,11 +30,12 @@ TABLE_SCALE, START = 16.0, 0.01
 
 @dataclass(frozen=True)
 class Training:
-    """Bounds of the labelled sample (texts of each label) and of the fit: ``rounds`` of ``epochs``, more where these
-    are fewer than ``steps`` batches."""
+    """Bounds of the labelled sample (texts of each label, and bytes of a text that may be among them) and of the fit:
+    ``rounds`` of ``epochs``, more where these are fewer than ``steps`` batches."""
 
     toxic: int = 1200
     clean: int = 2800
+    longest: int = 100_000
     clean_windows: int = 6
     rounds: int = 3
     epochs: int = 4
@@ -327,11 +328,13 @@ def calibrate(logit: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float,
 
 def training_rows(docs: DataFrame, labels: DataFrame, t: Training = Training()) -> DataFrame:
     """Texts of the first ``toxic`` and ``clean`` labelled ids by hash, from labels outside the held-out fold; an id
-    with several labels counts as toxic if one is. The ids are bounded by the two parameters, so they are broadcast."""
+    with several labels counts as toxic if one is. The ids are bounded by the two parameters, so they are broadcast.
+    Labelled texts of more than ``longest`` bytes teach nothing; of an id with several texts the smallest does."""
     labels = labels.filter(F.col("toxic").isNotNull() & (fold("doc_id", 4) != 2)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id", F.lit("sample"))
     picked = labels.filter("toxic = 1").orderBy(order).limit(t.toxic).union(labels.filter("toxic = 0").orderBy(order).limit(t.clean))
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= t.longest)
+    return rows.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, t: Training = Training()) -> Network:
