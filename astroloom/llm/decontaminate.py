@@ -1,26 +1,36 @@
 """Benchmark decontamination as a prefix-filtered set join.
 
-An item's windows of ten words are sets of positional two-word shingles. The corpus's document frequencies order the
-shingles by rarity; full containment makes the rarest shingle a window's whole necessary prefix, so a document can hold
-a window only where it holds that shingle. Each such place fixes the alignment: it must lie inside the document
+An item's windows of ten words are sets of positional two-word shingles. Their document frequencies in the corpus order
+the shingles by rarity; full containment makes the rarest shingle a window's whole necessary prefix, so a document can
+hold a window only where it holds that shingle. Each such place fixes the alignment: it must lie inside the document
 (length and positional bounds), and the ten words are then compared one by one.
+
+Where the items are few enough to be broadcast, each task holds the postings of their prefixes. Beyond that, the
+prefixes are a table that is joined with the shingles of the documents, and the documents meet the alignments found.
+Both ways give the same rows.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, alnum_words, byte_list, table, written
+from .common import WORD_BYTES, alnum_words, byte_list, bytes_column, i64, table, written
 
 WINDOW = 10
-#: Bytes of item text that one pass holds in each task; a larger benchmark is matched block after block.
-BLOCK_BYTES = 1_000_000
+#: Characters of item text up to which the items are broadcast.
+BROADCAST_CHARS = 1_000_000
+#: Bytes of document text that meet their alignments in one group.
+GROUP_BYTES = 24_000_000
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+FOUND = "n_words long, spans array<struct<start:int,end:int>>"
 
 
 def windows_of(words: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ...]]:
@@ -28,31 +38,30 @@ def windows_of(words: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ...]
     return [tuple(words[i : i + size]) for i in range(max(len(words) - size + 1, 1))] if words else []
 
 
-def shingles_of(window: tuple[bytes, ...]) -> list[tuple[bytes, ...]]:
-    """The window's two-word shingles by position; its word alone if it has one."""
-    return list(zip(window, window[1:], strict=False)) or [window]
+def shingles_of(words: Iterable[bytes]) -> list[tuple[bytes, ...]]:
+    """The two-word shingles by position; the word alone if there is one."""
+    words = tuple(words)
+    return list(pairwise(words)) if len(words) > 1 else [words]
 
 
-def _blocks(items: DataFrame) -> tuple[int, Callable[[int], list[tuple]]]:
-    """How many blocks of bounded size the item table makes, and a function that fetches one of them."""
-    items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").filter(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = 1 + total // BLOCK_BYTES
-    part = F.pmod(F.xxhash64("item_id"), F.lit(n))
-    return n, lambda k: [tuple(r) for r in (items if n == 1 else items.filter(part == k)).collect()]
+def document_shingles(words: list[bytes], single: bool) -> list[tuple[bytes, ...]]:
+    """The two-word shingles of a document and, for items of one word, its words."""
+    return [*pairwise(words), *((w,) for w in words)] if single else list(pairwise(words))
 
 
-def document_frequencies(docs: DataFrame, words: set[bytes]) -> dict[bytes, int]:
-    """In how many documents each of ``words`` occurs, over the whole table. At most a row per word comes back."""
+def document_frequencies(docs: DataFrame, shingles: set[tuple[bytes, ...]]) -> dict[tuple[bytes, ...], int]:
+    """In how many documents each of ``shingles`` occurs, over the whole table. At most a row per shingle comes back."""
+    shared, single = docs.sparkSession.sparkContext.broadcast(frozenset(shingles)), any(len(s) == 1 for s in shingles)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
             for text in byte_list(batch.column("text")):
-                seen.update(words.intersection(alnum_words(text)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), type=pa.binary()), pa.array(list(seen.values()), type=pa.int64())], names=["word", "n"])
+                seen.update(shared.value.intersection(document_shingles(alnum_words(text), single)))
+        yield pa.RecordBatch.from_arrays([bytes_column([b" ".join(s) for s in seen]), i64(list(seen.values()))], names=["shingle", "n"])
 
-    return {bytes(r[0]): r[1] for r in docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    counted = docs.select("text").mapInArrow(count, "shingle binary, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    return {tuple(bytes(r[0]).split(b" ")): r[1] for r in counted.collect()}
 
 
 def merged(found: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -67,33 +76,33 @@ def merged(found: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 class WindowIndex:
-    """Postings of each window's rarest shingle; what a task needs to find all windows of a block of items."""
+    """Postings of each window's rarest shingle; what a task needs to find all windows of the items."""
 
-    def __init__(self, items: list[tuple[str, str]], frequency: dict[bytes, int], size: int = WINDOW):
+    def __init__(self, items: list[tuple[str, str]], frequency: dict[tuple[bytes, ...], int], size: int = WINDOW):
         holders = defaultdict(set)
         for item, text in items:
             for w in windows_of(alnum_words(text.encode()), size):
                 holders[w].add(item)
-        #: word that starts the shingle -> (the whole shingle, offset, window, items)
-        self.postings: dict[bytes, list[tuple]] = defaultdict(list)
+        #: shingle -> (offset in the window, window, items)
+        self.postings: dict[tuple[bytes, ...], list[tuple]] = defaultdict(list)
         for window, of in holders.items():
-            # A shingle is at most as frequent as its rarer word.
-            at, shingle = min(enumerate(shingles_of(window)), key=lambda x: (min(frequency.get(w, 0) for w in x[1]), sum(frequency.get(w, 0) for w in x[1]), x[1], x[0]))
-            rarer = min(range(len(shingle)), key=lambda i: (frequency.get(shingle[i], 0), i))
-            self.postings[shingle[rarer]].append((at + rarer, window, sorted(of)))
-        self.keys = frozenset(self.postings)
+            at, shingle = min(enumerate(shingles_of(window)), key=lambda x: (frequency.get(x[1], 0), x[1], x[0]))
+            self.postings[shingle].append((at, window, sorted(of)))
+        self.keys, self.single = frozenset(self.postings), any(len(s) == 1 for s in self.postings)
 
     def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Spans of words that lie in windows (merged, in order), and the items whose windows occur."""
-        present = self.keys.intersection(words)
+        shingles = document_shingles(words, self.single)
+        present = self.keys.intersection(shingles)
         if not present:
             return [], set()
         starts: dict[int, int] = {}
         items: set[str] = set()
         n = len(words)
-        for place, word in enumerate(words):
-            if word in present:
-                for offset, window, of in self.postings[word]:
+        for place, shingle in enumerate(shingles):
+            if shingle in present:
+                place -= (n - 1) * (len(shingle) == 1 < n)  # single words stand after the pairs
+                for offset, window, of in self.postings[shingle]:
                     start = place - offset
                     if start >= 0 and start + len(window) <= n and tuple(words[start : start + len(window)]) == window:
                         starts[start] = max(starts.get(start, 0), start + len(window))
@@ -106,76 +115,131 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
 
     Null and empty texts have no words, so nothing hits them; null items and items without words occur nowhere; items
     with equal texts are all reported. Rows with equal or null doc_id stay apart. Only doc_id and text are read."""
-    docs = docs.select("doc_id", "text")
-    n, block = _blocks(items)
-    if n == 1:
-        return _match(docs, _index(docs, block(0), size))
-    return _all_blocks(_numbered(docs, "row"), "row", n, block, size).drop("row")
+    docs, items = docs.select("doc_id", "text"), _usable(items)
+    if _small(items):
+        return _match(docs, _index(docs, items, size))
+    return _joined(_numbered(docs, "row"), "row", items, size).drop("row")
 
 
-def _numbered(docs: DataFrame, row: str) -> DataFrame:
-    """The rows, written once with a number that tells them apart in every pass."""
-    return written(docs.withColumn(row, F.monotonically_increasing_id()))
+def _usable(items: DataFrame) -> DataFrame:
+    return items.select(F.col("item_id").cast("string").alias("item_id"), "text").filter(F.col("item_id").isNotNull() & F.col("text").isNotNull())
 
 
-def _all_blocks(docs: DataFrame, row: str, n: int, block: Callable[[int], list[tuple]], size: int) -> DataFrame:
-    """``row`` and what contamination() says of it, from the hits of all blocks on the texts as they are."""
-    found = None
-    for k in range(n):  # each block's hits are written before the next block is fetched
-        part = _match(docs, _index(docs, block(k), size), (row, "doc_id"))
-        part = written(part.filter(F.size("spans") > 0) if k else part)
-        found = part if found is None else found.unionByName(part)
+def _small(items: DataFrame) -> bool:
+    return (items.agg(F.sum(F.length("text"))).first()[0] or 0) <= BROADCAST_CHARS
 
-    def add(spans: Column, s: Column) -> Column:
-        last = F.try_element_at(spans, F.lit(-1))
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-        return F.when(s["start"] <= last["end"], F.concat(F.slice(spans, 1, F.size(spans) - 1), F.array(longer))).otherwise(F.concat(spans, F.array(s)))
 
-    spans = F.array_sort(F.flatten(F.collect_list("spans")))
-    return found.groupBy(row).agg(
-        F.first("doc_id").alias("doc_id"),
-        F.first("n_words").alias("n_words"),
-        F.aggregate(spans, F.array().cast("array<struct<start:int,end:int>>"), add).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
+def _numbered(docs: DataFrame, row: str) -> DataFrame:
+    """The rows, written once with a number that tells them apart in every pass."""
+    return written(docs.withColumn(row, F.monotonically_increasing_id()))
 
 
-def _index(docs: DataFrame, block: list[tuple], size: int) -> WindowIndex:
-    return WindowIndex(block, document_frequencies(docs, {w for _, text in block for w in alnum_words(text.encode())}), size)
+def _index(docs: DataFrame, items: DataFrame, size: int) -> WindowIndex:
+    rows = [tuple(r) for r in items.collect()]
+    return WindowIndex(rows, document_frequencies(docs, {s for _, text in rows for w in windows_of(alnum_words(text.encode()), size) for s in shingles_of(w)}), size)
 
 
-def _match(docs: DataFrame, index: WindowIndex, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+def _match(docs: DataFrame, index: WindowIndex) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths, spans, items = [], [], []
             for text in byte_list(batch.column("text")):
                 words = alnum_words(text)
-                hit, of = index.find(words)
+                hit, of = shared.value.find(words)
                 lengths.append(len(words))
                 spans.append([{"start": a, "end": b} for a, b in hit])
                 items.append(sorted(of))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(lengths, type=pa.int64()), pa.array(spans, type=span), pa.array(items, type=pa.list_(pa.string()))], names=[*keep, "n_words", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), i64(lengths), pa.array(spans, type=SPANS), pa.array(items, type=pa.list_(pa.string()))], names=["doc_id", "n_words", "spans", "items"])
+
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {FOUND}, items array<string>")
+
 
-    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.mapInArrow(run, f"{kept}, n_words long, spans array<struct<start:int,end:int>>, items array<string>")
+def _shingle_table(rows: DataFrame, key: str, split: Callable[[bytes], list[bytes]], single: bool, once: bool) -> DataFrame:
+    """(key, shingle, at): 64-bit hashes of the shingles of each row's words and their places; ``once``: each shingle of
+    a row once. A hash that two shingles share costs a comparison, no result."""
+    digest = xxhash.xxh3_64_intdigest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                words = split(byte_list(batch.column("text").slice(k, 1))[0])
+                alone = len(words) if single or len(words) == 1 else 0
+                made = [digest(b" ".join(p)) for p in pairwise(words)] + [digest(w) for w in words[:alone]]
+                at = np.concatenate([np.arange(len(made) - alone), np.arange(alone)]).astype(np.int64)
+                hashes = np.array(made, dtype=np.uint64).view(np.int64)
+                if once:
+                    hashes, first = np.unique(hashes, return_index=True)
+                    at = at[first]
+                ids = pa.array([batch.column(key)[k].as_py()] * len(hashes), type=batch.schema.field(key).type)
+                yield pa.RecordBatch.from_arrays([ids, i64(hashes), i64(at)], names=[key, "shingle", "at"])
+
+    return rows.select(key, "text").mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, shingle long, at long")
+
+
+def _joined(docs: DataFrame, row: str, items: DataFrame, size: int) -> DataFrame:
+    """``row`` and what contamination() says of it, for items that are too many to broadcast. ``docs`` is stored."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column("item_id").to_pylist(), byte_list(batch.column("text")), strict=True):
+                made = [b" ".join(w) for w in windows_of(alnum_words(text), size)]
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(made), type=pa.string()), bytes_column(made)], names=["item_id", "window"])
+
+    of = written(items.mapInArrow(cut, "item_id string, window binary").distinct())
+    windows = of.select("window").distinct()
+    single = not windows.filter(~F.contains("window", F.lit(" ").cast("binary"))).isEmpty()
+    mine = written(_shingle_table(windows.withColumn("text", F.col("window")), "window", lambda w: w.split(b" "), False, False))
+    wanted = mine.select("shingle").distinct()
+    counted = _shingle_table(docs, row, alnum_words, single, True).join(wanted, "shingle", "left_semi").groupBy("shingle").agg(F.count("*").alias("df"))
+    rarest = F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "shingle", "at")).alias("x")
+    prefix = written(mine.join(counted, "shingle", "left").groupBy("window").agg(rarest).select("window", "x.shingle", F.col("x.at").alias("offset")))
+    # The documents' shingles may be skewed, which the join splits; each place that it keeps is an alignment to verify.
+    places = _shingle_table(docs, row, alnum_words, single, False)
+    aligned = places.join(prefix, "shingle").select(row, (F.col("at") - F.col("offset")).alias("start"), "window").filter("start >= 0").distinct()
+
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + total // GROUP_BYTES)
+    group = F.pmod(F.xxhash64(row), F.lit(groups)).alias("_group")
+    texts = docs.select(group, row, F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+
+    def verify(rows: pa.Table, places: pa.Table) -> pa.Table:
+        at: dict[int, list] = defaultdict(list)
+        for r, start, window in zip(places.column(row).to_pylist(), places.column("start").to_pylist(), places.column("window").to_pylist(), strict=True):
+            at[r].append((start, window))
+        lengths, spans, found = [], [], []
+        for r, text in zip(rows.column(row).to_pylist(), rows.column("text").to_pylist(), strict=True):
+            words, hit = alnum_words(text), {}
+            for start, window in at.get(r, ()):
+                w = window.split(b" ")
+                if words[start : start + len(w)] == w:
+                    hit[start, start + len(w)] = window
+            lengths.append(len(words))
+            spans.append([{"start": a, "end": b} for a, b in merged(hit)])
+            found.append(sorted(set(hit.values())))
+        return pa.table([rows.column(row), i64(lengths), pa.array(spans, type=SPANS), pa.array(found, type=pa.list_(pa.binary()))], names=[row, "n_words", "spans", "windows"])
+
+    places = aligned.select(group, row, "start", "window")
+    hits = written(texts.groupBy("_group").cogroup(places.groupBy("_group")).applyInArrow(verify, f"`{row}` long, {FOUND}, windows array<binary>"))
+    named = hits.select(row, F.explode("windows").alias("window")).join(of, "window").groupBy(row).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    rest = hits.drop("windows").join(named, row, "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    return rest.join(docs.select(row, "doc_id"), row).select(row, "doc_id", "n_words", "spans", "items")
 
 
 def drop_hit_words(docs: DataFrame, items: DataFrame, share: float = 0.5, size: int = WINDOW) -> DataFrame:
     """Removes documents of whose words more than ``share`` are hit; cuts the hit words out of the others, along with
-    what stands between them. Columns and the other texts stay as they are. The hits of all blocks of a benchmark are
-    found on the whole texts, judged together and cut out at once."""
-    n, block = _blocks(items)
-    if n == 1:
-        return _cut(docs, _index(docs, block(0), size).find, share)
+    what stands between them. Columns and the other texts stay as they are. All hits are found on the whole texts,
+    judged together and cut out at once."""
+    items = _usable(items)
+    if _small(items):
+        return _cut(docs, _index(docs, items, size).find, share)
     row, columns = "row", docs.columns
     while row in columns:
         row += "_"
     docs = _numbered(docs, row)
     ids = docs.select(row, F.lit(None).cast("long").alias("doc_id"), "text")
-    hits = _all_blocks(ids, row, n, block, size).filter(F.size("spans") > 0).select(F.col(row), "spans")
-    hits = written(hits)
+    hits = written(_joined(ids, row, items, size).filter(F.size("spans") > 0).select(F.col(row), "spans"))
     whole = docs.join(hits, row, "left_anti").select(columns)
     hit = docs.join(hits.withColumnRenamed("spans", row + "spans"), row).select(*columns, row + "spans")
     return whole.unionByName(_cut(hit, None, share, row + "spans"))

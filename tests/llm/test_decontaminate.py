@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from astroloom.llm import decontaminate as d
 
 DOC, ITEM = "doc_id long, text string, n_words long, items string", "item_id long, text string, doc_id long"
@@ -32,7 +34,9 @@ def same(spark, docs, items):
     assert sorted(map(repr, map(tuple, out))) == sorted(map(repr, want))
 
 
-def test_random_small_alphabet(spark):
+@pytest.mark.parametrize("chars", [d.BROADCAST_CHARS, 0])
+def test_random_small_alphabet(spark, chars, monkeypatch):
+    monkeypatch.setattr(d, "BROADCAST_CHARS", chars)
     rng = random.Random(3)
     text = lambda n: " ".join(rng.choice(["a", "B", "é", "a-b", "c."]) for _ in range(n))
     items = [(k, text(rng.choice([0, 1, 3, 9, 10, 11, 14]))) for k in range(12)] + [(50, None), (None, "a b"), (51, "--"), (10, "B a")]
@@ -40,20 +44,24 @@ def test_random_small_alphabet(spark):
     same(spark, docs, items)
 
 
-def test_long_text_and_passages(spark):
+@pytest.mark.parametrize("chars", [d.BROADCAST_CHARS, 0])
+def test_long_text_and_passages(spark, chars, monkeypatch):
+    monkeypatch.setattr(d, "BROADCAST_CHARS", chars)
     passage = "one two three four five six seven eight nine ten eleven twelve"
     same(spark, [(1, "pad " * 50_000 + passage.upper() + " pad"), (2, passage[:-7]), (3, "one two three")], [(7, passage), (8, passage), (9, "pad pad tail")])
 
 
-def test_empty_tables(spark):
+@pytest.mark.parametrize("chars", [d.BROADCAST_CHARS, -1])
+def test_empty_tables(spark, chars, monkeypatch):
+    monkeypatch.setattr(d, "BROADCAST_CHARS", chars)
     same(spark, [], [(1, "a")])
     same(spark, [(1, "a"), (2, None)], [])
 
 
-def test_blocks_agree(spark, small, monkeypatch):
+def test_join_agrees(spark, small, monkeypatch):
     docs, items = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "benchmark"))
     whole = d.digest(d.contamination(docs, items)).collect()
-    monkeypatch.setattr(d, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(d, "BROADCAST_CHARS", 0)
     assert sorted(whole) == sorted(d.digest(d.contamination(docs, items)).collect())
     assert {tuple(r) for r in whole} == {(r.doc_id, *brute(r.text, [(i.item_id, i.text) for i in items.collect()])) for r in docs.collect()}
 
@@ -65,14 +73,14 @@ def test_drop_hit_words(spark):
     assert {r.doc_id: r.text for r in d.drop_hit_words(docs, items, share=0.8).collect()} == {1: "É kept; ! end", 3: None, 4: "clean."}
 
 
-def test_cuts_do_not_depend_on_the_blocks(spark, monkeypatch):
+def test_cuts_do_not_depend_on_the_way(spark, monkeypatch):
     w = [f"w{k}" for k in range(80)]
     items = [(k, " ".join(w[k : k + 10])) for k in range(0, 30, 3)] + [(40, " ".join(w[60:70])), (41, " ".join(w[70:80]))]
     # Overlapping windows; 12 of 20 words hit by two items; a window that only a cut makes.
     docs = [(1, "a; " + ", ".join(w[:40]) + " z " * 60), (2, " ".join(w[60:80]) + " x" * 13), (3, " ".join(w[:3] + w[60:70] + w[3:10]) + " y" * 30), (None, " ".join(w[:10]) + " q" * 20), (None, "none"), (None, None), (2, "clean")]
     frame, of = spark.createDataFrame([(i, t, 5, "z") for i, t in docs], DOC), spark.createDataFrame([(i, t, 7) for i, t in items], ITEM)
     whole, found = d.drop_hit_words(frame, of).collect(), d.contamination(frame, of).collect()
-    monkeypatch.setattr(d, "BLOCK_BYTES", 60)
+    monkeypatch.setattr(d, "BROADCAST_CHARS", 0)
     assert sorted(map(repr, d.drop_hit_words(frame, of).collect())) == sorted(map(repr, whole))
     assert sorted(map(repr, d.contamination(frame, of).collect())) == sorted(map(repr, found))
     assert len(found) == len(docs) and 1 < len(whole) < len(docs)
