@@ -43,9 +43,12 @@ def byte_list(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
+    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where none is set and all
+    executors are on this machine, as in tests."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not named:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
         return sc.getCheckpointDir()

@@ -1,6 +1,6 @@
 import corpus_pipeline as pipeline
+from test_near_copies import brute
 from test_packing import check
-from test_simhash import brute_components, brute_print
 
 from astroloom.llm import decontaminate, secrets, toxicity
 
@@ -11,8 +11,8 @@ def test_stages_against_plain_python(spark, small):
     rows = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: r[0])
     net = toxicity.learn(docs, labels)
     rows = [r for r, s in zip(rows, net.scores([t or "" for _, t in rows])) if s < toxicity.THRESHOLD]
-    groups = brute_components([(i, brute_print(t)) for i, t in rows])
-    rows = [r for r, g in zip(rows, groups) if r[0] == g]
+    stay = set(brute(rows))
+    rows = [r for r in rows if r[0] in stay]
     index = decontaminate.WindowIndex([(str(i.item_id), i.text) for i in items.collect()], {})
     kept = {}
     for i, text in rows:
