@@ -3,8 +3,11 @@
 Vectors are lifted by one coordinate so that the largest inner product is the smallest distance. A bounded sample is cut
 into balanced clusters; every vector goes to its nearest centroid's posting list, and a boundary vector to each further
 list whose centroid is nearly as near. Centroids are searched by best-first walks over an in-memory neighbour graph. A
-query opens the lists whose centroids are within a ratio of its nearest one's distance. Lists are cut into segments of
-bounded size that are compared with their queries in separate groups, and each group hands on its best only.
+query opens the lists whose centroids are within a ratio of its nearest one's distance. How many lists and which ratio
+that takes is measured: some sampled queries are answered by brute force over all vectors, and the limits are set so that
+the lists of their true neighbours are opened. A query meets its nearest lists first; the score of its k-th best there
+is a bound that what the other lists hand on must reach. Lists are cut into segments of bounded size, the queries of a
+list into parts, and each pair of them is compared in a group of its own.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import f64, i64, table, written
+from .common import durable, f64, i64, table, written
 
 
 @dataclass(frozen=True)
@@ -25,20 +28,17 @@ class Lists:
     """``size``: vectors of a list aimed at. ``most``: lists at most, which with the dimension bounds what is broadcast.
     ``sample``: sampled vectors for each list; ``sampled``: in all, at most. ``copies``, ``edge``: lists of a vector, and
     how much farther than the nearest centroid a further one may be. ``placing``: centroids that a vector's walk keeps
-    in view. ``probes``, ``ratio``: the least that a query opens; ``aim``: the share of the sample's true neighbours
-    whose lists must be opened, ``trials``: sampled queries that measure it. ``segment``: vectors of a segment,
-    ``part``: queries that meet it at a time."""
+    in view. ``aim``: the share of true neighbours whose lists a query opens, ``trials``: sampled queries that measure
+    it. ``segment``: vectors of a segment, ``part``: queries that meet it at a time."""
 
     size: int = 256
     most: int = 16_384
     sample: int = 16
     sampled: int = 131_072
-    copies: int = 4
+    copies: int = 2
     edge: float = 1.08
     placing: int = 24
-    probes: int = 8
-    ratio: float = 1.1
-    aim: float = 0.985
+    aim: float = 0.965
     trials: int = 256
     degree: int = 24
     segment: int = 2048
@@ -48,8 +48,9 @@ class Lists:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and v (array of doubles) of vectors that are neither null, empty, zero nor hold nulls or non-finite values."""
-    v = F.transform("embedding", lambda x: x.cast("double"))
+    """vec_id and v of vectors that are neither null, empty, zero nor hold nulls or non-finite values. Floats stay so, to
+    be half as large in a shuffle; other numbers become doubles. All sums are in double precision."""
+    v = F.col("embedding") if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else F.transform("embedding", lambda x: x.cast("double"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
     return rows.filter(finite & F.exists("v", lambda x: x != 0))
@@ -151,7 +152,7 @@ def _within(squared: np.ndarray, ratio: float) -> np.ndarray:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(column), -1)
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(column), -1 if len(column) else 1)
 
 
 def _column(table: pa.Table, name: str) -> pa.Array:
@@ -164,7 +165,7 @@ class Opening:
 
     def __init__(self, graph: CentroidGraph, top: float, p: Lists):
         self.graph, self.top, self.p = graph, top, p
-        self.probes, self.ratio = p.probes, p.ratio
+        self.probes, self.ratio = 1, 1.0
 
     def lift(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([x, np.sqrt(np.maximum(self.top**2 - (x * x).sum(axis=1), 0))[:, None]], axis=1)
@@ -180,73 +181,104 @@ class Opening:
         ids, squared = ids[:, : self.p.copies], squared[:, : self.p.copies]
         return [row[keep].tolist() for row, keep in zip(ids, (ids >= 0) & _within(squared, self.p.edge), strict=True)]
 
-    def measure(self, sample: np.ndarray, k: int) -> None:
-        """Sets probes and ratio so that ``aim`` of the k true neighbours, within the sample, of sampled queries lie in
-        opened lists. Neighbours within a part of the vectors are farther than those in all of them, so this errs
-        towards opening more."""
-        n, p = len(sample), self.p
-        if n < 2:
+    def measure(self, asked: np.ndarray, near: list[np.ndarray]) -> None:
+        """Sets probes and ratio so that of the queries' true neighbours (a matrix for each) the share ``aim`` lies in
+        opened lists; of the ways to do so, the one that opens the fewest lists."""
+        if not sum(map(len, near)):
             return
-        asked = np.random.default_rng(p.seed + 1).choice(n, min(p.trials, n), replace=False)
-        score = sample[asked] @ sample.T
-        score[np.arange(len(asked)), asked] = -np.inf
-        near = np.argpartition(-score, min(k, n - 1) - 1, axis=1)[:, : min(k, n - 1)]
-        order, squared = self.graph.every(self.scale(sample[asked]), len(self.graph.c))
-        rank = np.empty_like(order)
-        np.put_along_axis(rank, order, np.arange(order.shape[1])[None, :].repeat(len(order), axis=0), axis=1)
-        held, at = dict.fromkeys(near.ravel().tolist()), list(dict.fromkeys(near.ravel().tolist()))
-        held.update(zip(at, self.places(sample[at]), strict=True))
-        needed = np.array([[min(rank[i, c] for c in held[j]) for j in row] for i, row in enumerate(near.tolist())])
-        away = np.sqrt(np.maximum(np.take_along_axis(squared, needed, axis=1), 0) / np.maximum(squared[:, :1], 1e-12))
-        aim = 1 - (1 - p.aim) / 2  # each of the two limits may miss half
-        self.probes = max(p.probes, 1 + int(np.quantile(needed, aim, method="higher")))
-        self.ratio = max(p.ratio, float(np.quantile(away, aim, method="higher")) * (1 + 1e-6))
-
-    def opens(self, x: np.ndarray, own: np.ndarray, floor: int) -> list[list[int]]:
-        """Lists of each query: those within the limits, and in any case the nearest ones whose own vectors (``own``:
-        how many have the list as their nearest) are ``floor``, or all lists."""
+        order, squared = self.graph.every(self.scale(asked), len(self.graph.c))
+        rank = np.argsort(order, axis=1)
+        away = np.sqrt(np.maximum(squared, 0) / np.maximum(squared[:, :1], 1e-12))
+        of = np.repeat(np.arange(len(asked)), [len(x) for x in near])
+        needed = np.array([min(rank[i, c] for c in lists) for i, lists in zip(of, self.places(np.concatenate(near)), strict=True)])
+        far, best = away[of, needed], None
+        for share in np.linspace(self.p.aim, 1, 12):
+            ratio = float(np.quantile(far, share, method="higher")) * (1 + 1e-6)
+            probes = 1 + int(np.quantile(np.where(far <= ratio, needed, len(rank[0]) - 1), self.p.aim, method="higher"))
+            cost = np.minimum((away <= ratio).sum(axis=1), probes).mean()
+            if best is None or cost < best[0]:
+                best = cost, probes, ratio
+        _, self.probes, self.ratio = best
+
+    def opens(self, x: np.ndarray, own: np.ndarray, floor: int) -> tuple[list[list[int]], list[int]]:
+        """Lists of each query, nearest first: those within the limits, and in any case the nearest ones whose own
+        vectors (``own``: how many have the list as their nearest) are ``floor``, or all lists. Also, how many of them
+        come first, to hold that many."""
         x = self.scale(x)
         ids, squared = self.graph.search(x, self.probes)
         size = np.where(ids >= 0, own[ids], 0)
-        before = np.cumsum(size, axis=1) - size
-        out = [row[keep].tolist() for row, keep in zip(ids, (ids >= 0) & (_within(squared, self.ratio) | (before < floor)), strict=True)]
-        short = np.flatnonzero(size.sum(axis=1) < floor)
+        total = np.cumsum(size, axis=1)
+        opened = (ids >= 0) & (_within(squared, self.ratio) | (total - size < floor))
+        out = [row[keep].tolist() for row, keep in zip(ids, opened, strict=True)]
+        first = (1 + (total < floor).sum(axis=1)).tolist()
+        short = np.flatnonzero(total[:, -1] < floor)
         for at in range(0, len(short), 64):
             rows = short[at : at + 64]
             ids, _ = self.graph.every(x[rows], len(own))
             for i, row in zip(rows.tolist(), ids, strict=True):
-                enough = 1 + int(np.searchsorted(np.cumsum(own[row]), floor))
-                out[i] = row[:enough].tolist()
-        return out
+                first[i] = min(1 + int(np.searchsorted(np.cumsum(own[row]), floor)), len(row))
+                out[i] = row[: first[i]].tolist()
+        return out, [min(n, len(row)) for n, row in zip(first, out, strict=True)]
 
 
-def best_of(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of each row's k largest and of all that may tie with the last of them."""
+def best_of(score: np.ndarray, k: int, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's k largest and of all that may tie with the last of them, if they reach the bound."""
     k = min(k, score.shape[1])
-    least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
-    return np.nonzero(score >= (least - 1e-9 * (1 + np.abs(least)))[:, None])
+    least = np.maximum(np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k], bound)
+    return np.nonzero(score >= (least - 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0))))[:, None])
+
+
+def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of rows, each summed in one order wherever the pair is met."""
+    return np.concatenate([np.zeros(0), *(np.cumsum(q[n : n + 20_000] * x[n : n + 20_000], axis=1)[:, -1] for n in range(0, len(q), 20_000))])
+
+
+def top_pairs(queries: np.ndarray, q: np.ndarray, nodes: np.ndarray, x: np.ndarray, k: int, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row of x, score) of each query's k best that reach its bound; ties go to the smaller node."""
+    out = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
+    for at in range(0, len(q) if len(x) else 0, 256):
+        i, j = best_of(q[at : at + 256] @ x.T, k, bound[at : at + 256])
+        score = exact(q[at + i], x[j])
+        order = np.lexsort((nodes[j], -score, i))
+        i, j, score = i[order], j[order], score[order]
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+        out.append((queries[at + i[keep]], j[keep], score[keep]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def _nearest(k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        if len(left) and len(right):
-            x, nodes, queries = _matrix(_column(left, "v")), _column(left, "node").to_numpy(), _column(right, "query").to_numpy()
-            q = _matrix(_column(right, "v"))
-            for at in range(0, len(q), 256):
-                i, j = best_of(q[at : at + 256] @ x.T, k)
-                # The score of a pair is summed in one order wherever it is met; ties go to the smaller id.
-                score = np.concatenate([np.cumsum(q[at + i[n : n + 20_000]] * x[j[n : n + 20_000]], axis=1)[:, -1] for n in range(0, len(i), 20_000)])
-                order = np.lexsort((nodes[j], -score, i))
-                i, j, score = i[order], j[order], score[order]
-                keep = np.arange(len(i)) - np.searchsorted(i, i) < k
-                out.append((queries[at + i[keep]], nodes[j[keep]], score[keep]))
-        made = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)]
-        return pa.table([i64(made[0]), i64(made[1]), f64(made[2])], names=["query", "found", "score"])
+        if not len(left) or not len(right):
+            return pa.table([i64([]), i64([]), f64(np.zeros(0))], names=["query", "found", "score"])
+        x, nodes = _matrix(_column(left, "v")), _column(left, "node").to_numpy()
+        query, j, score = top_pairs(_column(right, "query").to_numpy(), _matrix(_column(right, "v")), nodes, x, k, _column(right, "bound").to_numpy())
+        return pa.table([i64(query), i64(nodes[j]), f64(score)], names=["query", "found", "score"])
 
     return run
 
 
+def _top(rows: DataFrame, by: str, k: int) -> DataFrame:
+    return rows.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), by))).filter(F.col("r") <= k)
+
+
+def _trials(groups: DataFrame, nodes: np.ndarray, x: np.ndarray, k: int) -> list[np.ndarray]:
+    """The true neighbours of a few vectors among all: each task hands on its own best."""
+    shared = groups.sparkSession.sparkContext.broadcast((nodes, x))
+
+    def run(batches):
+        for batch in batches:
+            nodes, q = shared.value
+            trial, j, score = top_pairs(np.arange(len(q)), q, batch.column("node").to_numpy(), _matrix(batch.column("v")), k + 1, np.full(len(q), -np.inf))
+            other = nodes[trial] != batch.column("node").to_numpy()[j]
+            yield pa.RecordBatch.from_arrays([i64(trial[other]), f64(score[other]), *(batch.column(c).take(i64(j[other])) for c in ("node", "v"))], names=["query", "score", "node", "v"])
+
+    v = groups.schema["v"].dataType.simpleString()
+    best = _top(groups.select("node", "v").mapInArrow(run, f"query long, score double, node long, v {v}"), "node", k)
+    rows = best.select("query", "v").toArrow()
+    of, v = _column(rows, "query").to_numpy(), _matrix(_column(rows, "v"))
+    return [v[of == i] for i in range(len(x))]
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, p: Lists = Lists()) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products found for each query over all other rows.
 
@@ -260,51 +292,61 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, p: Lists = Lists
     # No more than k + 1 of equal vectors can be needed; the window limits before it shuffles.
     first = one(vectors).withColumn("r", F.row_number().over(W.partitionBy("h", "v").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
     groups = written(first.groupBy("h", "v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select("v", "ids", F.element_at("ids", 1).alias("node")))
-    stats = groups.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).first()
+    stats = groups.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).alias("m")).first()
     if not stats.n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lists = int(np.clip(stats.n // p.size, 1, p.most))
     want = min(p.sample * lists, p.sampled)
     share = min(1.0, 1.2 * want / stats.n + 16 / stats.n)
     picked = groups if share == 1 else groups.filter(F.xxhash64("node", F.lit(p.seed)).cast("double") < F.lit((share - 0.5) * 2.0**64))
-    sample = _matrix(_column(picked.select("v").limit(2 * want + 64).toArrow(), "v")) if stats.n else np.zeros((0, 1))
+    rows = picked.select("node", "v").limit(2 * want + 64).toArrow()
+    nodes, sample = _column(rows, "node").to_numpy(), _matrix(_column(rows, "v"))
     opening = Opening(None, float(np.sqrt(stats.m)), p)
     lifted = opening.lift(sample)
     opening.graph = CentroidGraph(balanced_centroids(lifted, min(lists, len(lifted)), p), p)
-    opening.measure(sample, k)
+    asked = np.random.default_rng(p.seed + 1).choice(len(sample), min(p.trials, len(sample)), replace=False)
+    opening.measure(sample[asked], _trials(groups, nodes[asked], sample[asked], k))
     shared = spark.sparkContext.broadcast(opening)
+    v = groups.schema["v"].dataType.simpleString()
 
     def listed(choose):
         def run(batches):
             for batch in batches:
                 for at in range(0, batch.num_rows, 512):
                     part = batch.slice(at, 512)
-                    found = choose(_matrix(part.column("v")))
-                    yield pa.RecordBatch.from_arrays([part.column("node"), part.column("v"), pa.array(found, type=pa.list_(pa.int64()))], names=["node", "v", "lists"])
+                    found, first = choose(_matrix(part.column("v")))
+                    yield pa.RecordBatch.from_arrays([part.column("node"), part.column("v"), pa.array(found, type=pa.list_(pa.int64())), pa.array(first, type=pa.int32())], names=["node", "v", "lists", "first"])
 
-        return run
+        return lambda rows: rows.select("node", "v").mapInArrow(run, f"node long, v {v}, lists array<long>, first int")
 
-    placed = written(groups.select("node", "v").mapInArrow(listed(lambda x: shared.value.places(x)), "node long, v array<double>, lists array<long>"))
-    sizes = placed.select(F.posexplode("lists").alias("at", "list")).groupBy("list").agg(F.count("*").alias("n"), F.count_if(F.col("at") == 0).alias("own")).toPandas()
-    own = np.zeros(lists, dtype=np.int64)
+    placed = written(listed(lambda x: (shared.value.places(x), [1] * len(x)))(groups))
+    sizes = placed.groupBy(F.get("lists", F.lit(0)).alias("list")).agg(F.count("*").alias("own")).toPandas()
+    own = np.zeros(len(opening.graph.c), dtype=np.int64)
     own[sizes["list"]] = sizes["own"]
     points = one(queries).groupBy("h", "v").agg(F.min("vec_id").alias("node"))
-    opened = written(points.select("node", "v").mapInArrow(listed(lambda x: shared.value.opens(x, own, k + 1)), "node long, v array<double>, lists array<long>"))
-    # A list is cut into segments and its queries into parts, both by hash; each pair is a group. Rows per list: bounded.
-    parts = opened.select(F.explode("lists").alias("list")).groupBy("list").agg(F.ceil(F.count("*") / p.part).alias("parts"))
-    segments = placed.select(F.explode("lists").alias("list")).groupBy("list").agg(F.ceil(F.count("*") / p.segment).alias("segments"))
-    both = F.broadcast(segments.join(parts, "list"))
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    held = placed.select("node", "v", F.explode("lists").alias("list")).join(both, "list")
-    held = held.select("list", F.pmod(F.xxhash64("node"), "segments").alias("segment"), each("parts").alias("part"), "node", "v")
-    asked = opened.select(F.col("node").alias("query"), "v", F.explode("lists").alias("list")).join(both, "list")
-    asked = asked.select("list", each("segments").alias("segment"), F.pmod(F.xxhash64("query"), "parts").alias("part"), "query", "v")
-    key = ("list", "segment", "part")
-    hits = held.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(_nearest(k + 1), "query long, found long, score double")
-    hits = hits.groupBy("query", "found").agg(F.max("score").alias("score"))
-    top = lambda rows, by: rows.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), by))).filter(F.col("r") <= k + 1).drop("r")
-    hits = top(hits, "found").join(groups.select(F.col("node").alias("found"), "ids"), "found")
-    hits = top(hits.select("query", "score", F.explode("ids").alias("vec_id")), "vec_id")
+    opened = written(listed(lambda x: shared.value.opens(x, own, k + 1))(points)).withColumnRenamed("node", "query")
+
+    def meet(held: DataFrame, asked: DataFrame) -> DataFrame:
+        """(query, found, score) of vectors (node, v, list) and queries (query, v, bound, list) that share a list."""
+        # A list is cut into segments and its queries into parts, both by hash; each pair is a group.
+        segments = held.groupBy("list").agg(F.ceil(F.count("*") / p.segment).alias("segments"))
+        parts = asked.groupBy("list").agg(F.ceil(F.count("*") / p.part).alias("parts"))
+        both = F.broadcast(segments.join(parts, "list"))  # two numbers for each list
+        each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        left = held.join(both, "list").select("list", F.pmod(F.xxhash64("node"), "segments").alias("segment"), each("parts").alias("part"), "node", "v")
+        right = asked.join(both, "list").select("list", each("segments").alias("segment"), F.pmod(F.xxhash64("query"), "parts").alias("part"), "query", "v", "bound")
+        key = ("list", "segment", "part")
+        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_nearest(k + 1), "query long, found long, score double")
+
+    nearest = opened.select("query", "v", F.lit(float("-inf")).alias("bound"), F.explode(F.slice("lists", F.lit(1), F.col("first"))).alias("list"))
+    near = durable(_top(meet(placed.select("node", "v", F.get("lists", F.lit(0)).alias("list")), nearest), "found", k + 1))
+    bounds = near.filter(F.col("r") == k + 1).select("query", F.col("score").alias("bound"))
+    # A list that came first was met without the copies that are nearer to another list.
+    every = opened.join(bounds, "query", "left").select("query", "v", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"), F.explode("lists").alias("list"))
+    hits = meet(placed.select("node", "v", F.explode("lists").alias("list")), every)
+    hits = hits.unionByName(near.drop("r")).groupBy("query", "found").agg(F.max("score").alias("score"))
+    hits = _top(hits, "found", k + 1).join(groups.select(F.col("node").alias("found"), "ids"), "found")
+    hits = _top(hits.select("query", "score", F.explode("ids").alias("vec_id")), "vec_id", k + 1)
     ranked = hits.groupBy("query").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))).alias("hits"))
     # Back to every query of the point: its own row goes, the first k of the rest stay.
     of = one(queries).join(points.withColumnRenamed("node", "query"), ["h", "v"]).select(F.col("vec_id").alias("query_id"), "query")

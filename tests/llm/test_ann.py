@@ -49,7 +49,7 @@ def test_few_and_none(spark):
 def test_segments_change_nothing(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(600)]
-    every = ann.Lists(size=100, ratio=100.0, segment=40)
+    every = ann.Lists(size=100, aim=1.0, trials=600, segment=40, part=7)
     got, want = found(spark, rows, p=every), brute(rows, range(0, 600, 20))
     assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
 
@@ -89,7 +89,7 @@ def test_small_tight_groups_find_k(spark):
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(size=(400, 8)), 50 + 1e-4 * rng.normal(size=(3, 8))])
     rows = [(i + 1, v.astype(np.float32).tolist()) for i, v in enumerate(x)] + [(1000, [50.0] * 8)]
-    got = found(spark, rows, p=ann.Lists(size=4, probes=1, ratio=1.0, aim=0.5))
+    got = found(spark, rows, p=ann.Lists(size=4, aim=0.3))
     assert {len(v) for v in got.values()} == {20}
 
 
