@@ -29,7 +29,7 @@ class Lists:
     ``sample``: sampled vectors for each list; ``sampled``: in all, at most. ``copies``, ``edge``: lists of a vector, and
     how much farther than the nearest centroid a further one may be. ``placing``: centroids that a vector's walk keeps
     in view. ``aim``: the share of true neighbours whose lists a query opens, ``trials``: sampled queries that measure
-    it. ``segment``: vectors of a segment, ``part``: queries that meet it at a time."""
+    it; ``first``: lists that it meets first, for the bound. ``segment``: vectors of a segment, ``part``: queries that meet it at a time."""
 
     size: int = 256
     most: int = 16_384
@@ -40,6 +40,7 @@ class Lists:
     placing: int = 24
     aim: float = 0.965
     trials: int = 256
+    first: int = 4
     degree: int = 24
     segment: int = 2048
     part: int = 4096
@@ -203,7 +204,7 @@ class Opening:
     def opens(self, x: np.ndarray, own: np.ndarray, floor: int) -> tuple[list[list[int]], list[int]]:
         """Lists of each query, nearest first: those within the limits, and in any case the nearest ones whose own
         vectors (``own``: how many have the list as their nearest) are ``floor``, or all lists. Also, how many of them
-        come first, to hold that many."""
+        come first: what holds that many, and ``first`` at least."""
         x = self.scale(x)
         ids, squared = self.graph.search(x, self.probes)
         size = np.where(ids >= 0, own[ids], 0)
@@ -218,7 +219,7 @@ class Opening:
             for i, row in zip(rows.tolist(), ids, strict=True):
                 first[i] = min(1 + int(np.searchsorted(np.cumsum(own[row]), floor)), len(row))
                 out[i] = row[: first[i]].tolist()
-        return out, [min(n, len(row)) for n, row in zip(first, out, strict=True)]
+        return out, [min(max(n, self.p.first), len(row)) for n, row in zip(first, out, strict=True)]
 
 
 def best_of(score: np.ndarray, k: int, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
