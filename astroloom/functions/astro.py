@@ -110,3 +110,81 @@ def planck_lambda(wave_angstrom: Column, temperature: Column) -> Column:
 
 def wien_temperature(wave_angstrom: Column) -> Column:
     return 2.897771955e7 / wave_angstrom
+
+
+def wave_of_ghz(ghz: Column) -> Column:
+    """Angstroms of a frequency in GHz."""
+    return 2.998e9 / ghz
+
+
+def energy_flux(jansky: Column, ghz: Column) -> Column:
+    """nu F_nu in erg / s / cm2."""
+    return jansky * ghz * 1e9 * 1e-23
+
+
+def flux_per_angstrom(jansky: Column, ghz: Column) -> Column:
+    return energy_flux(jansky, ghz) / wave_of_ghz(ghz)
+
+
+# The Sun's place (kpc; distance and height) and motion (km/s).
+SUN_KPC, SUN_HEIGHT_KPC = 8.122, 0.0208
+SUN_FRAME = (11.69, 252.23, 7.67)
+SUN_LSR = (11.69, 10.16, 7.67)
+
+
+def galactocentric(ra: Column, dec: Column, parsec: Column) -> tuple[Column, Column, Column]:
+    """X (the Sun at negative x), Y and Z in kpc, turned by the Sun's height over the plane."""
+    l, b = galactic(ra, dec)  # noqa: E741
+    d = parsec / 1000
+    x, y, z = d * F.cos(F.radians(b)) * F.cos(F.radians(l)) - SUN_KPC, d * F.cos(F.radians(b)) * F.sin(F.radians(l)), d * F.sin(F.radians(b))
+    sin = SUN_HEIGHT_KPC / SUN_KPC
+    cos = math.sqrt(1 - sin * sin)
+    return cos * x + sin * z, y, cos * z - sin * x
+
+
+def rest_frame_velocity(l: Column, b: Column, v: Column) -> Column:  # noqa: E741
+    """Line-of-sight velocity in the Galaxy's rest frame."""
+    u0, v0, w0 = SUN_FRAME
+    return v + u0 * F.cos(F.radians(b)) * F.cos(F.radians(l)) + v0 * F.cos(F.radians(b)) * F.sin(F.radians(l)) + w0 * F.sin(F.radians(b))
+
+
+def space_velocity(ra: Column, dec: Column, pmra: Column, pmdec: Column, parsec: Column, vlos: Column) -> tuple[Column, Column, Column]:
+    """(U, V, W) in km/s from the local standard of rest: towards the centre, along the rotation, to the north pole. Proper
+    motions in mas / yr."""
+    k = 4.74047 / 1000
+    a, d = F.radians(ra), F.radians(dec)
+    across, up = k * pmra * parsec, k * pmdec * parsec
+    vx = vlos * F.cos(d) * F.cos(a) - across * F.sin(a) - up * F.sin(d) * F.cos(a)
+    vy = vlos * F.cos(d) * F.sin(a) + across * F.cos(a) - up * F.sin(d) * F.sin(a)
+    vz = vlos * F.sin(d) + up * F.cos(d)
+    return tuple(row[0] * vx + row[1] * vy + row[2] * vz + s for row, s in zip(GALACTIC, SUN_LSR))
+
+
+def line_velocity(wave: Column, rest: Column) -> Column:
+    return (wave / rest - 1) * LIGHT_KM_S
+
+
+def velocity_width(width: Column, rest: Column) -> Column:
+    return width / rest * LIGHT_KM_S
+
+
+def observed_wave(rest: Column, z: Column) -> Column:
+    return rest * (1 + z)
+
+
+def planar_separation(ra1: Column, dec1: Column, ra2: Column, dec2: Column) -> Column:
+    """Small-angle distance in the tangent plane."""
+    return F.sqrt(F.pow((ra2 - ra1) * F.cos(F.radians((dec1 + dec2) / 2)), 2) + F.pow(dec2 - dec1, 2))
+
+
+def distance_error_pc(parallax_mas: Column, error_mas: Column) -> Column:
+    return distance_pc(parallax_mas) * error_mas / parallax_mas
+
+
+def colour_dereddened(blue: Column, red: Column, reddening: Column, ratio_blue: float, ratio_red: float) -> Column:
+    return (blue - ratio_blue * reddening) - (red - ratio_red * reddening)
+
+
+def flux_error(mag: Column, mag_err: Column, zero: float = 25.0) -> Column:
+    """Linear error of a flux from its magnitude's."""
+    return mag_to_flux(mag, zero) * mag_err * math.log(10) / 2.5

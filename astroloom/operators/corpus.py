@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.shared import stored
 
 
 def exact_duplicates(docs: DataFrame, prefix: int | None = None) -> DataFrame:
@@ -61,9 +62,12 @@ def bibliographic(text: Column) -> tuple[Column, Column]:
     return find(r"(?i)arxiv:\s*(\d{4}\.\d{4,5})"), find(r"(10\.\d{4,9}/[^ \t\n]+)")
 
 
-def facts(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, value, unit, confidence): period, mass and distance statements of a text."""
-    rules = (("period", r"(?i)period of (\d+(?:\.\d+)?) (min|hours?|days?)", 0.8), ("mass", r"(?i)(\d+(?:\.\d+)?) (solar masses)", 0.7), ("distance", r"(?i)(\d+(?:\.\d+)?) (pc|kpc|light-years)", 0.7))
+# Kinds of statements, their patterns (value and unit) and confidence.
+FACTS = (("period", r"(?i)period of (\d+(?:\.\d+)?) (min|hours?|days?)", 0.8), ("mass", r"(?i)(\d+(?:\.\d+)?) (solar masses)", 0.7), ("distance", r"(?i)(\d+(?:\.\d+)?) (pc|kpc|light-years)", 0.7))
+
+
+def facts(docs: DataFrame, rules: tuple[tuple[str, str, float], ...] = FACTS) -> DataFrame:
+    """(doc_id, kind, value, unit, confidence): period, mass and distance statements of a text; also of a stream."""
     group = lambda p, k: F.regexp_extract_all("text", F.lit(p), F.lit(k))
     found = [F.transform(F.arrays_zip(group(p, 1).alias("v"), group(p, 2).alias("u")), _fact(k, c)) for k, p, c in rules]
     return docs.select("doc_id", F.explode(F.concat(*found)).alias("f")).select("doc_id", "f.*")
@@ -77,6 +81,8 @@ def _fact(kind: str, confidence: float):
 CHAT = {
     "chatml": ("", "<|im_start|>{role}\n{text}<|im_end|>\n", "<|im_start|>assistant\n"),
     "llama3": ("<|begin_of_text|>", "<|start_header_id|>{role}<|end_header_id|>\n\n{text}<|eot_id|>", "<|start_header_id|>assistant<|end_header_id|>\n\n"),
+    "qwen2": ("", "<|im_start|>{role}\n{text}<|im_end|>\n", "<|im_start|>assistant\n"),
+    "yi": ("", "<|im_start|>{role}\n{text}<|im_end|>\n", "<|im_start|>assistant\n"),
     "gemma": ("<bos>", "<start_of_turn>{role}\n{text}<end_of_turn>\n", "<start_of_turn>model\n"),
 }
 
@@ -90,7 +96,8 @@ def rendered(chats: DataFrame, style: str = "chatml", generate: bool = False) ->
     start, turn, suffix = CHAT[style]
     before, rest = turn.split("{role}")
     between, after = rest.split("{text}")
-    name = (lambda r: F.when(r == "assistant", "model").otherwise(r)) if style == "gemma" else (lambda r: r)
+    # This style has no turns of the system's own.
+    name = (lambda r: F.when(r == "assistant", "model").when(r == "system", "user").otherwise(r)) if style == "gemma" else (lambda r: r)
     said = F.transform("messages", lambda m: F.concat(F.lit(before), name(m["role"]), F.lit(between), F.coalesce(m["text"], F.lit("")), F.lit(after)))
     return chats.select("conv_id", F.concat(F.lit(start), F.array_join(said, ""), F.lit(suffix if generate else "")).alias("prompt"))
 
@@ -124,8 +131,9 @@ def oversample(rows: DataFrame, times: Column) -> DataFrame:
 
 
 def numbered(rows: DataFrame, key: str, prefix: str, width: int = 5) -> DataFrame:
-    """Sequential names in key order without one sorting task: ranges are counted, and each adds those before it."""
-    ranged = rows.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_at", F.monotonically_increasing_id())
+    """Sequential names in key order without one sorting task: ranges are written once, counted, and each adds those
+    before it. Equal keys are numbered in any order."""
+    ranged = stored(rows.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_at", F.monotonically_increasing_id()))
     ranged = ranged.withColumns({"_p": F.shiftrightunsigned("_at", 33), "_i": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
     counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     # A row for each range.

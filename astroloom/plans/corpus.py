@@ -145,8 +145,9 @@ def sequential_names(spark, sf):
 
 @query("SELECT CASE WHEN grouping(lang) = 0 THEN 'lang' WHEN grouping(source) = 0 THEN 'source' ELSE 'all' END AS grouping, coalesce(lang, source, 'all') AS value, count(*) AS n FROM documents GROUP BY GROUPING SETS ((lang), (source), ())")
 def dataset_counts(spark, sf):
-    _docs(spark, sf).select("lang", "source").createOrReplaceTempView("_counted")
-    return spark.sql("SELECT CASE WHEN grouping(lang) = 0 THEN 'lang' WHEN grouping(source) = 0 THEN 'source' ELSE 'all' END AS grouping, coalesce(lang, source, 'all') AS value, count(*) AS n FROM _counted GROUP BY GROUPING SETS ((lang), (source), ())")
+    lang, source = F.col("lang"), F.col("source")
+    counted = _docs(spark, sf).groupingSets([[lang], [source], []], lang, source).agg(F.grouping("lang").alias("l"), F.grouping("source").alias("s"), F.count("*").alias("n"))
+    return counted.select(F.when(F.col("l") == 0, "lang").when(F.col("s") == 0, "source").otherwise("all").alias("grouping"), F.coalesce("lang", "source", F.lit("all")).alias("value"), "n")
 
 
 @query("""SELECT o_custkey AS key, coalesce(max(CASE WHEN o_orderkey % 2 = 1 THEN o_orderpriority END), max(CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END)) AS priority,

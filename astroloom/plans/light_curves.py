@@ -45,9 +45,9 @@ def lc_stats(spark, sf):
 
 
 @query(f"""WITH {LC}, s AS (SELECT source, median(mag) AS m, stddev_pop(mag) AS s FROM good GROUP BY source)
-SELECT source, count(*) AS n_kept, round(avg(mag), 4) AS mag_mean FROM good JOIN s USING (source) WHERE abs(mag - m) <= 3 * s GROUP BY source""")
+SELECT source, count(*) AS n_kept, round(avg(mag) + 1e-9, 4) AS mag_mean FROM good JOIN s USING (source) WHERE abs(mag - m) <= 3 * s GROUP BY source""")
 def lc_sigma_clip(spark, sf):
-    return ts.sigma_clip(_good(spark, sf)).groupBy("source").agg(F.count("*").alias("n_kept"), F.round(F.avg("mag"), 4).alias("mag_mean"))
+    return _nudged(ts.sigma_clip(_good(spark, sf)).groupBy("source").agg(F.count("*").alias("n_kept"), F.avg("mag").alias("mag_mean")), "mag_mean")
 
 
 @query(f"""WITH {LC}, s AS (SELECT source, median(mag) AS m, stddev_pop(mag) AS s FROM good GROUP BY source)

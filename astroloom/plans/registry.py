@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import corpus, knowledge, light_curves, retrieval, sky, streams
+from . import answers, corpus, kinematics, knowledge, light_curves, retrieval, selection, sky, streams, training
 
-_MODULES = (light_curves, retrieval, corpus, knowledge, sky, streams)
+_MODULES = (light_curves, retrieval, corpus, knowledge, sky, streams, selection, answers, training, kinematics)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
