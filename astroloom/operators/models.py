@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import retrieval
+
 
 def encoded(rows: DataFrame, load: Callable[[], Callable[[list[str]], list[list[float]]]], text: str = "text", into: str = "embedding") -> DataFrame:
     """Adds the vectors of a text encoder; ``load`` runs once in each task's worker and gives texts -> vectors."""
@@ -40,3 +43,44 @@ def generated(prompts: DataFrame, load: Callable[[], Callable[[str], str]], key:
             yield pd.DataFrame(out, columns=[key, "answer", "status", "error"])
 
     return prompts.select(key, "prompt").mapInPandas(run, f"{key} {prompts.schema[key].dataType.simpleString()}, answer string, status string, error string")
+
+
+def retrieved(queries: DataFrame, retriever: Callable[[DataFrame], DataFrame], k: int = 5) -> DataFrame:
+    """A user's own retriever, from (qid, text) to (qid, doc_id, score), ranked as the built-in ones are."""
+    return retrieval.top_k(queries.transform(retriever).select("qid", "doc_id", "score"), k)
+
+
+class TextIndex:
+    """A stored keyword index: two tables of a folder, documents and postings, which grow by appended parts.
+
+    ``add`` gives each part a folder of its own, so a part that failed is written again elsewhere and a reader sees whole
+    parts only once they are committed. Subclasses may replace any of add, search, save and load."""
+
+    def __init__(self, path: str):
+        self.path, self.postings_path = path, f"{path}/postings"
+
+    def add(self, docs: DataFrame) -> None:
+        part = uuid.uuid4().hex
+        docs.write.mode("overwrite").parquet(f"{self.path}/documents/batch={part}")
+        retrieval.postings(docs).write.mode("overwrite").parquet(f"{self.postings_path}/batch={part}")
+
+    def documents(self, spark: SparkSession) -> DataFrame:
+        return spark.read.option("basePath", f"{self.path}/documents").parquet(f"{self.path}/documents/batch=*").drop("batch")
+
+    def postings(self, spark: SparkSession) -> DataFrame:
+        return spark.read.option("basePath", self.postings_path).parquet(f"{self.postings_path}/batch=*").drop("batch")
+
+    def search(self, queries: DataFrame, method: str = "idf", k: int = 5) -> DataFrame:
+        spark = queries.sparkSession
+        return retrieval.keyword_search(self.postings(spark), self.documents(spark).count(), retrieval.query_terms(queries), method, k)
+
+    def save(self, spark: SparkSession, path: str) -> TextIndex:
+        """A compacted copy: one part of all."""
+        copy = TextIndex(path)
+        self.documents(spark).write.mode("overwrite").parquet(f"{path}/documents/batch=0")
+        self.postings(spark).write.mode("overwrite").parquet(f"{copy.postings_path}/batch=0")
+        return copy
+
+    @classmethod
+    def load(cls, path: str) -> TextIndex:
+        return cls(path)

@@ -3,6 +3,11 @@ of the queried terms; sides are broadcast only where Spark's size threshold allo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,9 +16,15 @@ from ..functions import text as tx
 from ..functions import vectors as vx
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(term, doc_id, tf, length) from (doc_id, text)."""
+#: Query vectors that are scored against the rows at a time.
+QUERY_BLOCK = 8192
+
+
+def postings(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(term, doc_id, tf, length) from (doc_id, text); of the terms in ``only`` alone where an index is made for them."""
     rows = docs.select("doc_id", tx.terms(F.col("text")).alias("terms")).select("doc_id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
+    if only is not None:
+        rows = rows.join(only.select("term").distinct(), "term", "left_semi")
     return rows.groupBy("term", "doc_id", "length").agg(F.count("*").alias("tf"))
 
 
@@ -49,8 +60,12 @@ def keyword_search(index: DataFrame, n_docs: int, asked: DataFrame, method: str
 
 def hash_embedding(docs: DataFrame) -> DataFrame:
     """(doc_id, embedding): the sum of the terms' md5 bytes by frequency, normalised; texts without terms have none."""
+    return embedded(postings(docs))
+
+
+def embedded(index: DataFrame) -> DataFrame:
+    """The same from postings."""
     sums = [F.sum(F.col("tf") * F.col("b")[i]).alias(f"_{i}") for i in range(16)]
-    index = postings(docs)
     # A term's bytes are made once per distinct term, not once per posting.
     coded = index.select("term").distinct().withColumn("b", vx.md5_bytes(F.col("term")))
     return index.join(coded, "term").groupBy("doc_id").agg(*sums).select("doc_id", vx.unit(F.array(*[F.col(f"_{i}") for i in range(16)])).alias("embedding"))
@@ -62,8 +77,41 @@ def vector_search(embedded: DataFrame, asked: DataFrame, k: int = 5, threshold:
     The rows are scored where they lie; each task hands on its k best of each query before the shuffle."""
     asked = asked.select("qid", vx.unit(F.col("q")).alias("q"))
     embedded = embedded.select("doc_id", vx.unit(F.col("embedding")).alias("embedding"))
-    pairs = asked.join(embedded, F.lit(True)).select("qid", "doc_id", F.round(vx.dot(F.col("q"), F.col("embedding")), 6).alias("score"))
-    return top_k(pairs.filter(F.col("score") >= threshold), k)
+    # Bounded by the stated set; beyond what a task can hold, the set is asked block by block.
+    rows = asked.limit(QUERY_BLOCK + 1).toArrow()
+    if len(rows) > QUERY_BLOCK:
+        blocks = 1 + asked.count() // (QUERY_BLOCK // 2)
+        parts = [vector_search(embedded, asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b), k, threshold) for b in range(blocks)]
+        return reduce(DataFrame.unionByName, parts)
+    qids = rows.column("qid")
+    q = _matrix(rows.column("q"))
+    shared = asked.sparkSession.sparkContext.broadcast((qids.combine_chunks(), q))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, q = shared.value
+            x = _matrix(batch.column("embedding"))
+            value = np.round(q @ x.T, 6) if q.size and x.size else np.zeros((len(q), 0))
+            i, j = np.nonzero(value >= threshold)
+            # Each batch hands on its own k best of a query, and what ties with the last of them.
+            order = np.lexsort((-value[i, j], i))
+            i, j = i[order], j[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            least = value[i, j][np.minimum(np.searchsorted(i, i) + k - 1, np.searchsorted(i, i, side="right") - 1)] if len(i) else np.zeros(0)
+            keep = (place < k) | (value[i, j] == least)
+            i, j = i[keep], j[keep]
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(i)), batch.column("doc_id").take(pa.array(j)), pa.array(value[i, j])], names=["qid", "doc_id", "score"])
+
+    kinds = {c: f.schema[c].dataType.simpleString() for c, f in (("qid", asked), ("doc_id", embedded))}
+    hits = embedded.mapInArrow(score, f"qid {kinds['qid']}, doc_id {kinds['doc_id']}, score double")
+    return top_k(hits.select("qid", "doc_id", F.round("score", 6).alias("score")), k)
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], type=column.type)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return np.asarray(flat, dtype=np.float64).reshape(len(column), -1 if len(column) else 1)
 
 
 def fuse(vector: DataFrame, keyword: DataFrame, k: int = 5, weights: tuple[float, float] = (0.6, 0.4), bonus: float = 1.1, method: str = "weighted") -> DataFrame:

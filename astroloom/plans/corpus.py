@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import corpus as c
 from ..operators import evaluation as e
+from ..sources.shared import spread
 from .base import registrar, table
 
 QUERIES, ORACLE_SQL, query = registrar()
@@ -17,7 +18,7 @@ TEMPLATES = ("What is {topic}?", "Explain {topic}.", "How does {topic} work?")
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 _HASH = r"md5(trim(regexp_replace(lower(coalesce(text, '')), '[ \t\n\r\x0b\f]+', ' ', 'g')))"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import astro
 from ..operators import timeseries as ts
+from ..sources.shared import spread
 from .base import registrar, table
 
 QUERIES, ORACLE_SQL, query = registrar()
@@ -21,7 +22,7 @@ FOLD, BINS = 7.0, 12
 
 
 def _good(spark, sf):
-    return ts.good(ts.light_curves(table(spark, sf, "events")))
+    return ts.good(ts.light_curves(spread(table(spark, sf, "events"))))
 
 
 def _rounded(df, *columns, places=4):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
 from ..operators import retrieval as r
+from ..sources.shared import spread, stored
 from .base import registrar, table
 
 QUERIES, ORACLE_SQL, query = registrar()
@@ -17,9 +18,17 @@ asked AS (SELECT DISTINCT item_id AS qid, unnest(regexp_extract_all(lower(coales
 TOP = "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INT) AS rank FROM {0}) WHERE rank <= {1}"
 
 
-def _index(spark, sf):
+def _index(spark, sf, only=None):
+    """The index, written once however often a query reads it, and the number of documents."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return r.postings(docs), docs.count()
+    return stored(r.postings(spread(docs), only)), docs.count()
+
+
+def _search(spark, sf, method="idf", k=5, least=1):
+    """The benchmark items' keyword search over an index of their terms."""
+    asked = r.query_terms(_asked(spark, sf))
+    index, n = _index(spark, sf, asked)
+    return r.keyword_search(index, n, asked, method, k, least)
 
 
 def _asked(spark, sf):
@@ -36,20 +45,17 @@ TFIDF = "CAST(tf AS DOUBLE) / length * (ln((n + 1.0) / (df + 1)) + 1)"
 
 @query(f"WITH {INDEX}, {_keyword(IDF)} {TOP.format('h', 5)}")
 def kw_topk(spark, sf):
-    index, n = _index(spark, sf)
-    return r.keyword_search(index, n, r.query_terms(_asked(spark, sf)))
+    return _search(spark, sf)
 
 
 @query(f"WITH {INDEX}, {_keyword(TFIDF)} {TOP.format('h', 5)}")
 def tfidf_topk(spark, sf):
-    index, n = _index(spark, sf)
-    return r.keyword_search(index, n, r.query_terms(_asked(spark, sf)), "tfidf")
+    return _search(spark, sf, "tfidf")
 
 
 @query(f"WITH {INDEX}, {_keyword('1.0e0')} {TOP.format('(SELECT * FROM h WHERE matched >= 2)', 5)}")
 def match_count_topk(spark, sf):
-    index, n = _index(spark, sf)
-    return r.keyword_search(index, n, r.query_terms(_asked(spark, sf)), "count", least=2)
+    return _search(spark, sf, "count", least=2)
 
 
 @query(f"WITH {INDEX} SELECT term, CAST(count(*) AS BIGINT) AS df, CAST(sum(tf) AS BIGINT) AS n FROM post GROUP BY term")
@@ -65,7 +71,7 @@ emb AS (SELECT doc_id, list(x ORDER BY i) AS e FROM parts GROUP BY doc_id)"""
 
 @query(f"WITH {INDEX}, {EMBED} SELECT doc_id, round(e[1] / sqrt(list_sum(list_transform(e, lambda x: x * x))), 6) AS first, round(e[16] / sqrt(list_sum(list_transform(e, lambda x: x * x))), 6) AS last FROM emb")
 def hash_embed(spark, sf):
-    return r.hash_embedding(table(spark, sf, "documents")).select("doc_id", F.round(F.col("embedding")[0], 6).alias("first"), F.round(F.col("embedding")[15], 6).alias("last"))
+    return r.hash_embedding(spread(table(spark, sf, "documents").select("doc_id", "text"))).select("doc_id", F.round(F.col("embedding")[0], 6).alias("first"), F.round(F.col("embedding")[15], 6).alias("last"))
 
 
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
@@ -89,9 +95,9 @@ RRF = """f AS (SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.doc_id, b.doc_id
 
 
 def _channels(spark, sf):
-    docs, (index, n) = table(spark, sf, "documents"), _index(spark, sf)
+    index, n = _index(spark, sf)
     asked = r.hash_embedding(_asked(spark, sf).withColumnRenamed("qid", "doc_id")).select(F.col("doc_id").alias("qid"), F.col("embedding").alias("q"))
-    return r.vector_search(r.hash_embedding(docs), asked, 10), r.keyword_search(index, n, r.query_terms(_asked(spark, sf)), k=10)
+    return r.vector_search(r.embedded(index), asked, 10), r.keyword_search(index, n, r.query_terms(_asked(spark, sf)), k=10)
 
 
 @query(f"WITH {BOTH}, {WEIGHTED} {TOP.format('f', 5)}")
@@ -107,26 +113,26 @@ def rrf_fusion(spark, sf):
 @query(f"""WITH {INDEX}, {_keyword(IDF)}, t AS ({TOP.format('h', 3)}) SELECT qid, string_agg(substr(text, 1, 200), chr(10) || chr(10) ORDER BY rank) AS context,
   string_agg('[' || rank || '] ' || doc_id, '; ' ORDER BY rank) AS citations FROM t JOIN documents USING (doc_id) GROUP BY qid""")
 def citations(spark, sf):
-    index, n = _index(spark, sf)
-    return r.context(r.keyword_search(index, n, r.query_terms(_asked(spark, sf)), k=3), table(spark, sf, "documents"))
+    return r.context(_search(spark, sf, k=3), table(spark, sf, "documents"))
 
 
 @query(f"WITH {INDEX}, {_keyword(TFIDF)}, t AS ({TOP.format('h', 5)}), c AS (SELECT qid, round(greatest(avg(score) * (1 - 0.2e0), 0), 4) AS confidence FROM t GROUP BY qid) SELECT *, confidence < 0.5 AS review FROM c")
 def answer_confidence(spark, sf):
-    index, n = _index(spark, sf)
-    return r.answer_confidence(r.keyword_search(index, n, r.query_terms(_asked(spark, sf)), "tfidf"), 0.2)
+    return r.answer_confidence(_search(spark, sf, "tfidf"), 0.2)
 
 
 _NUM = r"list_slice(regexp_extract_all(answer, '\d+(?:\.\d+)?'), 1, 5)"
 _HEDGED = " + ".join(f"CASE WHEN contains(lower(answer), '{h}') THEN 0.2e0 ELSE 0e0 END" for h in r.HEDGES)
 
 
-@query(rf"""WITH c AS (SELECT u.conv_id, max(CASE WHEN role = 'assistant' THEN text END) AS answer, max(CASE WHEN role = 'user' THEN text END) AS evidence FROM conversations u GROUP BY conv_id),
+@query(rf"""WITH c AS (SELECT u.conv_id, nullif(string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE role = 'assistant'), '') AS answer, nullif(string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE role <> 'assistant'), '') AS evidence FROM conversations u GROUP BY conv_id),
 s AS (SELECT conv_id, round(least({_HEDGED} + least(0.3e0 * len(list_filter({_NUM}, lambda x: NOT contains(evidence, x))), 0.5e0), 1e0), 4) AS score FROM c WHERE answer IS NOT NULL AND evidence IS NOT NULL)
 SELECT conv_id, score, score > 0.3 AS flagged FROM s""")
 def grounding_check(spark, sf):
-    said = lambda role: F.max(F.when(F.col("role") == role, F.col("text")))
-    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(said("assistant").alias("answer"), said("user").alias("evidence")).filter("answer IS NOT NULL AND evidence IS NOT NULL")
+    """All of a conversation's assistant turns against all of its other turns, in order."""
+    turns = lambda test: F.nullif(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(test & F.col("text").isNotNull(), F.struct("turn", "text")))), lambda x: x["text"]), "\n"), F.lit(""))
+    mine = F.col("role") == "assistant"
+    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(turns(mine).alias("answer"), turns(~mine).alias("evidence")).filter("answer IS NOT NULL AND evidence IS NOT NULL")
     score, flagged = r.grounding(F.col("answer"), F.col("evidence"))
     return rows.select("conv_id", score.alias("score"), flagged.alias("flagged"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import astro
 from ..operators import sky as s
+from ..sources.shared import spread
 from .base import registrar, table
 
 QUERIES, ORACLE_SQL, query = registrar()
@@ -145,7 +146,7 @@ _SPEC = "sp AS (SELECT l_suppkey AS spec, 3700 + 10.0e0 * l_linenumber + l_quant
 
 
 def _spectra(spark, sf):
-    return table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("spec"), (3700 + 10.0 * F.col("l_linenumber") + F.col("l_quantity")).alias("wave"), (F.col("l_extendedprice") / 1000).alias("flux"))
+    return spread(table(spark, sf, "lineitem")).select(F.col("l_suppkey").alias("spec"), (3700 + 10.0 * F.col("l_linenumber") + F.col("l_quantity")).alias("wave"), (F.col("l_extendedprice") / 1000).alias("flux"))
 
 
 # Windows of lines as (name, from, to, rest wavelength).

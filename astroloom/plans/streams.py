@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import corpus as c
+from ..operators import models
+from ..operators import retrieval as r
+from ..sources.shared import shared_dir
 from ..streaming import incremental as inc
 from .base import registrar, table
 
@@ -14,9 +17,8 @@ QUERIES, ORACLE_SQL, query = registrar()
 
 
 def _work(spark) -> str:
-    """A folder of its own in the cluster's shared one; a temporary one only where none is set, as in tests."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="streams-")
-    return f"{shared}/stream-{uuid.uuid4().hex}"
+    """A folder of its own in the cluster's shared one."""
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _events(spark, sf):
@@ -26,21 +28,27 @@ def _events(spark, sf):
     return rows.select(F.col("user_id").alias("source"), F.col("ts").cast("timestamp").alias("ts"), "value", "event_id", "event_type")
 
 
-@query("""WITH m AS (SELECT max(ts) AS top FROM events), w AS (SELECT user_id AS source, time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS n, round(avg(value) + 1e-9, 4) AS mean FROM events GROUP BY ALL)
-SELECT source, CAST(epoch(start) AS BIGINT) AS start, n, mean FROM w, m WHERE start + INTERVAL 1 DAY <= top - INTERVAL 1 HOUR""")
+def _stored_events(spark, sf):
+    return table(spark, sf, "events").select(F.col("user_id").alias("source"), F.col("ts").cast("timestamp").alias("ts"), "value")
+
+
+@query("SELECT user_id AS source, CAST(epoch(time_bucket(INTERVAL 1 DAY, ts)) AS BIGINT) AS start, count(*) AS n, round(avg(value) + 1e-9, 4) AS mean FROM events GROUP BY ALL")
 def stream_downsample(spark, sf):
+    """The stream's closed days and, as of now, the open ones."""
     work = _work(spark)
     inc.to_parquet(inc.downsampled(_events(spark, sf), "1 day"), f"{work}/out", f"{work}/state")
-    return spark.read.parquet(f"{work}/out").select("source", F.unix_timestamp("start").alias("start"), "n", F.round(F.col("mean") + 1e-9, 4).alias("mean"))
+    rows = inc.with_open(spark.read.parquet(f"{work}/out"), _stored_events(spark, sf), lambda e: inc.windowed(e, "1 day"))
+    return rows.select("source", F.unix_timestamp("start").alias("start"), "n", F.round(F.col("mean") + 1e-9, 4).alias("mean"))
 
 
-@query("""WITH m AS (SELECT max(ts) AS top FROM events), g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 12 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM g), s AS (SELECT user_id AS source, min(ts) AS start, max(ts) AS last, count(*) AS n, max(value) AS top FROM r GROUP BY user_id, run)
-SELECT source, CAST(floor(epoch(start)) AS BIGINT) AS start, n, s.top FROM s, m WHERE last + INTERVAL 12 HOUR <= m.top - INTERVAL 1 HOUR""")
+@query("""WITH g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 12 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM g)
+SELECT user_id AS source, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, count(*) AS n, max(value) AS top FROM r GROUP BY user_id, run""")
 def stream_sessions(spark, sf):
     work = _work(spark)
     inc.to_parquet(inc.observing_runs(_events(spark, sf), "12 hours"), f"{work}/out", f"{work}/state")
-    return spark.read.parquet(f"{work}/out").select("source", F.unix_timestamp("start").alias("start"), "n", "top")
+    rows = inc.with_open(spark.read.parquet(f"{work}/out"), _stored_events(spark, sf), lambda e: inc.runs(e, "12 hours"))
+    return rows.select("source", F.unix_timestamp("start").alias("start"), "n", "top")
 
 
 @query("SELECT event_id FROM events")
@@ -65,3 +73,39 @@ def knowledge_resolve(spark, sf):
     rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("content"), (F.col("o_totalprice") / 600000).alias("confidence"), F.col("o_orderdate").cast("timestamp").alias("ts"), "o_orderkey")
     half = lambda k: rows.filter(F.col("o_orderkey") % 2 == k).drop("o_orderkey")
     return inc.resolved(half(0), half(1), ["id"]).select("id", "content", "confidence", "note")
+
+
+@query("SELECT user_id AS source, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY ALL")
+def stream_new_keys(spark, sf):
+    """A source that repeats itself: every pair of user and type is new once, over two runs of the same events."""
+    work = _work(spark)
+    for run in (1, 2):  # the second run has a checkpoint of its own, so it reads everything again
+        keyed = _events(spark, sf).withColumn("key", F.concat_ws("|", F.col("source").cast("string"), "event_type"))
+        seen = spark.read.parquet(f"{work}/1/seen").select("key").distinct() if run == 2 else None
+        inc.new_rows(keyed if seen is None else keyed.join(seen, "key", "left_anti"), "key", f"{work}/{run}", f"{work}/state-{run}")
+    rows = spark.read.parquet(f"{work}/1/rows").unionByName(spark.read.parquet(f"{work}/2/rows"))
+    return rows.groupBy("source", "event_type").agg(F.count("*").alias("n"))
+
+
+def _documents(spark, sf):
+    schema = table(spark, sf, "documents").schema
+    return inc.event_stream(spark, f"{sf}/documents.parquet*", schema).select("doc_id", "text")
+
+
+@query(r"""SELECT doc_id, 'by' AS kind, CAST(unnest(regexp_extract_all(text, 'BY (\d+\.\d+)', 1)) AS DOUBLE) AS value FROM documents""")
+def stream_facts(spark, sf):
+    """Statements extracted from each new document as it arrives."""
+    work = _work(spark)
+    found = c.facts(_documents(spark, sf), (("by", r"BY (\d+\.\d+)()", 0.8),)).select("doc_id", "kind", "value")
+    inc.to_parquet(found, f"{work}/out", f"{work}/state")
+    return spark.read.parquet(f"{work}/out")
+
+
+@query(r"""WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '\p{L}{2,}')) AS term FROM documents), post AS (SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY ALL)
+SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS n FROM post GROUP BY term""")
+def stream_index(spark, sf):
+    """Postings appended batch by batch; document frequencies are an aggregate of them."""
+    work = _work(spark)
+    index = models.TextIndex(f"{work}/index")
+    inc.by_batch(_documents(spark, sf), index.postings_path, f"{work}/state", r.postings)
+    return r.term_statistics(models.TextIndex(f"{work}/index").postings(spark))

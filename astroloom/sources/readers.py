@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 # Column order of the survey files.
 ZTF = "c0 STRING, c1 STRING, hjd DOUBLE, mjd DOUBLE, mag DOUBLE, magerr DOUBLE, catflags INT, filtercode STRING"
 ASASSN = "jd DOUBLE, flux DOUBLE, flux_err DOUBLE, mag DOUBLE, mag_err DOUBLE, `limit` DOUBLE, quality STRING, phot_filter STRING"
-TESS = "time DOUBLE, flux DOUBLE, flux_err DOUBLE, quality INT"
+TESS = "time DOUBLE, flux DOUBLE, flux_err DOUBLE, " + ", ".join(f"c{k} STRING" for k in range(3, 13)) + ", quality INT"
+TIME_COLUMNS, FLUX_COLUMNS = ("time", "TIME", "bjd", "btjd"), ("pdcsap_flux", "SAP_FLUX", "flux", "kspsap_flux")
 BTJD, GAIA_JD = 2457000.0, 2455197.5
 CONVERSATION = "id STRING, conversations ARRAY<STRUCT<`from`: STRING, value: STRING>>, metadata MAP<STRING, STRING>"
 
@@ -36,8 +37,8 @@ def asassn_headers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tess(spark: SparkSession, path: str) -> DataFrame:
-    """Quality 0 samples; empty cells are null; times as BJD."""
-    rows = _file(spark.read.schema(TESS).option("header", True).option("nullValue", "").csv(path)).filter("quality = 0 AND flux IS NOT NULL")
+    """Quality 0 samples, the quality being the 14th column; empty cells are null; times as BJD."""
+    rows = _file(spark.read.schema(TESS).option("header", True).option("enforceSchema", True).option("nullValue", "").csv(path)).filter("quality = 0 AND flux IS NOT NULL")
     return rows.select("source", F.lit("tess").alias("survey"), F.lit("tess").alias("band"), (F.col("time") + BTJD).alias("t"), F.col("flux").alias("mag"), F.col("flux_err").alias("err"), F.col("quality").alias("flag"))
 
 
@@ -76,3 +77,58 @@ def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def spectrum(rows: DataFrame) -> DataFrame:
     """(spec, wave, flux) from (spec, loglam ARRAY, flux ARRAY)."""
     return rows.select("spec", F.explode(F.arrays_zip("loglam", "flux")).alias("x")).select("spec", F.pow(F.lit(10.0), F.col("x.loglam")).alias("wave"), F.col("x.flux").alias("flux"))
+
+
+def ztf_summary(spark: SparkSession, path: str) -> DataFrame:
+    """(source, n, mean, span, bands) of the samples with catflags below 32768, from files with named columns in any case."""
+    rows = spark.read.option("header", True).csv(path)
+    rows = _file(rows.toDF(*[c.lower() for c in rows.columns])).filter(F.col("catflags").try_cast("int") < 32768)
+    mag, day = F.col("mag").try_cast("double"), F.col("mjd").try_cast("double")
+    return rows.groupBy("source").agg(F.count("*").alias("n"), F.avg(mag).alias("mean"), (F.max(day) - F.min(day)).alias("span"), F.array_sort(F.collect_set("filtercode")).alias("bands"))
+
+
+def flux_table(spark: SparkSession, path: str) -> DataFrame:
+    """(source, t, flux, mag) from files whose time and flux columns are the first present of a list; positive, finite
+    fluxes only. mag is the magnitude about its median."""
+    rows = _file(spark.read.option("header", True).option("caseSensitive", True).csv(path))
+    time, flux = (next((c for c in names if c in rows.columns), None) for names in (TIME_COLUMNS, FLUX_COLUMNS))
+    if time is None or flux is None:
+        raise ValueError(f"no time or no flux column among {rows.columns}")
+    rows = rows.select("source", F.col(time).try_cast("double").alias("t"), F.col(flux).try_cast("double").alias("flux")).filter("flux > 0 AND flux < double('inf')")
+    rows = rows.withColumn("mag", -2.5 * F.log10("flux"))
+    middle = rows.groupBy("source").agg(F.median("mag").alias("_m"))
+    return rows.join(middle, "source").withColumn("mag", F.col("mag") - F.col("_m")).drop("_m")
+
+
+def catalogue(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """The named columns of a Parquet catalogue; nothing else is read."""
+    return spark.read.parquet(path).select(*columns)
+
+
+# What an analysis file of a target holds.
+ANALYSIS = (
+    "name STRING, ra DOUBLE, dec DOUBLE, extinction STRUCT<success: BOOLEAN, A_V: DOUBLE, E_B_V: DOUBLE>, "
+    "ztf STRUCT<success: BOOLEAN, n_points: LONG>, timestamp STRING"
+)
+
+
+def analyses(spark: SparkSession, path: str) -> DataFrame:
+    """(Name, RA, DEC, A_V, E_B_V, ZTF_Points, Timestamp) of a folder of analyses; blank where a part of one failed."""
+    rows = spark.read.schema(ANALYSIS).option("multiLine", True).json(path)
+    of = lambda part, field: F.when(F.col(f"{part}.success"), F.col(f"{part}.{field}"))
+    return rows.select(
+        F.col("name").alias("Name"), F.col("ra").alias("RA"), F.col("dec").alias("DEC"), of("extinction", "A_V").alias("A_V"), of("extinction", "E_B_V").alias("E_B_V"),
+        of("ztf", "n_points").alias("ZTF_Points"), F.col("timestamp").alias("Timestamp"),
+    )
+
+
+def directory_files(spark: SparkSession, path: str, extensions: tuple[str, ...]) -> DataFrame:
+    """(path, length) of the files below a folder with one of the extensions, each once; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length").dropDuplicates(["path"])
+    return files.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin([e.lower().lstrip(".") for e in extensions]))
+
+
+def wave_flux(rows: DataFrame) -> DataFrame:
+    """(spec, wave, flux) from (spec, wave ARRAY, flux ARRAY); other columns are header fields and stay."""
+    rest = [c for c in rows.columns if c not in ("spec", "wave", "flux")]
+    return rows.select("spec", *rest, F.explode(F.arrays_zip("wave", "flux")).alias("x")).select("spec", *rest, "x.wave", "x.flux")

@@ -18,6 +18,18 @@ def json_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def json_array(rows: DataFrame, path: str) -> None:
+    """One file that is a JSON array: for sets that a reader loads whole, so they are small; order by the rows' text."""
+    lines = rows.select(F.to_json(F.struct("*")).alias("line"))
+    whole = lines.groupBy().agg(F.concat(F.lit("[\n"), F.array_join(F.array_sort(F.collect_list("line")), ",\n"), F.lit("\n]")).alias("value"))
+    whole.coalesce(1).write.mode("overwrite").text(path)
+
+
+def stored_index(spark: SparkSession, name: str) -> DataFrame:
+    """The postings that ``index`` wrote."""
+    return spark.table(name)
+
+
 def table_text(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 
@@ -35,9 +47,12 @@ def index(postings: DataFrame, name: str, buckets: int = 64) -> None:
 def resume(spark: SparkSession, inputs: DataFrame, key: str, path: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Appends ``work`` of the inputs whose key the output at ``path`` lacks, and returns all of the output."""
     try:
-        done = spark.read.parquet(path).select(key).distinct()
-        inputs = inputs.join(done, key, "left_anti")
-    except AnalysisException:
-        pass  # nothing is there yet
+        done = spark.read.parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        done = None  # nothing is there yet
+    if done is not None:
+        inputs = inputs.join(done.select(key).distinct(), key, "left_anti")
     work(inputs).write.mode("append").parquet(path)
     return spark.read.parquet(path)

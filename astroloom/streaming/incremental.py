@@ -17,22 +17,63 @@ def event_stream(spark: SparkSession, path: str, schema, files_per_trigger: int
 
 def downsampled(events: DataFrame, width: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """Mean and count per source and window; tumbling, or sliding with ``slide``."""
-    window = F.window("ts", width, slide) if slide else F.window("ts", width)
-    rows = events.withWatermark("ts", late).groupBy("source", window.alias("w")).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
-    return rows.select("source", F.col("w.start").alias("start"), "n", "mean")
+    return windowed(events.withWatermark("ts", late), width, slide)
 
 
 def observing_runs(events: DataFrame, gap: str, late: str = "1 hour") -> DataFrame:
     """Runs of a source's samples with no gap as long as ``gap``."""
-    rows = events.withWatermark("ts", late).groupBy("source", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"), F.max("value").alias("top"))
-    return rows.select("source", F.col("w.start").alias("start"), "n", "top")
+    return runs(events.withWatermark("ts", late), gap)
 
 
 def first_seen(events: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
-    """Each key once within the watermark: the persistent seen-set of a new-document source."""
+    """Each key once within the watermark; ``new_rows`` remembers keys for good."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
+def new_rows(stream: DataFrame, key: str, path: str, checkpoint: str, change: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Appends the rows whose key no earlier batch had, changed, to ``path/rows``, and their keys to ``path/seen``: the
+    persistent seen-set of a new-document source. Of a batch's rows that share a key one stays. A batch that is run
+    again sees the keys of earlier batches only and overwrites what it wrote."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        fresh = rows.dropDuplicates([key])
+        if batch:  # batches are numbered from 0, and every one writes its keys
+            seen = spark.read.option("basePath", f"{path}/seen").parquet(f"{path}/seen/batch=*").filter(F.col("batch") < batch)
+            fresh = fresh.join(seen.select(key).distinct(), key, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+        kept = spark.read.schema(fresh.schema).parquet(f"{path}/rows/batch={batch}")
+        kept.select(key).write.mode("overwrite").parquet(f"{path}/seen/batch={batch}")
+        if change:
+            change(kept).write.mode("overwrite").parquet(f"{path}/changed/batch={batch}")
+
+    stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+
+
+def every(hours: float) -> dict[str, str]:
+    """The trigger of a source that is polled every n hours, for writeStream.trigger(**every(6))."""
+    return {"processingTime": f"{int(hours * 3600)} seconds"}
+
+
+def with_open(closed: DataFrame, events: DataFrame, windows: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Closed windows (source, start, end, ...) that a stream wrote, and those that are still open: ``windows`` over the
+    events that no closed window of their source covers."""
+    last = closed.groupBy("source").agg(F.max("end").alias("_end"))
+    rest = events.join(last, "source", "left").filter(F.col("_end").isNull() | (F.col("ts") >= F.col("_end"))).drop("_end")
+    return closed.unionByName(windows(rest))
+
+
+def windowed(events: DataFrame, width: str, slide: str | None = None) -> DataFrame:
+    window = F.window("ts", width, slide) if slide else F.window("ts", width)
+    rows = events.groupBy("source", window.alias("w")).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    return rows.select("source", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "mean")
+
+
+def runs(events: DataFrame, gap: str) -> DataFrame:
+    rows = events.groupBy("source", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"), F.max("value").alias("top"))
+    return rows.select("source", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "top")
+
+
 def variability(events: DataFrame) -> DataFrame:
     """Running count, mean, population sigma and flag (sigma over a tenth of the mean) of each source; update mode."""
     rows = events.groupBy("source").agg(F.count("*").alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"))

@@ -127,7 +127,7 @@ def test_calibration(spark):
 
 def test_files(spark, tmp_path):
     (tmp_path / "star_ztf.csv").write_text("a,b,c,d,e,f,g,h\nx,y,1.5,2,15.1,0.1,0,zg\nx,y,1.6,2,15.2,0.1,32768,zg\n")
-    (tmp_path / "s_tess_spoc.csv").write_text("time,flux,flux_err,quality\n1.0,5.0,0.1,0\n2.0,,0.1,0\n3.0,5.0,0.1,4\n")
+    (tmp_path / "s_tess_spoc.csv").write_text("".join(f"{t},{f},0.1,{',' * 9},{q}\n" for t, f, q in [("time", "flux", "quality"), (1.0, 5.0, 0), (2.0, "", 0), (3.0, 5.0, 4)]))
     (tmp_path / "asas_1.csv").write_text("# name: X; ra: 1.5\n1.0,2,0.1,15.0,0.1,17.0,G,V\n1.0,2,0.1,18.0,0.1,17.0,G,V\n")
     (tmp_path / "topic.txt").write_text("short\n\n" + "long paragraph " * 6)
     assert [(r.source, r.band, r.t) for r in readers.ztf(spark, str(tmp_path / "star_ztf.csv")).collect()] == [("star_ztf", "zg", 1.5)]
