@@ -245,10 +245,10 @@ def band_agree(spark, sf):
 
 
 @query(f"""WITH {LC}, f AS (SELECT source, pow(10, 0.4 * (25 - mag)) AS flux FROM good)
-SELECT source, round(avg(log10(flux)), 6) AS log_flux, round(avg(25 - 2.5 * log10(flux)), 4) AS mag, round(avg(abs(-2.5 / ln(10) * 0.02)), 6) AS mag_err FROM f GROUP BY source""")
+SELECT source, round(avg(log10(flux)) + 1e-9, 6) AS log_flux, round(avg(25 - 2.5 * log10(flux)) + 1e-9, 4) AS mag, round(avg(abs(-2.5 / ln(10) * 0.02)), 6) AS mag_err FROM f GROUP BY source""")
 def lc_flux(spark, sf):
     flux = _good(spark, sf).withColumn("flux", astro.mag_to_flux(F.col("mag")))
-    return flux.groupBy("source").agg(F.round(F.avg(F.log10("flux")), 6).alias("log_flux"), F.round(F.avg(astro.flux_to_mag(F.col("flux"))), 4).alias("mag"), F.round(F.avg(astro.mag_error(F.col("flux"), 0.02 * F.col("flux"))), 6).alias("mag_err"))
+    return flux.groupBy("source").agg(F.round(F.avg(F.log10("flux")) + 1e-9, 6).alias("log_flux"), F.round(F.avg(astro.flux_to_mag(F.col("flux"))) + 1e-9, 4).alias("mag"), F.round(F.avg(astro.mag_error(F.col("flux"), 0.02 * F.col("flux"))), 6).alias("mag_err"))
 
 
 @query("""SELECT l_orderkey AS source, band, count(*) AS n, round(avg(mag) + 1e-9, 4) AS mag FROM (

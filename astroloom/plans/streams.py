@@ -92,11 +92,11 @@ def _documents(spark, sf):
     return inc.event_stream(spark, f"{sf}/documents.parquet*", schema).select("doc_id", "text")
 
 
-@query(r"""SELECT doc_id, 'by' AS kind, CAST(unnest(regexp_extract_all(text, 'BY (\d+\.\d+)', 1)) AS DOUBLE) AS value FROM documents""")
+@query(r"""SELECT doc_id, 'version' AS kind, CAST(unnest(regexp_extract_all(text, 'ersion (\d+)', 1)) AS DOUBLE) AS value FROM documents""")
 def stream_facts(spark, sf):
     """Statements extracted from each new document as it arrives."""
     work = _work(spark)
-    found = c.facts(_documents(spark, sf), (("by", r"BY (\d+\.\d+)()", 0.8),)).select("doc_id", "kind", "value")
+    found = c.facts(_documents(spark, sf), (("version", r"ersion (\d+)()", 0.8),)).select("doc_id", "kind", "value")
     inc.to_parquet(found, f"{work}/out", f"{work}/state")
     return spark.read.parquet(f"{work}/out")
 
