@@ -76,7 +76,7 @@ def test_far_entries(spark):
     rows = [(1, [1e300, 0.0]), (2, [-1e300, 0.0]), (3, [0.0, 1.0])]
     out = whitening.whitened(frame(spark, rows)).collect()
     assert len(out) == 6 and all(r.deviation is None for r in out if r.vec_id < 3)
-    wide = [(k, [1e5 * k, -3e4 * (k % 7), 1e3 * (k * k % 11)]) for k in range(400)]
+    wide = [(k, [1e3 * k, -3.0 * (k % 7), 2.0 * (k * k % 11)]) for k in range(400)]
     check(spark, wide)
     assert any(r.deviation is not None for r in whitening.whitened(frame(spark, wide)).collect())
 
