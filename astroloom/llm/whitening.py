@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from decimal import Decimal
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import DenseMatrix
@@ -123,6 +124,7 @@ def whitened(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding",
     per_block = max(1, min(BLOCK_BYTES // (8 * d), max(BLOCK_ROWS, n // (4 * spark.sparkContext.defaultParallelism))))
     mean = F.array(*[F.lit(s / n) for s in total])
     matrix = block_matrix(rows.select("index", F.transform("x", lambda v, j: v.cast("double") - mean[j]).alias("row")), n, d, per_block)
+    matrix.persist(StorageLevel.MEMORY_AND_DISK)  # read by each product, twice by the first; made again where it is lost
     parts = -(-n // per_block)
     scatter = product(matrix.transpose(), matrix, parts).toLocalMatrix().toArray()
     values, basis = np.linalg.eigh((scatter + scatter.T) / (2 * n))
@@ -133,6 +135,7 @@ def whitened(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding",
     projected = product(matrix, weights, 1)
     both = rows.select("index", F.col("id"), deviation(n, total, ends).alias("deviation")).join(rows_of(projected), "index")
     both = written(both.select("id", "deviation", "row"))
+    matrix._java_matrix_wrapper.call("blocks").unpersist(False)
     # Every pair's covariance in one pass, centred as it goes.
     pairs = [(i, j) for i in range(kept) for j in range(i, kept) if varies[i] and varies[j]]
     found = both.agg(F.count("*"), *[F.covar_pop(F.col("row")[i], F.col("row")[j]) for i, j in pairs]).first()[1:]
