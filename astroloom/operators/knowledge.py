@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .blocks import beside, placed
+
 
 def sections(docs: DataFrame, header: str) -> DataFrame:
     """(doc_id, section, heading, n_lines, n_chars): lines between a line that matches ``header`` and the next; section 0
@@ -47,8 +49,8 @@ def profiles(entries: DataFrame, key: str, kind: str, snippets: DataFrame, n: in
 
 def steps(events: DataFrame, target: str, order: list[str]) -> DataFrame:
     """Adds ``step``, the running number within a target, and ``first_use``, the step where a reference first occurs."""
-    rows = events.withColumn("step", F.row_number().over(W.partitionBy(target).orderBy(*order)))
-    return rows.withColumn("first_use", F.min("step").over(W.partitionBy(target, "ref")))
+    rows = placed(events, [target], order, "_at").withColumn("step", (F.col("_at") + 1).cast("int")).drop("_at")
+    return beside(rows, rows.groupBy(target, "ref").agg(F.min("step").alias("first_use")), [target, "ref"])
 
 
 def merged_retrieval(sources: list[tuple[DataFrame, float, float]], k: int) -> DataFrame:

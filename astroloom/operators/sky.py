@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import astro
+from .blocks import scanned
 
 
 def cone(catalogue: DataFrame, ra: float, dec: float, radius: float, order: str | None = None, n: int | None = None) -> DataFrame:
@@ -86,11 +87,32 @@ def dust(catalogue: DataFrame, dust_map: DataFrame, nside: int, ratio: float = 3
     return rows.withColumn("ebv", F.coalesce(F.nanvl("ebv", F.lit(None).cast("double")), F.lit(0.0))).withColumn("a_v", ratio * F.col("ebv"))
 
 
-def reddening_at(catalogue: DataFrame, steps: DataFrame) -> DataFrame:
-    """As-of join: of the steps (pixel, bin, ebv) of the row's pixel, the farthest with bin <= distance; null before."""
-    joined = catalogue.join(steps, "pixel", "left")
-    at = F.when(F.col("bin") <= F.col("distance"), F.col("bin"))
-    return joined.groupBy("id").agg(F.max_by("ebv", at).alias("ebv"), F.max(at).alias("bin"))
+def reddening_at(catalogue: DataFrame, steps: DataFrame, values: tuple[str, ...] = ("ebv",)) -> DataFrame:
+    """As-of join: (id, values, bin) of the farthest step (pixel, bin, values) of the row's pixel with bin <= distance; null
+    before the first and for a null distance.
+
+    Rows and steps are put in one order of pixel and distance, and each row takes the last step before it, so a row meets
+    one step however many its pixel has, and a pixel of many rows is cut into ranges."""
+    step = F.struct(F.col("bin").cast("double").alias("bin"), *values)
+    kind = steps.select(step.alias("_step")).schema["_step"].dataType
+    merged = steps.filter("bin IS NOT NULL").select("pixel", F.col("bin").cast("double").alias("_at"), F.lit(0).alias("_row_of"), F.lit(None).cast(catalogue.schema["id"].dataType).alias("id"), step.alias("_step"))
+    merged = merged.unionByName(catalogue.select("pixel", F.col("distance").cast("double").alias("_at"), F.lit(1).alias("_row_of"), "id", F.lit(None).cast(kind).alias("_step")))
+    found = scanned(merged, ["pixel"], ["_at", "_row_of"], lasts={"_last": F.col("_step")}).filter("_row_of = 1")
+    return found.select("id", *[F.col(f"_last.{v}").alias(v) for v in values], F.col("_last.bin").alias("bin"))
+
+
+def sample_quantile(samples: Column, share: float) -> Column:
+    """Quantile of an array with linear interpolation; null for an empty one."""
+    x = F.array_sort(F.filter(samples, lambda v: v.isNotNull()))
+    at = (F.size(x) - 1) * F.lit(float(share))
+    low, high = (F.get(x, f(at).cast("int")) for f in (F.floor, F.ceil))
+    return low + (high - low) * (at - F.floor(at))
+
+
+def reddening_percentiles(catalogue: DataFrame, steps: DataFrame) -> DataFrame:
+    """(id, bin, p16, median, p84) of the samples of E(B-V) that the row's step has."""
+    rows = reddening_at(catalogue, steps, ("samples",))
+    return rows.select("id", "bin", *[sample_quantile(F.col("samples"), q).alias(n) for n, q in (("p16", 0.16), ("median", 0.5), ("p84", 0.84))])
 
 
 def exploded_epochs(rows: DataFrame, lists: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .blocks import beside, quantiles, scanned, windowed
+
 TWO_PI = 2 * math.pi
 
 
@@ -21,7 +23,9 @@ def light_curves(events: DataFrame, source: str = "user_id", band: str = "event_
 
 
 def good(lc: DataFrame) -> DataFrame:
-    return lc.filter((F.col("flag") == 0) & F.col("t").isNotNull() & F.col("mag").isNotNull())
+    """Unflagged samples whose time and magnitude are finite."""
+    finite = lambda c: F.abs(F.nanvl(c, F.lit(None))) < float("inf")
+    return lc.filter((F.col("flag") == 0) & finite("t") & finite("mag"))
 
 
 def extent(lc: DataFrame) -> DataFrame:
@@ -32,11 +36,20 @@ def extent(lc: DataFrame) -> DataFrame:
 
 
 def statistics(lc: DataFrame, by: tuple[str, ...] = ("source", "band")) -> DataFrame:
-    """Variability statistics; standard deviations are of the population."""
-    return lc.groupBy(*by).agg(
-        F.count("*").alias("n"), F.median("mag").alias("mag_median"), F.avg("mag").alias("mag_mean"), F.min("mag").alias("mag_min"), F.max("mag").alias("mag_max"),
-        (F.max("mag") - F.min("mag")).alias("mag_delta"), F.stddev_pop("mag").alias("mag_std"), ((F.max("mag") - F.min("mag")) / 2 / F.median("mag")).alias("rel_semi_amp"),
+    """Variability statistics; standard deviations are of the population. Medians of large groups are found in ranges."""
+    rows = lc.groupBy(*by).agg(
+        F.count("*").alias("n"), F.avg("mag").alias("mag_mean"), F.min("mag").alias("mag_min"), F.max("mag").alias("mag_max"),
+        (F.max("mag") - F.min("mag")).alias("mag_delta"), F.stddev_pop("mag").alias("mag_std"),
     )
+    middle = quantiles(lc, list(by), "mag", {"mag_median": 0.5})
+    return beside(rows, middle, list(by)).withColumn("rel_semi_amp", F.col("mag_delta") / 2 / F.col("mag_median"))
+
+
+def centred(lc: DataFrame, floor: float = 1.1) -> DataFrame:
+    """Adds ``c``, the magnitude less its source's median, and ``lifted``, less ``floor`` times its source's minimum. Both
+    are joined back, one row for each source, so no source is held in a window."""
+    stats = beside(lc.groupBy("source").agg(F.min("mag").alias("_min")), quantiles(lc, ["source"], "mag", {"_mid": 0.5}), ["source"])
+    return beside(lc, stats, ["source"]).withColumns({"c": F.col("mag") - F.col("_mid"), "lifted": F.col("mag") - floor * F.col("_min")}).drop("_min", "_mid")
 
 
 def sigma_clip(lc: DataFrame, k: float = 3.0, rounds: int = 1, by: tuple[str, ...] = ("source",), low: float | None = None) -> DataFrame:
@@ -48,9 +61,9 @@ def sigma_clip(lc: DataFrame, k: float = 3.0, rounds: int = 1, by: tuple[str, ..
 
 
 def difference_features(lc: DataFrame) -> DataFrame:
-    """Shape and first differences in time order."""
-    step = F.col("mag") - F.lag("mag").over(W.partitionBy("source").orderBy("t", "mag"))
-    return lc.withColumn("d", step).groupBy("source").agg(
+    """Shape and first differences in time order; a source is cut into blocks of its order."""
+    stepped = windowed(lc, ["source"], ["t", "mag"], 1, 0, lambda w: {"d": F.col("mag") - F.lag("mag").over(w)})
+    return stepped.groupBy("source").agg(
         F.avg("mag").alias("mean"), F.stddev_pop("mag").alias("std"), F.percentile("mag", 0.25).alias("p25"), F.percentile("mag", 0.75).alias("p75"),
         F.skewness("mag").alias("skew"), F.stddev_pop("d").alias("diff_std"), F.avg(F.abs("d")).alias("diff_abs"),
     )
@@ -104,6 +117,14 @@ def pdm_best(periodogram: DataFrame) -> DataFrame:
     )
 
 
+def spans(lc: DataFrame, low: float, high: float, per_peak: float = 5.0) -> DataFrame:
+    """(source, step, n): each source's own frequency grid from ``low``, so fine that a peak, which is as wide as one over
+    the source's span, has ``per_peak`` samples; sources without a span have none."""
+    rows = lc.groupBy("source").agg((F.max("t") - F.min("t")).alias("_span")).filter("_span > 0")
+    step = 1 / (per_peak * F.col("_span"))
+    return rows.select("source", step.alias("step"), (F.floor((high - low) / step) + 1).cast("int").alias("n"))
+
+
 def _sums(w: Column, y: Column, arg: Column) -> list[Column]:
     s, c = F.sin(arg), F.cos(arg)
     terms = {"w": w, "y": w * y, "yy": w * y * y, "c": w * c, "s": w * s, "cc": w * c * c, "ss": w * s * s, "cs": w * c * s, "yc": w * y * c, "ys": w * y * s}
@@ -113,7 +134,20 @@ def _sums(w: Column, y: Column, arg: Column) -> list[Column]:
 def lomb_scargle(lc: DataFrame, low: float, high: float, n: int, weight: str | None = None, least: int = 10) -> DataFrame:
     """Floating-mean Lomb-Scargle periodogram (source, k, freq, power, c0, cs, cc) in closed form from weighted sums;
     c0 + cc cos + cs sin is the fitted model. Power is null where the frequency's design is degenerate."""
-    rows = lc.withColumn("g", F.explode(grid(low, high, n)))
+    return _spectrum(lc.withColumn("g", F.explode(grid(low, high, n))), weight, least)
+
+
+def lomb_scargle_spans(lc: DataFrame, low: float, high: float, per_peak: float = 5.0, weight: str | None = None, least: int = 10, block: int = 512) -> DataFrame:
+    """The same over each source's own grid (``spans``). A long span has many frequencies: a sample meets them in blocks,
+    each a row of its own until it is summed, so neither a grid nor a block's sums grow with the longest span."""
+    rows = lc.join(spans(lc, low, high, per_peak), "source")
+    rows = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / block).cast("int"))))
+    ks = F.sequence(F.col("_b") * block, F.least((F.col("_b") + 1) * block, F.col("n")) - 1)
+    return _spectrum(rows.withColumn("g", F.explode(F.transform(ks, lambda k: F.struct(k.alias("k"), (F.lit(low) + k * F.col("step")).alias("x"))))), weight, least)
+
+
+def _spectrum(rows: DataFrame, weight: str | None, least: int) -> DataFrame:
+    """Sums of samples that have met their frequencies, and the fit."""
     sums = rows.groupBy("source", "g").agg(*_sums(F.col(weight) if weight else F.lit(1.0), F.col("mag"), F.lit(TWO_PI) * F.col("g.x") * F.col("t")), F.count("*").alias("m"))
     v = lambda name: F.col(f"_{name}") / F.col("_w")
     rows = sums.filter(F.col("m") >= least).select(
@@ -197,19 +231,20 @@ def peak_ladder(series: DataFrame, wanted: int, distance: int, ladder: tuple[flo
     return first.select("source", "f.sigmas", "f.n_peaks")
 
 
-def detrend_rolling(lc: DataFrame, half: int, gap: float) -> DataFrame:
-    """Trend (mean of up to 2 * half + 1 samples of the same run) and flattened values; a gap longer than ``gap`` days
-    starts a new run."""
-    w = W.partitionBy("source").orderBy("t", "mag")
-    rows = lc.withColumn("_new", F.coalesce((F.col("t") - F.lag("t").over(w) > gap).cast("int"), F.lit(0)))
-    rows = rows.withColumn("run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
-    local = W.partitionBy("source", "run").orderBy("t", "mag").rowsBetween(-half, half)
-    return rows.withColumn("trend", F.avg("mag").over(local)).withColumn("flat", F.col("mag") / F.nullif("trend", F.lit(0.0)))
+def detrend_rolling(lc: DataFrame, half: int, gap: float | None = None, steps: float | None = None) -> DataFrame:
+    """Trend (mean of up to 2 * half + 1 samples of the same run) and flattened values. A gap longer than ``gap`` days, or
+    than ``steps`` times the source's median step, starts a new run. A source is cut into blocks of its order."""
+    rows = windowed(lc, ["source"], ["t", "mag"], 1, 0, lambda w: {"_step": F.col("t") - F.lag("t").over(w)})
+    if steps is not None:
+        rows = beside(rows, quantiles(rows, ["source"], "_step", {"_mid": 0.5}), ["source"])
+    long = F.col("_step") > (F.lit(gap) if steps is None else steps * F.col("_mid"))
+    rows = scanned(rows, ["source"], ["t", "mag"], {"run": F.coalesce(long.cast("int"), F.lit(0))}).drop("_step", "_mid")
+    rows = windowed(rows, ["source", "run"], ["t", "mag"], half, half, lambda w: {"trend": F.avg("mag").over(w.rowsBetween(-half, half))})
+    return rows.withColumn("flat", F.col("mag") / F.nullif("trend", F.lit(0.0)))
 
 
 def running_median(lc: DataFrame, half: int = 1) -> DataFrame:
-    w = W.partitionBy("source").orderBy("t", "mag").rowsBetween(-half, half)
-    return lc.withColumn("smooth", F.percentile("mag", 0.5).over(w))
+    return windowed(lc, ["source"], ["t", "mag"], half, half, lambda w: {"smooth": F.percentile("mag", 0.5).over(w.rowsBetween(-half, half))})
 
 
 def minimum_epoch(profile: DataFrame, period: float, bins: int, epoch: float = 0.0) -> DataFrame:
@@ -249,5 +284,5 @@ def monte_carlo(lc: DataFrame, draws: int, error: float, seed: int) -> DataFrame
 
 def sample_statistics(draws: DataFrame, value: str, by: str = "source") -> DataFrame:
     """Median, 16th and 84th percentile, and the errors to either side."""
-    p = draws.groupBy(by).agg(F.percentile(value, F.array(F.lit(0.16), F.lit(0.5), F.lit(0.84))).alias("p"))
-    return p.select(by, F.col("p")[1].alias("median"), F.col("p")[0].alias("p16"), F.col("p")[2].alias("p84"), (F.col("p")[2] - F.col("p")[1]).alias("upper"), (F.col("p")[1] - F.col("p")[0]).alias("lower"))
+    p = quantiles(draws, [by], value, {"median": 0.5, "p16": 0.16, "p84": 0.84})
+    return p.select(by, "median", "p16", "p84", (F.col("p84") - F.col("median")).alias("upper"), (F.col("median") - F.col("p16")).alias("lower"))

@@ -117,6 +117,17 @@ def lc_gls(spark, sf):
     return ts.lomb_scargle(_good(spark, sf), *FREQS).select("source", "k", F.round("freq", 6).alias("freq"), F.round("power", 5).alias("power"))
 
 
+_OWN = _gls("good", "mag", "ls").replace("FROM good, (SELECT", "FROM good JOIN sp USING (source), (SELECT")
+
+
+@query(f"""WITH {LC}, sp AS (SELECT source, 1 / (3e0 * (max(t) - min(t))) AS step FROM good GROUP BY source HAVING max(t) > min(t)),
+{_OWN[:_OWN.index("ls_g AS")]}ls_g AS (SELECT source, k, 0.1e0 + k * step AS f, t, mag FROM (SELECT good.*, step, unnest(range(CAST(floor(0.9e0 / step) AS INT) + 1)) AS k FROM good JOIN sp USING (source)) u),
+{_OWN[_OWN.index("ls_a AS"):]} SELECT source, CAST(k AS INT) AS k, round(freq, 6) AS freq, round(power, 5) AS power FROM ls""")
+def lc_gls_spans(spark, sf):
+    """Each source over its own grid: three samples to a peak, so the longer the span, the more frequencies."""
+    return ts.lomb_scargle_spans(_good(spark, sf), 0.1, 1.0, 3.0).select("source", "k", F.round("freq", 6).alias("freq"), F.round("power", 5).alias("power"))
+
+
 @query(f"WITH {LC}, {_gls('good', 'mag', 'ls')} SELECT source, round(freq, 6) AS freq, round(power, 5) AS power, round(sqrt(cs * cs + cc * cc), 4) AS amplitude, round(c0, 4) AS c0, m AS n FROM ls_best")
 def lc_gls_best(spark, sf):
     best = ts.best_frequency(ts.lomb_scargle(_good(spark, sf), *FREQS))
@@ -207,6 +218,14 @@ def lc_detrend(spark, sf):
     return ts.detrend_rolling(_good(spark, sf), 2, 1.5).groupBy("source", "run").agg(F.count("*").alias("n"), F.round(F.avg("flat"), 4).alias("flat_mean"))
 
 
+@query(f"""WITH {LC}, n AS (SELECT source, t, mag, t - lag(t) OVER w AS step FROM good WINDOW w AS (PARTITION BY source ORDER BY t, mag)), md AS (SELECT source, median(step) AS mid FROM n GROUP BY source),
+r AS (SELECT n.*, sum(CASE WHEN step > 3 * mid THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY t, mag ROWS UNBOUNDED PRECEDING) AS run FROM n JOIN md USING (source))
+SELECT source, CAST(run AS BIGINT) AS run, count(*) AS n FROM r GROUP BY ALL""")
+def lc_runs_by_step(spark, sf):
+    """Runs that end where a gap is three times the source's median step."""
+    return ts.detrend_rolling(_good(spark, sf), 2, steps=3.0).groupBy("source", "run").agg(F.count("*").alias("n"))
+
+
 @query(f"""WITH {LC}, s AS (SELECT source, quantile_cont(mag, 0.5) OVER (PARTITION BY source ORDER BY t, mag ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS smooth FROM good)
 SELECT source, round(sum(smooth), 3) AS total, round(max(smooth), 4) AS top FROM s GROUP BY source""")
 def lc_running_median(spark, sf):
@@ -216,11 +235,7 @@ def lc_running_median(spark, sf):
 @query(f"""WITH {LC}, c AS (SELECT source, mag - median(mag) OVER (PARTITION BY source) AS c, mag - 1.1 * min(mag) OVER (PARTITION BY source) AS lifted FROM good)
 SELECT source, round(avg(c), 4) AS centred_mean, round(min(lifted), 4) AS lifted_min FROM c GROUP BY source""")
 def lc_center(spark, sf):
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("source")
-    rows = _good(spark, sf).withColumns({"c": F.col("mag") - F.median("mag").over(w), "lifted": F.col("mag") - 1.1 * F.min("mag").over(w)})
-    return rows.groupBy("source").agg(F.round(F.avg("c"), 4).alias("centred_mean"), F.round(F.min("lifted"), 4).alias("lifted_min"))
+    return ts.centred(_good(spark, sf)).groupBy("source").agg(F.round(F.avg("c"), 4).alias("centred_mean"), F.round(F.min("lifted"), 4).alias("lifted_min"))
 
 
 @query(f"""WITH {LC}, s AS (SELECT source, band, count(*) AS n, (max(mag) - min(mag)) / 2 / median(mag) AS amp, stddev_pop(mag) / avg(0.05 * mag) AS ratio FROM good GROUP BY ALL)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
+from ..operators import pruned
 from ..operators import retrieval as r
 from ..sources.shared import spread, stored
 from .base import registrar, table
@@ -58,6 +59,27 @@ def match_count_topk(spark, sf):
     return _search(spark, sf, "count", least=2)
 
 
+def _pruned(spark, sf, method="idf", k=5, least=1):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    asked = r.query_terms(_asked(spark, sf))
+    return pruned.keyword_search(pruned.ImpactIndex.of(spread(docs), docs.count(), asked), asked, method, k, least)
+
+
+@query(f"WITH {INDEX}, {_keyword(IDF)} {TOP.format('h', 5)}")
+def kw_topk_pruned(spark, sf):
+    return _pruned(spark, sf)
+
+
+@query(f"WITH {INDEX}, {_keyword(TFIDF)} {TOP.format('h', 5)}")
+def tfidf_topk_pruned(spark, sf):
+    return _pruned(spark, sf, "tfidf")
+
+
+@query(f"WITH {INDEX}, {_keyword('1.0e0')} {TOP.format('(SELECT * FROM h WHERE matched >= 2)', 5)}")
+def match_count_pruned(spark, sf):
+    return _pruned(spark, sf, "count", least=2)
+
+
 @query(f"WITH {INDEX} SELECT term, CAST(count(*) AS BIGINT) AS df, CAST(sum(tf) AS BIGINT) AS n FROM post GROUP BY term")
 def corpus_stats(spark, sf):
     return r.term_statistics(_index(spark, sf)[0])

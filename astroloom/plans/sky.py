@@ -107,6 +107,19 @@ def reddening_asof(spark, sf):
     return s.reddening_at(rows, steps).filter("bin IS NOT NULL").select("id", "ebv", "bin")
 
 
+@query("""WITH b AS (SELECT l_orderkey, l_linenumber, [max(l_tax), max(l_discount), max(l_quantity) / 100] AS x FROM lineitem GROUP BY ALL),
+s AS (SELECT o_orderkey AS id, l_linenumber AS bin, x, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber DESC) AS i
+FROM orders JOIN b ON l_orderkey = o_orderkey AND l_linenumber <= o_orderkey % 5 + 0.5)
+SELECT id, CAST(bin AS DOUBLE) AS bin, round(list_aggregate(x, 'quantile_cont', 0.16), 6) AS p16, round(list_aggregate(x, 'quantile_cont', 0.5), 6) AS median, round(list_aggregate(x, 'quantile_cont', 0.84), 6) AS p84 FROM s WHERE i = 1""")
+def reddening_samples(spark, sf):
+    """Percentiles of the samples that the distance step of each row has; three columns stand for samples."""
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("pixel"), (F.col("o_orderkey") % 5 + 0.5).alias("distance"))
+    samples = F.array(F.max("l_tax"), F.max("l_discount"), F.max("l_quantity") / 100).alias("samples")
+    steps = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("pixel"), F.col("l_linenumber").alias("bin")).agg(samples)
+    out = s.reddening_percentiles(rows, steps).filter("bin IS NOT NULL")
+    return out.select("id", "bin", *[F.round(c, 6).alias(c) for c in ("p16", "median", "p84")])
+
+
 @query(f"WITH {C}, a AS (SELECT id, m, 1000 / nullif(greatest(m, 0), 0) AS d FROM c) SELECT id, round(d, 4) AS distance, round(15 - 5 * log10(d) + 5 - 2.364e0 * 0.1, 5) AS abs_mag FROM a")
 def abs_mag(spark, sf):
     d = astro.distance_pc(F.col("m"))

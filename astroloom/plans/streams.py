@@ -41,6 +41,15 @@ def stream_downsample(spark, sf):
     return rows.select("source", F.unix_timestamp("start").alias("start"), "n", F.round(F.col("mean") + 1e-9, 4).alias("mean"))
 
 
+@query("""SELECT user_id AS source, CAST(epoch(time_bucket(INTERVAL 12 HOUR, ts)) AS BIGINT) - 43200 * b AS start, count(*) AS n, round(avg(value) + 1e-9, 4) AS mean FROM events, (SELECT unnest([0, 1]) AS b) GROUP BY ALL""")
+def stream_sliding(spark, sf):
+    """Days that begin every 12 hours; of the open ones, those that began before the last closed one ended are whole."""
+    work = _work(spark)
+    inc.to_parquet(inc.downsampled(_events(spark, sf), "1 day", "12 hours"), f"{work}/out", f"{work}/state")
+    rows = inc.with_open(spark.read.parquet(f"{work}/out"), _stored_events(spark, sf), lambda e: inc.windowed(e, "1 day", "12 hours"), "1 day")
+    return rows.select("source", F.unix_timestamp("start").alias("start"), "n", F.round(F.col("mean") + 1e-9, 4).alias("mean"))
+
+
 @query("""WITH g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 12 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM g)
 SELECT user_id AS source, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, count(*) AS n, max(value) AS top FROM r GROUP BY user_id, run""")

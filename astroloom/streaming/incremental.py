@@ -55,12 +55,16 @@ def every(hours: float) -> dict[str, str]:
     return {"processingTime": f"{int(hours * 3600)} seconds"}
 
 
-def with_open(closed: DataFrame, events: DataFrame, windows: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Closed windows (source, start, end, ...) that a stream wrote, and those that are still open: ``windows`` over the
-    events that no closed window of their source covers."""
+def with_open(closed: DataFrame, events: DataFrame, windows: Callable[[DataFrame], DataFrame], width: str | None = None) -> DataFrame:
+    """Closed windows (source, start, end, ...) that a stream wrote, and those that are still open, which end after their
+    source's last closed one: ``windows`` over the events that can lie in such. Sliding windows overlap, so an open one may
+    begin up to a ``width`` before the last closed one ends; windows that do not overlap need none."""
     last = closed.groupBy("source").agg(F.max("end").alias("_end"))
-    rest = events.join(last, "source", "left").filter(F.col("_end").isNull() | (F.col("ts") >= F.col("_end"))).drop("_end")
-    return closed.unionByName(windows(rest))
+    begins = F.col("_end") - F.expr(f"INTERVAL {width}") if width else F.col("_end")
+    rest = events.join(last, "source", "left").filter(F.col("_end").isNull() | (F.col("ts") >= begins)).drop("_end")
+    made = windows(rest)
+    open_ = made.join(last, "source", "left").filter(F.col("_end").isNull() | (F.col("end") > F.col("_end"))).drop("_end")
+    return closed.unionByName(open_)
 
 
 def windowed(events: DataFrame, width: str, slide: str | None = None) -> DataFrame:

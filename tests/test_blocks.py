@@ -65,7 +65,10 @@ def test_places_of_equal_keys(spark):
 
 
 def test_quantiles(frame, rows):
-    got = {r.g: r for r in blocks.quantiles(frame, ["g"], "x", {"low": 0.16, "mid": 0.5, "high": 0.84}).collect()}
+    shares = {"low": 0.16, "mid": 0.5, "high": 0.84}
+    got = {r.g: r for r in blocks.quantiles(frame, ["g"], "x", shares, hot=100).collect()}
+    near = lambda df: sorted(str((r.g, round(r.low, 9), r.mid, round(r.high, 9))) for r in df.collect())
+    assert near(blocks.spread_quantiles(frame, ["g"], "x", shares)) == near(blocks.quantiles(frame, ["g"], "x", shares))
     assert set(got) == {"hot", "a", "b", None, "one"}
     for g, r in got.items():
         x = [q[2] for q in rows if q[0] == g and q[2] is not None]
@@ -77,4 +80,35 @@ def test_quantiles(frame, rows):
 def test_no_task_holds_a_group(frame):
     """Windows are cut by range or block, never by the group alone."""
     plan = blocks.scanned(frame, ["g"], ["t", "id"], {"n": F.lit(1)})._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(_p" in plan
+    assert "hashpartitioning(_scan_p" in plan
+
+
+def test_light_curves_with_a_hot_source(spark, monkeypatch):
+    """Detrending, medians, differences and statistics in small blocks and ranges give what one window for each source
+    gives; a third of all samples are one source's."""
+    from astroloom.operators import timeseries as ts
+
+    rng = random.Random(8)
+    rows = [(0 if k % 3 == 0 else k % 40, "r", rng.random() * 30 + (20 if rng.random() < 0.3 else 0), 10 + rng.random(), 0) for k in range(900)]
+    lc = spark.createDataFrame([*rows, (5, "r", float("nan"), 1.0, 0), (5, "r", 1.0, float("inf"), 0)], "source int, band string, t double, mag double, flag int")
+    lc = ts.good(lc)
+    assert lc.count() == 900
+
+    def results():
+        flat = ts.detrend_rolling(lc, 2, 1.5).select("source", "t", "run", F.round("trend", 9), F.round("flat", 9))
+        smooth = ts.running_median(lc, 2).select("source", "t", F.round("smooth", 9))
+        diff = ts.difference_features(lc).select("source", F.round("diff_abs", 9), F.round("p75", 9))
+        stats = ts.statistics(lc).select("source", "n", F.round("mag_median", 9), F.round("rel_semi_amp", 9))
+        mid = ts.centred(lc).select("source", "t", F.round("c", 9), F.round("lifted", 9))
+        return [sorted(map(tuple, df.collect())) for df in (flat, smooth, diff, stats, mid)]
+
+    want = results()
+    monkeypatch.setattr(blocks, "BLOCK", 16)
+    monkeypatch.setattr(blocks, "HOT", 50)
+    assert results() == want
+    found = {}
+    for s, _, t, m, _ in sorted(rows, key=lambda r: (r[0], r[2])):
+        found.setdefault(s, []).append(m)
+    smooth = {s: [round(statistics.median(m[max(0, k - 2) : k + 3]), 9) for k in range(len(m))] for s, m in found.items()}
+    assert [r[2] for r in want[1]] == [v for s in sorted(smooth) for v in smooth[s]]
+    assert {r[0]: r[2] for r in want[3]} == {s: round(statistics.median(m), 9) for s, m in found.items()}
