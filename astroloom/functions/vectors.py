@@ -42,6 +42,13 @@ def _scaled(v: Column, w: float) -> Column:
     return F.transform(v, lambda x: x * w)
 
 
+def concatenated(vectors: list[Column], dim: int) -> Column:
+    """The vectors that are present one after the other, cut or padded with zeros to ``dim``; null if none is."""
+    parts = F.filter(F.array(*vectors), lambda v: v.isNotNull())
+    padded = F.concat(F.flatten(parts), F.array_repeat(F.lit(0.0), dim))
+    return F.when(F.size(parts) > 0, F.slice(padded, 1, dim))
+
+
 def softmax_fusion(vectors: list[Column], scores: list[Column]) -> Column:
     """Fusion with softmax weights of the scores."""
     top = F.greatest(*scores)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
-from ..operators import pruned
+from ..operators import nearest, pruned
 from ..operators import retrieval as r
 from ..sources.shared import spread, stored
 from .base import registrar, table
@@ -168,3 +168,73 @@ def aligned_vectors(spark, sf):
     rows = table(spark, sf, "embeddings").select("vec_id", e.alias("e"))
     mean = F.zip_with("e", F.reverse("e"), lambda x, y: (x + y) / 2)
     return rows.select("vec_id", F.round(vx.dot(F.col("e"), F.col("e")) / 2, 6).alias("half"), F.round(vx.norm(mean), 6).alias("norm"))
+
+
+@query()
+def vec_topk_lsh(spark, sf):
+    """``vec_topk`` by random hyperplanes: approximate, so its recall is tested instead."""
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return nearest.VectorIndex.of(vectors).search(vectors.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), F.col("embedding").alias("q")))
+
+
+def _vector_queries(spark, sf):
+    return table(spark, sf, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+
+
+def _entries(spark, sf):
+    """Neighbouring vectors stand for an entry's two languages; every eleventh entry lacks the second."""
+    rows = table(spark, sf, "embeddings").withColumn("doc_id", F.floor(F.col("vec_id") / 2))
+    side = lambda n: F.max_by("embedding", F.when(F.col("vec_id") % 2 == n, F.col("vec_id")))
+    rows = rows.groupBy("doc_id").agg(side(0).alias("one"), F.when(F.col("doc_id") % 11 != 0, side(1)).alias("two"))
+    return rows.select("doc_id", "one", "two", F.concat(F.lit("one "), F.col("doc_id").cast("string")).alias("text_one"), F.concat(F.lit("two "), F.col("doc_id").cast("string")).alias("text_two"))
+
+
+_V = """v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+q AS (SELECT vec_id AS qid, e AS q FROM v WHERE vec_id % 20 = 0)"""
+_COSINE = "round(list_dot_product(q, m) / sqrt(list_dot_product(q, q) * list_dot_product(m, m)), 6) AS score"
+_ALIGNED = f"""{_V}, al AS (SELECT a.vec_id // 2 AS doc_id, list_transform(list_zip(a.e, b.e), lambda p: (p[1] + p[2]) / 2) AS m FROM v a JOIN v b ON b.vec_id = a.vec_id + 1 AND a.vec_id % 2 = 0 WHERE (a.vec_id // 2) % 11 <> 0),
+bh AS (SELECT qid, doc_id, {_COSINE} FROM q, al), bt AS ({TOP.format('bh', 3)})"""
+
+
+@query(f"WITH {_ALIGNED} SELECT * FROM bt")
+def bilingual_topk(spark, sf):
+    return nearest.bilingual_search(_entries(spark, sf), _vector_queries(spark, sf))
+
+
+@query(f"WITH {_ALIGNED} SELECT qid, language, language || ' ' || doc_id AS translation, score, rank FROM bt, (VALUES ('one'), ('two')) AS l(language) WHERE qid % 40 = 0 OR language = 'two'")
+def concept_translations(spark, sf):
+    """Every other query asks for both languages, the rest for the second."""
+    asked, entries = _vector_queries(spark, sf), _entries(spark, sf)
+    both = nearest.translate_concept(entries, asked.filter("qid % 40 = 0"))
+    return both.unionByName(nearest.translate_concept(entries, asked.filter("qid % 40 <> 0"), "two"))
+
+
+# Items by the modalities that they have.
+_FUSED = """f AS (SELECT vec_id AS doc_id, 'spectrum+lightcurve' AS modalities, {both} AS m FROM v WHERE vec_id % 3 <> 1 AND vec_id % 5 <> 2
+UNION ALL SELECT vec_id, 'spectrum', {one} FROM v WHERE vec_id % 3 <> 1 AND vec_id % 5 = 2 UNION ALL SELECT vec_id, 'lightcurve', {two} FROM v WHERE vec_id % 3 = 1 AND vec_id % 5 <> 2)"""
+
+
+def _items(spark, sf):
+    """Three modalities made from one vector, each of them absent in some items, the third in all."""
+    rows = table(spark, sf, "embeddings")
+    e = F.transform("embedding", lambda x: x.cast("double"))
+    return rows.select(F.col("vec_id").alias("doc_id"), F.when(F.col("vec_id") % 3 != 1, e).alias("spectrum"), F.when(F.col("vec_id") % 5 != 2, F.reverse(e)).alias("lightcurve"), F.lit(None).cast("array<double>").alias("text"))
+
+
+_MEANS = _FUSED.format(both="list_transform(list_zip(e, list_reverse(e)), lambda p: (0.4e0 * p[1] + 0.35e0 * p[2]) / 0.75e0)", one="e", two="list_reverse(e)")
+
+
+@query(f"WITH {_V}, {_MEANS}, h AS (SELECT qid, doc_id, {_COSINE}, modalities FROM q, f) {TOP.format('h', 5)}")
+def cross_modal_topk(spark, sf):
+    return nearest.cross_modal_search(_items(spark, sf), _vector_queries(spark, sf))
+
+
+_PADDED = _FUSED.format(both="list_concat(e, list_reverse(e))[1:96]", one="list_concat(e, list_transform(range(32), lambda x: 0e0))", two="list_concat(list_reverse(e), list_transform(range(32), lambda x: 0e0))")
+
+
+@query(f"""WITH {_V}, {_PADDED}, q2 AS (SELECT qid, list_concat(q, list_reverse(q))[1:96] AS q FROM q),
+h AS (SELECT qid, doc_id, {_COSINE}, modalities FROM q2, f) {TOP.format('h', 5)}""")
+def cross_modal_concat(spark, sf):
+    """Modalities one after the other, cut or padded to 96 numbers; queries have the first two."""
+    asked = _vector_queries(spark, sf).select("qid", F.slice(F.concat("q", F.reverse("q")), 1, 96).alias("q"))
+    return nearest.cross_modal_search(_items(spark, sf), asked, method="concat", dim=96)
