@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import patterns
+
 _COMPARE: dict[str, Callable[[Column, object], Column]] = {
     "$eq": lambda c, v: c == v, "$ne": lambda c, v: c != v, "$gt": lambda c, v: c > v, "$gte": lambda c, v: c >= v,
     "$lt": lambda c, v: c < v, "$lte": lambda c, v: c <= v, "$in": lambda c, v: c.isin(list(v)), "$nin": lambda c, v: ~c.isin(list(v)),
@@ -43,10 +45,13 @@ def by_content(rows: DataFrame, content: str, part: str) -> DataFrame:
 def fuzzy_get(asked: DataFrame, keys: DataFrame) -> DataFrame:
     """(q, key): the equal key, else the first in order of those that hold the asked text or stand in it; null if none.
 
-    Key sets are topic lists; the asked side stays where it is and meets them by broadcast where Spark's threshold allows."""
-    keys = keys.select("key").distinct()
-    a, b = F.lower("q"), F.lower("key")
-    hits = asked.select("q").distinct().join(keys, F.contains(b, a) | F.contains(a, b), "left")
+    Both sides are looked up in one pass over the other, each as one set of patterns, and never joined pair by pair."""
+    keys = keys.select("key").distinct().withColumn("_key", F.lower("key"))
+    asked = asked.select("q").distinct().withColumn("_q", F.lower("q"))
+    inside = patterns.occurring(keys, "key", "_key", asked.select(F.col("_q").alias("pattern"))).withColumnRenamed("pattern", "_q")
+    around = patterns.occurring(asked, "q", "_q", keys.select(F.col("_key").alias("pattern"))).withColumnRenamed("pattern", "_key")
+    hits = asked.join(inside, "_q").select("q", "key").unionByName(keys.join(around, "_key").select("q", "key"))
+    hits = asked.select("q").join(hits, "q", "left")
     return hits.groupBy("q").agg(F.min(F.when(F.col("key").isNotNull(), F.struct((F.lower("q") != F.lower("key")).alias("far"), "key")))["key"].alias("key"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import corpus as c
 from ..operators import evaluation as e
+from ..operators import patterns
 from ..sources.shared import spread
 from .base import registrar, table
 
@@ -238,4 +239,6 @@ def checklist(spark, sf):
 @query("SELECT b.item_id, count(*) AS n, min(d.doc_id) AS sample FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")
 def containment(spark, sf):
     """Corpus texts that hold a stated query set's items whole."""
-    return table(spark, sf, "benchmark").select("item_id", F.col("text").alias("t")).join(_docs(spark, sf).select("doc_id", "text"), F.contains("text", "t")).groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("sample"))
+    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("pattern"))
+    found = patterns.occurring(_docs(spark, sf), "doc_id", "text", items)
+    return items.join(found, "pattern").groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("sample"))

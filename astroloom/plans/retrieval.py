@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
-from ..operators import nearest, pruned
+from ..operators import fields, nearest, pruned
 from ..operators import retrieval as r
 from ..sources.shared import spread, stored
 from .base import registrar, table
@@ -238,3 +238,20 @@ def cross_modal_concat(spark, sf):
     """Modalities one after the other, cut or padded to 96 numbers; queries have the first two."""
     asked = _vector_queries(spark, sf).select("qid", F.slice(F.concat("q", F.reverse("q")), 1, 96).alias("q"))
     return nearest.cross_modal_search(_items(spark, sf), asked, method="concat", dim=96)
+
+
+@query(rf"""WITH e AS (SELECT doc_id, regexp_extract(coalesce(text, ''), '^(\S+\s+\S+)', 1) AS key, coalesce(text, '') AS content FROM documents),
+k AS (SELECT doc_id, content, regexp_extract_all(lower(key), '\p{{L}}{{2,}}') AS kt FROM e), kt AS (SELECT DISTINCT doc_id, unnest(kt) AS term FROM k), ct AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(content), '\p{{L}}{{2,}}')) AS term FROM e),
+b AS (SELECT item_id AS qid, regexp_extract_all(lower(coalesce(text, '')), '\p{{L}}{{2,}}') AS words FROM benchmark), asked AS (SELECT DISTINCT qid, unnest(words) AS term FROM b),
+s AS (SELECT qid, doc_id, sum(a) AS keyed, sum(c) AS held FROM (SELECT qid, doc_id, 1 AS a, 0 AS c FROM asked JOIN kt USING (term) UNION ALL SELECT qid, doc_id, 0, 1 FROM asked JOIN ct USING (term)) GROUP BY ALL),
+h AS (SELECT qid, doc_id, CAST(3 * keyed + held + CASE WHEN keyed > 0 AND (contains(' ' || array_to_string(words, ' ') || ' ', ' ' || array_to_string(kt, ' ') || ' ') OR contains(' ' || array_to_string(kt, ' ') || ' ', ' ' || array_to_string(words, ' ') || ' ')) THEN 10 ELSE 0 END AS BIGINT) AS score
+FROM s JOIN k USING (doc_id) JOIN b USING (qid)), t AS ({TOP.format('h', 5)}),
+p AS (SELECT t.*, string_split(content, chr(10)) AS parts, words FROM t JOIN e USING (doc_id) JOIN b USING (qid)),
+u AS (SELECT qid, doc_id, score, rank, words, parts, unnest(range(len(parts))) AS pos FROM p),
+n AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY len(list_intersect(list_distinct(regexp_extract_all(lower(parts[pos + 1]), '\p{{L}}{{2,}}')), words)) DESC, pos) AS i FROM u)
+SELECT qid, doc_id, score, rank, CAST(pos AS INT) AS paragraph, trim(parts[pos + 1]) AS best FROM n WHERE i = 1""")
+def field_topk(spark, sf):
+    """A document's first two words stand for its key, its lines for paragraphs."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("content")))
+    entries = stored(docs.select("doc_id", F.regexp_extract("content", r"^(\S+\s+\S+)", 1).alias("key"), "content"))
+    return fields.field_search(entries, _asked(spark, sf), separator="\n")

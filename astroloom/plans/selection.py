@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import nested as nx
 from ..functions import text as tx
 from ..operators import selection as s
 from .base import registrar, table
@@ -169,3 +170,31 @@ SELECT img, round(m / sqrt(q + m * m + d * d), 6) AS mean, round(d / sqrt(q + m
 def pixel_features(spark, sf):
     pixels = table(spark, sf, "events").filter("value >= 0").select(F.col("user_id").alias("img"), (F.col("event_id") % 3).alias("channel"), (F.floor("value") % 256).alias("v"))
     return s.image_features(pixels).select("img", F.round(F.get("features", F.lit(96)), 6).alias("mean"), F.round(F.get("features", F.lit(97)), 6).alias("std"))
+
+
+@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, 'none' AS level FROM events""")
+def event_fields(spark, sf):
+    """Nested values by path, with a default for what is absent."""
+    rows = table(spark, sf, "events").withColumn("v", nx.parsed(F.col("props")))
+    return rows.select("event_id", *nx.flattened(F.col("v"), {"k": ("$.k", "int", None), "level": ("$.level", "string", "none")}))
+
+
+@query("""WITH e AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)
+SELECT event_id, CASE WHEN k % 3 = 0 THEN k * 1.5e0 WHEN k % 2 = 0 THEN k * 2e0 END AS period, CASE WHEN k % 3 = 0 THEN 'gaia' WHEN k % 2 = 0 THEN 'ztf' END AS source FROM e""")
+def survey_periods(spark, sf):
+    """A model's answer with a fenced block: the period of the first survey that has one."""
+    k = nx.at(nx.parsed(F.col("props")), "$.k", "int")
+    period = lambda n, x: F.struct(F.when(F.col("k") % n == 0, F.col("k") * x).alias("period"))
+    rows = table(spark, sf, "events").select("event_id", k.alias("k"))
+    record = F.to_json(F.struct(F.struct(period(3, 1.5).alias("gaia"), period(2, 2.0).alias("ztf")).alias("periods")))
+    rows = rows.select("event_id", nx.parsed(F.concat(F.lit("Found:\n```json\n"), record, F.lit("\n```\nDone."))).alias("v"))
+    return rows.select("event_id", nx.first_present(F.col("v"), ("gaia", "ztf"), "$.periods", "period").alias("p")).select("event_id", F.col("p.value").alias("period"), F.col("p.source").alias("source"))
+
+
+@query("""SELECT l_orderkey AS id, l_linenumber AS line, concat_ws(',', CASE WHEN l_discount <> 0 THEN 'd' END, CASE WHEN l_quantity IS NOT NULL THEN 'q' END, CASE WHEN l_tax <> 0 THEN 'x' END) AS bands, round(l_quantity + l_discount + l_tax, 6) AS total FROM lineitem""")
+def band_maps(spark, sf):
+    """Wide photometry as a map of the bands that have a value, through its JSON and back."""
+    bands = nx.band_map({"q": F.col("l_quantity"), "d": F.nullif("l_discount", F.lit(0.0)), "x": F.nullif("l_tax", F.lit(0.0))})
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), nx.restored(F.to_json(bands), "map<string,double>").alias("m"))
+    total = F.round(F.aggregate(F.map_values("m"), F.lit(0.0), lambda a, v: a + v), 6)
+    return rows.select("id", "line", F.array_join(F.array_sort(F.map_keys("m")), ",").alias("bands"), total.alias("total"))

@@ -31,23 +31,20 @@ def first_seen(events: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
 
 
 def new_rows(stream: DataFrame, key: str, path: str, checkpoint: str, change: Callable[[DataFrame], DataFrame] | None = None) -> None:
-    """Appends the rows whose key no earlier batch had, changed, to ``path/rows``, and their keys to ``path/seen``: the
-    persistent seen-set of a new-document source. Of a batch's rows that share a key one stays. A batch that is run
-    again sees the keys of earlier batches only and overwrites what it wrote."""
+    """Appends the rows whose key was never seen before, changed, to ``path/rows`` and ``path/changed``: the persistent
+    seen-set of a new-document source. Of rows that share a key one stays.
+
+    Seen keys are the stream's own state, dealt out by key and kept with the checkpoint, so a batch looks up its own keys
+    and reads no others; name the RocksDB provider for more keys than memory holds. A batch that is run again finds the
+    state of its start and overwrites what it wrote."""
 
     def write(rows: DataFrame, batch: int) -> None:
-        spark = rows.sparkSession
-        fresh = rows.dropDuplicates([key])
-        if batch:  # batches are numbered from 0, and every one writes its keys
-            seen = spark.read.option("basePath", f"{path}/seen").parquet(f"{path}/seen/batch=*").filter(F.col("batch") < batch)
-            fresh = fresh.join(seen.select(key).distinct(), key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
-        kept = spark.read.schema(fresh.schema).parquet(f"{path}/rows/batch={batch}")
-        kept.select(key).write.mode("overwrite").parquet(f"{path}/seen/batch={batch}")
+        rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
         if change:
+            kept = rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/rows/batch={batch}")
             change(kept).write.mode("overwrite").parquet(f"{path}/changed/batch={batch}")
 
-    stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    stream.dropDuplicates([key]).writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
 
 
 def every(hours: float) -> dict[str, str]:

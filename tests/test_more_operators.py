@@ -112,3 +112,60 @@ def test_filters_and_rules(spark):
     assert one(spark, evaluation.category(F.col("t")), "什么是赫罗图") == "hr_diagram"
     assert one(spark, evaluation.breaks_rule(F.col("t"), evaluation.WHITE_DWARF_RULES), "double white dwarf merger always explodes") is True
     assert len(one(spark, training.observing_advice(F.lit("AM CVn"), F.lit(None).cast("boolean"), F.lit(0.0)))) == 6
+
+
+def test_nested_values(spark):
+    from astroloom.functions import nested
+
+    t = F.col("t")
+    assert one(spark, nested.json_block(t), 'so {"a": {"b": 1}} ok') == '{"a": {"b": 1}}'
+    assert one(spark, nested.json_block(t), "```\n[1, 2]\n``` {3}") == "[1, 2]"
+    assert one(spark, nested.json_block(t), "nothing") is None
+    assert one(spark, nested.at(nested.parsed(t), "$.a.b", "int", 7), '{"a": {"b": 1}}') == 1
+    assert one(spark, nested.at(nested.parsed(t), "$.a.b", "int", 7), '{"a": {"b": "x"}}') == 7
+    assert one(spark, nested.at(nested.parsed(t), "$.a", "int", 7), "{broken") == 7
+    found = nested.first_present(nested.parsed(t), ("gaia", "ztf"), "$.periods", "period")
+    assert tuple(one(spark, found, '{"periods": {"gaia": {"period": null}, "ztf": {"period": 2.5}}}')) == (2.5, "ztf")
+    assert one(spark, found, "{}") is None
+    assert one(spark, nested.band_map({"g": F.lit(1), "r": F.lit(None), "i": F.lit(float("nan"))})) == {"g": 1.0}
+
+
+@pytest.mark.parametrize("block", [1 << 20, 8])
+def test_patterns(spark, block):
+    from astroloom.operators import patterns
+
+    texts = spark.createDataFrame([(1, "abcab"), (2, None), (3, ""), (4, "xbcx ünï"), (1, "abcab")], "k int, t string")
+    asked = spark.createDataFrame([("abc",), ("bc",), ("",), (None,), ("ünï",), ("zz",), ("bc",)], "pattern string")
+    got = sorted((r.k, r.pattern) for r in patterns.occurring(texts, "k", "t", asked, block).collect())
+    assert got == sorted([(1, "abc"), (1, "bc"), (1, "")] * 2 + [(3, ""), (4, "bc"), (4, ""), (4, "ünï")])
+    assert patterns.occurring(texts, "k", "t", asked.limit(0), block).collect() == []
+
+
+def test_no_nested_loop_for_patterns(spark, small):
+    from astroloom.plans.registry import QUERIES
+
+    for name in ("containment", "fuzzy_topics"):
+        plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_replayed_batch_changes_nothing(spark, tmp_path):
+    import datetime
+
+    from astroloom.streaming import knowledge
+
+    schema = "id long, kind string, value double, entities array<string>, terms array<string>, confidence double, ts timestamp, source string"
+    day = datetime.datetime(2024, 1, 1)
+    fact = lambda i, v, c: (i, "p", v, ["a", "b"], ["t"], c, day, f"s{i}")
+    kept = knowledge.KnowledgeTable(str(tmp_path / "table"))
+    stream = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    for rows in ([fact(1, 1.0, 0.9), fact(2, 10.0, 0.2)], [fact(3, 2.0, 0.5), fact(4, 1.1, 0.1)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        kept.keep(stream(), str(tmp_path / "state"))
+    see = lambda: sorted((r.id, r.kept, r.value, r.note) for r in kept.version(spark, 2, schema).collect())
+    want = [(1, 1, 1.0, None), (2, 2, 10.0, None), (3, 1, 1.0, "kept over s3"), (4, 2, 10.0, "kept over s4")]
+    assert see() == want
+    (tmp_path / "state" / "commits" / "1").unlink()  # as if the driver was lost before the batch was committed
+    (tmp_path / "state" / "commits" / ".1.crc").unlink(missing_ok=True)
+    kept.keep(stream(), str(tmp_path / "state"))
+    assert see() == want and kept.version(spark, 1, schema).count() == 2
