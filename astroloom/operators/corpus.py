@@ -109,6 +109,12 @@ def alpaca(turns: DataFrame) -> DataFrame:
     return rows.filter("instruction IS NOT NULL AND output IS NOT NULL")
 
 
+def turn_statistics(turns: DataFrame) -> DataFrame:
+    """(role, n_turns, n_convs, mean_turns)."""
+    rows = turns.groupBy("role").agg(F.count("*").alias("n_turns"), F.countDistinct("conv_id").alias("n_convs"))
+    return rows.withColumn("mean_turns", F.round(F.col("n_turns") / F.col("n_convs"), 4))
+
+
 def stable_order(key: str | Column, seed: int = 42) -> Column:
     key = F.col(key) if isinstance(key, str) else key
     return F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string")).cast("binary"))
@@ -155,11 +161,18 @@ def conflicts(new: DataFrame, old: DataFrame, least: float = 0.85, spread: float
     and 0.4 of the terms' Jaccard) and contradict: values apart by over ``spread`` of the larger, at least of 1.
 
     Likeness above 0.85 needs an overlap above 0.75, so in any common order of entities alike facts share one of their
-    first n - floor(0.75 n): pairs meet on these prefixes only, and sizes must be within the same ratio."""
-    n = F.size(F.array_distinct("entities"))
-    hashed = F.array_sort(F.transform(F.array_distinct("entities"), lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x"))))
-    prefix = F.transform(F.slice(hashed, 1, (n - F.floor(0.75 * n)).cast("int")), lambda p: p["x"])
-    side = lambda df, s: df.select(F.col("id").alias(f"{s}_id"), "kind", F.col("value").alias(f"{s}_value"), F.array_distinct("entities").alias(f"{s}_e"), F.col("terms").alias(f"{s}_t"), F.explode(prefix).alias("entity"))
+    first n - floor(0.75 n): pairs meet on these prefixes only, and sizes must be within the same ratio. The order is by
+    how many facts of either side name an entity, so pairs meet on rare ones."""
+    named = lambda df: df.select("id", F.explode(F.array_distinct("entities")).alias("entity"))
+    df = named(new).unionByName(named(old)).groupBy("entity").agg(F.count("*").alias("_df"))
+    rare = F.row_number().over(W.partitionBy("id").orderBy("_df", "entity"))  # of one fact's entities
+    size = F.count("*").over(W.partitionBy("id"))
+
+    def side(facts: DataFrame, s: str) -> DataFrame:
+        met = named(facts).join(df, "entity").withColumns({"_r": rare, "_n": size}).filter(F.col("_r") <= F.col("_n") - F.floor(0.75 * F.col("_n")))
+        rows = facts.select("id", "kind", F.col("value").alias(f"{s}_value"), F.array_distinct("entities").alias(f"{s}_e"), F.col("terms").alias(f"{s}_t"))
+        return rows.join(met.select("id", "entity"), "id").withColumnRenamed("id", f"{s}_id")
+
     sized = (F.size("n_e") > 0.75 * F.size("o_e")) & (F.size("o_e") > 0.75 * F.size("n_e"))
     pairs = side(new, "n").join(side(old, "o"), ["entity", "kind"]).filter((F.col("n_id") != F.col("o_id")) & sized).drop("entity").dropDuplicates(["n_id", "o_id"])
     overlap = F.size(F.array_intersect("n_e", "o_e")) / F.greatest(F.size(F.array_distinct("n_e")), F.size(F.array_distinct("o_e")))

@@ -12,6 +12,15 @@ def accuracy(results: DataFrame, groups: tuple[str, ...]) -> DataFrame:
     return results.select("correct", sets).groupBy("g.grouping", "g.value").agg(F.count("*").alias("n"), F.round(F.avg(F.col("correct").cast("double")), 6).alias("accuracy"))
 
 
+def summary(results: DataFrame, groups: tuple[str, ...]) -> DataFrame:
+    """(grouping, value, n, accuracy, hallucination_rate, latency): over all rows and by each group, from one pass over rows
+    (correct, hallucinated, latency); missing latencies stay out of the mean."""
+    sets = F.explode(F.array(F.struct(F.lit("all").alias("grouping"), F.lit("all").alias("value")), *[F.struct(F.lit(g).alias("grouping"), F.col(g).cast("string").alias("value")) for g in groups])).alias("g")
+    share = lambda c: F.round(F.avg(F.col(c).cast("double")), 6)
+    rows = results.select("correct", "hallucinated", "latency", sets).groupBy("g.grouping", "g.value")
+    return rows.agg(F.count("*").alias("n"), share("correct").alias("accuracy"), share("hallucinated").alias("hallucination_rate"), share("latency").alias("latency"))
+
+
 def calibration_error(results: DataFrame, bins: int = 10) -> DataFrame:
     """(n, ece): confidence 0 is in no bin but counts in n."""
     slot = F.least(F.floor(F.col("confidence") * bins), F.lit(bins - 1))

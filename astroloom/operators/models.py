@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -24,23 +26,33 @@ def encoded(rows: DataFrame, load: Callable[[], Callable[[list[str]], list[list[
     return rows.withColumn(into, encode(text))
 
 
-def generated(prompts: DataFrame, load: Callable[[], Callable[[str], str]], key: str, tries: int = 3) -> DataFrame:
+def generated(prompts: DataFrame, load: Callable[..., Callable[[str], str]], key: str, tries: int = 3, wait: float = 0.0, pool: int = 1, credentials: tuple[str, ...] = ()) -> DataFrame:
     """(key, answer, status, error) of a text generator on (key, prompt); a prompt that fails ``tries`` times is a row
-    with status failed, never a failed job."""
+    with status failed, never a failed job.
+
+    ``pool`` prompts of a task are out at a time, as a remote service allows. After a failure a prompt waits ``wait``
+    seconds, twice as long after each further one, and goes to the next of the ``credentials``, each of which ``load`` gets
+    as its argument once in a worker; without any it gets none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = load()
-        for batch in batches:
-            out = []
-            for k, prompt in zip(batch[key], batch["prompt"]):
-                for attempt in range(tries):
-                    try:
-                        out.append((k, model(prompt), "ok", None))
-                        break
-                    except Exception as problem:  # noqa: BLE001 - the user's model may raise anything
-                        if attempt == tries - 1:
-                            out.append((k, None, "failed", str(problem)))
-            yield pd.DataFrame(out, columns=[key, "answer", "status", "error"])
+        models = [load(c) for c in credentials] or [load()]
+
+        def answer(place: int, prompt: str) -> tuple:
+            for attempt in range(tries):
+                try:
+                    return models[(place + attempt) % len(models)](prompt), "ok", None
+                except Exception as problem:  # noqa: BLE001 - the user's model may raise anything
+                    failed = str(problem)
+                    if attempt < tries - 1:
+                        time.sleep(wait * 2**attempt)
+            return None, "failed", failed
+
+        with ThreadPoolExecutor(pool) as threads:
+            for batch in batches:
+                out = list(threads.map(answer, range(len(batch)), batch["prompt"]))
+                made = pd.DataFrame(out, columns=["answer", "status", "error"])
+                made.insert(0, key, batch[key].to_numpy())
+                yield made
 
     return prompts.select(key, "prompt").mapInPandas(run, f"{key} {prompts.schema[key].dataType.simpleString()}, answer string, status string, error string")
 
@@ -61,6 +73,7 @@ class TextIndex:
 
     def add(self, docs: DataFrame) -> None:
         part = uuid.uuid4().hex
+        docs.groupBy().agg(F.count("*").alias("n_docs")).write.mode("overwrite").parquet(f"{self.path}/counts/batch={part}")
         docs.write.mode("overwrite").parquet(f"{self.path}/documents/batch={part}")
         retrieval.postings(docs).write.mode("overwrite").parquet(f"{self.postings_path}/batch={part}")
 
@@ -70,14 +83,19 @@ class TextIndex:
     def postings(self, spark: SparkSession) -> DataFrame:
         return spark.read.option("basePath", self.postings_path).parquet(f"{self.postings_path}/batch=*").drop("batch")
 
+    def count(self, spark: SparkSession) -> int:
+        """Documents, by the counts that were stored with the parts."""
+        return spark.read.parquet(f"{self.path}/counts/batch=*").agg(F.sum("n_docs")).first()[0]
+
     def search(self, queries: DataFrame, method: str = "idf", k: int = 5) -> DataFrame:
         spark = queries.sparkSession
-        return retrieval.keyword_search(self.postings(spark), self.documents(spark).count(), retrieval.query_terms(queries), method, k)
+        return retrieval.keyword_search(self.postings(spark), self.count(spark), retrieval.query_terms(queries), method, k)
 
     def save(self, spark: SparkSession, path: str) -> TextIndex:
         """A compacted copy: one part of all."""
         copy = TextIndex(path)
         self.documents(spark).write.mode("overwrite").parquet(f"{path}/documents/batch=0")
+        spark.createDataFrame([(self.count(spark),)], "n_docs long").write.mode("overwrite").parquet(f"{path}/counts/batch=0")
         self.postings(spark).write.mode("overwrite").parquet(f"{copy.postings_path}/batch=0")
         return copy
 

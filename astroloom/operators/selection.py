@@ -148,6 +148,36 @@ def source_statistics(rows: DataFrame, kind: str, subtype: str, known: tuple[str
     return rows.select(*dict.fromkeys(known), sets).groupBy("g.grouping", "g.value").agg(F.count("*").alias("n"), *has)
 
 
+def base_report(rows: DataFrame, generator: str, source: str, category: str, top: int = 10) -> DataFrame:
+    """(section, value, n, share) of a knowledge base: each generator's share, the ``top`` sources (ties by name), and the
+    categories with their total (value null)."""
+    total = rows.agg(F.count("*").alias("_all"))
+    made = rows.groupBy(F.col(generator).cast("string").alias("value")).agg(F.count("*").alias("n")).withColumn("section", F.lit("generator"))
+    best = rows.groupBy(F.col(source).cast("string").alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(top).withColumn("section", F.lit("source"))
+    kinds = rows.rollup(F.col(category).cast("string").alias("value")).agg(F.count("*").alias("n")).withColumn("section", F.lit("category"))
+    every = made.unionByName(best).unionByName(kinds).crossJoin(F.broadcast(total))  # a single row
+    return every.select("section", "value", "n", F.round(F.col("n") / F.col("_all"), 6).alias("share"))
+
+
+def submitted_between(rows: DataFrame, at: str, first: str, last: str) -> DataFrame:
+    """Rows whose date or time lies between two days, both included whole."""
+    return rows.filter((F.col(at) >= F.lit(first).cast("date")) & (F.col(at) < F.date_add(F.lit(last).cast("date"), 1)))
+
+
+def quality(rows: DataFrame, least: int = 1, chars: int = 200) -> DataFrame:
+    """Rows of sufficient quality that are long enough and not toxic; unknown marks do not pass."""
+    return rows.filter((F.col("quality") >= least) & (F.col("toxic") == 0) & (F.col("n_chars") >= chars))
+
+
+def assembled(targets: DataFrame, sources: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """Optional sources {column: (rows with it, the column they share with the targets)} beside every target, a row each,
+    and ``n_success``, how many of them answered."""
+    rows = targets
+    for column, (found, on) in sources.items():
+        rows = rows.join(found.select(on, column), on, "left")
+    return rows.withColumn("n_success", sum((F.col(c).isNotNull().cast("int") for c in sources), F.lit(0)))
+
+
 def with_types(targets: DataFrame, types: DataFrame, kind: str) -> DataFrame:
     """Targets with their type's row as a struct ``type``; null where the type is unknown."""
     described = types.select(kind, F.struct(*[c for c in types.columns if c != kind]).alias("type"))

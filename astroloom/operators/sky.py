@@ -87,6 +87,12 @@ def dust(catalogue: DataFrame, dust_map: DataFrame, nside: int, ratio: float = 3
     return rows.withColumn("ebv", F.coalesce(F.nanvl("ebv", F.lit(None).cast("double")), F.lit(0.0))).withColumn("a_v", ratio * F.col("ebv"))
 
 
+def grid_cell(longitude: Column, latitude: Column, nx: int = 36, ny: int = 18) -> tuple[Column, Column]:
+    """Column and row of a rectangular galactic map, from 0 at longitude 0 and latitude 90, clamped to it."""
+    clamp = lambda c, n: F.least(F.greatest(F.floor(c), F.lit(0)), F.lit(n - 1))
+    return clamp(longitude / 360 * nx, nx), clamp((90 - latitude) / 180 * ny, ny)
+
+
 def reddening_at(catalogue: DataFrame, steps: DataFrame, values: tuple[str, ...] = ("ebv",)) -> DataFrame:
     """As-of join: (id, values, bin) of the farthest step (pixel, bin, values) of the row's pixel with bin <= distance; null
     before the first and for a null distance.

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .blocks import beside, quantiles, scanned, windowed
+from .blocks import beside, placed, quantiles, scanned, windowed
 
 TWO_PI = 2 * math.pi
 
@@ -87,6 +87,42 @@ def fold(lc: DataFrame, period: float, bins: int = 10, center: str = "avg") -> D
     return folded.withColumn("semi_amp", (F.max("mag").over(w) - F.min("mag").over(w)) / 2)
 
 
+def fold_profile(lc: DataFrame, period: float, bins: int = 10, center: str = "avg", epoch: float = 0.0, half: bool = False, error: str | None = None) -> DataFrame:
+    """(source, bin, n, mag, error, semi_amp): a binned phase profile whose phase 0 is at ``epoch``, or half a period
+    before it with ``half``. A bin's error comes from its samples' own (column ``error``), or from their scatter: the
+    population deviation over the root of their number."""
+    at = phase(F.col("t") - epoch + (period / 2 if half else 0.0), period)
+    rows = lc.withColumn("bin", F.floor(at * bins).cast("int"))
+    spread = F.sqrt(F.sum(F.col(error) ** 2)) / F.count("*") if error else F.stddev_pop("mag") / F.sqrt(F.count("*"))
+    folded = rows.groupBy("source", "bin").agg(F.count("*").alias("n"), F.avg("mag").alias("mag"), spread.alias("error"))
+    if center == "median":
+        folded = beside(folded.drop("mag"), quantiles(rows, ["source", "bin"], "mag", {"mag": 0.5}), ["source", "bin"])
+    w = W.partitionBy("source")  # a source has ``bins`` rows
+    return folded.select("source", "bin", "n", "mag", "error", ((F.max("mag").over(w) - F.min("mag").over(w)) / 2).alias("semi_amp"))
+
+
+def phase_ordered(lc: DataFrame, period: float, epoch: float | None = None) -> DataFrame:
+    """Adds phase and the sample's place in phase order, from 0; phases count from ``epoch``, or from each source's first
+    time."""
+    if epoch is None:
+        lc = beside(lc, lc.groupBy("source").agg(F.min("t").alias("_first")), ["source"])
+    rows = lc.withColumn("phase", phase(F.col("t") - (F.col("_first") if epoch is None else F.lit(epoch)), period)).drop("_first")
+    return placed(rows, ["source"], ["phase", "t", "mag"])
+
+
+def gates(lc: DataFrame, error: float = 0.05, least: int = 10, amplitude: float = 0.01, ratio: float = 1.02) -> DataFrame:
+    """(source, band, n, amp, ratio) of the light curves that vary significantly: samples enough, a relative semi-amplitude
+    and a scatter over the mean error (a share of each magnitude) above their limits."""
+    rows = statistics(lc).join(lc.groupBy("source", "band").agg(F.avg(error * F.col("mag")).alias("_e")), ["source", "band"])
+    rows = rows.select("source", "band", "n", F.col("rel_semi_amp").alias("amp"), (F.col("mag_std") / F.col("_e")).alias("ratio"))
+    return rows.filter((F.col("n") >= least) & (F.col("amp") > amplitude) & (F.col("ratio") > ratio))
+
+
+def significant(best: DataFrame, false_alarm_level: Column | float, power: str = "power") -> DataFrame:
+    """Periodogram peaks whose power is above the false-alarm level."""
+    return best.filter(F.col(power) > false_alarm_level)
+
+
 def grid(low: float, high: float, n: int) -> Column:
     """Array of (k, value): n evenly spaced values from low to high."""
     step = (high - low) / (n - 1) if n > 1 else 0.0

@@ -8,6 +8,8 @@ from ..functions import text as tx
 from ..operators import corpus as c
 from ..operators import evaluation as e
 from ..operators import patterns
+from ..operators import selection as s
+from ..sources import readers
 from ..sources.shared import spread
 from .base import registrar, table
 
@@ -116,13 +118,12 @@ def to_alpaca(spark, sf):
 
 @query("SELECT role, count(*) AS n_turns, count(DISTINCT conv_id) AS n_convs, round(CAST(count(*) AS DOUBLE) / count(DISTINCT conv_id), 4) AS mean_turns FROM conversations GROUP BY role")
 def turn_stats(spark, sf):
-    g = table(spark, sf, "conversations").groupBy("role").agg(F.count("*").alias("n_turns"), F.countDistinct("conv_id").alias("n_convs"))
-    return g.withColumn("mean_turns", F.round(F.col("n_turns") / F.col("n_convs"), 4))
+    return c.turn_statistics(table(spark, sf, "conversations"))
 
 
 @query("SELECT d.doc_id, lang, quality FROM documents d JOIN labels l USING (doc_id) WHERE quality >= 1 AND toxic = 0 AND n_chars >= 200")
 def quality_filter(spark, sf):
-    return _docs(spark, sf).join(table(spark, sf, "labels"), "doc_id").filter("quality >= 1 AND toxic = 0 AND n_chars >= 200").select("doc_id", "lang", "quality")
+    return s.quality(_docs(spark, sf).join(table(spark, sf, "labels"), "doc_id")).select("doc_id", "lang", "quality")
 
 
 @query("SELECT doc_id, CASE WHEN CAST('0x' || substr(md5('42|' || doc_id), 1, 8) AS BIGINT) / 4294967296e0 < 0.8 THEN 'train' ELSE 'test' END AS split FROM documents")
@@ -242,3 +243,30 @@ def containment(spark, sf):
     items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("pattern"))
     found = patterns.occurring(_docs(spark, sf), "doc_id", "text", items)
     return items.join(found, "pattern").groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("sample"))
+
+
+@query(f"""WITH {_RES}, h AS (SELECT *, NOT correct AS hallucinated, nullif(confidence, 1) AS latency FROM r), a AS (SELECT 'all' AS grouping, 'all' AS value, * FROM h UNION ALL SELECT 'lang', lang, * FROM h)
+SELECT grouping, value, count(*) AS n, round(avg(CAST(correct AS DOUBLE)), 6) AS accuracy, round(avg(CAST(hallucinated AS DOUBLE)), 6) AS hallucination_rate, round(avg(latency), 6) AS latency FROM a GROUP BY ALL""")
+def result_summary(spark, sf):
+    """With wrong answers standing for hallucinated ones, and confidence below 1 for latency."""
+    rows = _results(spark, sf).withColumns({"hallucinated": ~F.col("correct"), "latency": F.nullif("confidence", F.lit(1.0))})
+    return e.summary(rows, ("lang",))
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM documents), a AS (SELECT 'generator' AS section, lang AS value, count(*) AS c FROM documents GROUP BY lang
+UNION ALL SELECT 'source', source, c FROM (SELECT source, count(*) AS c, row_number() OVER (ORDER BY count(*) DESC, source) AS i FROM documents GROUP BY source) WHERE i <= 10
+UNION ALL SELECT 'category', lang, count(*) FROM documents GROUP BY ROLLUP (lang)) SELECT section, value, c AS n, round(CAST(c AS DOUBLE) / n.n, 6) AS share FROM a, n""")
+def base_report(spark, sf):
+    return s.base_report(_docs(spark, sf), "lang", "source", "lang")
+
+
+@query("""WITH p AS (SELECT conv_id AS doc, turn AS page_no, text, coalesce(length(text), 0) AS n_chars FROM conversations) SELECT doc, page_no, n_chars FROM p WHERE n_chars > 100 AND doc IN (SELECT doc FROM p GROUP BY doc HAVING sum(n_chars) >= 200)""")
+def page_corpus(spark, sf):
+    """Turns stand for a document's pages."""
+    pages = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("page_no"), "text")
+    return readers.page_corpus(pages).select("doc", "page_no", "n_chars")
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1994-01-01' AND DATE '1996-06-30'")
+def submitted_range(spark, sf):
+    return s.submitted_between(table(spark, sf, "orders"), "o_orderdate", "1994-01-01", "1996-06-30").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))

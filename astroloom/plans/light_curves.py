@@ -242,8 +242,7 @@ def lc_center(spark, sf):
 SELECT source, band, n, round(amp, 4) AS amp, round(ratio, 4) AS ratio FROM s WHERE n >= 10 AND amp > 0.01 AND ratio > 1.02""")
 def lc_gates(spark, sf):
     """Significance gates, with an error of 5 % of each magnitude."""
-    s = _good(spark, sf).groupBy("source", "band").agg(F.count("*").alias("n"), ((F.max("mag") - F.min("mag")) / 2 / F.median("mag")).alias("amp"), (F.stddev_pop("mag") / F.avg(0.05 * F.col("mag"))).alias("ratio"))
-    return _rounded(s.filter((F.col("n") >= 10) & (F.col("amp") > 0.01) & (F.col("ratio") > 1.02)), "amp", "ratio")
+    return _rounded(ts.gates(_good(spark, sf)), "amp", "ratio")
 
 
 _BAND_BEST = """sb AS (SELECT source || '|' || band AS source, t, mag FROM good WHERE band IN ('click', 'view'))"""
@@ -279,3 +278,17 @@ def epoch_unpivot(spark, sf):
 def lc_monte_carlo(spark, sf):
     """Spread of each source's mean under its samples' errors; noise is beyond SQL."""
     return ts.sample_statistics(ts.monte_carlo(_good(spark, sf), 30, 0.5, 7), "mean")
+
+
+@query(f"""WITH {LC}, p AS (SELECT source, mag, (t - 0.3e0 + 1.25e0) / 2.5e0 AS c FROM good), b AS (SELECT source, CAST(floor((c - floor(c)) * 8) AS INT) AS bin, mag FROM p),
+g AS (SELECT source, bin, count(*) AS n, median(mag) AS mag, stddev_pop(mag) / sqrt(count(*)) AS error FROM b GROUP BY ALL)
+SELECT source, bin, n, round(mag, 4) AS mag, round(error, 4) AS error, round((max(mag) OVER (PARTITION BY source) - min(mag) OVER (PARTITION BY source)) / 2, 4) AS semi_amp FROM g""")
+def lc_fold_profile(spark, sf):
+    """Medians and errors of phase bins, with an epoch and half a period's shift."""
+    return _rounded(ts.fold_profile(_good(spark, sf), 2.5, 8, "median", 0.3, True), "mag", "error", "semi_amp")
+
+
+@query(f"""WITH {LC}, f AS (SELECT source, t, mag, (t - min(t) OVER (PARTITION BY source)) / 2.5e0 AS c FROM good), p AS (SELECT source, t, mag, c - floor(c) AS phase FROM f)
+SELECT source, round(mag, 6) AS mag, round(phase, 6) AS phase, row_number() OVER (PARTITION BY source ORDER BY phase, t, mag) - 1 AS place FROM p""")
+def lc_phase_order(spark, sf):
+    return ts.phase_ordered(_good(spark, sf), 2.5).select("source", F.round("mag", 6).alias("mag"), F.round("phase", 6).alias("phase"), "place")

@@ -159,15 +159,13 @@ def grounding_check(spark, sf):
     return rows.select("conv_id", score.alias("score"), flagged.alias("flagged"))
 
 
-@query("""SELECT a.vec_id, round(list_dot_product(e, e) / 2, 6) AS half, round(sqrt(list_dot_product(m, m)), 6) AS norm FROM (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings) a
-JOIN (SELECT vec_id, list_transform(list_zip(embedding, list_reverse(embedding)), lambda p: (CAST(p[1] AS DOUBLE) + CAST(p[2] AS DOUBLE)) / 2) AS m FROM embeddings) b USING (vec_id)""")
+@query("""SELECT vec_id, round(m[1] / sqrt(list_dot_product(m, m)), 6) AS first, round(m[64] / sqrt(list_dot_product(m, m)), 6) AS last FROM (
+  SELECT vec_id, list_transform(list_zip(embedding, list_reverse(embedding)), lambda p: (CAST(p[1] AS DOUBLE) + CAST(p[2] AS DOUBLE)) / 2) AS m FROM embeddings)""")
 def aligned_vectors(spark, sf):
     """Bilingual alignment: a vector averaged with its counterpart; here the vector turned round stands for it."""
     e = F.transform("embedding", lambda x: x.cast("double"))
-    rows = table(spark, sf, "embeddings").select("vec_id", e.alias("e"))
-    mean = F.zip_with("e", F.reverse("e"), lambda x, y: (x + y) / 2)
-    return rows.select("vec_id", F.round(vx.dot(F.col("e"), F.col("e")) / 2, 6).alias("half"), F.round(vx.norm(mean), 6).alias("norm"))
+    rows = table(spark, sf, "embeddings").select("vec_id", e.alias("e")).withColumn("a", vx.aligned(F.col("e"), F.reverse("e")))
+    return rows.select("vec_id", F.round(F.get("a", F.lit(0)), 6).alias("first"), F.round(F.get("a", F.lit(63)), 6).alias("last"))
 
 
 @query()

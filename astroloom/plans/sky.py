@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import astro
+from ..operators import selection
 from ..operators import sky as s
 from ..sources.shared import spread
 from .base import registrar, table
@@ -75,8 +76,8 @@ def galactic(spark, sf):
 def dust_grid(spark, sf):
     """Cells of a rectangular galactic map, clamped to it."""
     l, b = astro.galactic(F.col("ra"), F.col("dec"))  # noqa: E741
-    clamp = lambda c, n: F.least(F.greatest(F.floor(c), F.lit(0)), F.lit(n - 1))
-    return _sky(spark, sf, *CUST).select("id", clamp(l / 360 * 36, 36).alias("x"), clamp((90 - b) / 180 * 18, 18).alias("y"))
+    x, y = s.grid_cell(l, b)
+    return _sky(spark, sf, *CUST).select("id", x.alias("x"), y.alias("y"))
 
 
 _N = NSIDE
@@ -148,11 +149,13 @@ LEFT JOIN (SELECT o_custkey, count(*) AS n_orders FROM orders GROUP BY 1) ON o_c
 def target_assemble(spark, sf):
     """Optional sources joined to every target, with how many answered."""
     t = lambda n: table(spark, sf, n)
-    rows = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    rows = rows.join(t("orders").groupBy("o_custkey").agg(F.count("*").alias("n_orders")), F.col("o_custkey") == F.col("c_custkey"), "left")
-    rows = rows.join(t("supplier").groupBy("s_nationkey").agg(F.count("*").alias("s_n")), F.col("s_nationkey") == F.col("c_nationkey"), "left")
-    found = sum((F.col(c).isNotNull().cast("int") for c in ("n_orders", "s_n")), F.col("n_name").isNotNull().cast("int"))
-    return rows.select(F.col("c_custkey").alias("id"), F.col("n_name").alias("place"), "n_orders", found.alias("n_success"))
+    targets = t("customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"))
+    sources = {
+        "place": (t("nation").select(F.col("n_nationkey").alias("nation"), F.col("n_name").alias("place")), "nation"),
+        "n_orders": (t("orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n_orders")), "id"),
+        "s_n": (t("supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("s_n")), "nation"),
+    }
+    return selection.assembled(targets, sources).select("id", "place", "n_orders", "n_success")
 
 
 _SPEC = "sp AS (SELECT l_suppkey AS spec, 3700 + 10.0e0 * l_linenumber + l_quantity AS wave, l_extendedprice / 1000 AS flux FROM lineitem)"
@@ -168,10 +171,12 @@ LINES = (("h9", 3720.0, 3740.0, 3730.0), ("h8", 3740.0, 3765.0, 3750.0))
 
 @query(f"""WITH {_SPEC}, ln AS (SELECT * FROM (VALUES {", ".join(f"('{n}', {a}e0, {b}e0, {c}e0)" for n, a, b, c in LINES)}) AS v(line, lo, hi, rest)), r AS (SELECT * FROM sp JOIN ln ON wave >= lo AND wave < hi),
 f AS (SELECT spec, line, regr_slope(flux, wave) AS b, regr_intercept(flux, wave) AS a FROM r GROUP BY ALL HAVING count(*) >= 3), d AS (SELECT spec, line, rest, wave, abs(flux - a - b * wave) AS w FROM r JOIN f USING (spec, line)),
-m AS (SELECT spec, line, rest, count(*) AS n, sum(w * wave) / nullif(sum(w), 0) AS c FROM d GROUP BY ALL) SELECT spec, line, n, round(c, 3) AS centre, round((c - rest) / rest * 299792.458e0, 1) AS rv FROM m""")
+m AS (SELECT spec, line, rest, count(*) AS n, sum(w * wave) / nullif(sum(w), 0) AS c FROM d GROUP BY ALL),
+v AS (SELECT spec, line, sum(w * pow(wave - c, 2)) / nullif(sum(w), 0) AS v FROM d JOIN m USING (spec, line) GROUP BY ALL)
+SELECT spec, line, n, round(c, 3) AS centre, round(2.3548200450309493e0 * sqrt(v), 2) AS fwhm, round((c - rest) / rest * 299792.458e0, 1) AS rv FROM m JOIN v USING (spec, line)""")
 def line_moments(spark, sf):
     lines = spark.createDataFrame(list(LINES), "line string, lo double, hi double, rest double")
-    return s.line_moments(_spectra(spark, sf), lines).select("spec", "line", "n", F.round("centre", 3).alias("centre"), F.round("rv", 1).alias("rv"))
+    return s.line_moments(_spectra(spark, sf), lines).select("spec", "line", "n", F.round("centre", 3).alias("centre"), F.round("fwhm", 2).alias("fwhm"), F.round("rv", 1).alias("rv"))
 
 
 _T = (2000.0, 40000.0, 39)

@@ -128,6 +128,14 @@ def directory_files(spark: SparkSession, path: str, extensions: tuple[str, ...])
     return files.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin([e.lower().lstrip(".") for e in extensions]))
 
 
+def page_corpus(pages: DataFrame, page: int = 100, document: int = 200) -> DataFrame:
+    """(doc, page_no, text, n_chars) of pages (doc, page_no, text) of more than ``page`` characters, without the documents
+    that have fewer than ``document`` in all their pages."""
+    rows = pages.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)))
+    short = rows.groupBy("doc").agg(F.sum("n_chars").alias("_n")).filter(F.col("_n") >= document).select("doc")
+    return rows.filter(F.col("n_chars") > page).join(short, "doc", "left_semi").select("doc", "page_no", "text", "n_chars")
+
+
 def wave_flux(rows: DataFrame) -> DataFrame:
     """(spec, wave, flux) from (spec, wave ARRAY, flux ARRAY); other columns are header fields and stay."""
     rest = [c for c in rows.columns if c not in ("spec", "wave", "flux")]

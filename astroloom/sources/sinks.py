@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 
+#: Bytes of JSON that are written as one array.
+ARRAY_BYTES = 256 << 20
+
+
 def dataset(rows: DataFrame, path: str, by: str) -> None:
     """JSON lines, a folder for each value of ``by``."""
     rows.write.mode("overwrite").partitionBy(by).json(path)
@@ -19,7 +23,11 @@ def json_lines(rows: DataFrame, path: str) -> None:
 
 
 def json_array(rows: DataFrame, path: str) -> None:
-    """One file that is a JSON array: for sets that a reader loads whole, so they are small; order by the rows' text."""
+    """One file that is a JSON array: for sets that a reader loads whole; order by the rows' text. Sets beyond what one
+    task should hold are refused: write those as lines."""
+    size = rows.select(F.octet_length(F.to_json(F.struct("*"))).alias("n")).agg(F.sum("n")).first()[0] or 0
+    if size > ARRAY_BYTES:
+        raise ValueError(f"{size} bytes are too many for one array; use json_lines")
     lines = rows.select(F.to_json(F.struct("*")).alias("line"))
     whole = lines.groupBy().agg(F.concat(F.lit("[\n"), F.array_join(F.array_sort(F.collect_list("line")), ",\n"), F.lit("\n]")).alias("value"))
     whole.coalesce(1).write.mode("overwrite").text(path)
