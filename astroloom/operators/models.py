@@ -71,12 +71,18 @@ class TextIndex:
     def __init__(self, path: str):
         self.path, self.postings_path = path, f"{path}/postings"
 
-    def add(self, docs: DataFrame) -> None:
-        part = uuid.uuid4().hex
+    def add(self, docs: DataFrame, part: str | None = None) -> None:
+        part = part or uuid.uuid4().hex
         docs.groupBy().agg(F.count("*").alias("n_docs")).write.mode("overwrite").parquet(f"{self.path}/counts/batch={part}")
         docs.write.mode("overwrite").parquet(f"{self.path}/documents/batch={part}")
         retrieval.postings(docs).write.mode("overwrite").parquet(f"{self.postings_path}/batch={part}")
 
+    def keep(self, stream: DataFrame, checkpoint: str) -> None:
+        """Adds the documents that a stream has now, each batch as the part of its number, and stops; a batch that is run
+        again replaces its part."""
+        sink = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda docs, batch: self.add(docs, f"stream-{batch}"))
+        sink.trigger(availableNow=True).start().awaitTermination()
+
     def documents(self, spark: SparkSession) -> DataFrame:
         return spark.read.option("basePath", f"{self.path}/documents").parquet(f"{self.path}/documents/batch=*").drop("batch")
 

@@ -13,6 +13,7 @@ from ..sources.shared import shared_dir
 from ..streaming import incremental as inc
 from ..streaming import knowledge
 from .base import registrar, table
+from .retrieval import IDF, INDEX, TOP, _keyword
 
 QUERIES, ORACLE_SQL, query = registrar()
 
@@ -142,5 +143,14 @@ def stream_index(spark, sf):
     """Postings appended batch by batch; document frequencies are an aggregate of them."""
     work = _work(spark)
     index = models.TextIndex(f"{work}/index")
-    inc.by_batch(_documents(spark, sf), index.postings_path, f"{work}/state", r.postings)
-    return r.term_statistics(models.TextIndex(f"{work}/index").postings(spark))
+    index.keep(_documents(spark, sf), f"{work}/state")
+    return r.term_statistics(models.TextIndex.load(f"{work}/index").postings(spark))
+
+
+@query(rf"""WITH {INDEX}, {_keyword(IDF)} {TOP.format('h', 5)}""")
+def stream_index_search(spark, sf):
+    """Keyword search of an index that a stream keeps."""
+    work = _work(spark)
+    index = models.TextIndex(f"{work}/index")
+    index.keep(_documents(spark, sf), f"{work}/state")
+    return index.search(table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text"))

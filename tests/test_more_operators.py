@@ -169,3 +169,24 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
     (tmp_path / "state" / "commits" / ".1.crc").unlink(missing_ok=True)
     kept.keep(stream(), str(tmp_path / "state"))
     assert see() == want and kept.version(spark, 1, schema).count() == 2
+
+
+def test_pool_of_generators_and_credentials(spark):
+    import time
+
+    def load(credential):
+        def model(prompt):
+            time.sleep(0.2)
+            if credential == "bad":
+                raise ValueError("refused")
+            return prompt + credential
+
+        return model
+
+    rows = spark.range(12).select(F.col("id").alias("k"), F.lit("p").alias("prompt")).coalesce(1)
+    began = time.time()
+    out = models.generated(rows, load, "k", tries=2, wait=0.01, pool=6, credentials=("bad", "good")).collect()
+    assert {(r.k, r.answer, r.status) for r in out} == {(k, "pgood", "ok") for k in range(12)}
+    assert time.time() - began < 12 * 0.2 + 15
+    failed = models.generated(rows, load, "k", tries=1, credentials=("bad",)).collect()
+    assert {(r.status, r.error) for r in failed} == {("failed", "refused")}
