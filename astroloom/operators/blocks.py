@@ -95,7 +95,8 @@ def quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, floa
     plain = lambda df: df.filter(F.col(value).isNotNull()).groupBy(*by).agg(*[F.percentile(value, F.lit(float(q))).alias(k) for k, q in shares.items()])
     if not by:
         return spread_quantiles(rows, by, value, shares)
-    large = stored(rows.groupBy(*by).agg(F.count(value).alias("_n")).filter(F.col("_n") > (hot or HOT)).select(*by))
-    if large.isEmpty():  # it has no more rows than the table has over ``hot``
+    large = rows.groupBy(*by).agg(F.count(value).alias("_n")).filter(F.col("_n") > (hot or HOT)).select(*by)
+    if large.isEmpty():
         return plain(rows)
+    large = stored(large)  # it has no more rows than the table has over ``hot``
     return plain(beside(rows, large, by, "left_anti")).unionByName(spread_quantiles(beside(rows, large, by, "left_semi"), by, value, shares))
