@@ -68,7 +68,8 @@ def encode(x: np.ndarray, k: int) -> tuple[int, list[np.ndarray], list[np.ndarra
         codes.append(code), firsts.append(first)
     width, best = 1, None
     while True:
-        work = sum(len(f) for f in firsts) * width * k + n * len(codes) * k
+        # A distance takes a difference, a square and a sum in each dimension, a row one sum in each block.
+        work = 3 * sum(len(f) for f in firsts) * width * k + n * len(codes) * k
         if best is None or work < best[0]:
             best = work, width, firsts, codes
         if len(codes) % 2:
