@@ -60,6 +60,34 @@ def sigma_clip(lc: DataFrame, k: float = 3.0, rounds: int = 1, by: tuple[str, ..
     return lc
 
 
+def clipped_to_null(rows: DataFrame, value: str, by: tuple[str, ...], high: float = 3.9, low: float = 3.6, also: tuple[str, ...] = ()) -> DataFrame:
+    """Keeps every row; ``value`` (and the columns ``also``) become null at or beyond ``high`` population sigmas above its
+    group's median, or ``low`` below. NaN counts as missing, and stays null."""
+    sane = F.nanvl(value, F.lit(None))
+    stats = beside(rows.groupBy(*by).agg(F.stddev_pop(sane).alias("_s")), quantiles(rows.withColumn(value, sane), list(by), value, {"_m": 0.5}), list(by))
+    inside = (sane < F.col("_m") + high * F.col("_s")) & (sane > F.col("_m") - low * F.col("_s"))
+    rows = beside(rows, stats, list(by)).withColumn("_in", inside)
+    return rows.withColumns({c: F.when(F.col("_in"), F.col(c)) for c in (value, *also)}).drop("_s", "_m", "_in")
+
+
+def error_statistics(lc: DataFrame, error: str = "error", by: tuple[str, ...] = ("source", "band"), k: float = 8.0) -> DataFrame:
+    """Scatter against measurement errors: magnitudes and errors are each clipped once at ``k`` sigmas about their own
+    median; then (n, n_kept, mag_std, error_max, error_median, error_mean, and the scatter over the mean and over the
+    median error). Ratios to an error of zero are null."""
+    edge = k * (1 + 1e-12)  # a sample on the limit stays
+    rows = lc.select(*by, "mag", F.col(error).alias("error"))
+    for column in ("mag", "error"):
+        rows = clipped_to_null(rows, column, by, edge, edge) if k else rows
+    # A group without scatter has no room within its limits: all of it stays.
+    flat = lc.groupBy(*by).agg(F.count("*").alias("n"), F.stddev_pop("mag").alias("_fm"), F.stddev_pop(error).alias("_fe"), F.max(error).alias("_e"))
+    kept = rows.groupBy(*by).agg(F.count("mag").alias("n_kept"), F.stddev_pop("mag").alias("mag_std"), F.max("error").alias("error_max"), F.avg("error").alias("error_mean"))
+    all_ = beside(beside(flat, kept, list(by)), quantiles(rows, list(by), "error", {"error_median": 0.5}), list(by))
+    level = lambda c: F.when(F.col("_fe") == 0, F.col("_e")).otherwise(F.col(c))
+    all_ = all_.withColumns({"n_kept": F.when(F.col("_fm") == 0, F.col("n")).otherwise(F.col("n_kept")), "mag_std": F.when(F.col("_fm") == 0, 0.0).otherwise(F.col("mag_std")), **{c: level(c) for c in ("error_max", "error_median", "error_mean")}})
+    ratio = lambda c: F.col("mag_std") / F.nullif(c, F.lit(0.0))
+    return all_.select(*by, "n", "n_kept", "mag_std", "error_max", "error_median", "error_mean", ratio("error_mean").alias("over_mean"), ratio("error_median").alias("over_median"))
+
+
 def difference_features(lc: DataFrame) -> DataFrame:
     """Shape and first differences in time order; a source is cut into blocks of its order."""
     stepped = windowed(lc, ["source"], ["t", "mag"], 1, 0, lambda w: {"d": F.col("mag") - F.lag("mag").over(w)})
@@ -215,6 +243,39 @@ def false_alarm(power: Column, n: Column, f_max: Column | float, time_variance:
     return 1 - (1 - F.pow(1 - power, half)) * F.exp(-tau)
 
 
+def false_alarm_level(probability: float, n: Column, f_max: Column | float, time_variance: Column, steps: int = 40) -> Column:
+    """The power whose false-alarm probability is ``probability``, halved in on between 0 and 1; null under five samples."""
+    half = lambda lo, hi: (lo + hi) / 2
+    start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
+
+    def closer(s: Column, _: Column) -> Column:
+        middle = half(s["lo"], s["hi"])
+        likely = false_alarm(middle, n, f_max, time_variance) > probability
+        return F.struct(F.when(likely, middle).otherwise(s["lo"]).alias("lo"), F.when(likely, s["hi"]).otherwise(middle).alias("hi"))
+
+    return F.when(n > 4, F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, closer, lambda s: half(s["lo"], s["hi"])))
+
+
+FEATURES = ("mean", "std", "min", "max", "median", "p25", "p75", "skew", "best_freq", "best_power", "power_std", "diff_std", "diff_abs")
+
+
+def feature_vectors(lc: DataFrame, low: float, high: float, n: int, least: int = 11) -> DataFrame:
+    """(source, features): the statistics named in ``FEATURES``, in that order, divided by the vector's length. Sources under
+    ``least`` samples have zeros for their periodogram, single samples zeros for differences, constant ones no skew.
+    Nothing is padded: a longer vector would hold no more."""
+    shape = lc.groupBy("source").agg(F.avg("mag").alias("mean"), F.stddev_pop("mag").alias("std"), F.min("mag").alias("min"), F.max("mag").alias("max"), F.skewness("mag").alias("skew"))
+    middle = quantiles(lc, ["source"], "mag", {"median": 0.5, "p25": 0.25, "p75": 0.75})
+    stepped = windowed(lc, ["source"], ["t", "mag"], 1, 0, lambda w: {"d": F.col("mag") - F.lag("mag").over(w)})
+    steps = stepped.groupBy("source").agg(F.stddev_pop("d").alias("diff_std"), F.avg(F.abs("d")).alias("diff_abs"))
+    # The best of a source's powers and their spread, in one aggregate.
+    waves = lomb_scargle(lc, low, high, n, least=least).groupBy("source").agg(F.max(F.struct("power", (-F.col("freq")).alias("minus"))).alias("b"), F.stddev_pop("power").alias("power_std"))
+    waves = waves.select("source", (-F.col("b.minus")).alias("best_freq"), F.col("b.power").alias("best_power"), "power_std")
+    rows = shape.join(middle, "source", "left").join(steps, "source", "left").join(waves, "source", "left")
+    rows = rows.select("source", F.array(*[F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0)) for c in FEATURES]).alias("raw"))
+    length = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda s, x: s + x * x)) + 1e-8
+    return rows.select("source", length.alias("length"), "raw").select("source", F.transform("raw", lambda x: x / F.col("length")).alias("features"))
+
+
 def with_model(lc: DataFrame, best: DataFrame) -> DataFrame:
     """Samples with their source's model and what is left when the flux is divided by it."""
     arg = F.lit(TWO_PI) * F.col("freq") * F.col("t")
@@ -253,6 +314,30 @@ def peaks(series: DataFrame, height: float, distance: int) -> DataFrame:
     return rows.filter((F.col("power") > F.col("_l")) & (F.col("power") > F.col("_r")) & (F.col("power") >= height) & (F.col("power") == F.col("_m"))).select("source", "k", "power")
 
 
+# Factors of distance and of height, tried in this order.
+RETRIES = ((1, 1.0), (5, 1.0), (10, 1.0), (10, 1.8))
+
+
+def peaks_retried(series: DataFrame, height: float, distance: int, most: int = 50, retries: tuple[tuple[int, float], ...] = RETRIES) -> DataFrame:
+    """(source, rank, k, power, turn): each source's peaks, highest first (ties: the smaller k), by the first of the
+    ``retries`` that leaves ``most`` or fewer; by the last one where none does. One sort of a source serves all distances."""
+    w = W.partitionBy("source").orderBy("k")
+    reach = {d: W.partitionBy("source").orderBy("k").rangeBetween(-d * distance, d * distance) for d, _ in retries}
+    rows = series.withColumns({"_l": F.lag("power").over(w), "_r": F.lead("power").over(w)} | {f"_m{d}": F.max("power").over(near) for d, near in reach.items()})
+    rows = rows.filter((F.col("power") > F.col("_l")) & (F.col("power") > F.col("_r")) & (F.col("power") >= height))
+    turns = F.array_compact(F.array(*[F.when((F.col("power") == F.col(f"_m{d}")) & (F.col("power") >= height * h), F.lit(i)) for i, (d, h) in enumerate(retries)]))
+    found = rows.select("source", "k", "power", turns.alias("turns"))
+    # How many each turn finds; a source may lose all in a later one, so counts of none count too.
+    counts = [F.count_if(F.array_contains("turns", i)).alias(f"_c{i}") for i in range(len(retries))]
+    chosen = F.lit(len(retries) - 1)
+    for i in reversed(range(len(retries) - 1)):
+        chosen = F.when(F.col(f"_c{i}") <= most, i).otherwise(chosen)
+    turn = found.groupBy("source").agg(*counts).select("source", chosen.alias("turn"))
+    kept = found.join(turn, "source").filter(F.array_contains("turns", F.col("turn")))
+    rank = F.row_number().over(W.partitionBy("source").orderBy(F.desc("power"), "k"))
+    return kept.select("source", rank.alias("rank"), "k", "power", "turn")
+
+
 # Thresholds in standard deviations above the mean, tried in this order.
 LADDER = (5.0, 4.0, 3.0, 2.5, 2.0, 1.5, 1.2, 1.0, 0.8, 0.7, 0.6)
 
@@ -309,6 +394,20 @@ def band_agreement(best: DataFrame, one: str, two: str, tolerance: float = 0.05)
     return a.join(b, "source").select("source", "p1", "p2", F.when(near, "double").otherwise("single").alias("identified"), (alias(F.col("p1")) | alias(F.col("p2"))).alias("alias"))
 
 
+def identified(best: DataFrame, one: str, two: str, tolerance: float = 0.05, over: float = 1.25) -> DataFrame:
+    """(source, p1, p2, identified) of the sources whose two bands (source, band, period in days, power, level) report a
+    period: those that agree within ``tolerance`` ("double"), or of which one is ``over`` times above its false-alarm level
+    ("single"). A band at a day or half a day proves nothing: a pair is vetoed when the other band is such too, or weak."""
+    side = lambda band, i: best.filter(F.col("band") == band).select("source", F.col("period").alias(f"p{i}"), F.col("power").alias(f"w{i}"), F.col("level").alias(f"l{i}"))
+    alias = lambda i: (F.abs(F.col(f"p{i}") - 1.0) < 8 / 1440) | (F.abs(F.col(f"p{i}") - 0.5) < 7 / 1440)
+    weak = lambda i: F.col(f"w{i}") < F.col(f"l{i}")
+    strong = lambda i: F.col(f"w{i}") > over * F.col(f"l{i}")
+    same = F.abs(F.col("p1") - F.col("p2")) / F.col("p2") < tolerance
+    veto = (alias(1) & (alias(2) | weak(2))) | (alias(2) & (alias(1) | weak(1)))
+    rows = side(one, 1).join(side(two, 2), "source").filter((same | strong(1) | strong(2)) & ~veto)
+    return rows.select("source", "p1", "p2", F.when(same, "double").otherwise("single").alias("identified"))
+
+
 def monte_carlo(lc: DataFrame, draws: int, error: float, seed: int) -> DataFrame:
     """Draws of each source's mean magnitude when every sample is moved by a normal error. The noise of a sample and
     draw is made from hashes, so it does not depend on how the rows are spread."""

@@ -292,3 +292,69 @@ def lc_fold_profile(spark, sf):
 SELECT source, round(mag, 6) AS mag, round(phase, 6) AS phase, row_number() OVER (PARTITION BY source ORDER BY phase, t, mag) - 1 AS place FROM p""")
 def lc_phase_order(spark, sf):
     return ts.phase_ordered(_good(spark, sf), 2.5).select("source", F.round("mag", 6).alias("mag"), F.round("phase", 6).alias("phase"), "place")
+
+
+@query(f"""WITH {LC}, s AS (SELECT source, median(mag) AS m, stddev_pop(mag) AS s FROM good GROUP BY source)
+SELECT source, count(*) AS n, count(CASE WHEN mag < m + 1.5 * s AND mag > m - 0.9 * s THEN mag END) AS n_kept, max(CASE WHEN mag < m + 1.5 * s AND mag > m - 0.9 * s THEN mag END) AS mag_max FROM good JOIN s USING (source) GROUP BY source""")
+def lc_null_clip(spark, sf):
+    rows = ts.clipped_to_null(_good(spark, sf), "mag", ("source",), 1.5, 0.9)
+    return rows.groupBy("source").agg(F.count("*").alias("n"), F.count("mag").alias("n_kept"), F.max("mag").alias("mag_max"))
+
+
+@query(f"""WITH {LC}, e AS (SELECT source, mag, 0.01e0 * mag + 0.001e0 AS error FROM good), s AS (SELECT source, count(*) AS n, median(mag) AS m, stddev_pop(mag) AS s, median(error) AS me, stddev_pop(error) AS se FROM e GROUP BY source),
+c AS (SELECT source, n, CASE WHEN s = 0 OR abs(mag - m) < 2.00000001e0 * s THEN mag END AS mag, CASE WHEN se = 0 OR abs(error - me) < 2.00000001e0 * se THEN error END AS error FROM e JOIN s USING (source))
+SELECT source, n, count(mag) AS n_kept, round(stddev_pop(mag) / nullif(avg(error), 0) + 1e-9, 4) AS over_mean, round(stddev_pop(mag) / nullif(median(error), 0) + 1e-9, 4) AS over_median FROM c GROUP BY source, n""")
+def lc_error_stats(spark, sf):
+    """With an error that grows with the magnitude."""
+    rows = ts.error_statistics(_good(spark, sf).withColumn("error", 0.01 * F.col("mag") + 0.001), by=("source",), k=2.0)
+    return _nudged(rows.select("source", "n", "n_kept", "over_mean", "over_median"), "over_mean", "over_median")
+
+
+_FAP = f"1 - (1 - pow(1 - z, (m - 3) / 2.0)) * exp(-({FREQS[1]} * sqrt(4 * {math.pi!r} * tv) * pow(1 - z, (m - 4) / 2.0) * sqrt((m - 3) / 2.0 * z)))"
+_LEVELS = f"""fal AS (SELECT source, p, (lo + hi) / 2 AS level FROM (WITH RECURSIVE h AS (SELECT source, m, tv, p, 0 AS i, 0e0 AS lo, 1e0 AS hi FROM ls_best JOIN {_TV} USING (source), (VALUES (0.1e0), (0.01e0)) AS q(p)
+UNION ALL SELECT source, m, tv, p, i + 1, CASE WHEN {_FAP.replace("z", "((lo + hi) / 2)")} > p THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {_FAP.replace("z", "((lo + hi) / 2)")} > p THEN hi ELSE (lo + hi) / 2 END FROM h WHERE i < 40) SELECT * FROM h WHERE i = 40))"""
+
+
+@query(f"""WITH {LC}, {_gls('good', 'mag', 'ls')}, {_LEVELS} SELECT source, round(max(CASE WHEN p = 0.1 THEN level END), 5) AS level_10, round(max(CASE WHEN p = 0.01 THEN level END), 5) AS level_1,
+  round(max(power) / max(CASE WHEN p = 0.01 THEN level END), 4) AS ratio FROM ls_best JOIN fal USING (source) GROUP BY source""")
+def lc_false_alarm_levels(spark, sf):
+    lc = _good(spark, sf)
+    best = ts.best_frequency(ts.lomb_scargle(lc, *FREQS)).join(lc.groupBy("source").agg(F.var_pop("t").alias("tv")), "source")
+    level = lambda p: ts.false_alarm_level(p, F.col("n"), FREQS[1], F.col("tv"))
+    rows = best.select("source", "power", level(0.1).alias("level_10"), level(0.01).alias("level_1"))
+    return rows.select("source", F.round("level_10", 5).alias("level_10"), F.round("level_1", 5).alias("level_1"), F.round(F.col("power") / F.col("level_1"), 4).alias("ratio"))
+
+
+_STEPS = "d AS (SELECT source, mag, mag - lag(mag) OVER (PARTITION BY source ORDER BY t, mag) AS d FROM good)"
+
+
+@query(f"""WITH {LC}, {_gls('good', 'mag', 'ls').replace('>= 10', '>= 11')}, {_STEPS}, p AS (SELECT source, stddev_pop(power) AS ps FROM ls GROUP BY source),
+f AS (SELECT source, avg(mag) AS a, stddev_pop(mag) AS b, min(mag) AS c, max(mag) AS e, median(mag) AS g, quantile_cont(mag, 0.25) AS h, quantile_cont(mag, 0.75) AS i,
+  coalesce(avg(power(mag - u, 3)) / nullif(power(stddev_pop(mag), 3), 0), 0) AS j, stddev_pop(d) AS o, avg(abs(d)) AS q FROM d JOIN (SELECT source, avg(mag) AS u FROM good GROUP BY source) USING (source) GROUP BY source),
+v AS (SELECT source, [a, b, c, e, g, h, i, j, coalesce(freq, 0), coalesce(power, 0), coalesce(ps, 0), coalesce(o, 0), coalesce(q, 0)] AS raw FROM f LEFT JOIN ls_best USING (source) LEFT JOIN p USING (source))
+SELECT source, CAST(unnest(range(13)) AS INT) AS dim, round(unnest(list_transform(raw, lambda x: x / (sqrt(list_sum(list_transform(raw, lambda y: y * y))) + 1e-8))), 5) AS value FROM v""")
+def lc_feature_vectors(spark, sf):
+    rows = ts.feature_vectors(_good(spark, sf), *FREQS)
+    return rows.select("source", F.posexplode("features").alias("dim", "value")).withColumn("value", F.round("value", 5))
+
+
+_REACHES = ", ".join(f"max(power) OVER (PARTITION BY source ORDER BY k RANGE BETWEEN {d} PRECEDING AND {d} FOLLOWING) AS m{d}" for d in (1, 5, 10))
+
+
+@query(f"""WITH {LC}, {DAILY}, x AS (SELECT *, lag(power) OVER w AS l, lead(power) OVER w AS r, {_REACHES} FROM s WINDOW w AS (PARTITION BY source ORDER BY k)),
+f AS (SELECT source, k, power, power = m1 AS t0, power = m5 AS t1, power = m10 AS t2, power = m10 AND power >= 36 AS t3 FROM x WHERE power > l AND power > r AND power >= 20),
+c AS (SELECT source, CASE WHEN count(*) FILTER (t0) <= 2 THEN 0 WHEN count(*) FILTER (t1) <= 2 THEN 1 WHEN count(*) FILTER (t2) <= 2 THEN 2 ELSE 3 END AS turn FROM f GROUP BY source)
+SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY power DESC, k) AS INT) AS rank, k, power, CAST(turn AS INT) AS turn FROM f JOIN c USING (source) WHERE CASE turn WHEN 0 THEN t0 WHEN 1 THEN t1 WHEN 2 THEN t2 ELSE t3 END""")
+def lc_peaks_retried(spark, sf):
+    return ts.peaks_retried(_daily(spark, sf), 20.0, 1, 2)
+
+
+@query(f"""WITH {LC}, {_BAND_BEST}, {_gls('sb', 'mag', 'ls')}, p AS (SELECT split_part(source, '|', 1) AS src, split_part(source, '|', 2) AS band, 1 / freq AS period, power FROM ls_best),
+b AS (SELECT CAST(x.src AS BIGINT) AS source, x.period AS p1, y.period AS p2, x.power AS w1, y.power AS w2, abs(x.period - y.period) / y.period < 0.05 AS same,
+  abs(x.period - 1) < 8 / 1440.0 OR abs(x.period - 0.5) < 7 / 1440.0 AS a1, abs(y.period - 1) < 8 / 1440.0 OR abs(y.period - 0.5) < 7 / 1440.0 AS a2 FROM p x JOIN p y ON x.src = y.src AND x.band = 'click' AND y.band = 'view')
+SELECT source, round(p1, 4) AS p1, round(p2, 4) AS p2, CASE WHEN same THEN 'double' ELSE 'single' END AS identified FROM b
+WHERE (same OR w1 > 1.25 * 0.3 OR w2 > 1.25 * 0.3) AND NOT (a1 AND a2) AND NOT (a1 AND w2 < 0.3) AND NOT (a2 AND w1 < 0.3)""")
+def band_identified(spark, sf):
+    lc = _good(spark, sf).filter(F.col("band").isin("click", "view")).withColumn("source", F.struct("source", "band"))
+    best = ts.best_frequency(ts.lomb_scargle(lc, *FREQS)).select(F.col("source.source").alias("source"), F.col("source.band").alias("band"), (1 / F.col("freq")).alias("period"), "power")
+    return _rounded(ts.identified(best.withColumn("level", F.lit(0.3)), "click", "view"), "p1", "p2")
