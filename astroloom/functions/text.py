@@ -55,6 +55,14 @@ def choice_answer(text: Column) -> Column:
     return F.upper(F.coalesce(*found))
 
 
+def stated_confidence(text: Column, none: float = 0.5) -> Column:
+    """The confidence that an answer states, in Chinese or English or as a percentage before the word; values above 1 are
+    percentages. ``none`` where no number is stated, or none that is one."""
+    patterns = (r"(?i)置信度[:：\s]*([0-9.]+)", r"(?i)confidence[:\s]*([0-9.]+)", r"(?i)([0-9.]+)\s*%\s*(?:置信|confidence)")
+    value = F.coalesce(*[F.regexp_extract(text, p, 1).try_cast("double") for p in patterns])
+    return F.coalesce(F.when(value > 1, value / 100).otherwise(value), F.lit(none))
+
+
 def json_block(text: Column) -> Column:
     """The fenced json block, else the first braces to the last."""
     fenced = F.regexp_extract(text, r"(?s)```json\s*(.*?)\s*```", 1)
@@ -105,6 +113,13 @@ def bilingual_tokens(text: Column) -> Column:
     return without_stop_words(F.concat(cjk_bigrams(text), latin), STOP_B)
 
 
+def mixed_words(text: Column) -> Column:
+    """Tokeniser C: lower-cased words of Latin letters and CJK characters only, two or longer; a word with a digit, an
+    underscore or another script's letter in it is none. Repeats stay."""
+    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+")
+    return F.filter(words, lambda w: w.rlike("^[a-z一-鿿]{2,}$"))
+
+
 def keywords(text: Column, stop: tuple[str, ...] = STOP_D, least: int = 2) -> Column:
     """Tokeniser D: words of letters, digits and underscores; with STOP_LITERATURE and ``least`` 4 the literature's form."""
     return without_stop_words(_split(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}_\s]", " ")), stop, least)
@@ -153,6 +168,37 @@ def soft_labels(answer: Column, topics: tuple[str, ...] = SOFT_TOPICS) -> Column
     return F.map_from_arrays(F.array(*map(F.lit, topics)), F.transform(F.array(*raw), lambda x: x / sum(raw[1:], raw[0])))
 
 
+def learned_key(query: Column, words: int = 3) -> Column:
+    """What a query's learned labels are kept under: its first words, in lower case."""
+    return F.array_join(F.slice(_split(F.lower(query)), 1, words), " ")
+
+
+# Words of a query that raise a soft topic, in the order in which they are looked for.
+PRIOR_WORDS = (("cataclysmic_variable", ("cataclysmic", "cv")), ("white_dwarf", ("white dwarf",)), ("binary", ("binary",)))
+
+
+def query_prior(query: Column, topics: tuple[str, ...] = SOFT_TOPICS, raised: float = 0.6) -> Column:
+    """Map of topic to weight before an answer is seen: equal shares, of which the topic that the query names first in
+    ``PRIOR_WORDS`` is raised; the others keep theirs."""
+    low = F.lower(F.coalesce(query, F.lit("")))
+    named = F.lit(None).cast("string")
+    for topic, words in reversed(PRIOR_WORDS):
+        holds = F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
+        named = F.when(holds, topic).otherwise(named)
+    return F.map_from_arrays(F.array(*map(F.lit, topics)), F.array(*[F.when(named == t, raised).otherwise(1 / len(topics)) for t in topics]))
+
+
+# Forms of object names: catalogue and number, variable star, transient; then star and constellation.
+NAME_FORMS = (r"[A-Z]{2,}\s+\d+", r"V\d+\s+[A-Za-z]+", r"[ATFGPS]\s*\d{4}[\-+]\d{2,4}", r"[A-Z]{1,2}\s+[A-Za-z]{1,3}")
+
+
+def object_names(text: Column, most: int = 10, forms: tuple[str, ...] = NAME_FORMS) -> Column:
+    """The first ``most`` distinct object names of a text, in order of code points. A name begins and ends at a word's
+    edge; space within it becomes one blank, so that a name broken over lines is the same name."""
+    whole = [F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(?<![\p{{L}}\p{{N}}_]){form}(?![\p{{L}}\p{{N}}_])"), F.lit(0)) for form in forms]
+    return F.slice(F.array_sort(F.array_distinct(F.transform(F.concat(*whole), lambda n: F.regexp_replace(n, r"\s+", " ")))), 1, most)
+
+
 def query_complexity(text: Column, words: tuple[str, ...] = ("分析", "比较", "为什么", "原因", "机制", "详细", "推导", "计算", "模型", "理论")) -> Column:
     return F.when(text.rlike("|".join(words)) | (F.length(text) > 100), "complex").otherwise("simple")
 

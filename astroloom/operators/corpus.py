@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..sources.shared import stored
+from . import patterns
 
 
 def exact_duplicates(docs: DataFrame, prefix: int | None = None) -> DataFrame:
@@ -56,6 +57,59 @@ def rule_questions(sections: DataFrame, templates: tuple[str, ...]) -> DataFrame
     return sections.select("doc_id", "topic", F.replace(pick, F.lit("{topic}"), F.col("topic")).alias("question"), F.trim(answer).alias("answer"), F.round(F.col("score") * 0.8, 4).alias("confidence"))
 
 
+# What stands in for a missing observation, and the two conclusions.
+NO_CONTENT, NO_OBSERVATION = "该天体", "观测到特定特征"
+UNSURE_CONCLUSION, SURE_CONCLUSION = "需要进一步研究", "与该类型天体的理论模型相符"
+# Answers and questions of texts without a topic.
+GENERAL_ANSWERS = ("论文研究了{content}。主要发现包括{observation}，这些结果{conclusion}。", "该研究聚焦于{content}。分析表明{observation}，这对于理解{conclusion}具有重要意义。")
+GENERAL_QUESTIONS = ("这部分内容的主要发现是什么？", "论文中讨论了什么观测结果？", "该研究使用了什么分析方法？", "这部分内容对于理解研究对象有什么帮助？", "论文中提到的关键参数有哪些？")
+GENERAL_ANSWER = "根据论文内容，{context}... 这些观测为理解该天体的物理性质提供了重要信息。"
+
+
+def topic_context(text: Column, terms: tuple[str, ...], most: int = 3, chars: int = 500) -> Column:
+    """The first sentences that hold a term, else the text's start, ``chars`` at most."""
+    found = F.array_join(tx.topic_sentences(text, terms, most), " ")
+    return F.left(F.coalesce(F.nullif(found, F.lit("")), text), F.lit(chars))
+
+
+def topic_questions(sections: DataFrame, questions: dict[str, tuple[str, ...]], answers: dict[str, tuple[str, ...]] | None = None, most_topics: int = 3, per_topic: int = 2, cap: int = 4) -> DataFrame:
+    """(doc_id, topic, question, answer, context, confidence) from (doc_id, topic, score, rank, context): for each of a
+    text's best topics ``per_topic`` of its questions, ``cap`` a text, the better topics' first.
+
+    Questions and answer forms are chosen by md5 of text, topic and form, so they never change. An answer is filled with
+    the context's first and second sentence and with a conclusion by the score; topics without questions give none."""
+    answers = answers or {}
+    listed = lambda forms: F.array(*map(F.lit, forms))
+    by_topic = F.create_map(*[x for t in sorted(questions) for x in (F.lit(t), listed(questions[t]))])
+    forms = F.lit(None).cast("array<string>")
+    for topic, given in sorted(answers.items()):
+        forms = F.when(F.col("topic") == topic, listed(given)).otherwise(forms)
+    key = lambda form: F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), "topic", form).cast("binary"))
+    chosen = lambda forms: F.array_sort(F.transform(forms, lambda q: F.named_struct(F.lit("key"), key(q), F.lit("form"), q)))
+    rows = sections.filter(F.col("rank") <= most_topics).withColumn("_q", F.slice(chosen(F.try_element_at(by_topic, "topic")), 1, per_topic))
+    rows = rows.select("doc_id", "topic", "score", "rank", "context", chosen(F.coalesce(forms, listed(GENERAL_ANSWERS)))[0]["form"].alias("form"), F.posexplode("_q").alias("_i", "_q"))
+    # A text has most_topics * per_topic rows at most.
+    rows = rows.withColumn("_n", F.row_number().over(W.partitionBy("doc_id").orderBy("rank", "topic", "_i"))).filter(F.col("_n") <= cap)
+    parts = F.split("context", r"\.")
+    values = {
+        "content": F.left(F.coalesce(F.get(parts, 0), F.lit(NO_CONTENT)), F.lit(150)),
+        "observation": F.coalesce(F.left(F.get(parts, 1), F.lit(100)), F.lit(NO_OBSERVATION)),
+        "conclusion": F.when(F.col("score") < 0.5, UNSURE_CONCLUSION).otherwise(SURE_CONCLUSION),
+    }
+    answer = F.col("form")
+    for name, value in values.items():
+        answer = F.replace(answer, F.lit("{%s}" % name), value)
+    return rows.select("doc_id", "topic", F.col("_q.form").alias("question"), F.left(answer, F.lit(400)).alias("answer"), F.left("context", F.lit(300)).alias("context"), F.round(F.col("score") * 0.8, 6).alias("confidence"))
+
+
+def general_questions(docs: DataFrame, sections: DataFrame, n: int = 2, questions: tuple[str, ...] = GENERAL_QUESTIONS) -> DataFrame:
+    """The same columns for the texts without any topic: the first ``n`` general questions, with confidence 0.6."""
+    rest = docs.filter("text IS NOT NULL").join(sections.select("doc_id").distinct(), "doc_id", "left_anti")
+    context = F.left("text", F.lit(300))
+    rows = rest.select("doc_id", context.alias("context"), F.explode(F.array(*map(F.lit, questions[:n]))).alias("question"))
+    return rows.select("doc_id", F.lit("general").alias("topic"), "question", F.replace(F.lit(GENERAL_ANSWER), F.lit("{context}"), F.col("context")).alias("answer"), "context", F.lit(0.6).alias("confidence"))
+
+
 def bibliographic(text: Column) -> tuple[Column, Column]:
     """(arXiv id, DOI), null where there is none."""
     find = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
@@ -73,6 +127,42 @@ def facts(docs: DataFrame, rules: tuple[tuple[str, str, float], ...] = FACTS) ->
     return docs.select("doc_id", F.explode(F.concat(*found)).alias("f")).select("doc_id", "f.*")
 
 
+# Statements of a parameter as (kind, pattern of value and unit); the kinds of object; their confidence.
+PARAMETERS = (("period", r"(?i)periods?\s+of\s+([\d.]+)\s*(hour|hr|min|day)"), ("mass", r"(?i)mass\s+of\s+([\d.]+)\s*(M_?\s*sun)"), ("distance", r"(?i)distance\s+of\s+([\d.]+)\s*(pc|kpc|Mpc)"))
+OBJECT_TYPES = r"(?i)(cataclysmic variable|white dwarf|neutron star|black hole|AM CVn)"
+SURE_OF = {"parameter": 0.7, "fact": 0.8}
+
+
+def typed_knowledge(papers: DataFrame) -> DataFrame:
+    """(source, source_title, knowledge_type, content, confidence, entities) from papers (id, title, abstract): one row for
+    each stated period, mass and distance, and for each kind of object that a paper names, whatever its case."""
+    said = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit("")))
+    rows = papers.select("id", "title", said.alias("said"))
+    group = lambda p, k: F.regexp_extract_all("said", F.lit(p), F.lit(k))
+    row = lambda kind, content: F.struct(F.lit(kind).alias("kind"), content.alias("content"))
+    content = lambda name: lambda x: row("parameter", F.concat(F.lit(f"Object has a {name} of "), x["v"], F.lit(" "), x["u"]))
+    stated = [F.transform(F.arrays_zip(group(p, 1).alias("v"), group(p, 2).alias("u")), content(name)) for name, p in PARAMETERS]
+    kinds = F.array_distinct(F.transform(group(OBJECT_TYPES, 1), F.lower))
+    every = F.concat(*stated, F.transform(kinds, lambda k: row("fact", F.concat(F.lit("Object is classified as "), k))))
+    found = rows.withColumn("k", F.explode(every))
+    sure = F.when(F.col("k.kind") == "fact", SURE_OF["fact"]).otherwise(SURE_OF["parameter"])
+    return found.select(F.col("id").alias("source"), F.col("title").alias("source_title"), F.col("k.kind").alias("knowledge_type"), "k.content", sure.alias("confidence"), tx.object_names(F.col("said")).alias("entities"))
+
+
+def learned_priors(samples: DataFrame, query: str, labels: str, at: str) -> DataFrame:
+    """(key, labels, first): the newest labels of each key (a query's first words), and when the key was first learned."""
+    rows = samples.select(tx.learned_key(F.col(query)).alias("key"), F.col(labels).alias("labels"), F.col(at).alias("at")).filter("key != ''")
+    return rows.groupBy("key").agg(F.max_by("labels", "at").alias("labels"), F.min("at").alias("first"))
+
+
+def predicted_topics(queries: DataFrame, key: str, query: str, learned: DataFrame) -> DataFrame:
+    """(key, labels): the labels of the key learned first among those that stand in a query, else the prior by its words.
+    Keys meet queries in one pass over the queries, not pair by pair."""
+    found = patterns.occurring(queries.select(key, F.lower(query).alias("_low")), key, "_low", learned.select(F.col("key").alias("pattern")))
+    oldest = found.join(learned.withColumnRenamed("key", "pattern"), "pattern").groupBy(key).agg(F.min_by("labels", F.struct("first", "pattern")).alias("_learned"))
+    return queries.join(oldest, key, "left").select(key, F.coalesce("_learned", tx.query_prior(F.col(query))).alias("labels"))
+
+
 def _fact(kind: str, confidence: float):
     return lambda x: F.struct(F.lit(kind).alias("kind"), x["v"].cast("double").alias("value"), x["u"].alias("unit"), F.lit(confidence).alias("confidence"))
 

@@ -59,6 +59,11 @@ def model_table(scores: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
     return wide.withColumn("overall", overall).withColumn("rank", F.row_number().over(W.orderBy(F.desc("overall"), "model")))
 
 
+def with_medals(models: DataFrame) -> DataFrame:
+    """A model table with each model's medal by its overall score: gold above 0.7, silver above 0.5, else bronze."""
+    return models.withColumn("medal", F.when(F.col("overall") > 0.7, "gold").when(F.col("overall") > 0.5, "silver").otherwise("bronze"))
+
+
 def checklist(results: DataFrame, by: str) -> DataFrame:
     """Share of passed checks in percent, banded PASS from 70 and WARN from 50."""
     score = F.round(F.avg(F.col("passed").cast("double")) * 100, 4)

@@ -9,6 +9,26 @@ from pyspark.sql import functions as F
 # Wording of notes and prompts.
 SOURCE_NOTE = "\n\n【参考来源: {source}, 第{page}页】"
 AUGMENTED = "基于以下参考信息回答问题：\n\n参考信息：\n{context}\n\n问题：{question}\n\n请基于上述参考信息提供准确、详细的回答。"
+TARGET_PROMPT = """你是一位专业天文学家。请分析以下天体目标。
+
+坐标信息:
+- 赤经 (RA): {ra} deg
+- 赤纬 (DEC): {dec} deg
+
+查询: {query}
+
+请提供详细的科学分析，包括：
+1. 天体分类
+2. 物理参数估计
+3. 观测建议
+
+分析："""
+BILINGUAL_PROMPTS = {
+    "zh": "你是一位资深天体物理学家。请基于以下知识回答问题。\n\n问题: {question}\n\n相关知识 (中英双语):\n{context}\n\n请用中文回答，可以引用上述知识。",
+    "en": "You are a senior astrophysicist. Please answer the question based on the following knowledge.\n\nQuestion: {question}\n\nRelevant Knowledge (Bilingual):\n{context}\n\nPlease answer in English, you may reference the knowledge above.",
+}
+QUESTION_HEAD = "请回答以下天文学问题：\n\n问题：{question}\n\n"
+CHOICE_TAIL, OPEN_TAIL = "\n请只回答选项字母（如 A、B、C、D），并简要说明理由。", "\n请给出详细答案和推理过程。"
 SNIPPET = "[{rank}] {text}... (来源: {source})"
 
 
@@ -26,6 +46,34 @@ def noted_answer(rule_based: Column, note: str = SOURCE_NOTE) -> Column:
     return F.concat("answer", F.when(F.coalesce(rule_based, F.lit(False)), source).otherwise(""))
 
 
+def target_prompt(ra: Column, dec: Column, query: Column) -> Column:
+    """What a student model is asked about a target; coordinates that are missing are named so."""
+    known = lambda c: F.coalesce(c.cast("string"), F.lit("N/A"))
+    return filled(TARGET_PROMPT, ra=known(ra), dec=known(dec), query=F.coalesce(query, F.lit("Analyze this astronomical target")))
+
+
+def target_answer(classification: Column, parameters: Column, steps: Column) -> Column:
+    """What it should answer: the class, the parameters of a map in order of name, and the numbered steps of an array."""
+    line = lambda e: F.concat(F.lit("- "), e["key"], F.lit(": "), F.coalesce(e["value"].cast("string"), F.lit("")), F.lit("\n"))
+    listed = F.array_join(F.transform(F.array_sort(F.map_entries(parameters)), line), "")
+    numbered = F.array_join(F.transform(steps, lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s, F.lit("\n"))), "")
+    none = F.lit("")
+    return F.concat(F.lit("\n"), F.coalesce(classification, F.lit("Unknown")), F.lit("\n\n[物理参数]\n"), F.coalesce(listed, none), F.lit("\n[推理过程]\n"), F.coalesce(numbered, none))
+
+
+def bilingual_prompt(question: Column, context: Column, language: Column) -> Column:
+    """The prompt in Chinese where that is the language, else in English."""
+    said = {k: filled(p, question=question, context=context) for k, p in BILINGUAL_PROMPTS.items()}
+    return F.when(language == "zh", said["zh"]).otherwise(said["en"])
+
+
+def question_prompt(question: Column, options: Column) -> Column:
+    """A question with the options of a map in order of their letters; without any, an open one."""
+    listed = F.array_join(F.transform(F.array_sort(F.map_entries(options)), lambda e: F.concat(e["key"], F.lit(". "), e["value"], F.lit("\n"))), "")
+    tail = F.when(F.size(options) > 0, F.concat(F.lit("选项：\n"), listed, F.lit(CHOICE_TAIL))).otherwise(OPEN_TAIL)
+    return F.concat(filled(QUESTION_HEAD, question=question), tail)
+
+
 def _said(role: str, text: Column, keys: tuple[str, str] = ("from", "value")) -> Column:
     return F.struct(F.lit(role).alias(keys[0]), text.alias(keys[1]))
 

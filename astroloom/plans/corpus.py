@@ -270,3 +270,84 @@ def page_corpus(spark, sf):
 @query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1994-01-01' AND DATE '1996-06-30'")
 def submitted_range(spark, sf):
     return s.submitted_between(table(spark, sf, "orders"), "o_orderdate", "1994-01-01", "1996-06-30").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
+
+
+@query("SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}_]+'), lambda w: regexp_matches(w, '^[a-z一-鿿]{2,}$')) AS w FROM documents".join(("SELECT doc_id, CAST(len(w) AS INT) AS n, md5(array_to_string(w, ' ')) AS words FROM (", ")")))
+def mixed_words(spark, sf):
+    rows = _docs(spark, sf).select("doc_id", tx.mixed_words(F.col("text")).alias("w"))
+    return rows.select("doc_id", F.size("w").alias("n"), F.md5(F.array_join("w", " ").cast("binary")).alias("words"))
+
+
+_ABSTRACTS = """a AS (SELECT o_orderkey AS id, o_orderpriority AS title, 'A ' || CASE o_orderkey % 3 WHEN 0 THEN 'White Dwarf and a neutron star near another white dwarf' WHEN 1 THEN 'binary' ELSE 'cataclysmic variable' END
+  || ' with a period of ' || o_custkey || ' hr, a mass of 0.' || (o_orderkey % 9) || ' Msun at a distance of ' || o_custkey || ' kpc. Confidence: ' || (o_custkey % 90) || CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE '.5' END AS abstract FROM orders)"""
+
+
+def _abstracts(spark, sf):
+    """Statements made of orders."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    kind = F.when(key % 3 == 0, "White Dwarf and a neutron star near another white dwarf").when(key % 3 == 1, "binary").otherwise("cataclysmic variable")
+    said = F.concat(F.lit("A "), kind, F.lit(" with a period of "), cust, F.lit(" hr, a mass of 0."), (key % 9).cast("string"), F.lit(" Msun at a distance of "), cust, F.lit(" kpc. Confidence: "), (F.col("o_custkey") % 90).cast("string"), F.when(key % 4 == 0, "").otherwise(".5"))
+    return table(spark, sf, "orders").select(key.alias("id"), F.col("o_orderpriority").alias("title"), said.alias("abstract"))
+
+
+@query(rf"""WITH {_ABSTRACTS}, k AS (SELECT id AS source, 'parameter' AS knowledge_type, 'Object has a period of ' || regexp_extract(abstract, 'period of (\d+)', 1) || ' hr' AS content FROM a
+UNION ALL SELECT id, 'parameter', 'Object has a mass of ' || regexp_extract(abstract, 'mass of ([0-9.]+)', 1) || ' Msun' FROM a UNION ALL SELECT id, 'parameter', 'Object has a distance of ' || regexp_extract(abstract, 'distance of (\d+)', 1) || ' kpc' FROM a
+UNION ALL SELECT id, 'fact', 'Object is classified as ' || t FROM a, (VALUES ('white dwarf'), ('neutron star'), ('cataclysmic variable')) AS v(t) WHERE contains(lower(abstract), t))
+SELECT source, knowledge_type, content, CASE knowledge_type WHEN 'fact' THEN 0.8e0 ELSE 0.7e0 END AS confidence FROM k""")
+def typed_knowledge(spark, sf):
+    return c.typed_knowledge(_abstracts(spark, sf)).select("source", "knowledge_type", "content", "confidence")
+
+
+@query(rf"""WITH {_ABSTRACTS}, v AS (SELECT id, CAST(regexp_extract(abstract, 'Confidence: ([0-9.]+)', 1) AS DOUBLE) AS v FROM a) SELECT id, CASE WHEN v > 1 THEN v / 100 ELSE v END AS confidence FROM v""")
+def stated_confidence(spark, sf):
+    return _abstracts(spark, sf).select("id", tx.stated_confidence(F.col("abstract")).alias("confidence"))
+
+
+@query()
+def object_names(spark, sf):
+    """Edges of words in other scripts are beyond the other engine's patterns; tested against plain Python."""
+    return _docs(spark, sf).select("doc_id", tx.object_names(F.col("text")).alias("names"))
+
+
+_LEARNED = """k AS (SELECT lower(text) AS low, array_to_string(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')[1:3], ' ') AS key, conv_id FROM conversations WHERE role = 'user' AND text IS NOT NULL),
+l AS (SELECT key, max(conv_id) AS top, min(conv_id) AS first FROM k WHERE conv_id % 4 = 0 AND key <> '' GROUP BY key)"""
+
+
+@query(f"""WITH {_LEARNED}, q AS (SELECT conv_id, low FROM k), m AS (SELECT conv_id, arg_min(top, (first, key)) AS top FROM q JOIN l ON contains(low, key) GROUP BY conv_id)
+SELECT conv_id, round(CASE WHEN top IS NOT NULL THEN CAST(top % 10 AS DOUBLE) / 10 WHEN contains(low, 'cataclysmic') OR contains(low, 'cv') THEN 0.25 WHEN contains(low, 'white dwarf') THEN 0.25 WHEN contains(low, 'binary') THEN 0.6 ELSE 0.25 END, 4) AS binary
+FROM q LEFT JOIN m USING (conv_id)""")
+def predicted_topics(spark, sf):
+    """First questions of conversations; a fourth of them, with labels by their number, have been learned."""
+    asked = table(spark, sf, "conversations").filter("role = 'user' AND text IS NOT NULL").select("conv_id", "text")
+    label = F.create_map(F.lit("binary"), (F.col("conv_id") % 10) / 10.0)
+    learned = c.learned_priors(asked.filter("conv_id % 4 = 0").withColumn("labels", label), "text", "labels", "conv_id")
+    return c.predicted_topics(asked, "conv_id", "text", learned).select("conv_id", F.round(F.col("labels")["binary"], 4).alias("binary"))
+
+
+# Stand-ins for a topic's questions and answers.
+_ASK = {t: tuple(f"{w} {t}?" for w in ("What is", "Why is", "How is")) for t in ("alpha", "beta", "gamma")}
+_SAY = {"alpha": ("It is {content}: {observation}; {conclusion}", "See {content}. {conclusion}")}
+
+
+@query(f"""WITH {TOPIC_SQL}, q(topic, question) AS (VALUES {", ".join(f"('{t}', '{x}')" for t, qs in _ASK.items() for x in qs)}),
+f(topic, form) AS (VALUES {", ".join(f"('alpha', '{x}')" for x in _SAY["alpha"])}), g(form) AS (VALUES {", ".join(f"('{x}')" for x in c.GENERAL_ANSWERS)}),
+x AS (SELECT doc_id, topic, score, rank, left(text, 500) AS context FROM top JOIN documents USING (doc_id)),
+p AS (SELECT x.*, question, row_number() OVER (PARTITION BY doc_id, topic ORDER BY md5(doc_id || '|' || topic || '|' || question)) AS i FROM x JOIN q USING (topic)),
+c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank, i) AS n FROM p WHERE i <= 2),
+w AS (SELECT c.*, (SELECT arg_min(form, md5(c.doc_id || '|' || c.topic || '|' || form)) FROM (SELECT form FROM f WHERE f.topic = c.topic UNION ALL SELECT form FROM g WHERE c.topic <> 'alpha')) AS form, string_split(context, '.') AS parts FROM c WHERE n <= 4)
+SELECT doc_id, topic, question, md5(left(replace(replace(replace(form, '{{content}}', left(parts[1], 150)), '{{observation}}', coalesce(left(parts[2], 100), '{c.NO_OBSERVATION}')), '{{conclusion}}', CASE WHEN score < 0.5 THEN '{c.UNSURE_CONCLUSION}' ELSE '{c.SURE_CONCLUSION}' END), 400)) AS answer,
+  round(score * 0.8e0, 6) AS confidence FROM w
+UNION ALL SELECT doc_id, 'general', question, md5(replace('{c.GENERAL_ANSWER}', '{{context}}', left(text, 300))), 0.6e0 FROM documents, (VALUES {", ".join(f"('{x}')" for x in c.GENERAL_QUESTIONS[:2])}) AS u(question) WHERE text IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM top)""")
+def topic_questions(spark, sf):
+    """Whose context is the text's start, since sentences are beyond the other engine's patterns."""
+    docs = _docs(spark, sf)
+    sections = c.topics(docs, TOPICS, 3)
+    asked = c.topic_questions(sections.join(docs.select("doc_id", F.left("text", F.lit(500)).alias("context")), "doc_id"), _ASK, _SAY)
+    rows = asked.unionByName(c.general_questions(docs, sections))
+    return rows.select("doc_id", "topic", "question", F.md5(F.col("answer").cast("binary")).alias("answer"), "confidence")
+
+
+@query("""WITH m AS (SELECT source AS model, round(avg(quality), 6) AS quality, round(avg(toxic), 6) AS toxic FROM documents JOIN labels USING (doc_id) GROUP BY source), o AS (SELECT model, round((quality + toxic) / 2 + 1e-9, 4) AS overall FROM m)
+SELECT *, CASE WHEN overall > 0.7 THEN 'gold' WHEN overall > 0.5 THEN 'silver' ELSE 'bronze' END AS medal FROM o""")
+def model_medals(spark, sf):
+    return e.with_medals(model_pivot(spark, sf)).select("model", "overall", "medal")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import astro
 from ..operators import timeseries as ts
+from ..sources import readers
 from ..sources.shared import spread
 from .base import registrar, table
 
@@ -358,3 +359,21 @@ def band_identified(spark, sf):
     lc = _good(spark, sf).filter(F.col("band").isin("click", "view")).withColumn("source", F.struct("source", "band"))
     best = ts.best_frequency(ts.lomb_scargle(lc, *FREQS)).select(F.col("source.source").alias("source"), F.col("source.band").alias("band"), (1 / F.col("freq")).alias("period"), "power")
     return _rounded(ts.identified(best.withColumn("level", F.lit(0.3)), "click", "view"), "p1", "p2")
+
+
+@query("""SELECT l_orderkey AS source, band, CAST(l_linenumber AS DOUBLE) AS t, mag, err FROM (SELECT l_orderkey, 'W1' AS band, l_linenumber, nullif(l_discount, 0) AS mag, l_tax AS err FROM lineitem
+UNION ALL SELECT l_orderkey, 'W2', l_linenumber, nullif(l_tax, 0), l_discount FROM lineitem) WHERE mag IS NOT NULL""")
+def infrared_epochs(spark, sf):
+    """Lines of an order stand for the epochs of a source; no discount and no tax for a missing magnitude."""
+    none = lambda c: F.nullif(c, F.lit(0.0))
+    wide = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("source"), F.col("l_linenumber").alias("mjd"), none("l_discount").alias("w1mpro"), F.col("l_tax").alias("w1sigmpro"), none("l_tax").alias("w2mpro"), F.col("l_discount").alias("w2sigmpro"))
+    return readers.paired_epochs(wide)
+
+
+@query(f"""SELECT l_orderkey AS source, band, l_linenumber + {readers.GAIA_JD!r}e0 AS t, mag, round(abs(-2.5e0 / ln(10) * err / flux), 8) AS err FROM (SELECT l_orderkey, 'G' AS band, l_linenumber, l_quantity AS mag, l_extendedprice AS flux, l_tax AS err FROM lineitem
+UNION ALL SELECT l_orderkey, 'BP', l_linenumber, nullif(l_discount, 0), l_extendedprice, l_tax FROM lineitem UNION ALL SELECT l_orderkey, 'RP', l_linenumber, nullif(l_tax, 0), l_extendedprice, l_tax FROM lineitem) WHERE mag IS NOT NULL""")
+def optical_epochs(spark, sf):
+    none = lambda c: F.nullif(c, F.lit(0.0))
+    line = table(spark, sf, "lineitem")
+    columns = [c for b, m in (("G", F.col("l_quantity")), ("BP", none("l_discount")), ("RP", none("l_tax"))) for c in (F.col("l_linenumber").alias(f"Time{b}"), F.col("l_extendedprice").alias(f"F{b}"), F.col("l_tax").alias(f"e_F{b}"), m.alias(f"{b}mag"))]
+    return readers.gaia_epochs(line.select(F.col("l_orderkey").alias("source"), *columns)).withColumn("err", F.round("err", 8))

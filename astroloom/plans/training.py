@@ -102,3 +102,21 @@ def chat_styles(spark, sf):
         one = c.rendered(chats, style).select("conv_id", F.md5(F.col("prompt").cast("binary")).alias(style))
         out = one if out is None else out.join(one, "conv_id")
     return out
+
+
+_TARGET = t.TARGET_PROMPT.replace("'", "''")
+
+
+@query(f"""SELECT o_orderkey AS id, md5(replace(replace(replace('{_TARGET}', '{{ra}}', CAST(o_custkey AS VARCHAR)), '{{dec}}', CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_custkey AS VARCHAR) ELSE 'N/A' END), '{{query}}', o_orderpriority)) AS asked,
+  md5(chr(10) || o_orderstatus || chr(10) || chr(10) || '[物理参数]' || chr(10) || '- a: ' || o_custkey || chr(10) || '- b: ' || o_orderkey || chr(10) || chr(10) || '[推理过程]' || chr(10) || '1. ' || o_orderpriority || chr(10) || '2. end' || chr(10)) AS answered,
+  md5(replace(replace(CASE WHEN o_orderkey % 3 = 0 THEN '{t.BILINGUAL_PROMPTS["zh"]}' ELSE '{t.BILINGUAL_PROMPTS["en"]}' END, '{{question}}', o_orderpriority), '{{context}}', o_orderstatus)) AS bilingual,
+  md5(replace('{t.QUESTION_HEAD}', '{{question}}', o_orderpriority) || CASE WHEN o_orderkey % 2 = 0 THEN '选项：' || chr(10) || 'A. ' || o_orderstatus || chr(10) || 'B. no' || chr(10) || '{t.CHOICE_TAIL}' ELSE '{t.OPEN_TAIL}' END) AS chosen FROM orders""")
+def prompt_texts(spark, sf):
+    """Orders stand for targets, with a declination and options for the even ones."""
+    key, cust, said, even = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderpriority"), F.col("o_orderkey") % 2 == 0
+    digest = lambda c: F.md5(c.cast("binary"))
+    options = F.when(even, F.create_map(F.lit("B"), F.lit("no"), F.lit("A"), F.col("o_orderstatus")))
+    return table(spark, sf, "orders").select(
+        key.alias("id"), digest(t.target_prompt(cust, F.when(even, cust), said)).alias("asked"), digest(t.target_answer(F.col("o_orderstatus"), F.create_map(F.lit("b"), key, F.lit("a"), cust.cast("long")), F.array(said, F.lit("end")))).alias("answered"),
+        digest(t.bilingual_prompt(said, F.col("o_orderstatus"), F.when(key % 3 == 0, "zh").otherwise("en"))).alias("bilingual"), digest(t.question_prompt(said, options)).alias("chosen"),
+    )

@@ -49,6 +49,17 @@ def gaia_epochs(wide: DataFrame) -> DataFrame:
     return wide.select("source", stacked.alias("x")).select("source", "x.*").filter("mag IS NOT NULL")
 
 
+INFRARED = {"W1": ("w1mpro", "w1sigmpro"), "W2": ("w2mpro", "w2sigmpro")}
+
+
+def paired_epochs(wide: DataFrame, time: str = "mjd", pairs: dict[str, tuple[str, str]] = INFRARED) -> DataFrame:
+    """(source, band, t, mag, err) from wide rows with a pair of magnitude and error for each band, of the infrared survey
+    if none are named; a band drops where its magnitude is null or not a number, its error may be missing."""
+    cells = [F.struct(F.lit(b).alias("band"), F.nanvl(F.col(m).cast("double"), F.lit(None)).alias("mag"), F.col(e).cast("double").alias("err")) for b, (m, e) in pairs.items()]
+    rows = wide.select("source", F.col(time).cast("double").alias("t"), F.explode(F.array(*cells)).alias("x"))
+    return rows.select("source", "x.band", "t", "x.mag", "x.err").filter("mag IS NOT NULL")
+
+
 def file_kinds(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, kind): light-curve files by their names; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
