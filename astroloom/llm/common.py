@@ -42,6 +42,14 @@ def byte_list(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores behind it as long as the table has such a column, in either case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where none is set and all
     executors are on this machine, as in tests."""

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, alnum_words, byte_list, bytes_column, i64, table, written
+from .common import WORD_BYTES, alnum_words, byte_list, bytes_column, i64, table, unused, written
 
 WINDOW = 10
 #: Characters of item text up to which the items are broadcast.
@@ -234,15 +234,13 @@ def drop_hit_words(docs: DataFrame, items: DataFrame, share: float = 0.5, size:
     items = _usable(items)
     if _small(items):
         return _cut(docs, _index(docs, items, size).find, share)
-    row, columns = "row", docs.columns
-    while row in columns:
-        row += "_"
+    row, spans, columns = unused(docs, "row"), unused(docs, "spans"), docs.columns
     docs = _numbered(docs, row)
     ids = docs.select(row, F.lit(None).cast("long").alias("doc_id"), "text")
     hits = written(_joined(ids, row, items, size).filter(F.size("spans") > 0).select(F.col(row), "spans"))
     whole = docs.join(hits, row, "left_anti").select(columns)
-    hit = docs.join(hits.withColumnRenamed("spans", row + "spans"), row).select(*columns, row + "spans")
-    return whole.unionByName(_cut(hit, None, share, row + "spans"))
+    hit = docs.join(hits.withColumnRenamed("spans", spans), row).select(*columns, spans)
+    return whole.unionByName(_cut(hit, None, share, spans))
 
 
 def _cut(docs: DataFrame, find: Callable | None, share: float, given: str | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, unused
 
 # The base rules, in the order in which ties of a start are listed.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -129,25 +129,24 @@ def scan_corpus(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def redact(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, mask: str = "[secret]") -> DataFrame:
-    """The rows with every found span replaced by ``mask``; columns and rows stay, and overlapping spans become one.
+    """The rows with every found span replaced by ``mask``; columns, whatever their names, and rows stay, and overlapping spans become one.
 
     Each distinct text that the ledger has not seen is scanned once; its findings meet all rows that hold it."""
     known = scan_unseen(docs, ledger, rules)
     if ledger is not None:
         known = known.unionByName(ledger.filter(F.col("rule_version") == rule_version(rules)).select(*known.columns))
-    known = known.filter(F.size("findings") > 0).select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings"))
-    rows = docs.withColumn("_blob", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).join(known, "_blob", "left").drop("_blob")
-
-    names = docs.columns
+    names, blob, findings = docs.columns, unused(docs, "_blob"), unused(docs, "_findings")
+    known = known.filter(F.size("findings") > 0).select(F.col("blob").alias(blob), F.col("findings").alias(findings))
+    rows = docs.withColumn(blob, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).join(known, blob, "left").drop(blob)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k, found = batch.schema.get_field_index("text"), batch.column("_findings").to_pylist()
+            k, found = batch.schema.get_field_index("text"), batch.column(findings).to_pylist()
             out = [t if not f or t is None else _masked(t, [(x["kind"], x["start"], x["end"]) for x in f], mask) for t, f in zip(batch.column(k).to_pylist(), found, strict=True)]
             batch = batch.set_column(k, batch.schema.field(k), pa.array(out, type=batch.schema.field(k).type))
             yield batch.select(names)
 
-    return rows.select(*names, "_findings").mapInArrow(run, docs.schema)
+    return rows.select(*names, findings).mapInArrow(run, docs.schema)
 
 
 def _masked(text: str, spans: list[tuple[str, int, int]], mask: str) -> str:

@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from astroloom.llm import decontaminate as d
 
@@ -84,3 +85,14 @@ def test_cuts_do_not_depend_on_the_way(spark, monkeypatch):
     assert sorted(map(repr, d.drop_hit_words(frame, of).collect())) == sorted(map(repr, whole))
     assert sorted(map(repr, d.contamination(frame, of).collect())) == sorted(map(repr, found))
     assert len(found) == len(docs) and 1 < len(whole) < len(docs)
+
+
+@pytest.mark.parametrize("chars", [0, 1_000_000])
+def test_cuts_keep_clashing_columns(spark, monkeypatch, chars):
+    monkeypatch.setattr(d, "BROADCAST_CHARS", chars)
+    passage = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, f"kept {passage} end", 1, "a"), (2, "clean.", 1, "b")], DOC)
+    docs = docs.withColumns({c: F.col("doc_id") for c in ("ROW", "rowspans", "spans", "items", "windows", "item_id")})
+    out = d.drop_hit_words(docs, spark.createDataFrame([(1, passage, 1)], ITEM), share=0.9)
+    assert out.columns == docs.columns
+    assert sorted((r.text, *list(r)[-6:]) for r in out.collect()) == [("clean.", *[2] * 6), ("kept  end", *[1] * 6)]

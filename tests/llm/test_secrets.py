@@ -73,6 +73,14 @@ def test_redact(spark):
         assert texts[9] == "x" * 200_000 + " [secret]"
 
 
+def test_redact_keeps_clashing_columns(spark):
+    frame = rows(spark, CASES).withColumns({c: F.col("doc_id") for c in ("_blob", "_FINDINGS", "blob", "findings", "kind")})
+    plain = {r.doc_id: r.text for r in secrets.redact(rows(spark, CASES)).collect()}
+    out = secrets.redact(frame)
+    assert out.columns == frame.columns
+    assert all(r.text == plain[r.doc_id] and list(r)[-5:] == [r.doc_id] * 5 for r in out.collect())
+
+
 @pytest.mark.parametrize("n", [0])
 def test_empty_table(spark, n):
     assert secrets.digest(secrets.scan_corpus(rows(spark, CASES).filter(F.lit(False)))).count() == n
