@@ -85,3 +85,45 @@ def test_corpus_held_out(spark):
     assert (out.held_out == [zlib.crc32(str(i).encode()) % 4 == 2 for i in out.doc_id]).all()
     test = out[out.held_out & out.toxic.notna()]
     assert ((test.predicted == 1) == (test.toxic == 1)).mean() > 0.85
+
+
+def test_scores_are_those_of_plain_windows():
+    """Each window by itself, word by word and unit by unit, against the batched scores."""
+    net = t.Network.new(t.Training(size=3, width=2, seed=5))
+    rng = np.random.default_rng(2)
+    net.p = {k: (v + rng.normal(0, 0.4, v.shape)).astype(np.float32) for k, v in net.p.items()}
+    net.scale = (0.7, -0.2)
+    p, n = net.p, 2
+    sig = lambda v: 1 / (1 + np.exp(-float(v)))
+
+    def vector(word):
+        rows, _ = t.grams_of([word])
+        return [*p["word"][zlib.crc32(word) % t.WORD_ROWS], *np.mean([p["gram"][r] for r in rows], axis=0)]
+
+    def states(xs, way):
+        h, out = [0.0] * n, []
+        for x in xs:
+            a = [sum(x[i] * p[f"W{way}"][i, j] for i in range(len(x))) + p[f"c{way}"][j] for j in range(3 * n)]
+            g = [sum(h[i] * p[f"U{way}"][i, j] for i in range(n)) for j in range(3 * n)]
+            z, r = [sig(a[j] + g[j]) for j in range(n)], [sig(a[n + j] + g[n + j]) for j in range(n)]
+            h = [(1 - z[j]) * np.tanh(a[2 * n + j] + r[j] * g[2 * n + j]) + z[j] * h[j] for j in range(n)]
+            out.append(h)
+        return out
+
+    def logit(words):
+        xs = [vector(w) for w in words]
+        both = [[*f, *b] for f, b in zip(states(xs, "f"), states(xs[::-1], "b")[::-1], strict=True)]
+        e = [np.exp(sum(np.tanh(sum(s[i] * p["A"][i, j] for i in range(2 * n))) * p["a"][j] for j in range(n))) for s in both]
+        return sum(w / sum(e) * s[i] * p["o"][i] for w, s in zip(e, both, strict=True) for i in range(2 * n)) + p["s"][0]
+
+    texts = ["", "one", " ".join(f"w{k}" for k in range(24)), " ".join(f"v{k % 31}" for k in range(61)), "!?"]
+    want = []
+    for text in texts:
+        words, start, found = text.encode().split() if text != "!?" else [], 0, []
+        while True:
+            found.append(logit(words[start : start + t.WINDOW]))
+            if start + t.WINDOW >= len(words):
+                break
+            start += t.STRIDE
+        want.append(sig(0.7 * max(found) - 0.2))
+    assert np.allclose(net.scores(texts), want, atol=1e-5)
