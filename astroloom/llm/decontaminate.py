@@ -5,16 +5,14 @@ the shingles by rarity; full containment makes the rarest shingle a window's who
 hold a window only where it holds that shingle. Each such place fixes the alignment: it must lie inside the document
 (length and positional bounds), and the ten words are then compared one by one.
 
-Where the items are few enough to be broadcast, each task holds the postings of their prefixes. Beyond that, the
-prefixes are a table that is joined with the shingles of the documents, and the documents meet the alignments found.
-Both ways give the same rows.
+One way serves any number of items. A scan of the documents tests its shingles against a bit filter of bounded size
+before any of them leaves the task; what passes meets the exact shingles in a join, along with the words around it, so
+that no text is shuffled.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-from collections.abc import Callable, Iterable, Iterator
-from itertools import pairwise
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +20,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, alnum_words, byte_list, bytes_column, i64, table, unused, written
+from .common import WORD_BYTES, alnum_words, byte_list, i64, table, unused, written
 
 WINDOW = 10
-#: Characters of item text up to which the items are broadcast.
-BROADCAST_CHARS = 1_000_000
-#: Bytes of document text that meet their alignments in one group.
-GROUP_BYTES = 24_000_000
+#: Bits of the filter that all tasks hold are at most two to this power (64 MB). Where many more shingles are wanted than
+#: it can tell apart, more pass it that the join then drops; the rows stay the same.
+FILTER_LOG = 29
+SHIFTS = (0, 17, 35)
+#: Words whose hashes a task keeps, and places that it hands on at once.
+KEPT_WORDS, KEPT_PLACES = 1 << 20, 10_000
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-FOUND = "n_words long, spans array<struct<start:int,end:int>>"
 
 
 def windows_of(words: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ...]]:
@@ -38,30 +37,48 @@ def windows_of(words: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ...]
     return [tuple(words[i : i + size]) for i in range(max(len(words) - size + 1, 1))] if words else []
 
 
-def shingles_of(words: Iterable[bytes]) -> list[tuple[bytes, ...]]:
-    """The two-word shingles by position; the word alone if there is one."""
-    words = tuple(words)
-    return list(pairwise(words)) if len(words) > 1 else [words]
+class Shingles(dict):
+    """Hashes of two-word shingles, and of single words, from the words' own hashes, which are kept."""
 
+    def __missing__(self, word: bytes) -> int:
+        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        return value
 
-def document_shingles(words: list[bytes], single: bool) -> list[tuple[bytes, ...]]:
-    """The two-word shingles of a document and, for items of one word, its words."""
-    return [*pairwise(words), *((w,) for w in words)] if single else list(pairwise(words))
+    def of(self, words: list[bytes], single: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes and their places: every pair of neighbours and, if ``single``, every word, after the pairs. Two
+        shingles with one hash cost a comparison, no result."""
+        if len(self) > KEPT_WORDS:
+            self.clear()
+        h = np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+        pairs = _mixed(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
+        if not single:
+            return pairs, np.arange(len(pairs))
+        return np.concatenate([pairs, _mixed(h ^ np.uint64(0xD1B54A32D192ED03))]), np.concatenate([np.arange(len(pairs)), np.arange(len(h))])
 
 
-def document_frequencies(docs: DataFrame, shingles: set[tuple[bytes, ...]]) -> dict[tuple[bytes, ...], int]:
-    """In how many documents each of ``shingles`` occurs, over the whole table. At most a row per shingle comes back."""
-    shared, single = docs.sparkSession.sparkContext.broadcast(frozenset(shingles)), any(len(s) == 1 for s in shingles)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for batch in batches:
-            for text in byte_list(batch.column("text")):
-                seen.update(shared.value.intersection(document_shingles(alnum_words(text), single)))
-        yield pa.RecordBatch.from_arrays([bytes_column([b" ".join(s) for s in seen]), i64(list(seen.values()))], names=["shingle", "n"])
 
-    counted = docs.select("text").mapInArrow(count, "shingle binary, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    return {tuple(bytes(r[0]).split(b" ")): r[1] for r in counted.collect()}
+class ShingleFilter:
+    """Bits at three places for each hash of a set: passes all of them, and few others. Its size is bounded."""
+
+    def __init__(self, hashes: DataFrame):
+        self.log = min(FILTER_LOG, max(10, (64 * hashes.count()).bit_length()))
+        places = F.array(*[F.shiftrightunsigned("shingle", s).bitwiseAND(F.lit((1 << self.log) - 1)) for s in SHIFTS])
+        filled = hashes.select(F.explode(places).alias("p")).groupBy(F.shiftrightunsigned("p", 6).alias("word"))
+        filled = filled.agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 AS int)))").alias("bits")).toArrow()
+        self.bits = np.zeros(max(1, (1 << self.log) >> 6), dtype=np.uint64)
+        self.bits[filled.column("word").to_numpy()] = filled.column("bits").to_numpy().view(np.uint64)
+
+    def passing(self, hashes: np.ndarray) -> np.ndarray:
+        """Positions of the hashes that pass."""
+        left = np.arange(len(hashes))
+        for shift in SHIFTS:
+            at = (hashes[left] >> np.uint64(shift)) & np.uint64((1 << self.log) - 1)
+            left = left[(self.bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)]
+        return left
 
 
 def merged(found: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -75,194 +92,147 @@ def merged(found: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in spans]
 
 
-class WindowIndex:
-    """Postings of each window's rarest shingle; what a task needs to find all windows of the items."""
-
-    def __init__(self, items: list[tuple[str, str]], frequency: dict[tuple[bytes, ...], int], size: int = WINDOW):
-        holders = defaultdict(set)
-        for item, text in items:
-            for w in windows_of(alnum_words(text.encode()), size):
-                holders[w].add(item)
-        #: shingle -> (offset in the window, window, items)
-        self.postings: dict[tuple[bytes, ...], list[tuple]] = defaultdict(list)
-        for window, of in holders.items():
-            at, shingle = min(enumerate(shingles_of(window)), key=lambda x: (frequency.get(x[1], 0), x[1], x[0]))
-            self.postings[shingle].append((at, window, sorted(of)))
-        self.keys, self.single = frozenset(self.postings), any(len(s) == 1 for s in self.postings)
-
-    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Spans of words that lie in windows (merged, in order), and the items whose windows occur."""
-        shingles = document_shingles(words, self.single)
-        present = self.keys.intersection(shingles)
-        if not present:
-            return [], set()
-        starts: dict[int, int] = {}
-        items: set[str] = set()
-        n = len(words)
-        for place, shingle in enumerate(shingles):
-            if shingle in present:
-                place -= (n - 1) * (len(shingle) == 1 < n)  # single words stand after the pairs
-                for offset, window, of in self.postings[shingle]:
-                    start = place - offset
-                    if start >= 0 and start + len(window) <= n and tuple(words[start : start + len(window)]) == window:
-                        starts[start] = max(starts.get(start, 0), start + len(window))
-                        items.update(of)
-        return merged(starts.items()), items
-
-
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """doc_id, n_words, spans (array of start and end in words) and items (sorted strings), one row per document.
 
     Null and empty texts have no words, so nothing hits them; null items and items without words occur nowhere; items
     with equal texts are all reported. Rows with equal or null doc_id stay apart. Only doc_id and text are read."""
-    docs, items = docs.select("doc_id", "text"), _usable(items)
-    if _small(items):
-        return _match(docs, _index(docs, items, size))
-    return _joined(_numbered(docs, "row"), "row", items, size).drop("row")
+    of, prefix, single = _prefixes(docs, items, size)
+    seen = _places(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "row", prefix, single, size)
+    hits = _verified(seen, "row", prefix)
+    named = hits.select("row", "window").distinct().join(of, "window").groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    found = seen.filter("shingle IS NULL").select("row", "doc_id", "n_words").join(_spans(hits, "row"), "row", "left").join(named, "row", "left")
+    empty = F.array().cast("array<struct<start:int,end:int>>"), F.array().cast("array<string>")
+    return found.select("doc_id", "n_words", F.coalesce("spans", empty[0]).alias("spans"), F.coalesce("items", empty[1]).alias("items"))
 
 
-def _usable(items: DataFrame) -> DataFrame:
-    return items.select(F.col("item_id").cast("string").alias("item_id"), "text").filter(F.col("item_id").isNotNull() & F.col("text").isNotNull())
+def _prefixes(docs: DataFrame, items: DataFrame, size: int) -> tuple[DataFrame, DataFrame, bool]:
+    """(item_id, window), (window, shingle, offset) of each window's rarest shingle, and whether a window is one word."""
+    items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").filter(F.col("item_id").isNotNull() & F.col("text").isNotNull())
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column("item_id").to_pylist(), byte_list(batch.column("text")), strict=True):
+                made = windows_of(alnum_words(text), size)
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(made), type=pa.string()), pa.array(made, type=pa.list_(pa.binary()))], names=["item_id", "window"])
 
-def _small(items: DataFrame) -> bool:
-    return (items.agg(F.sum(F.length("text"))).first()[0] or 0) <= BROADCAST_CHARS
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Shingles()
+        for batch in batches:
+            for window in batch.column("window").to_pylist():
+                hashes, at = known.of(window, len(window) == 1)
+                made = pa.array([window] * len(at), type=pa.list_(pa.binary()))
+                yield pa.RecordBatch.from_arrays([made, i64(hashes.view(np.int64)), i64(at)], names=["window", "shingle", "at"])
+
+    of = written(items.mapInArrow(cut, "item_id string, window array<binary>").distinct())
+    mine = written(of.select("window").distinct().mapInArrow(spell, "window array<binary>, shingle long, at long"))
+    single = not mine.filter(F.size("window") == 1).isEmpty()
+    counted = _document_frequencies(docs, ShingleFilter(mine.select("shingle").distinct()), single)
+    rarest = F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "shingle", "at")).alias("x")
+    prefix = mine.join(counted, "shingle", "left").groupBy("window").agg(rarest).select("window", "x.shingle", F.col("x.at").alias("offset"))
+    return of, written(prefix), single
 
 
-def _numbered(docs: DataFrame, row: str) -> DataFrame:
-    """The rows, written once with a number that tells them apart in every pass."""
-    return written(docs.withColumn(row, F.monotonically_increasing_id()))
+def _document_frequencies(docs: DataFrame, wanted: ShingleFilter, single: bool) -> DataFrame:
+    """(shingle, df): in how many documents of the whole table each shingle occurs that passes the filter."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Shingles()
+        for batch in batches:
+            found = [np.empty(0, dtype=np.uint64)]
+            for text in byte_list(batch.column("text")):
+                hashes, _ = known.of(alnum_words(text), single)
+                found.append(np.unique(hashes[shared.value.passing(hashes)]))
+            values, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([i64(values.view(np.int64)), i64(n)], names=["shingle", "n"])
 
-def _index(docs: DataFrame, items: DataFrame, size: int) -> WindowIndex:
-    rows = [tuple(r) for r in items.collect()]
-    return WindowIndex(rows, document_frequencies(docs, {s for _, text in rows for w in windows_of(alnum_words(text.encode()), size) for s in shingles_of(w)}), size)
+    return docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("df"))
 
 
-def _match(docs: DataFrame, index: WindowIndex) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+def _places(docs: DataFrame, key: str, prefix: DataFrame, single: bool, size: int) -> DataFrame:
+    """A row with ``key``, doc_id and n_words for each document, and one with ``key``, shingle and at for each place whose
+    shingle passes the filter of the prefixes, with the words ``near`` it, which begin at ``first``. Written once."""
+    shared = docs.sparkSession.sparkContext.broadcast(ShingleFilter(prefix.select("shingle").distinct()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lengths, spans, items = [], [], []
-            for text in byte_list(batch.column("text")):
-                words = alnum_words(text)
-                hit, of = shared.value.find(words)
-                lengths.append(len(words))
-                spans.append([{"start": a, "end": b} for a, b in hit])
-                items.append(sorted(of))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), i64(lengths), pa.array(spans, type=SPANS), pa.array(items, type=pa.list_(pa.string()))], names=["doc_id", "n_words", "spans", "items"])
+        known = Shingles()
+        names = [key, "doc_id", "n_words", "shingle", "at", "first", "near"]
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {FOUND}, items array<string>")
+        def rows(batch: pa.RecordBatch, of: list[tuple]) -> pa.RecordBatch:
+            k, whole, n, shingle, at, first, near = zip(*of, strict=True) if of else [()] * 7
+            ids = [batch.column(key).take(pa.array(k, type=pa.int64())), batch.column("doc_id").take(pa.array(whole, type=pa.int64()))]
+            return pa.RecordBatch.from_arrays([*ids, i64(n), i64(shingle), i64(at), i64(first), pa.array(near, type=pa.list_(pa.binary()))], names=names)
 
+        for batch in batches:
+            out: list[tuple] = []
+            for k, text in enumerate(byte_list(batch.column("text"))):
+                words = alnum_words(text)
+                out.append((k, k, len(words), None, None, None, None))
+                hashes, places = known.of(words, single)
+                left = shared.value.passing(hashes)
+                for shingle, at in zip(hashes[left].view(np.int64).tolist(), places[left].tolist(), strict=True):
+                    first = max(0, at - size + 1)
+                    out.append((k, None, None, shingle, at, first, words[first : at + size]))
+                    if len(out) >= KEPT_PLACES:
+                        yield rows(batch, out)
+                        out = []
+            yield rows(batch, out)
 
-def _shingle_table(rows: DataFrame, key: str, split: Callable[[bytes], list[bytes]], single: bool, once: bool) -> DataFrame:
-    """(key, shingle, at): 64-bit hashes of the shingles of each row's words and their places; ``once``: each shingle of
-    a row once. A hash that two shingles share costs a comparison, no result."""
-    digest = xxhash.xxh3_64_intdigest
+    ids = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (key, "doc_id"))
+    return written(docs.mapInArrow(run, f"{ids}, n_words long, shingle long, at long, first long, near array<binary>"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                words = split(byte_list(batch.column("text").slice(k, 1))[0])
-                alone = len(words) if single or len(words) == 1 else 0
-                made = [digest(b" ".join(p)) for p in pairwise(words)] + [digest(w) for w in words[:alone]]
-                at = np.concatenate([np.arange(len(made) - alone), np.arange(alone)]).astype(np.int64)
-                hashes = np.array(made, dtype=np.uint64).view(np.int64)
-                if once:
-                    hashes, first = np.unique(hashes, return_index=True)
-                    at = at[first]
-                ids = pa.array([batch.column(key)[k].as_py()] * len(hashes), type=batch.schema.field(key).type)
-                yield pa.RecordBatch.from_arrays([ids, i64(hashes), i64(at)], names=[key, "shingle", "at"])
 
-    return rows.select(key, "text").mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, shingle long, at long")
+def _verified(seen: DataFrame, key: str, prefix: DataFrame) -> DataFrame:
+    """(key, start, end, window): the places at which a window stands word by word. A shingle that many places hold is a
+    skewed key of rows and few windows, which the join splits."""
+    start, words = F.col("at") - F.col("offset"), F.size("window")
+    same = F.slice("near", F.greatest(start - F.col("first") + 1, F.lit(1)).cast("int"), words) == F.col("window")
+    met = seen.filter("shingle IS NOT NULL").join(prefix, "shingle").filter((start >= 0) & same)
+    return written(met.select(key, start.cast("int").alias("start"), (start + words).cast("int").alias("end"), "window").distinct())
 
 
-def _joined(docs: DataFrame, row: str, items: DataFrame, size: int) -> DataFrame:
-    """``row`` and what contamination() says of it, for items that are too many to broadcast. ``docs`` is stored."""
+def _spans(hits: DataFrame, key: str) -> DataFrame:
+    """(key, spans): the hit words of each document, in order; spans that overlap or touch are one."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for item, text in zip(batch.column("item_id").to_pylist(), byte_list(batch.column("text")), strict=True):
-                made = [b" ".join(w) for w in windows_of(alnum_words(text), size)]
-                yield pa.RecordBatch.from_arrays([pa.array([item] * len(made), type=pa.string()), bytes_column(made)], names=["item_id", "window"])
-
-    of = written(items.mapInArrow(cut, "item_id string, window binary").distinct())
-    windows = of.select("window").distinct()
-    single = not windows.filter(~F.contains("window", F.lit(" ").cast("binary"))).isEmpty()
-    mine = written(_shingle_table(windows.withColumn("text", F.col("window")), "window", lambda w: w.split(b" "), False, False))
-    wanted = mine.select("shingle").distinct()
-    counted = _shingle_table(docs, row, alnum_words, single, True).join(wanted, "shingle", "left_semi").groupBy("shingle").agg(F.count("*").alias("df"))
-    rarest = F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "shingle", "at")).alias("x")
-    prefix = written(mine.join(counted, "shingle", "left").groupBy("window").agg(rarest).select("window", "x.shingle", F.col("x.at").alias("offset")))
-    # The documents' shingles may be skewed, which the join splits; each place that it keeps is an alignment to verify.
-    places = _shingle_table(docs, row, alnum_words, single, False)
-    aligned = places.join(prefix, "shingle").select(row, (F.col("at") - F.col("offset")).alias("start"), "window").filter("start >= 0").distinct()
-
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + total // GROUP_BYTES)
-    group = F.pmod(F.xxhash64(row), F.lit(groups)).alias("_group")
-    texts = docs.select(group, row, F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-
-    def verify(rows: pa.Table, places: pa.Table) -> pa.Table:
-        at: dict[int, list] = defaultdict(list)
-        for r, start, window in zip(places.column(row).to_pylist(), places.column("start").to_pylist(), places.column("window").to_pylist(), strict=True):
-            at[r].append((start, window))
-        lengths, spans, found = [], [], []
-        for r, text in zip(rows.column(row).to_pylist(), rows.column("text").to_pylist(), strict=True):
-            words, hit = alnum_words(text), {}
-            for start, window in at.get(r, ()):
-                w = window.split(b" ")
-                if words[start : start + len(w)] == w:
-                    hit[start, start + len(w)] = window
-            lengths.append(len(words))
-            spans.append([{"start": a, "end": b} for a, b in merged(hit)])
-            found.append(sorted(set(hit.values())))
-        return pa.table([rows.column(row), i64(lengths), pa.array(spans, type=SPANS), pa.array(found, type=pa.list_(pa.binary()))], names=[row, "n_words", "spans", "windows"])
-
-    places = aligned.select(group, row, "start", "window")
-    hits = written(texts.groupBy("_group").cogroup(places.groupBy("_group")).applyInArrow(verify, f"`{row}` long, {FOUND}, windows array<binary>"))
-    named = hits.select(row, F.explode("windows").alias("window")).join(of, "window").groupBy(row).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    rest = hits.drop("windows").join(named, row, "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
-    return rest.join(docs.select(row, "doc_id"), row).select(row, "doc_id", "n_words", "spans", "items")
+            spans = [[{"start": a, "end": b} for a, b in merged((s["start"], s["end"]) for s in of)] for of in batch.column("spans").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(spans, type=SPANS)], names=[key, "spans"])
+
+    found = hits.groupBy(key).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    return found.mapInArrow(run, f"`{key}` {hits.schema[key].dataType.simpleString()}, spans array<struct<start:int,end:int>>")
 
 
 def drop_hit_words(docs: DataFrame, items: DataFrame, share: float = 0.5, size: int = WINDOW) -> DataFrame:
     """Removes documents of whose words more than ``share`` are hit; cuts the hit words out of the others, along with
     what stands between them. Columns and the other texts stay as they are. All hits are found on the whole texts,
-    judged together and cut out at once."""
-    items = _usable(items)
-    if _small(items):
-        return _cut(docs, _index(docs, items, size).find, share)
-    row, spans, columns = unused(docs, "row"), unused(docs, "spans"), docs.columns
-    docs = _numbered(docs, row)
-    ids = docs.select(row, F.lit(None).cast("long").alias("doc_id"), "text")
-    hits = written(_joined(ids, row, items, size).filter(F.size("spans") > 0).select(F.col(row), "spans"))
-    whole = docs.join(hits, row, "left_anti").select(columns)
-    hit = docs.join(hits.withColumnRenamed("spans", spans), row).select(*columns, spans)
-    return whole.unionByName(_cut(hit, None, share, spans))
-
-
-def _cut(docs: DataFrame, find: Callable | None, share: float, given: str | None = None) -> DataFrame:
-    """Rejects and cuts by the spans that ``find`` sees in a text's words, or that the column ``given`` holds, which goes."""
+    judged together and cut out at once; a text's hits follow from the text, so its sha256 is what they are joined by."""
+    key, spans = unused(docs, "key"), unused(docs, "spans")
+    _, prefix, single = _prefixes(docs, items, size)
+    keyed = docs.filter(F.col("text").isNotNull()).select(F.sha2("text", 256).alias(key), F.lit(None).cast("long").alias("doc_id"), "text")
+    hits = written(_spans(_verified(_places(keyed, key, prefix, single, size), key, prefix), key)).withColumnRenamed("spans", spans)
+    met = docs.withColumn(key, F.sha2("text", 256)).join(hits, key, "left").select(*docs.columns, spans)
+    return _cut(met, spans, share)
+
+
+def _cut(docs: DataFrame, given: str, share: float) -> DataFrame:
+    """Rejects and cuts by the spans in the column ``given``, which goes; null where nothing is hit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = batch.schema.get_field_index("text")
             texts, keep = batch.column(k).to_pylist(), []
-            known = batch.column(given).to_pylist() if given else None
-            for i, text in enumerate(texts):
-                words = alnum_words((text or "").encode())
-                spans = [(s["start"], s["end"]) for s in known[i]] if given else find(words)[0]
+            for i, found in enumerate(batch.column(given).to_pylist()):
+                spans = [(s["start"], s["end"]) for s in found or ()]
                 hit = sum(b - a for a, b in spans)
-                keep.append(hit <= share * len(words))
+                keep.append(not hit or hit <= share * len(alnum_words(texts[i].encode())))
                 if hit and keep[-1]:
-                    texts[i] = _without(text, spans)
-            batch = batch.set_column(k, batch.schema.field(k), pa.array(texts, type=batch.schema.field(k).type))
-            batch = batch.drop_columns([given]) if given else batch
+                    texts[i] = _without(texts[i], spans)
+            batch = batch.set_column(k, batch.schema.field(k), pa.array(texts, type=batch.schema.field(k).type)).drop_columns([given])
             yield batch.filter(pa.array(keep, type=pa.bool_()))
 
-    return docs.mapInArrow(run, docs.drop(given).schema if given else docs.schema)
+    return docs.mapInArrow(run, docs.drop(given).schema)
 
 
 def _without(text: str, spans: list[tuple[int, int]]) -> str:
