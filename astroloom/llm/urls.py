@@ -4,12 +4,14 @@ The cascade needs the complete key universe of the corpus. Level 1 encodes the l
 not listed and pass level 1, level 3 the listed keys that pass level 2, and so on until no key is wrong; a key's verdict
 is the parity of the levels that it passes, exact for every key of the universe. Keys are cut by hash into shards of
 bounded size, each with a cascade of its own, so no level is ever built or held whole in one place. The filter is applied
-row by row: no join, as long as the shards together pass the checked size bound; beyond it each row meets its shard.
+row by row: no join, as long as the shards together pass the checked size bound. Beyond it the rows are dealt out by shard,
+in parts where a shard has many rows, and each part reads its shard's levels once, ahead of its rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, table, unused
 
 # Fixed values: (verdict, host, path) rules of the page query.
 RULES = (
@@ -31,6 +33,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Keys of a shard on average, and bytes of all shards up to which they are broadcast.
 SHARD_KEYS = 50_000
 BROADCAST_BYTES = 64_000_000
+#: Rows that meet one copy of their shard's levels; a shard with more is read in parts.
+PART_ROWS = 2_000_000
 HASHES = 5
 
 
@@ -122,37 +126,62 @@ class BloomCascade:
 
     def mark(self, rows: DataFrame, key: str, into: str) -> DataFrame:
         """Adds ``into``: whether the row's key is listed. Nulls are not; keys outside the universe get either answer."""
-        shards = self.shards
-        rows = rows.withColumn("_h", F.xxhash64(key))
-        if self.bytes <= BROADCAST_BYTES:
-            levels: dict[int, list[bytes]] = {}
-            for r in self.table.orderBy("shard", "level").collect():
-                levels.setdefault(r.shard, []).append(bytes(r.bits))
-            shared = rows.sparkSession.sparkContext.broadcast(levels)
-
-            @F.pandas_udf("boolean")
-            def listed(h: pd.Series) -> pd.Series:
-                hashes = h.to_numpy()
-                out, of = np.zeros(len(hashes), dtype=bool), hashes % shards
-                for k in np.unique(of):
-                    out[of == k] = member(shared.value.get(int(k), []), hashes[of == k])
-                return pd.Series(out)
-
-            rows = rows.withColumn(into, listed("_h"))
-        else:
-            per_shard = self.table.groupBy("shard").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "bits"))), lambda x: x["bits"]).alias("_levels"))
-            schema = rows.withColumn(into, F.lit(True)).schema
-
-            def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    h = batch.column("_h").to_numpy()
-                    out = [bool(member(x or [], h[i : i + 1])[0]) for i, x in enumerate(batch.column("_levels").to_pylist())]
-                    yield pa.RecordBatch.from_arrays([batch.column(c) if c != into else pa.array(out) for c in schema.names], names=schema.names)
-
-            rows = rows.withColumn("_shard", F.pmod("_h", F.lit(shards))).join(per_shard.withColumnRenamed("shard", "_shard"), "_shard", "left").drop("_shard").mapInArrow(met, schema)
+        h, clash = unused(rows, "h"), unused(rows, "clash")
+        rows = rows.withColumn(h, F.xxhash64(key))
+        rows = self._looked_up(rows, h, into) if self.bytes <= BROADCAST_BYTES else self._met(rows, h, into)
         if not self.clashes.isEmpty():
-            rows = rows.join(self.clashes.select(F.col("key").alias(key), F.lit(True).alias("_clash")), key, "left").withColumn(into, F.col(into) | F.coalesce("_clash", F.lit(False))).drop("_clash")
-        return rows.withColumn(into, F.col(key).isNotNull() & F.col(into)).drop("_h")
+            rows = rows.join(self.clashes.select(F.col("key").alias(key), F.lit(True).alias(clash)), key, "left").withColumn(into, F.col(into) | F.coalesce(clash, F.lit(False))).drop(clash)
+        return rows.withColumn(into, F.col(key).isNotNull() & F.col(into)).drop(h)
+
+    def _looked_up(self, rows: DataFrame, h: str, into: str) -> DataFrame:
+        shards, levels = self.shards, {}
+        for r in self.table.orderBy("shard", "level").collect():
+            levels.setdefault(r.shard, []).append(bytes(r.bits))
+        shared = rows.sparkSession.sparkContext.broadcast(levels)
+
+        @F.pandas_udf("boolean")
+        def listed(h: pd.Series) -> pd.Series:
+            hashes = h.to_numpy()
+            out, of = np.zeros(len(hashes), dtype=bool), hashes % shards
+            for k in np.unique(of):
+                out[of == k] = member(shared.value.get(int(k), []), hashes[of == k])
+            return pd.Series(out)
+
+        return rows.withColumn(into, listed(h))
+
+    def _met(self, rows: DataFrame, h: str, into: str) -> DataFrame:
+        """Rows and levels sorted by shard and part, a part's levels first; a task holds one shard's levels at a time. Rows
+        take a part by the hash of all that they hold, so a row that is computed again goes where it went before."""
+        schema = rows.withColumn(into, F.lit(True)).schema
+        shard, part, level, bits, parts = (unused(rows, c) for c in ("shard", "part", "level", "bits", "parts"))
+        whole = [c for c, t in rows.dtypes if "map<" not in t and "variant" not in t]
+        rows = rows.withColumn(shard, F.pmod(h, F.lit(self.shards)))
+        hot = rows.groupBy(shard).count().filter(F.col("count") > PART_ROWS).select(shard, F.ceil(F.col("count") / PART_ROWS).alias(parts))
+        hot = durable(hot)
+        rows = rows.join(hot, shard, "left").withColumn(part, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in whole]), F.coalesce(parts, F.lit(1)))).drop(parts)
+        levels = self.table.select(F.col("shard").alias(shard), F.col("level").alias(level), F.col("bits").alias(bits), F.lit(0).cast("long").alias(h)).join(hot, shard, "left")
+        levels = levels.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(parts, F.lit(1)) - 1))).drop(parts)
+        both = rows.unionByName(levels, allowMissingColumns=True).repartition(shard, part).sortWithinPartitions(shard, part, F.col(level).asc_nulls_last())
+
+        def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            current, held = None, []
+            for batch in batches:
+                of, parts_, hashes = (batch.column(c).to_numpy() for c in (shard, part, h))
+                is_row = batch.column(level).is_null().to_numpy(zero_copy_only=False)
+                out = np.zeros(batch.num_rows, dtype=bool)
+                cuts = np.flatnonzero((np.diff(of) != 0) | (np.diff(parts_) != 0)) + 1
+                for a, b in pairwise([0, *cuts.tolist(), batch.num_rows]):
+                    if a == b:
+                        continue
+                    if (of[a], parts_[a]) != current:
+                        current, held = (of[a], parts_[a]), []
+                    k = b - int(is_row[a:b].sum())
+                    held += batch.column(bits).slice(a, k - a).to_pylist()
+                    out[k:b] = member(held, hashes[k:b])
+                columns = [batch.column(c) if c != into else pa.array(out) for c in schema.names]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names).filter(pa.array(is_row))
+
+        return both.mapInArrow(answer, schema)
 
 
 def insecure_hosts(pages: DataFrame) -> DataFrame:

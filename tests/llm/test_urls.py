@@ -44,6 +44,27 @@ def test_cascade_is_exact(spark, monkeypatch, bound):
     assert cascade.mark(keys, "key", "found").filter("listed <> found").count() == 0
 
 
+def test_hot_shards_are_met_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(urls, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(urls, "SHARD_KEYS", 50)
+    monkeypatch.setattr(urls, "PART_ROWS", 300)
+    keys = spark.range(400).selectExpr("concat('k', id) key", "id % 3 = 0 listed")
+    rows = spark.range(3000).selectExpr("id", "if(id % 3 = 0, 'k3', concat('k', id % 400)) key", "id shard", "id part", "id h", "map('a', id) m")
+    rows = rows.unionByName(spark.createDataFrame([(9, None, 1, 1, 1, {"a": 1})] * 2, rows.schema))
+    out = urls.BloomCascade(keys).mark(rows, "key", "found")
+    assert out.columns == [*rows.columns, "found"] and out.count() == 3002
+    assert out.filter("found <> coalesce(cast(substr(key, 2) AS int) % 3 = 0, false)").count() == 0
+    assert out.filter("shard <> id OR part <> id OR h <> id OR m['a'] <> id").count() == 2  # the two rows that were given so
+    assert urls.BloomCascade(keys).mark(rows.limit(0), "key", "found").count() == 0
+
+
+def test_sql_beyond_the_broadcast(spark, small, monkeypatch):
+    whole = sorted(map(repr, urls.op4_url_filter(spark, small).collect()))
+    monkeypatch.setattr(urls, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(urls, "PART_ROWS", 40)
+    assert sorted(map(repr, urls.op4_url_filter(spark, small).collect())) == whole
+
+
 def test_levels():
     rng = np.random.default_rng(1)
     h = rng.integers(-(2**63), 2**63, 20_000)
