@@ -13,6 +13,7 @@ that no text is shuffled.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ WINDOW = 10
 #: it can tell apart, more pass it that the join then drops; the rows stay the same.
 FILTER_LOG = 29
 SHIFTS = (0, 17, 35)
-#: Words whose hashes a task keeps, and places that it hands on at once.
-KEPT_WORDS, KEPT_PLACES = 1 << 20, 10_000
+#: Words whose hashes a task keeps, words (of whole texts) that are tested together, and places that are handed on at once.
+KEPT_WORDS, GROUP_WORDS, KEPT_PLACES = 1 << 20, 50_000, 10_000
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
@@ -47,13 +48,41 @@ class Shingles(dict):
     def of(self, words: list[bytes], single: bool) -> tuple[np.ndarray, np.ndarray]:
         """The hashes and their places: every pair of neighbours and, if ``single``, every word, after the pairs. Two
         shingles with one hash cost a comparison, no result."""
+        pairs, alone = self._hashes([words], single)
+        return np.concatenate([pairs, alone]), np.concatenate([np.arange(len(pairs)), np.arange(len(alone))])
+
+    def passing(self, texts: list[list[bytes]], single: bool, wanted: ShingleFilter) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, place and hash of those shingles of several texts that pass the filter; none reaches over a text's end."""
+        n = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        ends = np.cumsum(n)
+        found = []
+        for hashes, length in zip(self._hashes(texts, single), (2, 1), strict=True):
+            at = wanted.passing(hashes)
+            text = np.searchsorted(ends, at, side="right")
+            inside = at + length <= ends[text]
+            at, text = at[inside], text[inside]
+            found.append((text, at - (ends - n)[text], hashes[at]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _hashes(self, texts: list[list[bytes]], single: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Of all neighbours in the texts laid end to end, and of all words if ``single``."""
         if len(self) > KEPT_WORDS:
             self.clear()
-        h = np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-        pairs = _mixed(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
-        if not single:
-            return pairs, np.arange(len(pairs))
-        return np.concatenate([pairs, _mixed(h ^ np.uint64(0xD1B54A32D192ED03))]), np.concatenate([np.arange(len(pairs)), np.arange(len(h))])
+        h = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), dtype=np.uint64, count=sum(map(len, texts)))
+        return _mixed(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]), _mixed(h[: len(h) * single] ^ np.uint64(0xD1B54A32D192ED03))
+
+
+def _grouped(texts: Iterable[bytes]) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """The texts' words, some texts at a time, with the number of the first of them."""
+    first, group, n = 0, [], 0
+    for text in texts:
+        group.append(alnum_words(text))
+        n += len(group[-1])
+        if n >= GROUP_WORDS:
+            yield first, group
+            first, group, n = first + len(group), [], 0
+    if group:
+        yield first, group
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -74,12 +103,15 @@ class ShingleFilter:
 
     def passing(self, hashes: np.ndarray) -> np.ndarray:
         """Positions of the hashes that pass."""
-        left = np.arange(len(hashes))
-        for shift in SHIFTS:
-            at = (hashes[left] >> np.uint64(shift)) & np.uint64((1 << self.log) - 1)
-            left = left[(self.bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)]
+        left = np.flatnonzero(self._filled(hashes >> np.uint64(SHIFTS[0])))
+        for shift in SHIFTS[1:]:
+            left = left[self._filled(hashes[left] >> np.uint64(shift))]
         return left
 
+    def _filled(self, places: np.ndarray) -> np.ndarray:
+        at = places & np.uint64((1 << self.log) - 1)
+        return (self.bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
 
 def merged(found: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     """The spans in order; those that overlap or touch are one."""
@@ -141,9 +173,13 @@ def _document_frequencies(docs: DataFrame, wanted: ShingleFilter, single: bool)
         known = Shingles()
         for batch in batches:
             found = [np.empty(0, dtype=np.uint64)]
-            for text in byte_list(batch.column("text")):
-                hashes, _ = known.of(alnum_words(text), single)
-                found.append(np.unique(hashes[shared.value.passing(hashes)]))
+            for _, texts in _grouped(byte_list(batch.column("text"))):
+                text, _, hashes = known.passing(texts, single, shared.value)
+                order = np.lexsort((text, hashes))
+                text, hashes = text[order], hashes[order]
+                once = np.ones(len(hashes), dtype=bool)
+                once[1:] = (np.diff(text) != 0) | (np.diff(hashes) != 0)
+                found.append(hashes[once])
             values, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([i64(values.view(np.int64)), i64(n)], names=["shingle", "n"])
 
@@ -166,14 +202,12 @@ def _places(docs: DataFrame, key: str, prefix: DataFrame, single: bool, size: in
 
         for batch in batches:
             out: list[tuple] = []
-            for k, text in enumerate(byte_list(batch.column("text"))):
-                words = alnum_words(text)
-                out.append((k, k, len(words), None, None, None, None))
-                hashes, places = known.of(words, single)
-                left = shared.value.passing(hashes)
-                for shingle, at in zip(hashes[left].view(np.int64).tolist(), places[left].tolist(), strict=True):
+            for begin, texts in _grouped(byte_list(batch.column("text"))):
+                out += [(begin + k, begin + k, len(words), None, None, None, None) for k, words in enumerate(texts)]
+                text, places, hashes = known.passing(texts, single, shared.value)
+                for k, at, shingle in zip(text.tolist(), places.tolist(), hashes.view(np.int64).tolist(), strict=True):
                     first = max(0, at - size + 1)
-                    out.append((k, None, None, shingle, at, first, words[first : at + size]))
+                    out.append((begin + k, None, None, shingle, at, first, texts[k][first : at + size]))
                     if len(out) >= KEPT_PLACES:
                         yield rows(batch, out)
                         out = []

@@ -98,6 +98,18 @@ def test_cuts_keep_clashing_columns(spark, monkeypatch, log):
     assert sorted((r.text, *list(r)[-6:]) for r in out.collect()) == [("clean.", *[2] * 6), ("kept  end", *[1] * 6)]
 
 
+def test_shingles_of_several_texts():
+    texts = [[], [b"a"], [b"b", b"c"], [], [b"a", b"b", b"c"], []]
+    everything = d.ShingleFilter.__new__(d.ShingleFilter)
+    everything.log, everything.bits = 6, d.np.full(1, 2**64 - 1, dtype=d.np.uint64)
+    for single in (False, True):
+        text, at, hashes = d.Shingles().passing(texts, single, everything)
+        want = sorted((k, p, h) for k, w in enumerate(texts) for h, p in zip(*(x.tolist() for x in d.Shingles().of(w, single)), strict=True))
+        assert sorted(zip(text.tolist(), at.tolist(), hashes.tolist(), strict=True)) == want
+        assert len(want) == 3 + 6 * single
+    assert d.Shingles().passing([[]], True, everything)[0].size == 0
+
+
 def test_no_text_is_shuffled(spark, small):
     docs, items = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "benchmark"))
     of, prefix, single = d._prefixes(docs, items, d.WINDOW)
