@@ -246,26 +246,50 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return joined.select(F.coalesce(F.col(f"n.{key}"), F.col(f"o.{key}")).alias(key), *merged)
 
 
+#: Entities up to which a fact meets others by three of them at once.
+WIDE = 16
+
+
 def conflicts(new: DataFrame, old: DataFrame, least: float = 0.85, spread: float = 0.2) -> DataFrame:
     """Pairs of facts (id, kind, value, entities, terms) that are alike (0.6 of the entities' overlap over the larger set
     and 0.4 of the terms' Jaccard) and contradict: values apart by over ``spread`` of the larger, at least of 1.
 
-    Likeness above 0.85 needs an overlap above 0.75, so in any common order of entities alike facts share one of their
-    first n - floor(0.75 n): pairs meet on these prefixes only, and sizes must be within the same ratio. The order is by
-    how many facts of either side name an entity, so pairs meet on rare ones."""
-    named = lambda df: df.select("id", F.explode(F.array_distinct("entities")).alias("entity"))
+    Likeness above 0.85 needs an overlap above 0.75, so alike facts of n entities share r = floor(0.75 n) + 1 of them, and
+    in any common order l of these stand among the first n - r + l: pairs meet on l entities of these prefixes. l is 3, or
+    1 for sets beyond ``WIDE``, where the triples of a prefix would be many; sets under three meet only their equals. The
+    order is by how many facts of either side name an entity, so pairs meet on rare ones. A pair is kept where it meets on
+    the first entities its prefixes share, and only pairs that pass are shuffled again."""
+    named = lambda df: df.select("id", F.explode(F.array_compact(F.array_distinct("entities"))).alias("entity"))
     df = named(new).unionByName(named(old)).groupBy("entity").agg(F.count("*").alias("_df"))
-    rare = F.row_number().over(W.partitionBy("id").orderBy("_df", "entity"))  # of one fact's entities
-    size = F.count("*").over(W.partitionBy("id"))
+    key = lambda *e: F.xxhash64(F.lit(len(e)), *e)
+    places = lambda low, high: F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
 
-    def side(facts: DataFrame, s: str) -> DataFrame:
-        met = named(facts).join(df, "entity").withColumns({"_r": rare, "_n": size}).filter(F.col("_r") <= F.col("_n") - F.floor(0.75 * F.col("_n")))
-        rows = facts.select("id", "kind", F.col("value").alias(f"{s}_value"), F.array_distinct("entities").alias(f"{s}_e"), F.col("terms").alias(f"{s}_t"))
-        return rows.join(met.select("id", "entity"), "id").withColumnRenamed("id", f"{s}_id")
+    def prefix(sorted_: Column, length: int) -> Column:
+        n = F.size(sorted_)
+        return F.slice(sorted_, 1, n - (F.floor(0.75 * n).cast("int") + 1) + length)
 
+    def triples(p: Column) -> Column:
+        n, at = F.size(p), lambda i: F.get(p, i - 1)
+        third = lambda i, j: F.transform(places(j + 1, n), lambda k: key(at(i), at(j), at(k)))
+        all_ = F.flatten(F.transform(places(F.lit(1), n - 2), lambda i: F.flatten(F.transform(places(i + 1, n - 1), lambda j: third(i, j)))))
+        return F.when(n < 3, F.array(key(*[F.get(p, F.lit(i)) for i in range(3)]))).otherwise(all_)
+
+    def side(facts: DataFrame, s: str) -> DataFrame:
+        order = named(facts).join(df, "entity").groupBy("id").agg(F.array_sort(F.collect_set(F.struct("_df", "entity"))).alias("_o")).select("id", F.transform("_o", lambda x: x["entity"]).alias(f"{s}_e"))
+        rows = facts.select("id", "kind", F.col("value").alias(f"{s}_value"), F.col("terms").alias(f"{s}_t")).join(order, "id").withColumn("_n", F.size(f"{s}_e"))
+        e = F.col(f"{s}_e")
+        narrow = F.when(F.col("_n") <= WIDE, triples(prefix(e, 3))).otherwise(F.array().cast("array<bigint>"))
+        wide = F.when(F.col("_n") > 0.75 * WIDE, F.transform(prefix(e, 1), lambda x: key(x))).otherwise(F.array().cast("array<bigint>"))
+        return rows.withColumn("_key", F.explode(F.concat(narrow, wide))).drop("_n").withColumnRenamed("id", f"{s}_id")
+
+    pairs = side(new, "n").join(side(old, "o"), ["_key", "kind"])
+    larger = F.greatest(F.size("n_e"), F.size("o_e"))
+    shared = lambda length: F.array_intersect(prefix(F.col("n_e"), length), prefix(F.col("o_e"), length))
+    first = F.when(larger > WIDE, key(F.get(shared(1), F.lit(0)))).otherwise(key(*[F.get(shared(3), F.lit(i)) for i in range(3)]))
     sized = (F.size("n_e") > 0.75 * F.size("o_e")) & (F.size("o_e") > 0.75 * F.size("n_e"))
-    pairs = side(new, "n").join(side(old, "o"), ["entity", "kind"]).filter((F.col("n_id") != F.col("o_id")) & sized).drop("entity").dropDuplicates(["n_id", "o_id"])
-    overlap = F.size(F.array_intersect("n_e", "o_e")) / F.greatest(F.size(F.array_distinct("n_e")), F.size(F.array_distinct("o_e")))
-    pairs = pairs.withColumn("likeness", F.round(0.6 * overlap + 0.4 * F.coalesce(tx.jaccard(F.col("n_t"), F.col("o_t")), F.lit(0.0)), 6))
     apart = F.abs(F.col("n_value") - F.col("o_value")) > spread * F.greatest("n_value", "o_value", F.lit(1.0))
-    return pairs.filter((F.col("likeness") > least) & apart).select("n_id", "o_id", "kind", "n_value", "o_value", "likeness")
+    overlap = F.size(F.array_intersect("n_e", "o_e")) / larger
+    likeness = F.round(0.6 * overlap + 0.4 * F.coalesce(tx.jaccard(F.col("n_t"), F.col("o_t")), F.lit(0.0)), 6)
+    pairs = pairs.filter((F.col("n_id") != F.col("o_id")) & sized & apart & (F.col("_key") == first)).withColumn("likeness", likeness)
+    # What is left to drop are ids that stand in several rows.
+    return pairs.filter(F.col("likeness") > least).select("n_id", "o_id", "kind", "n_value", "o_value", "likeness").dropDuplicates(["n_id", "o_id"])
