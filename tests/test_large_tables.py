@@ -1,9 +1,12 @@
 """Steps whose work must follow their input: what they hand on is counted on small tables that show it."""
 
 import itertools
+import os
 import random
 
-from astroloom.operators import corpus
+from pyspark.sql import functions as F
+
+from astroloom.operators import corpus, retrieval
 
 
 def shuffled(spark, df):
@@ -52,3 +55,32 @@ def test_conflicts_of_all_sizes(spark):
                 want.add((a[0], b[0]))
     assert want and sorted((r.n_id, r.o_id) for r in got) == sorted(want)
     assert max(len(set(facts[a][3])) for a, _ in want) > 16
+
+
+def workers():
+    """Python workers of this machine's Spark."""
+    for p in filter(str.isdigit, os.listdir("/proc")):
+        try:
+            with open(f"/proc/{p}/cmdline") as f:
+                if "pyspark" in f.read():
+                    yield p
+        except OSError:
+            pass
+
+
+def test_vector_search_holds_a_tile(spark):
+    """Forty million pairs of one batch, none of them below the threshold, with copies and null vectors; a worker's peak."""
+    x = F.array(*[F.sin(F.col("id") % 5000 * k + k) for k in (1.0, 2.0, 3.0, 4.0)])
+    rows = spark.range(0, 10_000, 1, 1).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 1000 != 999, x).alias("embedding"))
+    asked = rows.filter("doc_id < 4000").select(F.col("doc_id").alias("qid"), F.col("embedding").alias("q"))
+    for p in workers():
+        with open(f"/proc/{p}/clear_refs", "w") as f:
+            f.write("5")
+    got = retrieval.vector_search(rows, asked, 3, -1.0).collect()
+    peaks = []
+    for p in workers():
+        with open(f"/proc/{p}/status") as f:
+            peaks += [int(line.split()[1]) / 1024 for line in f if line.startswith("VmHWM")]
+    assert len(got) == 3 * (4000 - 4)
+    assert all(r.score >= 1 - 2e-6 for r in got if r["rank"] == 1)
+    assert max(peaks) < 1000
