@@ -168,7 +168,11 @@ def pdm(lc: DataFrame, low: float, high: float, n: int, bins: int = 4, least: in
 
 
 def pdm_best(periodogram: DataFrame) -> DataFrame:
-    """Best period (ties: the shortest), its significance, and half the width of the dip at half depth, 0.1 % at least."""
+    """Best period (ties: the shortest), its significance, and half the width of the dip at half depth, 0.1 % at least.
+
+    Periods that cut the samples into the same bins have one theta, but for the order in which it was summed: thetas that
+    agree in twelve places are ties."""
+    periodogram = periodogram.withColumn("theta", F.round("theta", 12))
     best = periodogram.groupBy("source").agg(
         F.min(F.struct("theta", "period")).alias("b"), F.avg("theta").alias("mean"), F.stddev_pop("theta").alias("std"), F.max("theta").alias("top"),
     )

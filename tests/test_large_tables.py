@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from astroloom.functions import astro
-from astroloom.operators import corpus, retrieval
+from astroloom.operators import corpus, retrieval, timeseries
 
 
 def shuffled(spark, df):
@@ -92,3 +92,10 @@ def test_flux_of_a_huge_magnitude(spark):
     flux = spark.createDataFrame([(20.0,), (1000.0,)], "mag double").withColumn("flux", astro.mag_to_flux(F.col("mag")))
     rows = flux.select(F.round(astro.mag_error(F.col("flux"), 0.02 * F.col("flux")), 6).alias("e")).collect()
     assert [r.e for r in rows] == [0.021715, None]
+
+
+def test_pdm_ties_despite_the_order_of_sums(spark):
+    """Two periods whose thetas differ in the last bit only: the shorter is the best."""
+    rows = [(1, 0, 1.0, 0.1 + 0.2), (1, 1, 2.0, 0.3), (1, 2, 3.0, 0.9)]
+    best = timeseries.pdm_best(spark.createDataFrame(rows, "source long, k int, period double, theta double")).first()
+    assert (best.period, best.theta, best.period_error) == (1.0, 0.3, 0.5)
