@@ -5,14 +5,18 @@ only to be summed at once into its source's partial aggregate."""
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
 from .blocks import beside, placed, quantiles, scanned, windowed
 
 TWO_PI = 2 * math.pi
+#: Samples of a source from which on they are summed where they lie.
+LARGE = 1_000_000
 
 
 def light_curves(events: DataFrame, source: str = "user_id", band: str = "event_type", value: str = "value") -> DataFrame:
@@ -157,14 +161,31 @@ def grid(low: float, high: float, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct(k.alias("k"), (F.lit(low) + k * F.lit(step)).alias("x")))
 
 
+def by_source(lc: DataFrame, summed: Callable[[DataFrame], DataFrame], large: int | None = None) -> DataFrame:
+    """What ``summed`` makes of each source's samples on a grid. The samples are shuffled, and what they make with the grid
+    is summed in the same task. A source of more than ``large`` samples stays spread, and its partial sums are shuffled:
+    they are few beside its samples, and one task would have all of these."""
+    many = lc.groupBy("source").agg(F.count("*").alias("_n")).filter(F.col("_n") > (large or LARGE)).select("source")
+    parts = int(lc.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if many.isEmpty():
+        return summed(lc.repartition(parts, "source"))
+    many = stored(many)  # it has no more rows than the table has over ``large``
+    return summed(beside(lc, many, ["source"], "left_anti").repartition(parts, "source")).unionByName(summed(beside(lc, many, ["source"], "left_semi")))
+
+
 def pdm(lc: DataFrame, low: float, high: float, n: int, bins: int = 4, least: int = 10) -> DataFrame:
     """Phase-dispersion periodogram (source, k, period, theta): the mean of the phase bins' variances over the total
     variance. Bins of one sample are skipped; a constant curve has theta 1; sources under ``least`` samples have none."""
-    total = lc.groupBy("source").agg(F.var_pop("mag").alias("v"), F.count("*").alias("n")).filter(F.col("n") >= least)
-    rows = lc.join(total, "source").withColumn("g", F.explode(grid(low, high, n)))
-    per_bin = rows.groupBy("source", "v", "g", F.floor(phase(F.col("t"), F.col("g.x")) * bins).alias("bin")).agg(F.var_pop("mag").alias("b"), F.count("*").alias("m"))
+    bin = F.floor(phase(F.col("t"), F.col("g.x")) * bins)
     theta = F.when(F.col("v") == 0, 1.0).otherwise(F.avg(F.when(F.col("m") > 1, F.col("b"))) / F.col("v"))
-    return per_bin.groupBy("source", "v", "g").agg(theta.alias("theta")).select("source", F.col("g.k").alias("k"), F.col("g.x").alias("period"), "theta")
+
+    def thetas(lc: DataFrame) -> DataFrame:
+        total = lc.groupBy("source").agg(F.var_pop("mag").alias("v"), F.count("*").alias("n")).filter(F.col("n") >= least)
+        rows = lc.join(total, "source").withColumn("g", F.explode(grid(low, high, n)))
+        per_bin = rows.groupBy("source", "v", "g", bin.alias("bin")).agg(F.var_pop("mag").alias("b"), F.count("*").alias("m"))
+        return per_bin.groupBy("source", "v", "g").agg(theta.alias("theta"))
+
+    return by_source(lc, thetas).select("source", F.col("g.k").alias("k"), F.col("g.x").alias("period"), "theta")
 
 
 def pdm_best(periodogram: DataFrame) -> DataFrame:
@@ -202,16 +223,20 @@ def _sums(w: Column, y: Column, arg: Column) -> list[Column]:
 def lomb_scargle(lc: DataFrame, low: float, high: float, n: int, weight: str | None = None, least: int = 10) -> DataFrame:
     """Floating-mean Lomb-Scargle periodogram (source, k, freq, power, c0, cs, cc) in closed form from weighted sums;
     c0 + cc cos + cs sin is the fitted model. Power is null where the frequency's design is degenerate."""
-    return _spectrum(lc.withColumn("g", F.explode(grid(low, high, n))), weight, least)
+    return by_source(lc, lambda lc: _spectrum(lc.withColumn("g", F.explode(grid(low, high, n))), weight, least))
 
 
 def lomb_scargle_spans(lc: DataFrame, low: float, high: float, per_peak: float = 5.0, weight: str | None = None, least: int = 10, block: int = 512) -> DataFrame:
     """The same over each source's own grid (``spans``). A long span has many frequencies: a sample meets them in blocks,
     each a row of its own until it is summed, so neither a grid nor a block's sums grow with the longest span."""
-    rows = lc.join(spans(lc, low, high, per_peak), "source")
-    rows = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / block).cast("int"))))
-    ks = F.sequence(F.col("_b") * block, F.least((F.col("_b") + 1) * block, F.col("n")) - 1)
-    return _spectrum(rows.withColumn("g", F.explode(F.transform(ks, lambda k: F.struct(k.alias("k"), (F.lit(low) + k * F.col("step")).alias("x"))))), weight, least)
+
+    def spectrum(lc: DataFrame) -> DataFrame:
+        rows = lc.join(spans(lc, low, high, per_peak), "source")
+        rows = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / block).cast("int"))))
+        ks = F.sequence(F.col("_b") * block, F.least((F.col("_b") + 1) * block, F.col("n")) - 1)
+        return _spectrum(rows.withColumn("g", F.explode(F.transform(ks, lambda k: F.struct(k.alias("k"), (F.lit(low) + k * F.col("step")).alias("x"))))), weight, least)
+
+    return by_source(lc, spectrum)
 
 
 def _spectrum(rows: DataFrame, weight: str | None, least: int) -> DataFrame:
@@ -231,9 +256,10 @@ def _spectrum(rows: DataFrame, weight: str | None, least: int) -> DataFrame:
 def best_frequency(periodogram: DataFrame, cut: float = 0.0) -> DataFrame:
     """The strongest frequency of each source (ties: the lowest), after cutting a share of the grid off both ends; with
     the model's amplitude and Baluev's estimate of the false-alarm probability for n samples."""
-    w = W.partitionBy("source")
-    rows = periodogram.withColumns({"_n": F.max("k").over(w), "_f": F.max("freq").over(w)}).filter((F.col("k") >= cut * F.col("_n")) & (F.col("k") <= (1 - cut) * F.col("_n")))
-    best = rows.groupBy("source").agg(F.max(F.struct(F.col("power"), (-F.col("freq")).alias("minus"), "c0", "cs", "cc", "m")).alias("b"))
+    if cut:
+        last = F.max("k").over(W.partitionBy("source"))
+        periodogram = periodogram.withColumn("_n", last).filter((F.col("k") >= cut * F.col("_n")) & (F.col("k") <= (1 - cut) * F.col("_n")))
+    best = periodogram.groupBy("source").agg(F.max(F.struct(F.col("power"), (-F.col("freq")).alias("minus"), "c0", "cs", "cc", "m")).alias("b"))
     return best.select(
         "source", (-F.col("b.minus")).alias("freq"), F.col("b.power").alias("power"), F.sqrt(F.col("b.cs") ** 2 + F.col("b.cc") ** 2).alias("amplitude"),
         F.col("b.c0").alias("c0"), F.col("b.cs").alias("cs"), F.col("b.cc").alias("cc"), F.col("b.m").alias("n"),
@@ -292,6 +318,7 @@ def prewhiten(lc: DataFrame, low: float, high: float, n: int, rounds: int = 2) -
     out = None
     for turn in range(1, rounds + 1):
         best = best_frequency(lomb_scargle(lc, low, high, n))
+        best = stored(best) if turn < rounds else best  # a row for each source, read by the next round too
         found = best.select("source", F.lit(turn).alias("round"), "freq", "power")
         out = found if out is None else out.unionByName(found)
         if turn < rounds:

@@ -99,3 +99,22 @@ def test_pdm_ties_despite_the_order_of_sums(spark):
     rows = [(1, 0, 1.0, 0.1 + 0.2), (1, 1, 2.0, 0.3), (1, 2, 3.0, 0.9)]
     best = timeseries.pdm_best(spark.createDataFrame(rows, "source long, k int, period double, theta double")).first()
     assert (best.period, best.theta, best.period_error) == (1.0, 0.3, 0.5)
+
+
+def test_periodograms_shuffle_samples_alone(spark):
+    """Sources spread over all tasks: neither they nor their sums meet the grid before they are shuffled."""
+    sample = F.struct((F.col("id") % 200).alias("source"), F.lit("b").alias("band"), (F.col("id") / 77.0).alias("t"), (F.sin("id") + 3).alias("mag"), F.lit(0).alias("flag"))
+    lc = spark.range(0, 4000, 1, 4).select(sample.alias("s")).select("s.*")
+    for found in (timeseries.prewhiten(lc, 0.05, 1.0, 50), timeseries.pdm(lc, 1.0, 20.0, 50)):
+        rows, n = shuffled(spark, found)
+        assert len(rows) in (400, 10_000)
+        assert n < 20_000  # partial sums would be 40,000 a search
+
+
+def test_large_sources_stay_spread(spark):
+    """Sources above a limit take another way to the same sums."""
+    lc = spark.range(0, 600, 1, 3).select(F.expr("IF(id % 3 = 0, id % 5, 9)").alias("source"), (F.col("id") / 7.0).alias("t"), F.sin("id").alias("mag"))
+    count = lambda rows: rows.groupBy("source").agg(F.count("*").alias("n"), F.round(F.sum("mag"), 6).alias("s"))
+    plain = sorted(map(tuple, count(lc).collect()))
+    assert sorted(map(tuple, timeseries.by_source(lc, count, 100).collect())) == plain
+    assert sorted(map(tuple, timeseries.by_source(lc, count).collect())) == plain
