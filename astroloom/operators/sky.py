@@ -9,7 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import astro
-from .blocks import scanned
+from ..sources.shared import stored
+from .blocks import beside, scanned
+
+#: Rows that a target may meet on its way to each of its nearest, and the radius below which circles are not made smaller.
+MET, LEAST = 200, 1e-4
 
 
 def cone(catalogue: DataFrame, ra: float, dec: float, radius: float, order: str | None = None, n: int | None = None) -> DataFrame:
@@ -33,6 +37,13 @@ def cross_match(targets: DataFrame, catalogue: DataFrame, radius: float) -> Data
     zone's highest declination. A target visits its own and the neighbouring zones, and in each the cells that its circle
     can touch, so the match is an equi-join on (zone, cell) whatever the number of rows; the zones at the poles are one
     cell each."""
+    left, right = _celled(targets, catalogue, radius)
+    pairs = left.join(right, ["zone", "cell"]).withColumn("sep", astro.separation(F.col("ra"), F.col("dec"), F.col("_ra"), F.col("_dec")))
+    return pairs.filter(F.col("sep") <= radius).select("target", "id", "sep")
+
+
+def _celled(targets: DataFrame, catalogue: DataFrame, radius: float) -> tuple[DataFrame, DataFrame]:
+    """Targets (target, ra, dec) in each zone and cell they visit, and the catalogue (id, _ra, _dec) in its own."""
     height = radius
 
     def cells(zone: Column) -> Column:
@@ -51,15 +62,48 @@ def cross_match(targets: DataFrame, catalogue: DataFrame, radius: float) -> Data
     own = cell(F.col("ra"), F.col("_n"))
     near = F.array_distinct(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: F.pmod(own + k, F.col("_n"))))
     left = left.select("target", "ra", "dec", "zone", F.explode(near).alias("cell"))
-    pairs = left.join(right, ["zone", "cell"]).withColumn("sep", astro.separation(F.col("ra"), F.col("dec"), F.col("_ra"), F.col("_dec")))
-    return pairs.filter(F.col("sep") <= radius).select("target", "id", "sep")
+    return left, right
+
+
+def pairs_met(targets: DataFrame, catalogue: DataFrame, radius: float) -> int:
+    """How many pairs ``cross_match`` meets, from the rows of each cell."""
+    left, right = (side.groupBy("zone", "cell").agg(F.count("*").alias(n)) for side, n in zip(_celled(targets, catalogue, radius), ("_l", "_r")))
+    return left.join(right, ["zone", "cell"]).agg(F.sum(F.col("_l").cast("double") * F.col("_r"))).first()[0] or 0
+
+
+def nearby(targets: DataFrame, catalogue: DataFrame, radius: float, k: int = 1) -> DataFrame:
+    """(target, id, sep, rank): the k nearest matches within ``radius`` (ties: the smaller id) of the targets that have any.
+
+    Circles begin so small that targets meet a bounded number of rows each on average, however dense the catalogue. A
+    target with k matches in its circle is settled, as all others lie farther; the rest go on with wider circles, up to
+    the radius."""
+    here, rows = targets.count(), catalogue.count()
+    most = MET * k * (here + rows)
+    # The smallest circle that holds 8 k rows of an even sky, then smaller ones where the sky is not even.
+    even = math.degrees(2 * math.asin(math.sqrt(min(1.0, 8 * k / max(rows, 1)))))
+    at = radius
+    while at / 2 >= even:
+        at /= 2
+    while at > LEAST and pairs_met(targets, catalogue, at) > most:
+        at /= 2
+    w = W.partitionBy("target").orderBy("sep", "id")
+    out = None
+    while True:
+        best = cross_match(targets, catalogue, at).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        if at < radius:
+            best = stored(best)
+            settled = best.filter(F.col("rank") == k).select("target")
+            targets = stored(beside(targets.select(F.col("id"), "ra", "dec"), settled.withColumnRenamed("target", "id"), ["id"], "left_anti"))
+            best = beside(best, settled, ["target"], "left_semi")
+        out = best if out is None else out.unionByName(best)
+        if at >= radius or targets.isEmpty():
+            return out
+        at = radius if pairs_met(targets, catalogue, radius) <= most else min(2 * at, radius)
 
 
 def nearest(targets: DataFrame, catalogue: DataFrame, radius: float, k: int = 1) -> DataFrame:
     """Every target with its k nearest matches (ties: the smaller id), or with nulls if there is none."""
-    w = W.partitionBy("target").orderBy("sep", "id")
-    best = cross_match(targets, catalogue, radius).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return targets.select(F.col("id").alias("target")).join(best, "target", "left")
+    return targets.select(F.col("id").alias("target")).join(nearby(targets, catalogue, radius, k), "target", "left")
 
 
 def match_counts(targets: DataFrame, catalogues: dict[str, DataFrame], radius: float) -> DataFrame:
@@ -73,12 +117,14 @@ def match_counts(targets: DataFrame, catalogues: dict[str, DataFrame], radius: f
 
 def with_fallback(targets: DataFrame, releases: list[DataFrame], radius: float) -> DataFrame:
     """(target, release, id, sep): the nearest match of the first release that has one."""
-    every = None
+    every, rest = None, targets.select("id", "ra", "dec")
     for k, release in enumerate(releases):
-        found = cross_match(targets, release, radius).withColumn("release", F.lit(k))
+        found = nearby(rest, release, radius).select("target", F.lit(k).alias("release"), "id", "sep")
+        if k + 1 < len(releases):
+            found = stored(found)
+            rest = stored(beside(rest, found.select(F.col("target").alias("id")), ["id"], "left_anti"))
         every = found if every is None else every.unionByName(found)
-    w = W.partitionBy("target").orderBy("release", "sep", "id")
-    return every.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("target", "release", "id", "sep")
+    return every
 
 
 def dust(catalogue: DataFrame, dust_map: DataFrame, nside: int, ratio: float = 3.1) -> DataFrame:

@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from astroloom.functions import astro
-from astroloom.operators import corpus, retrieval, timeseries
+from astroloom.operators import corpus, retrieval, sky, timeseries
 
 
 def shuffled(spark, df):
@@ -118,3 +118,21 @@ def test_large_sources_stay_spread(spark):
     plain = sorted(map(tuple, count(lc).collect()))
     assert sorted(map(tuple, timeseries.by_source(lc, count, 100).collect())) == plain
     assert sorted(map(tuple, timeseries.by_source(lc, count).collect())) == plain
+
+
+def test_nearest_meets_few_of_a_dense_catalogue(spark, monkeypatch):
+    """All of a catalogue lies within the radius of most targets, some of which have fewer matches than asked for."""
+    u = lambda name: F.pmod(F.xxhash64("id", F.lit(name)), F.lit(100_003)) / 100_003
+    spot = lambda n, wide: spark.range(n).select("id", (358.5 + wide * u(f"ra{n}")).alias("ra"), (10 + u(f"dec{n}")).alias("dec"))
+    stars = spot(20_000, 1.0)
+    targets = spot(500, 1.0).unionByName(spark.createDataFrame([(900, 1.4, 10.5), (901, 180.0, 0.0)], "id long, ra double, dec double"))
+    met, plain = [], sky.cross_match
+    monkeypatch.setattr(sky, "cross_match", lambda t, c, r: met.append(t.count() * c.count() if r >= 3 else sky.pairs_met(t, c, r)) or plain(t, c, r))
+    got = {(r.target, r["rank"]): (r.id, r.sep and round(r.sep, 9)) for r in sky.nearest(targets, stars, 3.0, 2).collect()}
+    assert max(met) <= sky.MET * 2 * (502 + 20_000)  # the full radius meets 10 million
+    all_ = targets.select(F.col("id").alias("target"), "ra", "dec").crossJoin(stars.select("id", F.col("ra").alias("ra2"), F.col("dec").alias("dec2")))
+    all_ = all_.withColumn("sep", astro.separation(F.col("ra"), F.col("dec"), F.col("ra2"), F.col("dec2"))).filter("sep <= 3")
+    best = all_.groupBy("target").agg(F.slice(F.array_sort(F.collect_list(F.struct("sep", "id"))), 1, 2).alias("h")).collect()
+    want = {(r.target, i + 1): (h.id, round(h.sep, 9)) for r in best for i, h in enumerate(r.h)} | {(901, None): (None, None)}
+    assert len(want) == 501 * 2 + 1
+    assert got == want
