@@ -48,8 +48,9 @@ x AS (SELECT qid, string_agg(line, chr(10) ORDER BY rank) AS context, avg(score)
 SELECT item_id AS qid, md5('基于以下参考信息回答问题：' || chr(10) || chr(10) || '参考信息：' || chr(10) || coalesce(context, '') || chr(10) || chr(10) || '问题：' || coalesce(b.text, '') || chr(10) || chr(10) || '请基于上述参考信息提供准确、详细的回答。') AS prompt,
   round(coalesce(confidence, 0) + 1e-9, 4) AS confidence, coalesce(confidence, 0) > 0.5 AS include FROM benchmark b LEFT JOIN x ON qid = item_id""")
 def augmented_training_set(spark, sf):
-    index, n = _index(spark, sf)
-    hits = r.keyword_search(index, n, r.query_terms(_asked(spark, sf)), k=3)
+    asked = r.query_terms(_asked(spark, sf))
+    index, n = _index(spark, sf, asked)
+    hits = r.keyword_search(index, n, asked, k=3)
     out = t.augmented_set(_asked(spark, sf).withColumnRenamed("text", "question"), hits, table(spark, sf, "documents"), "source")
     return out.select("qid", F.md5(F.col("prompt").cast("binary")).alias("prompt"), F.round(F.col("confidence") + 1e-9, 4).alias("confidence"), "include")
 

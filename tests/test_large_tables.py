@@ -136,3 +136,15 @@ def test_nearest_meets_few_of_a_dense_catalogue(spark, monkeypatch):
     want = {(r.target, i + 1): (h.id, round(h.sep, 9)) for r in best for i, h in enumerate(r.h)} | {(901, None): (None, None)}
     assert len(want) == 501 * 2 + 1
     assert got == want
+
+
+def test_searches_index_asked_terms_alone(spark, small, monkeypatch):
+    """Queries that only search for the benchmark items write no posting of another term."""
+    from astroloom.plans import knowledge, training
+
+    for module, name in ((knowledge, "merged_retrieval"), (training, "augmented_training_set")):
+        held, index = [], module._index
+        monkeypatch.setattr(module, "_index", lambda *a: held.append(index(*a)) or held[-1])
+        getattr(module, name)(spark, small)
+        asked = retrieval.query_terms(module._asked(spark, small))
+        assert held[0][0].join(asked, "term", "left_anti").count() == 0
