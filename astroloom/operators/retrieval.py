@@ -3,7 +3,7 @@ of the queried terms; sides are broadcast only where Spark's size threshold allo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -20,16 +20,57 @@ from ..sources.shared import stored
 
 #: Query vectors that are asked of the rows at a time, and the pairs of them that a task scores at once.
 QUERY_BLOCK, TILE = 65_536, 1 << 20
-#: Rows of queries' terms that every task holds at a time, and pairs of queries and documents that a task adds up.
-ASKED, PAIRS = 1_000_000, 2_000_000
+#: Rows of queries' terms that every task holds at a time, pairs of postings and queries that a task adds up at a time,
+#: and documents dealt to a task.
+ASKED, PAIRS, DOCS = 1_000_000, 2_000_000, 20_000
 
 
-def postings(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """(term, doc_id, tf, length) from (doc_id, text); of the terms in ``only`` alone where an index is made for them."""
-    rows = docs.select("doc_id", tx.terms(F.col("text")).alias("terms")).select("doc_id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
+def postings(docs: DataFrame, only: DataFrame | None = None, n_docs: int | None = None) -> DataFrame:
+    """(term, doc_id, length, tf) from (doc_id, text); of the terms in ``only`` alone where an index is made for them. Where
+    the number of documents is given and no id repeats, no posting is shuffled."""
+    rows = counted(docs.select("doc_id", tx.terms(F.col("text")).alias("terms")), only)
+    if n_docs is not None and docs.select("doc_id").distinct().count() == n_docs:
+        return rows
+    # Rows of one id and length are one document's.
+    return rows.groupBy("term", "doc_id", "length").agg(F.sum("tf").alias("tf"))
+
+
+def counted(rows: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(term, doc_id, length, tf) of rows (doc_id, terms), each counted where it lies, a batch of rows at a time."""
+    shared = None
     if only is not None:
-        rows = rows.join(only.select("term").distinct(), "term", "left_semi")
-    return rows.groupBy("term", "doc_id", "length").agg(F.count("*").alias("tf"))
+        some = only.select("term").distinct()
+        wanted = some.limit(ASKED + 1).toArrow().column("term").combine_chunks()
+        if len(wanted) > ASKED:
+            return counted(rows).join(some, "term", "left_semi")
+        shared = rows.sparkSession.sparkContext.broadcast(wanted)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms, ids = pc.split_pattern(batch.column("terms"), " "), batch.column("doc_id")
+            flat, doc = terms.flatten(), pc.list_parent_indices(terms).to_numpy(zero_copy_only=False)
+            some = pc.not_equal(flat, "")  # of no terms, one is made of nothing
+            flat, doc = flat.filter(some), doc[some.to_numpy(zero_copy_only=False)]
+            lengths = pa.array(np.bincount(doc, minlength=len(ids)).astype(np.int32))
+            if shared is None:
+                coded = flat.dictionary_encode()
+                words, code = coded.dictionary, coded.indices
+            else:
+                words = shared.value.cast(flat.type)
+                code = pc.index_in(flat, value_set=words)
+                doc = doc[code.is_valid().to_numpy(zero_copy_only=False)]
+                code = code.drop_null()
+            key, tf = np.unique(doc.astype(np.int64) * max(len(words), 1) + code.to_numpy(zero_copy_only=False), return_counts=True)
+            doc, code = (pa.array(x) for x in np.divmod(key, max(len(words), 1)))
+            yield pa.RecordBatch.from_arrays([words.take(code), ids.take(doc), lengths.take(doc), pa.array(tf.astype(np.int64))], names=["term", "doc_id", "length", "tf"])
+
+    # Terms have no spaces; as one text they cross to Python sooner than as a list.
+    joined = rows.select("doc_id", F.array_join("terms", " ").alias("terms"))
+    return joined.mapInArrow(count, f"term string, doc_id {rows.schema['doc_id'].dataType.simpleString()}, length int, tf long")
+
+
+def _parts(df: DataFrame, n_docs: int) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + n_docs // DOCS)
 
 
 def term_statistics(index: DataFrame) -> DataFrame:
@@ -53,28 +94,117 @@ def keyword_search(index: DataFrame, n_docs: int, asked: DataFrame, method: str
     idf ln((N + 1) / (df + 1)) + 1; ``count``: distinct shared terms. ``least``: terms a hit must share."""
     df = index.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     idf = {"idf": F.log(F.lit(float(n_docs)) / (F.col("df") + 1)) + 1, "tfidf": F.log(F.lit(n_docs + 1.0) / (F.col("df") + 1)) + 1, "count": F.lit(1.0)}[method]
-    value = F.col("tf") / F.col("length") * F.col("w") if method == "tfidf" else F.col("w")
-    rows = asked.join(df, "term").select("term", "qid", "m", idf.alias("w"))
-    sums = [F.round(F.sum(value * F.col("m")), 6).alias("score"), F.count("*").alias("matched")]
-    return reduce(DataFrame.unionByName, [top_k(hits.filter(F.col("matched") >= least), k) for hits in met(index, rows, n_docs, sums)])
+    rows = asked.join(df, "term").select("term", "qid", (F.col("m") * idf).alias("w"))
+    impact = F.col("tf") / F.col("length") if method == "tfidf" else F.lit(1.0)
+    return ranked(index.select("term", "doc_id", impact.alias("x")), rows, n_docs, k, least)
 
 
-def met(index: DataFrame, asked: DataFrame, n_docs: int, sums: list[Column]) -> list[DataFrame]:
-    """Hits (qid, doc_id, sums) of an index (term, doc_id, ...) and terms (term, qid, ...), each over a part of the queries.
+#: Adds to the scores of a tile: from the pairs' cells (document * queries + query) and x, the documents' notes (lists) and
+#: the queries' come the cells that score more, and how much.
+Extra = Callable[[np.ndarray, np.ndarray, list[list[str]], list[str]], tuple[np.ndarray, np.ndarray]]
 
-    A document's postings come to one task, and the queries' terms to all: neither what a posting and a query make nor the
-    sums of a query and a document are shuffled, and no task has all postings of a frequent term. More terms than
-    ``ASKED`` come block by block of queries."""
-    asked = stored(asked)
-    rows, queries = asked.agg(F.count("*"), F.countDistinct("qid")).first()
-    blocks = 1 + rows // ASKED
-    parts = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + n_docs * queries // blocks // PAIRS)
 
-    def hits(asked: DataFrame) -> DataFrame:
-        postings = index.join(asked.select("term").distinct(), "term", "left_semi").repartition(parts, "doc_id")
-        return postings.join(F.broadcast(asked), "term").groupBy("qid", "doc_id").agg(*sums)
+def ranked(index: DataFrame, asked: DataFrame, n_docs: int, k: int, least: int = 1, extra: Extra | None = None, notes: DataFrame | None = None) -> DataFrame:
+    """(qid, doc_id, score, matched, rank): the k best documents of each query by the sum of x * w over the terms they share,
+    of an index (term, doc_id, x) and terms (term, qid, w). ``matched`` counts the rows that met. Rows of the index without a
+    term hold a document's ``note`` for ``extra``, and ``notes`` (qid, note) the queries'.
 
-    return [hits(asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)) for b in range(blocks)]
+    A document's postings come to one task, and the queries' terms to all, which adds up a tile of documents and queries at
+    a time and hands on each query's k best there: neither what a posting and a query make nor the sums of a query and a
+    document are shuffled, and no task has all postings of a frequent term. More terms than ``ASKED`` come block by block of
+    queries."""
+    asked = stored(asked)
+    blocks = 1 + asked.count() // ASKED
+    kinds = [f"{c} {f.schema[c].dataType.simpleString()}" for c, f in (("qid", asked), ("doc_id", index))]
+    schema, note = ", ".join([*kinds, "score double", "matched long"]), ["note"] if extra else []
+
+    def best(asked: DataFrame) -> DataFrame:
+        rows, spark = asked.select("term", "qid", "w").toArrow(), index.sparkSession
+        term, query = (pc.dictionary_encode(rows.column(c), null_encoding="encode").combine_chunks() for c in ("term", "qid"))
+        code = term.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(code, kind="stable")
+        starts = np.searchsorted(code[order], np.arange(len(term.dictionary) + 1))
+        said = []
+        if extra:
+            known = notes.join(asked.select("qid").distinct(), "qid", "left_semi").toArrow()
+            at = pc.index_in(query.dictionary, value_set=known.column("qid").combine_chunks())
+            said = known.column("note").take(at).to_pylist()
+        w = rows.column("w").to_numpy().astype(np.float64)[order]
+        terms = (starts, query.indices.to_numpy(zero_copy_only=False)[order], w, query.dictionary, said)
+        shared = spark.sparkContext.broadcast(terms)
+        numbers = pa.table({"term": term.dictionary, "t": pa.array(np.arange(len(term.dictionary), dtype=np.int32))})
+        numbered = F.broadcast(spark.createDataFrame(numbers, "term string, t int"))
+        met = index.join(numbered, "term", "left" if extra else "inner").filter("t IS NOT NULL OR term IS NULL" if extra else "t IS NOT NULL")
+        dealt = met.select("doc_id", "t", "x", *note).repartition(_parts(index, n_docs), "doc_id").sortWithinPartitions("doc_id")
+        return dealt.mapInArrow(lambda batches: _best(batches, shared.value, k, least, extra), schema)
+
+    hits = [best(asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)) for b in range(blocks)]
+    hits = reduce(DataFrame.unionByName, hits)
+    return top_k(hits.select("qid", "doc_id", F.round("score", 6).alias("score"), "matched"), k)
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows in the order of their documents as tables of whole documents, and where each document ends."""
+    kept = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if kept is None else pa.concat_tables([kept, rows]).combine_chunks()
+        ends = _ends(rows)
+        last = ends[-2] if len(ends) > 1 else 0
+        if last:
+            yield rows.slice(0, last), ends[:-1]
+        kept = rows.slice(last)
+    if kept is not None and kept.num_rows:
+        yield kept, _ends(kept)
+
+
+def _ends(rows: pa.Table) -> np.ndarray:
+    ids = rows.column("doc_id").combine_chunks()
+    return pc.run_end_encode(ids).run_ends.to_numpy().astype(np.int64) if len(ids) else np.zeros(0, dtype=np.int64)
+
+
+def _best(batches: Iterator[pa.RecordBatch], terms: tuple, k: int, least: int, extra: Extra | None) -> Iterator[pa.RecordBatch]:
+    starts, query, weight, qids, said = terms
+    n = len(qids)
+    floor = np.full(n, -np.inf)  # what a task's k best of a query reach so far
+    for rows, ends in _documents(batches):
+        if not n:
+            continue
+        t, x = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("t", "x"))
+        ids, notes = rows.column("doc_id").combine_chunks(), rows.column("note").to_pylist() if extra else []
+        t = np.nan_to_num(t, nan=-1).astype(np.int64) if t.dtype.kind == "f" else t.astype(np.int64)
+        many = np.where(t < 0, 0, starts[t + 1] - starts[t])
+        upto, at = np.concatenate([[0], np.cumsum(many)]), 0
+        while at < len(ends):  # a tile of documents
+            first = ends[at - 1] if at else 0
+            stop = int(np.searchsorted(upto[ends], upto[first] + PAIRS, side="right"))
+            stop = min(max(stop, at + 1), at + max(1, TILE // n), len(ends))
+            span = slice(first, ends[stop - 1])
+            doc = np.repeat(np.arange(stop - at), np.diff(ends[at:stop], prepend=first))
+            each = many[span]
+            place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(starts[np.maximum(t[span], 0)], each)
+            cell = np.repeat(doc, each) * n + query[place]
+            value = np.repeat(x[span], each)
+            score = np.bincount(cell, value * weight[place], (stop - at) * n)
+            matched = np.bincount(cell, minlength=(stop - at) * n)
+            if extra:
+                noted = [[] for _ in range(stop - at)]
+                for j in np.flatnonzero(t[span] < 0):
+                    noted[doc[j]].append(notes[first + j])
+                more, much = extra(cell, value, noted, said)
+                score[more] += much
+            score = np.where(matched >= least, np.round(score, 6), -np.inf).reshape(-1, n)
+            reach = np.partition(score, len(score) - k, axis=0)[len(score) - k] if len(score) > k else np.full(n, -np.inf)
+            # Documents come in the order of their ids, so of equals the earlier stay.
+            good = (score >= reach) & (score > floor)
+            q, d = np.nonzero(good.T)
+            order = np.lexsort((d, -score[d, q], q))
+            q, d = q[order], d[order]
+            keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+            q, d = q[keep], d[keep]
+            floor, cells = np.maximum(floor, reach), d * n + q
+            yield pa.RecordBatch.from_arrays([qids.take(pa.array(q)), ids.take(pa.array(ends[at:stop][d] - 1)), pa.array(score[d, q]), pa.array(matched[cells])], names=["qid", "doc_id", "score", "matched"])
+            at = stop
 
 
 def hash_embedding(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,8 @@ TOP = "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER B
 def _index(spark, sf, only=None):
     """The index, written once however often a query reads it, and the number of documents."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return stored(r.postings(spread(docs), only)), docs.count()
+    n = docs.count()
+    return stored(r.postings(spread(docs), only, n)), n
 
 
 def _search(spark, sf, method="idf", k=5, least=1):

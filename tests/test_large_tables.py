@@ -1,9 +1,12 @@
 """Steps whose work must follow their input: what they hand on is counted on small tables that show it."""
 
 import itertools
+import math
 import os
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from astroloom.functions import astro
@@ -148,3 +151,59 @@ def test_searches_index_asked_terms_alone(spark, small, monkeypatch):
         getattr(module, name)(spark, small)
         asked = retrieval.query_terms(module._asked(spark, small))
         assert held[0][0].join(asked, "term", "left_anti").count() == 0
+
+
+def letters(n):
+    return "".join(chr(97 + int(c)) for c in f"{n:03d}")
+
+
+def test_keyword_search_shuffles_postings_once(spark, monkeypatch):
+    """Against plain Python, with repeated and null ids, documents without terms and equal scores."""
+    draw = random.Random(3)
+    docs = [(n, " ".join(letters(draw.randrange(60)) for _ in range(draw.randrange(30)))) for n in range(1500)]
+    asked = [(q, letters(t), 1 + q % 2) for q in range(40) for t in draw.sample(range(70), 8)]
+    queries = spark.createDataFrame(asked, "qid long, term string, m long")
+
+    def want(docs, value, k, least):
+        out = set()
+        index = [(i, len(x.split()), {t: x.split().count(t) for t in x.split()}) for i, x in docs]
+        df = {letters(t): sum(letters(t) in held for _, _, held in index) for t in range(70)}
+        for q in range(40):
+            terms = [(t, m) for p, t, m in asked if p == q]
+            hits = [(-round(sum(m * value(held[t], n, df[t]) for t, m in terms if t in held), 6), i, sum(t in held for t, _ in terms)) for i, n, held in index]
+            best = sorted(h for h in hits if h[2] >= least)[:k]
+            out |= {(q, i, -s, m, r) for r, (s, i, m) in enumerate(best, 1)}
+        return out
+
+    values = {"count": lambda tf, n, df: 1.0, "idf": lambda tf, n, df: math.log(1500 / (df + 1)) + 1, "tfidf": lambda tf, n, df: tf / n * (math.log(1501 / (df + 1)) + 1)}
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for method, value in values.items():
+        rows, n = shuffled(spark, retrieval.keyword_search(retrieval.postings(frame, queries, 1500), 1500, queries, method, 3, 2))
+        assert {tuple(r) for r in rows} == want(docs, value, 3, 2)
+        assert n < 1.5 * retrieval.postings(frame, queries, 1500).count()  # nor is a sum of a query and a document
+    again = spark.createDataFrame([*docs, docs[7], (None, docs[9][1])], "doc_id long, text string")
+    once, twice = (retrieval.postings(again, queries, n) for n in (1502, None))
+    assert sorted(map(str, once.collect())) == sorted(map(str, twice.collect()))
+    assert once.filter("doc_id IS NULL").count() and max(r.n for r in once.groupBy("term", "doc_id").agg(F.count("*").alias("n")).collect()) == 1
+    monkeypatch.setattr(retrieval, "ASKED", 50)  # block by block of queries
+    got = retrieval.keyword_search(retrieval.postings(frame, queries, 1500), 1500, queries, "count", 3, 2)
+    assert {tuple(r) for r in got.collect()} == want(docs, values["count"], 3, 2)
+
+
+def test_tiles_of_documents_and_queries(monkeypatch):
+    """A task's rows in batches that cut documents, a tile of one document at a time and all at once."""
+    rows = [(d // 2 if d else None, d * 7 % 5, float(d % 4)) for d in range(60)]
+    ids, t, x = zip(*rows, strict=True)
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(t, pa.int32()), pa.array(x)], names=["doc_id", "t", "x"])
+    starts = np.array([0, 2, 3, 3, 5, 6])
+    terms = (starts, np.array([0, 1, 1, 0, 2, 2]), np.array([1.0, 2, 3, 1, 1, 2]), pa.array([10, 20, 30]), [])
+
+    def best():
+        found = pa.Table.from_batches(retrieval._best((batch.slice(a, 7) for a in range(0, 60, 7)), terms, 2, 1, None)).to_pylist()
+        return {q: sorted((-r["score"], r["doc_id"] or 0, r["matched"]) for r in found if r["qid"] == q)[:2] for q in (10, 20, 30)}
+
+    all_at_once = best()
+    for name, value in (("PAIRS", 1), ("TILE", 7)):
+        monkeypatch.setattr(retrieval, name, value)
+        assert best() == all_at_once
+    assert all(len(h) == 2 for h in all_at_once.values())
