@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from astroloom.functions import astro
-from astroloom.operators import corpus, retrieval, sky, timeseries
+from astroloom.operators import corpus, fields, retrieval, sky, timeseries
 
 
 def shuffled(spark, df):
@@ -207,3 +207,23 @@ def test_tiles_of_documents_and_queries(monkeypatch):
         monkeypatch.setattr(retrieval, name, value)
         assert best() == all_at_once
     assert all(len(h) == 2 for h in all_at_once.values())
+
+
+def test_field_search_shuffles_no_pairs(spark):
+    """Names in queries and queries in names, against every pair in plain Python."""
+    draw = random.Random(8)
+    words = [letters(n) for n in range(25)]
+    entries = [(n, " ".join(draw.choices(words, k=draw.choice([0, 1, 2, 2, 2]))), " ".join(draw.choices(words, k=20))) for n in range(800)]
+    queries = [(q, " ".join(draw.choices(words, k=draw.choice([1, 2, 6, 15])))) for q in range(40)] + [(40, ""), (41, None)]
+    frame = spark.createDataFrame(entries, "doc_id long, key string, content string").repartition(3)
+    rows, n = shuffled(spark, fields.field_search(frame, spark.createDataFrame(queries, "qid long, text string"), 4))
+    want = set()
+    for q, text in queries:
+        asked, hits = (text or "").split(), []
+        for d, key, content in entries:
+            keyed, held = (len(set(x.split()) & set(asked)) for x in (key, content))
+            same = keyed and (f" {key} " in f" {text} " or f" {text} " in f" {key} ")
+            hits += [(-(3 * keyed + held + 10 * bool(same)), d)] if keyed or held else []
+        want |= {(q, d, -s, r) for r, (s, d) in enumerate(sorted(hits)[:4], 1)}
+    assert {(r.qid, r.doc_id, r.score, r["rank"]) for r in rows} == want and max(s for *_, s, _ in want) > 20
+    assert n < 25_000  # pairs of a query and an entry are 32,000
