@@ -1,23 +1,29 @@
 """Approximate vector search by random hyperplanes, and the searches over vectors of several languages or modalities.
 
 A vector's side of each plane is a bit; a band of bits is a bucket, so vectors at a small angle share a bucket in some
-band. Rows meet queries in equi-joins on (band, bucket) and only those that met are scored, exactly. A query also asks the
-buckets across the planes it lies nearest to, so fewer bands are needed. Bands are a stored table, bucketed by their key.
+band. A query also asks the buckets across the planes it lies nearest to, so fewer bands are needed. Searches match a tile
+of queries and rows at a time where the rows lie, so no pair is shuffled, and score those that share a bucket, exactly. A
+saved index keeps its bands as a table too, bucketed by their key, to list the pairs that share a bucket.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
 from ..sources.shared import stored
-from .retrieval import top_k, vector_search
+from .retrieval import QUERY_BLOCK, TILE, matrix, top_k, vector_search
+
+#: Bytes of queries' buckets that a task holds, and the share of a tile's pairs from which on all are multiplied at once.
+HELD, DENSE = 1 << 28, 16
 
 
 @dataclass(frozen=True)
@@ -69,7 +75,8 @@ def banded(vectors: DataFrame, key: str, vector: str, planes: Planes, probes: in
 
 @dataclass(frozen=True)
 class VectorIndex:
-    """``vectors`` (doc_id, embedding of length one) and their ``bands`` (doc_id, band, bucket)."""
+    """``vectors`` (doc_id, embedding of length one) and their ``bands`` (doc_id, band, bucket), which are made when read
+    unless the index was saved."""
 
     vectors: DataFrame
     bands: DataFrame
@@ -77,10 +84,10 @@ class VectorIndex:
 
     @classmethod
     def of(cls, embedded: DataFrame, planes: Planes | None = None) -> VectorIndex:
-        """An index of (doc_id, embedding), written once."""
+        """An index of (doc_id, embedding), whose vectors are written once."""
         rows = stored(embedded.filter("embedding IS NOT NULL").select("doc_id", vx.unit(F.col("embedding")).alias("embedding")))
         planes = planes or Planes.for_rows(rows.count())
-        return cls(rows, stored(banded(rows, "doc_id", "embedding", planes)), planes)
+        return cls(rows, banded(rows, "doc_id", "embedding", planes), planes)
 
     def save(self, name: str, buckets: int = 64) -> VectorIndex:
         """Two tables of the warehouse, bucketed by what searches join on, so neither is shuffled by a search."""
@@ -99,9 +106,76 @@ class VectorIndex:
     def search(self, asked: DataFrame, k: int = 5, threshold: float = 0.1) -> DataFrame:
         """(qid, doc_id, score, rank) as ``vector_search`` gives them, of the rows that share a bucket with a query."""
         asked = asked.filter("q IS NOT NULL").select("qid", vx.unit(F.col("q")).alias("q"))
-        pairs = self.candidates(asked).join(self.vectors, "doc_id").join(asked, "qid")
-        hits = pairs.select("qid", "doc_id", F.round(vx.dot(F.col("embedding"), F.col("q")), 6).alias("score"))
-        return top_k(hits.filter(F.col("score") >= threshold), k)
+        block = max(1, min(QUERY_BLOCK, HELD // (self.planes.bands * (8 + self.planes.probes))))
+        rows = asked.limit(block + 1).toArrow()
+        if len(rows) > block:
+            asked, blocks = stored(asked), 1 + 2 * asked.count() // block
+            return reduce(DataFrame.unionByName, [self.search(asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b), k, threshold) for b in range(blocks)])
+        planes = self.planes
+        shared = asked.sparkSession.sparkContext.broadcast((rows.column("qid").combine_chunks(), matrix(rows.column("q"))))
+        kinds = {c: f.schema[c].dataType.simpleString() for c, f in (("qid", asked), ("doc_id", self.vectors))}
+        hits = self.vectors.mapInArrow(lambda batches: _near(batches, *shared.value, planes, k, threshold), f"qid {kinds['qid']}, doc_id {kinds['doc_id']}, score double")
+        return top_k(hits.select("qid", "doc_id", F.round("score", 6).alias("score")), k)
+
+
+def _buckets(x: np.ndarray, drawn: np.ndarray, planes: Planes, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each vector and band, and the numbers of the planes that it lies nearest to, some vectors at a time."""
+    own, near = np.zeros((len(x), planes.bands), dtype=np.int64), np.zeros((len(x), planes.bands, probes), dtype=np.uint8)
+    step = max(1, TILE // len(drawn))
+    for at in range(0, len(x), step):
+        side = (x[at : at + step] @ drawn.T).reshape(-1, planes.bands, planes.bits)
+        own[at : at + step] = ((side > 0) * (1 << np.arange(planes.bits, dtype=np.int64))).sum(axis=2)
+        if probes:
+            near[at : at + step] = np.argsort(np.abs(side), axis=2)[..., :probes]
+    return own, near
+
+
+def _near(batches: Iterator[pa.RecordBatch], names: pa.Array, q: np.ndarray, planes: Planes, k: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Each batch's k best rows of a query among those that share a bucket with it, a tile of queries at a time."""
+    floor, drawn = np.full(len(q), threshold), None
+    for batch in batches:
+        if not batch.num_rows or not q.size:
+            continue
+        batch = batch.take(pc.sort_indices(batch.column("doc_id"), null_placement="at_start"))
+        x, found = matrix(batch.column("embedding")), []
+        if drawn is None:
+            drawn = planes.drawn(x.shape[1])
+            asks, near = _buckets(q, drawn, planes, min(planes.probes, planes.bits))
+        own = _buckets(x, drawn, planes, 0)[0].T
+        orders = np.argsort(own, axis=1, kind="stable")
+        held = [np.unique(b[o], return_index=True, return_counts=True) for b, o in zip(own, orders, strict=True)]
+        step = max(1, TILE // len(x))
+        for at in range(0, len(q), step):
+            some = q[at : at + step]
+            shares = np.zeros((len(some), len(x)), dtype=bool)
+            for band, (order, (bucket, first, n)) in enumerate(zip(orders, held, strict=True)):
+                mine = asks[at : at + step, band, None]
+                all_ = np.concatenate([mine, mine ^ (1 << near[at : at + step, band].astype(np.int64))], axis=1)
+                place = np.minimum(np.searchsorted(bucket, all_), len(bucket) - 1)
+                i, j = np.nonzero(bucket[place] == all_)
+                place = place[i, j]
+                each = n[place]
+                rows = order[np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(first[place], each)]
+                shares[np.repeat(i, each), rows] = True
+            least = floor[at : at + step]
+            if np.count_nonzero(shares) * DENSE > shares.size:
+                value = some @ x.T
+                i, j = np.nonzero(shares & (value > least[:, None] - 1e-6))
+                v = value[i, j]
+            else:
+                i, j = np.nonzero(shares)
+                v = np.einsum("ij,ij->i", some[i], x[j])
+            v = np.round(v, 6)
+            good = np.isfinite(v) & (v >= least[i])
+            i, j, v = i[good], j[good], v[good]
+            order = np.lexsort((j, -v, i))
+            i, j, v = i[order], j[order], v[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            least[i[place == k - 1]] = v[place == k - 1]
+            i, j, v = i[place < k], j[place < k], v[place < k]
+            found.append((i + at, j, v))
+        i, j, v = (np.concatenate(c) for c in zip(*found, strict=True))
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(i)), batch.column("doc_id").take(pa.array(j)), pa.array(v)], names=["qid", "doc_id", "score"])
 
 
 Search = Callable[[DataFrame, DataFrame, int], DataFrame]

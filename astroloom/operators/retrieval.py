@@ -234,7 +234,7 @@ def vector_search(embedded: DataFrame, asked: DataFrame, k: int = 5, threshold:
         parts = [vector_search(embedded, asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b), k, threshold) for b in range(blocks)]
         return reduce(DataFrame.unionByName, parts)
     qids = rows.column("qid")
-    q = _matrix(rows.column("q"))
+    q = matrix(rows.column("q"))
     shared = asked.sparkSession.sparkContext.broadcast((qids.combine_chunks(), q))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +245,7 @@ def vector_search(embedded: DataFrame, asked: DataFrame, k: int = 5, threshold:
                 continue
             # In the order of their ids, so that of equals the smaller ids stay.
             batch = batch.take(pc.sort_indices(batch.column("doc_id"), null_placement="at_start"))
-            x, found = _matrix(batch.column("embedding")), []
+            x, found = matrix(batch.column("embedding")), []
             step = max(1, TILE // len(x))
             for at in range(0, len(q), step):
                 value = np.nan_to_num(np.round(q[at : at + step] @ x.T, 6), copy=False, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
@@ -269,7 +269,7 @@ def vector_search(embedded: DataFrame, asked: DataFrame, k: int = 5, threshold:
     return top_k(hits.select("qid", "doc_id", F.round("score", 6).alias("score")), k)
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], type=column.type)
     flat = column.flatten().to_numpy(zero_copy_only=False)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from astroloom.functions import astro
-from astroloom.operators import corpus, fields, retrieval, sky, timeseries
+from astroloom.operators import corpus, fields, nearest, retrieval, sky, timeseries
 
 
 def shuffled(spark, df):
@@ -227,3 +227,16 @@ def test_field_search_shuffles_no_pairs(spark):
         want |= {(q, d, -s, r) for r, (s, d) in enumerate(sorted(hits)[:4], 1)}
     assert {(r.qid, r.doc_id, r.score, r["rank"]) for r in rows} == want and max(s for *_, s, _ in want) > 20
     assert n < 25_000  # pairs of a query and an entry are 32,000
+
+
+def test_planes_shuffle_no_pairs(spark, monkeypatch):
+    """Copies and near copies, which share their buckets: as exact search gives them, in one block of queries and in many."""
+    x = F.array(*[F.sin(F.col("id") % 7 * 0.01 * k + k) for k in (1.0, 2.0, 3.0, 4.0)])
+    rows = spark.range(0, 2000, 1, 3).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 1000 != 999, x).alias("embedding"))
+    queries = rows.filter("doc_id % 10 = 0 OR doc_id = 999").select(F.col("doc_id").alias("qid"), F.col("embedding").alias("q"))
+    want = sorted(map(tuple, retrieval.vector_search(rows, queries).collect()))
+    got, n = shuffled(spark, nearest.VectorIndex.of(rows).search(queries))
+    assert sorted(map(tuple, got)) == want and len(want) == 5 * 200
+    assert n < 20_000  # pairs that share a bucket are 400,000
+    monkeypatch.setattr(nearest, "HELD", 10_000)
+    assert sorted(map(tuple, nearest.VectorIndex.of(rows).search(queries).collect())) == want
