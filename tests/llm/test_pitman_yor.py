@@ -137,3 +137,85 @@ def test_scores_do_not_depend_on_partitions(spark, small):
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", old)
     assert out[0].keys() == out[1].keys() and all(abs(out[0][k] - out[1][k]) < 1e-6 for k in out[0])
+
+
+def drawn(docs, learned, s):
+    """The whole sampler in plain Python over dictionaries of all pairs: each text's score, and the tables of each repeated
+    pair in every kept sweep."""
+    bits = min(64, max(40, 20 + sum(len((x or "").encode()) for _, x in docs).bit_length()))
+    pairs, seen = Counter(), Counter()
+    for i, x in docs:
+        if learned(i):
+            t = tokens(x)
+            pairs.update(zip(["\n", *t[:-1]], t, strict=True))
+            seen.update(t)
+    words, repeated = sorted(seen), [k for k, c in pairs.items() if c > 1]
+    spelled, short = [w.encode() for w in words], {w: p.dishes([w.encode()]) >> np.uint64(64 - bits) for w in words}
+    pair_dish = np.array([p.pair_dishes(short[w], short[u])[0] for u, w in repeated], dtype=np.uint64)
+
+    def discount(counts):
+        once, twice = (sum(c == k for c in counts) for k in (1, 2))
+        return float(np.clip(once / max(once + 2 * twice, 1), 0.1, 0.9))
+
+    first = Counter(w for _, w in pairs)
+    inner, outer = discount(pairs.values()), discount(first.values())
+    seated, kept = dict.fromkeys(pairs, 1), []
+    at, ends = p.cells_of(spelled)
+    lengths = np.diff(ends, prepend=0)
+    for sweep in range(1 + s.burn_in + s.kept):
+        if sweep:
+            new = np.array([(s.context_strength + inner * of_context[u]) * shared[w] for u, w in repeated])
+            t = p.seat(np.array([pairs[k] for k in repeated]), new, inner, pair_dish, s.seed + sweep)
+            seated |= dict(zip(repeated, t.tolist(), strict=True))
+        of_context, of_word = Counter(), Counter()
+        for (u, w), t in seated.items():
+            of_context[u] += t
+            of_word[w] += t
+        n = np.array([of_word[w] for w in words], dtype=np.int64)
+        tables = np.ones(len(words))
+        if sweep:
+            new = (s.word_strength + outer * all_tables) * np.exp(spelling.log_probability(spelled))
+            tables = p.seat(n, new, outer, p.dishes(spelled), s.seed + sweep)
+        cells = np.bincount(at, np.repeat(tables, lengths))
+        spelling = p.Spelling.sample(np.flatnonzero(cells), cells[cells > 0].astype(np.int64), s, sweep)
+        all_tables = tables.sum()
+        mass = (s.word_strength + outer * all_tables) / (s.word_strength + n.sum())
+        spelling_p = np.exp(spelling.log_probability(spelled))
+        shared = dict(zip(words, ((n - outer * tables) / (s.word_strength + n.sum()) + mass * spelling_p).tolist(), strict=True))
+        if sweep > s.burn_in:
+            kept.append((dict(seated), of_context, shared, mass * (1 - spelling_p.sum())))
+
+    def one(u, w):
+        each = [(pairs[u, w] - inner * t.get((u, w), 0) + (s.context_strength + inner * c[u]) * q.get(w, rest)) / (s.context_strength + seen[u]) for t, c, q, rest in kept]
+        return math.log10(sum(each) / len(each))
+
+    scores = {i: sum(one(u, w) for u, w in zip(["\n", *tokens(x)[:-1]], tokens(x), strict=True)) for i, x in docs}
+    return scores, [{k: t[k] for k in repeated} for t, *_ in kept], pairs
+
+
+def test_op9_draws_the_tables_of_contexts(spark, small):
+    """The query against the sampler in plain Python, in which repeated pairs have between one table and one each."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    want, tables, pairs = drawn(docs, lambda i: zlib.crc32(str(i).encode()) % 7 != 2, p.Sampling())
+    for t in tables:
+        assert all(1 <= n <= pairs[k] for k, n in t.items()) and any(1 < n for n in t.values())
+    assert tables[0] != tables[1]
+    got = {r.doc_id: r.score for r in p.op9_pitman_yor(spark, small).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 * max(1, abs(want[i])) for i in want)
+
+
+def test_drawn_tables_are_the_shared_customers(spark):
+    """Frequent words' pairs are dealt to several parts; the sums over words, contexts and parts are the same."""
+    docs = [(k, " ".join(f"w{(k * j) % 11}" for j in range(1, 30))) for k in range(1, 90)]
+    frame, s = spark.createDataFrame([(i, x, 0.0, 1) for i, x in docs], SCHEMA), p.Sampling(draw_contexts=True)
+    corpus = p.Corpus(frame, F.col("doc_id") > 9, ("doc_id",))
+    assert len(corpus.layout.heavy) and corpus.layout.shares.max() > 1
+    model = p.PitmanYor(corpus, s)
+    seatings = [p.unpacked(bytes(r.data))["seatings"] for r in model.homes.collect()]
+    for k, (_, (tables, customers)) in enumerate(model.states[s.burn_in :]):
+        n, t, contexts = (sum(int(x[k][j].sum()) for x in seatings) for j in range(3))
+        assert n == contexts == customers and t == tables
+    want, drawn_tables, _ = drawn(docs, lambda i: i > 9, s)
+    assert sum(drawn_tables[-1].values()) > len(drawn_tables[-1])
+    got = {r.doc_id: r.score for r in p.score_texts(frame, F.col("doc_id") > 9, s=s).collect()}
+    assert all(abs(got[i] - want[i]) < 1e-6 * max(1, abs(want[i])) for i in want)
