@@ -51,7 +51,8 @@ def field_search(entries: DataFrame, queries: DataFrame, k: int = 5, separator:
     A name can match only where a word is shared, so names are compared for entries that met the query by a key word.
     Paragraphs are cut for the k best alone."""
     asked = queries.select("qid", F.array_distinct(tx.terms(F.col("text"))).alias("words"), F.concat(F.lit(" "), F.array_join(tx.terms(F.col("text")), " "), F.lit(" ")).alias("note"))
-    terms, n = asked.select("qid", F.explode("words").alias("term")), entries.count()
+    # A query without an id has no rows, and no note to compare names with.
+    terms, n = asked.filter("qid IS NOT NULL").select("qid", F.explode("words").alias("term")), entries.count()
     named = entries.select("doc_id", F.concat(F.lit(" "), F.array_join(tx.terms(F.col("key")), " "), F.lit(" ")).alias("note"))
     index = stored(field_postings(entries, terms, n)).select("term", "doc_id", (IN_KEY * F.col("in_key") + IN_CONTENT * F.col("in_content")).cast("double").alias("x"))
     index = index.unionByName(named.withColumn("x", F.lit(0.0)), allowMissingColumns=True)

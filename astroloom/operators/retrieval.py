@@ -185,7 +185,8 @@ def _best(batches: Iterator[pa.RecordBatch], terms: tuple, k: int, least: int, e
             place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(starts[np.maximum(t[span], 0)], each)
             cell = np.repeat(doc, each) * n + query[place]
             value = np.repeat(x[span], each)
-            score = np.bincount(cell, value * weight[place], (stop - at) * n)
+            # Where no pair met, bincount gives integers, to which ``extra`` can't be added.
+            score = np.bincount(cell, value * weight[place], (stop - at) * n).astype(np.float64, copy=False)
             matched = np.bincount(cell, minlength=(stop - at) * n)
             if extra:
                 noted = [[] for _ in range(stop - at)]

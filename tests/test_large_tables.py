@@ -229,6 +229,16 @@ def test_field_search_shuffles_no_pairs(spark):
     assert n < 25_000  # pairs of a query and an entry are 32,000
 
 
+def test_field_search_of_entries_that_share_nothing(spark):
+    """Tasks whose last entry, or all, share no word with any query; a query without an id has no rows."""
+    entries = [(0, "star dust", "star dust\n\ndust"), *((n, "", "") for n in range(1, 9)), (9, None, None), (10, "moon", "moon rock")]
+    queries = spark.createDataFrame([(1, "red star"), (2, "star dust falls"), (3, "comet"), (None, "star dust")], "qid long, text string")
+    got = fields.field_search(spark.createDataFrame(entries, "doc_id long, key string, content string"), queries, 2).collect()
+    assert sorted((r.qid, r.doc_id, r.score, r["rank"], r.best) for r in got) == [(1, 0, 4, 1, "star dust"), (2, 0, 18, 1, "star dust")]
+    nothing = fields.field_search(spark.createDataFrame(entries[1:9], "doc_id long, key string, content string"), queries, 2)
+    assert nothing.count() == 0
+
+
 def test_planes_shuffle_no_pairs(spark, monkeypatch):
     """Copies and near copies, which share their buckets: as exact search gives them, in one block of queries and in many."""
     x = F.array(*[F.sin(F.col("id") % 7 * 0.01 * k + k) for k in (1.0, 2.0, 3.0, 4.0)])
