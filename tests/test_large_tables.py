@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from astroloom.functions import astro
-from astroloom.operators import corpus, fields, nearest, retrieval, sky, timeseries
+from astroloom.operators import corpus, fields, nearest, pruned, retrieval, sky, timeseries
 
 
 def shuffled(spark, df):
@@ -250,3 +250,39 @@ def test_planes_shuffle_no_pairs(spark, monkeypatch):
     assert n < 20_000  # pairs that share a bucket are 400,000
     monkeypatch.setattr(nearest, "HELD", 10_000)
     assert sorted(map(tuple, nearest.VectorIndex.of(rows).search(queries).collect())) == want
+
+
+def handed_on(spark, do):
+    """What ``do`` returns, and how many rows its stages wrote for others, those it runs on the way too."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, none, None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = written()
+    return do(), written() - before
+
+
+def test_pruned_search_shuffles_no_pairs(spark, monkeypatch):
+    """Few words, so that most documents meet most queries; with null, empty and repeated texts, in one block of queries and in many."""
+    draw = random.Random(4)
+    docs = [(n, " ".join(letters(draw.randrange(40)) for _ in range(draw.choice([3, 20, 60])))) for n in range(2000)]
+    docs += [(2000, None), (2001, ""), *((2010 + n, docs[n][1]) for n in range(50))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    queries = spark.createDataFrame([(q, letters(t), 1 + q % 2) for q in range(60) for t in draw.sample(range(45), 8)] + [(None, letters(1), 1)], "qid long, term string, m long")
+    index, n = pruned.ImpactIndex.of(frame, len(docs), queries), retrieval.postings(frame, queries).count()
+    for method, least in (("tfidf", 1), ("idf", 1), ("count", 2)):
+        full = retrieval.keyword_search(retrieval.postings(frame, queries), len(docs), queries.filter("qid IS NOT NULL"), method, 3, least)
+        want = sorted(map(tuple, full.collect()))
+        got, rows = handed_on(spark, lambda: pruned.keyword_search(index, queries, method, 3, least).collect())  # noqa: B023
+        assert sorted(map(tuple, got)) == want and len(want) == 180
+        if method == "tfidf":
+            assert rows < 3 * n  # a query and a document that meet are 100,000 pairs
+    monkeypatch.setattr(pruned, "ASKED", 500)
+    assert sorted(map(tuple, pruned.keyword_search(index, queries, "count", 3, 2).collect())) == want
+    none = spark.createDataFrame([(1, "nebula", 1)], "qid long, term string, m long")
+    assert pruned.keyword_search(index, none, "tfidf").count() == 0
+    assert pruned.keyword_search(pruned.ImpactIndex.of(frame, len(docs), none), none, "tfidf").count() == 0
